@@ -38,6 +38,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """Numbers the words it is asked for; fresh has those met since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file's text."""
 
@@ -70,11 +82,12 @@ class Codec:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for token, i in self.added.items():  # held under keys no pre-token can have
-            self.index["\0" + token] = len(self.at) - 1
+            self.index["\0" + token]
             self.ids, self.at = np.append(self.ids, np.int32(i)), np.append(self.at, len(self.ids) + 1)
+        self.index.fresh = []
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -150,7 +163,6 @@ class Codec:
         """Encode words together and keep their ids."""
         data = [w.encode() for w in words]
         ids, at = self.merge(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data]))))
-        self.index.update(zip(words, range(len(self.at) - 1, len(self.at) - 1 + len(words))))
         self.at = np.concatenate((self.at, at[1:] + self.at[-1]))
         self.ids = np.concatenate((self.ids, ids))
 
@@ -166,10 +178,10 @@ class Codec:
                 elif part:
                     words += self.pattern.findall(part)
             sizes.append(len(words) - before)
-        if fresh := [w for w in dict.fromkeys(words) if w not in self.index]:
-            self.learn(fresh)
-        index = self.index
-        word = np.fromiter((index[w] for w in words), np.int64, len(words))
+        word = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.fresh:
+            self.learn(self.index.fresh)
+            self.index.fresh = []
         counts = (self.at[1:] - self.at[:-1])[word]
         ends = np.concatenate(([0], np.cumsum(counts)))
         flat = self.ids[np.repeat(self.at[word] - ends[:-1], counts) + np.arange(ends[-1])]
