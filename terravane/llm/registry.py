@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, suffix_dedup
+from . import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_language_id": language_id.op4_language_id,
+    "op5_pii": pii.op5_pii,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
