@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import queries_text
+from .plans.queries_graph import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_text"]
