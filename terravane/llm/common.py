@@ -20,11 +20,7 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local one only where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{tempfile.gettempdir()}/terravane-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/terravane-checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
