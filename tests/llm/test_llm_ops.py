@@ -1,0 +1,346 @@
+"""Each operator against a brute-force version, and on tables of edge cases."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from terravane.llm import bpe, components, embedding_dedup, exact_dedup, kernels, language_id, minhash_dedup, mixing, pii, quality, suffix_dedup, toxicity
+
+from . import fixtures
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    fixtures.frame(spark).repartition(3).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_bpe_equals_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    got = by_id(bpe.digest(docs))
+    for i, text in enumerate(fixtures.texts()):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.digest(fixtures.empty(spark)).count() == 0
+
+
+def repeats(rows, length=100):
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            w = data[s : s + length]
+            if w in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        out[i] = (len(data), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup_equals_brute_force(spark, docs):
+    got = by_id(suffix_dedup.remove_repeats(spark, docs))
+    want = repeats(enumerate(fixtures.texts()))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    assert sum(w[1] for w in want.values()) > 1000
+    assert suffix_dedup.remove_repeats(spark, fixtures.empty(spark)).count() == 0
+
+
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    text = fixtures.texts()[0]
+    base = fixtures.rows()[0][2:]
+    got = suffix_dedup.remove_repeats(spark, fixtures.frame(spark, [(None, text, *base), (3, text, *base), (3, text, *base), (4, text, *base)])).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"] > 0) for r in got) == [(False, 3, False), (False, 3, False), (False, 4, True), (True, 0, False)]
+
+
+def test_interval_expansion_equals_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    text = np.frombuffer(b"abcab" * 20 + bytes(rng.integers(97, 99, 300)) + b"abcab" * 9, np.uint8)
+    for length in (3, 8, 17):
+        order, cut = suffix_dedup.expand(text, length)
+        data = text.tobytes()
+        assert sorted(order.tolist()) == list(range(len(data) + 1))
+        for x in range(1, len(order)):
+            a, b = data[order[x - 1] :][:length], data[order[x] :][:length]
+            assert a <= b and cut[x] == (a != b or len(a) < length)
+
+
+def test_mixing(spark, docs):
+    got = by_id(mixing.mixed(docs))
+    size = {i: len(WORD.findall(t or "")) for i, t in enumerate(fixtures.texts())}
+    source = {r[0]: r[3] for r in fixtures.rows()}
+    names = sorted({s for s in source.values() if s is not None}) + [None]
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    target = dict(zip(names, mixing.waterfill([total[s] for s in names])))
+    assert abs(sum(target.values()) - 1.5 * sum(total.values())) < 1e-6
+    for i, r in got.items():
+        assert (r["size"], r["source_size"]) == (size[i], total[source[i]]) and abs(r["target"] - target[source[i]]) < 1e-6
+        assert 0 <= r["taken"] <= 2 * r["size"] and sum(c["words"] for c in r["copies"]) == r["taken"]
+    for s in names:
+        assert abs(sum(r["taken"] for i, r in got.items() if source[i] == s) - target[s]) <= 1
+    assert {i: r["taken"] for i, r in by_id(mixing.mixed(docs)).items()} == {i: r["taken"] for i, r in got.items()}
+    assert mixing.mixed(fixtures.empty(spark)).count() == 0
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == sum(r["taken"] for r in got.values())
+
+
+def test_waterfill_and_tree():
+    assert mixing.waterfill([10, 10, 10]) == [20.0, 25 / 3, 50 / 3]
+    assert mixing.waterfill([0, 0]) == [0.0, 0.0] and mixing.waterfill([]) == []
+    quotas = np.array([100, 7, 0, 31])
+    shards = mixing.split_tree(quotas, 5)
+    assert (shards.sum(0) == quotas).all() and shards.sum(1).max() - shards.sum(1).min() <= 2 and (shards >= 0).all()
+
+
+def test_language_id(spark, docs):
+    words = {"en": "the thing that was there with others", "de": "der ding das war dort mit anderen", "fr": "le chose qui etait avec les autres"}
+    data = [(i, " ".join(np.random.default_rng(i).permutation(words[lang].split() * 5)), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    rows = [(i, t, x, "s", 1, True, 1, 2, 3, 4, 5) for i, t, x in data] + [(900 + k, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for k, t in enumerate([None, "", "123 !!", "🎉🎉", "日本"])]
+    df = fixtures.frame(spark, rows)
+    got = by_id(language_id.predict(df, language_id.learn(df)))
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in data)
+    assert [got[900 + k]["lang_pred"] for k in range(4)] == ["und"] * 4 and got[904]["lang_pred"] in words and got[900]["score"] == 0
+    assert language_id.predict(fixtures.empty(spark), language_id.learn(fixtures.empty(spark))).count() == 0
+    assert {r["doc_id"] for r in language_id.stage(spark, df, "").collect()} == {r[0] for r in rows} - {900, 901, 902, 903}
+
+
+def test_filters_report_all_languages_of_a_gram():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(2))
+    f = language_id.Filters(["a", "b"], [a, np.concatenate((b, a[:100]))])
+    assert (f.masks(a[:100]) == 3).all() and (f.masks(a) & 1 == 1).all() and (f.masks(b) & 2 == 2).all()
+    assert (f.false < 0.01).all()
+
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(x) <= 255 for x in s.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 12 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(re.sub("[^0-9]", "", s))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+]
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = np.random.default_rng(2)
+    pieces = ["a@b.c", "x.y%z@q-r.s.t", "@", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+1", "00001.2.3.4", " ", "é", ".", "-", "b.c%d@e.f", "12345678901234567890", "a@b@c.d"]
+    for _ in range(1500):
+        t = "".join(rng.choice(pieces, rng.integers(1, 7)))
+        want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(t) if ok(m.group()))
+        assert pii.base_spans(t) == want, t
+    assert pii.base_spans("a" * 200_000) == [] and len(pii.base_spans("1" * 200_000)) == 0
+
+
+def test_context_finds_unseen_identifiers(spark):
+    rng = np.random.default_rng(4)
+    code = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    data = [f"hello my token = \"{code(40)}\" and more of it" for _ in range(12)] + [f"write to user{i}@mail.example.com today" for i in range(12)] + ["plain words alone", None, "", "version 2.0 of it"]
+    df = fixtures.frame(spark, [(i, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for i, t in enumerate(data)])
+    got = by_id(pii.personal_data(df))
+    assert all([s["kind"] for s in got[i]["spans"]] == [4] and data[i][got[i]["spans"][0]["start"] : got[i]["spans"][0]["end"]].isalnum() for i in range(12))
+    assert all([s["kind"] for s in got[i]["spans"]] == [0] for i in range(12, 24)) and all(got[i]["spans"] == [] for i in range(24, 28))
+    assert pii.personal_data(fixtures.empty(spark)).count() == 0
+
+
+def labelled(spark, n=240):
+    rng = np.random.default_rng(8)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "walks", "under"]
+    rows, labels = [], []
+    for i in range(n):
+        body = [str(w) for w in rng.choice(words, 60)]
+        bad, toxic = i % 4 == 0, i % 3 == 0
+        if toxic:
+            body[10] = "vileword"
+            body[20] = "awfulword" if i % 2 else body[20]
+        text = " | ".join(w + "$$$" for w in body) if bad else " ".join(body) + "."
+        rows.append((i, text, "en", "s", 1, True, 1, 2, 3, 4, 5))
+        labels.append((i, int(not bad), int(toxic)))
+    rows += [(n, None, None, None, None, None, None, None, None, None, None), (n + 1, "", None, None, 0, True, 1, 2, 3, 4, 5)]
+    return fixtures.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
+
+
+def test_toxicity(spark):
+    df, marks, labels = labelled(spark)
+    got = by_id(toxicity.severities(df, toxicity.learn(df, marks)))
+    assert all(got[i]["toxic"] == bool(t) for i, _, t in labels)
+    assert got[240]["toxic"] is False and got[241]["toxic"] is False
+    none = toxicity.learn(df, marks.where("toxic = 0"))
+    assert none is None and {r["severity"] for r in toxicity.severities(df, none).collect()} == {0.0}
+    assert toxicity.severities(fixtures.empty(spark), none).count() == 0
+
+
+def test_ordinal_grades_share_weights():
+    rng = np.random.default_rng(0)
+    words = np.arange(1, 6, dtype=np.uint64)
+    grade = rng.integers(0, 3, 600)
+    bags = [np.repeat(words[:1], 1) if g == 0 else words[: g + 1] for g in grade]
+    m = toxicity.Model(words, 2)
+    row = np.repeat(np.arange(600), [len(b) for b in bags])
+    cells = m.sparse(np.concatenate(bags), row, None, 600)
+    m.fit(cells, grade, np.ones(600))
+    severity = m.above(m.line(cells, 600)).sum(1)
+    assert np.abs(severity - grade).mean() < 0.3 and m.cuts[0] < m.cuts[1]
+
+
+def test_quality(spark):
+    df, marks, labels = labelled(spark)
+    found = quality.features(df)
+    model, prior = quality.learn(found, marks)
+    got = by_id(quality.scores(found, model))
+    right = np.mean([got[i]["predicted"] == q for i, q, _ in labels])
+    assert right > 0.95 and 0.5 < prior < 0.95 and 0 <= got[240]["score"] <= 1
+    assert {r["score"] for r in quality.scores(found, None).collect()} == {0.5}
+    assert quality.learn(quality.features(fixtures.empty(spark)), marks) is None
+
+
+def test_exact_dedup(spark, docs):
+    got = by_id(exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark, "digests_test")))
+    groups = {}
+    for i, t in enumerate(fixtures.texts()):
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    for text, ids in groups.items():
+        for i in ids:
+            r = got[i]
+            assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(ids), len(ids), i == max(ids), hashlib.sha256(text.encode()).hexdigest())
+    # A second batch meets the index: what it has is not new, what is new is appended.
+    index = exact_dedup.DigestIndex(spark, "digests_test")
+    before = index.read().count()
+    more = fixtures.frame(spark, [(1000, fixtures.texts()[0], *fixtures.rows()[0][2:]), (1001, "brand new", *fixtures.rows()[0][2:])])
+    again = by_id(exact_dedup.deduplicate(more, index))
+    assert index.read().count() == before + 1 and again[1000]["keep_id"] == max(groups[fixtures.texts()[0].translate(LOWER)]) and again[1001]["kept"]
+    assert exact_dedup.deduplicate(fixtures.empty(spark), exact_dedup.DigestIndex(spark, "digests_none")).count() == 0
+
+
+def shingles(text, k):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def near_groups(rows, k=3, percent=85):
+    sets = {i: shingles(t, k) for i, t in rows}
+    least = {i: i for i in sets}
+    ids = sorted(sets)
+    for _ in range(len(ids)):
+        before = dict(least)
+        for x in ids:
+            for y in ids:
+                n = len(sets[x] & sets[y])
+                if x < y and n and 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
+                    least[x] = least[y] = min(least[x], least[y])
+        if least == before:
+            return {i: (len(sets[i]), least[i]) for i in ids}
+    return None
+
+
+def test_minhash_equals_brute_force(spark, docs):
+    got = by_id(minhash_dedup.near_duplicates(spark, docs))
+    want = near_groups(enumerate(fixtures.texts()))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+    assert minhash_dedup.near_duplicates(spark, fixtures.empty(spark)).count() == 0
+
+
+def test_minhash_group_of_edited_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    data = []
+    for i in range(60):
+        w = list(base)
+        for p in rng.integers(0, 120, i % 9):
+            w[p] = f"e{i}x{p}"
+        data.append((i, " ".join(w)))
+    df = fixtures.frame(spark, [(i, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for i, t in data] + [(None, "null id here ok", "en", "s", 1, True, 1, 2, 3, 4, 5)])
+    rows = minhash_dedup.near_duplicates(spark, df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"] is not None} == near_groups(data)
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
+
+
+def test_min_max_signature_is_unbiased():
+    rng = np.random.default_rng(9)
+    same, got = 0.7, []
+    for _ in range(40):
+        pool = rng.integers(0, 2**63, 1300, dtype=np.uint64)
+        a, b = np.sort(pool[:1000]), np.sort(np.concatenate((pool[:824], pool[1000:1176])))
+        s = minhash_dedup.signatures([a, b])
+        got.append((s[0] == s[1]).mean())
+    assert abs(np.mean(got) - 824 / 1176) < 0.02 and same
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(5, None)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(len(least)):
+        for a, b in edges:
+            if b is not None and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 32))
+    x[100:140] = x[7] + rng.standard_normal((40, 32)) * 0.15
+    x[150] = x[151] = x[152]
+    rows = [(i, [float(np.float32(v)) for v in x[i]], "extra", 1) for i in range(300)]
+    rows += [(300, None, "", 1), (301, [0.0] * 32, "", 1), (302, [1.0, None] + [0.0] * 30, "", 1), (303, [float("nan")] * 32, "", 1), (304, [], "", 1), (305, [1.0, 2.0], "", 1), (None, rows[7][1], "", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string, weight int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(spark, df).collect()}
+    v = np.array([r[1] for r in rows[:300]], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = (v @ v.T >= 0.95) & ~np.eye(300, dtype=bool)
+    least = np.arange(300)
+    for _ in range(300):
+        least = np.minimum(least, np.where(link, least[None, :], 300).min(1))
+    assert [got[i]["n_links"] for i in range(300)] == link.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(300)] == least.tolist()
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(300, 306)) and got[None]["component_id"] is None
+    assert embedding_dedup.near_duplicate_vectors(spark, df.limit(0)).count() == 0
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(13)
+    v = embedding_dedup.unit(rng.standard_normal((400, 64)))
+    r = v @ embedding_dedup.rotation(64, 0)
+    est, width = embedding_dedup.estimate(*embedding_dedup.encode(r), r)
+    err = est - v @ v.T
+    off = ~np.eye(400, dtype=bool)
+    assert abs(err[off].mean()) < 0.005 and (np.abs(err) <= width[:, None])[off].mean() > 0.999
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    at = str(tmp_path)
+    docs.write.parquet(f"{at}/documents.parquet")
+    out = corpus_pipeline.run(spark, at).collect()
+    texts = fixtures.texts()
+    ids = Counter(r["doc_id"] for r in out)
+    assert out and all(r["decoded"] in (texts[r["doc_id"]] or "") for r in out)
+    assert len({i for i in ids if (texts[i] or "").translate(LOWER) == texts[0].translate(LOWER)}) <= 1
+
+
+def test_kernels_words_and_spans():
+    raw = np.frombuffer("Ab  c\td" .encode(), np.uint8)
+    off = np.array([0, 2, len(raw)])
+    s, e, first = kernels.words(raw, off)
+    assert [raw[a:b].tobytes() for a, b in zip(s, e)] == [b"Ab", b"c", b"d"] and first.tolist() == [0, 1, 3]
+    h = kernels.span_hashes(np.frombuffer(b"abcxabc", np.uint8), np.array([0, 4]), np.array([3, 7]))
+    assert h[0] == h[1]
