@@ -88,7 +88,7 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 refer(owner, "constructs" if name.rpartition(".")[2][:1].isupper() else "calls", x.func)
             calls(x, owner)
 
-    def walk(body, parent: str | None, inside_class: bool) -> None:
+    def walk(body, parent: str | None, inside_class: bool, counted: bool = False) -> None:
         for node in body:
             if isinstance(node, (ast.Import, ast.ImportFrom)):
                 for a in node.names:
@@ -111,12 +111,12 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                     for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
                         if a.annotation is not None:
                             refer(qn, "accepts_type", a.annotation)
-                    calls(node, qn)
                 walk(node.body, qn, is_class)
             else:
-                calls(node, parent)
-                for field in ("body", "orelse", "finalbody"):
-                    walk(getattr(node, field, []) or [], parent, inside_class)
+                if not counted:  # calls of a whole statement, those of statements inside it too
+                    calls(node, parent)
+                for field in ("body", "orelse", "finalbody", "handlers"):
+                    walk(getattr(node, field, None) or [], parent, inside_class, True)
 
     walk(tree.body, None, False)
     return symbols, refs

@@ -309,8 +309,31 @@ def _(spark, d):
     return e.select("event_id", "ordinal", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
 
 
-@query("ext_symbols")
+def code_files(spark, d):
+    """A small Python file for every part."""
+    k = F.col("p_partkey").cast("string")
+    lines = F.concat(F.lit("class "), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(":\n    def make_"), k, F.lit("(self):\n        return Build"), k, F.lit("()\n\ndef test_"), k, F.lit("():\n    run_"), k, F.lit("(1)\n"))
+    return P.table(spark, d, "part").select(F.concat(F.lit("src/p"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), lines.alias("text"))
+
+
+@query("ext_symbols", """WITH p AS (SELECT 'src/p' || p_partkey || '.py' AS path, replace(p_brand, '#', '_') AS c, p_partkey AS k FROM part)
+SELECT path, 'class' AS kind, c AS name, c AS qualified_name, NULL::VARCHAR AS parent, 1::INT AS start_line, 3::INT AS end_line, 'class ' || c || '()' AS signature FROM p
+UNION ALL SELECT path, 'method', 'make_' || k, c || '.make_' || k, c, 2, 3, 'def make_' || k || '(self)' FROM p
+UNION ALL SELECT path, 'test', 'test_' || k, 'test_' || k, NULL, 5, 6, 'def test_' || k || '()' FROM p""")
+def _(spark, d):
+    return extraction.symbols(code_files(spark, d)).drop("docstring")
+
+
+@query("ext_references", """WITH p AS (SELECT 'src/p' || p_partkey || '.py' AS path, replace(p_brand, '#', '_') AS c, p_partkey AS k FROM part)
+SELECT path, c || '.make_' || k AS owner, 'constructs' AS type, 'Build' || k AS name, 3::INT AS line FROM p UNION ALL SELECT path, 'test_' || k, 'calls', 'run_' || k, 6 FROM p""")
 def _(spark, d):
-    # Pages hold scripts; their declarations come out of the tables of JavaScript.
-    pages = P.table(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.regexp_replace("html", r"[>;]", "\n").alias("text"))
-    return extraction.symbols(pages)
+    return extraction.references(code_files(spark, d)).drop("qualifier")
+
+
+@query("fn_modules", """SELECT url_path AS path, array_to_string(list_sort(CASE WHEN ends_with(url_path, '/__init__.py') THEN [replace(left(url_path, length(url_path) - 12), '/', '.')] ELSE list_distinct([replace(regexp_replace(url_path, '\\.[^./]+$', ''), '/', '.'), list_extract(string_split(replace(regexp_replace(url_path, '\\.[^./]+$', ''), '/', '.'), '.'), -1)]) END), ' ') AS modules FROM (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg/' || p_type || '/__init__.py' WHEN p_partkey % 4 = 1 THEN 'single' || p_partkey || '.py' ELSE 'pkg/' || lower(p_type) || '/m' || p_partkey || '.py' END AS url_path FROM part)""")
+def _(spark, d):
+    from ..functions.representation import declared_modules
+
+    k = F.col("p_partkey")
+    path = F.when(k % 4 == 0, F.concat(F.lit("pkg/"), "p_type", F.lit("/__init__.py"))).when(k % 4 == 1, F.concat(F.lit("single"), k.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("pkg/"), F.lower("p_type"), F.lit("/m"), k.cast("string"), F.lit(".py")))
+    return P.table(spark, d, "part").select(path.alias("path")).withColumn("modules", F.array_join(F.array_sort(declared_modules(F.col("path"))), " "))
