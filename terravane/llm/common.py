@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to a Python worker at once; it bounds a worker's memory whatever the rows' width.
-ARROW_BATCH_BYTES = 24 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes; long texts would otherwise come ten thousand at a time."""
+    """Bound the Arrow batches by bytes; long texts would otherwise come ten thousand rows at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:

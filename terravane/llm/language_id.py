@@ -65,7 +65,7 @@ def count_grams(sample: DataFrame) -> DataFrame:
             raw, off = K.column_bytes(batch.column(1))
             names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             of = np.array([names[x] for x in langs], dtype=np.int64)
-            for i, j in K.chunks(off, 4 << 20):
+            for i, j in K.chunks(off, 2 << 20):
                 for n in SIZES:
                     h, row = grams(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
                     for name, number in names.items():
@@ -144,12 +144,13 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         for batch in batches:
             texts = batch.column(2)
             raw, off = K.column_bytes(texts)
-            letters = np.concatenate(([0], np.cumsum(FOLD[raw] != 32)))
-            plain = np.concatenate(([0], np.cumsum((FOLD[raw] != 32) & (raw < 128))))
             for i, j in K.chunks(off):
-                best, score = f.score(raw[off[i] : off[j]], off[i : j + 1] - off[i]) if f.names else (np.zeros(j - i, int), np.zeros(j - i))
-                some = letters[off[i + 1 : j + 1]] > letters[off[i:j]]
-                for r in np.flatnonzero(some & (plain[off[i + 1 : j + 1]] == plain[off[i:j]])):  # no ASCII letter: are the others letters?
+                part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                letters, other = (np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (FOLD[part] != 32, part >= 128))
+                letters, other = (x[at[1:]] - x[at[:-1]] for x in (letters, other))
+                best, score = f.score(part, at) if f.names else (np.zeros(j - i, int), np.zeros(j - i))
+                some = letters > 0
+                for r in np.flatnonzero(some & (letters == other)):  # no ASCII letter: are the others letters?
                     some[r] = any(c.isalpha() for c in texts[i + int(r)].as_py())
                 some &= bool(f.names)
                 names = [f.names[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())]
