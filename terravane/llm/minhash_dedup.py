@@ -5,11 +5,14 @@ so 72 evaluations give 144 values: 24 bands of 6. A pair at the threshold of 0.8
 probability (1 - 0.85**6)**24, about 1e-5.
 
 Documents with the same shingle set are one class, known by its least doc_id; only classes are compared.
-Within a band's bucket every class is compared with the bucket's least one, and the links confirmed on full
-sets are closed into components. Where members of a bucket still lie in different components, every pair of
-them across components is confirmed too, so the components are those of all candidate pairs though pairs
-inside a component are never formed. Sets are computed from whole texts in the task that compares them; a
-class compared with many is dealt over salted tasks.
+Within a band's bucket every class is compared with the bucket's most typical one (whose bands' buckets hold
+most classes in all), and the links confirmed on full sets are closed into components. Where members of a
+bucket still lie in different components, pairs of them across components are confirmed too, so the components
+are those of all candidate pairs though pairs inside a component are never formed. The members of all buckets
+with the same largest component form a cluster; those outside the component meet all others of the cluster in
+blocks, a pair of blocks a task, where intersections are counted by a matrix product. A task sends, for each
+class, the least one it reaches there, never pairs, and no task holds a whole cluster. Sets are computed from
+whole texts in the task that compares them; a class that leads many is dealt over salted tasks.
 
 Defined results: null or wordless text has an empty set and links with nothing; rows with a null doc_id get a
 null component_id and are not kept; rows that repeat an id are one document of the first text met.
@@ -29,6 +32,10 @@ from .components import connected_components
 PERMUTATIONS, BANDS = 72, 24
 #: Members that are compared with one class in one task.
 SALT_ROWS = 64
+#: Members of a block; a task compares two blocks.
+BLOCK = 256
+#: Columns of the incidence matrices that are multiplied at once.
+COLUMNS = 8192
 _RNG = np.random.default_rng(77)
 FLIP = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 ODD = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -121,16 +128,101 @@ def confirm(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, perc
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b, by products of incidence matrices."""
+    flat = np.concatenate(a + b)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in a + b])
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[col] > 1  # a shingle of one set is in no intersection
+    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    for start in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        i, j = np.searchsorted(col, (start, start + COLUMNS))
+        m = np.zeros((len(a) + len(b), COLUMNS), dtype=np.float32)
+        m[row[i:j], col[i:j] - start] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def across(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of members (cluster, rep, outside): those outside against all of the cluster."""
+    size = members.groupBy("cluster").agg(F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("o"), F.ceil(F.count_if(~F.col("outside")) / BLOCK).cast("int").alias("m"))
+    luck = F.xxhash64("rep")
+    block = F.when(F.col("outside"), F.pmod(luck, F.col("o"))).otherwise(F.col("o") + F.pmod(luck, F.greatest("m", F.lit(1)))).cast("int")
+    m = members.join(written(size, "clusters"), "cluster").withColumn("block", block)
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("o") + F.col("m")).otherwise(F.col("o")) - 1)))
+    m = m.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep")
+    asked = written(m, "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text"))
+    rows = texts.join(asked.hint("shuffle_hash"), "rep").select("cluster", "bi", "bj", "block", "rep", "text")
+    rows = rows.repartition(parts(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "block", "rep")
+
+    def solve(key, block, rep, sets):
+        rep, block = np.array(rep), np.array(block)
+        keep = np.concatenate(([True], rep[1:] != rep[:-1]))  # a repeated id once
+        left = np.flatnonzero(keep & (block == key[1]))
+        right = left if key[1] == key[2] else np.flatnonzero(keep & (block == key[2]))
+        if not len(left) or not len(right):
+            return None
+        n = np.array([len(s) for s in sets], dtype=np.float64)
+        both = intersections([sets[x] for x in left], [sets[x] for x in right])
+        i, j = np.nonzero((100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (both > 0))
+        i, j = left[i], right[j]
+        i, j = i[i != j], j[i != j]
+        if not len(i):
+            return None
+        label = np.arange(len(rep))
+        while True:  # the least place each reaches; a forest of links instead of all of them
+            low = label.copy()
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, low[i])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        some = np.flatnonzero(label != np.arange(len(rep)))
+        return pa.RecordBatch.from_arrays([pa.array(rep[label[some]]), pa.array(rep[some])], ["a", "b"])
+
+    def run(batches):
+        key, block, rep, sets = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, bi, bj, bl, rp = (batch.column(x).to_numpy() for x in range(5))
+            raw, off = K.column_bytes(batch.column(5))
+            found = []
+            for i, j in K.chunks(off):
+                found += K.shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+            cut = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
+                if (now := (c[s], bi[s], bj[s])) != key:
+                    if key is not None and (out := solve(key, block, rep, sets)) is not None:
+                        yield out
+                    key, block, rep, sets = now, [], [], []
+                block += bl[s:e].tolist()
+                rep += rp[s:e].tolist()
+                sets += found[s:e]
+        if key is not None and (out := solve(key, block, rep, sets)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     prepare(spark)
     found = written(features(docs, k), "features")
     ok = found.where("doc_id is not null and n_shingles > 0")
     classes = written(ok.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    member = classes.select("rep", "n_shingles", F.explode("bands").alias("band"))
-    member = member.distinct()
-    leads = member.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = written(member.join(leads, "band").select("band", "rep", "n_shingles", F.col("lead.rep").alias("a"), F.col("lead.n_shingles").alias("na"), "size"), "buckets")
+    member = classes.select("rep", "n_shingles", F.explode("bands").alias("band")).distinct()
+    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = written(member.join(sizes, "band"), "members")
+    typical = written(member.groupBy("rep").agg(F.sum("size").alias("typical")), "typical")
+    leads = member.join(typical, "rep").groupBy("band").agg(F.max_by(F.struct("rep", "n_shingles"), F.struct("typical", -F.col("rep"))).alias("lead"))
+    buckets = member.join(written(leads, "leads"), "band").select("band", "rep", "n_shingles", F.col("lead.rep").alias("a"), F.col("lead.n_shingles").alias("na"), "size")
+    buckets = written(buckets, "buckets")
     fits = f"100 * least(n_shingles, na) >= {percent} * greatest(n_shingles, na)"
     pairs = written(buckets.where("rep <> a").where(fits).select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = written(confirm(spark, docs, pairs, k, percent), "confirmed")
@@ -140,13 +232,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, percent: i
     left = written(left.select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "left")
     sizes = left.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    left = written(left.join(main, "band").withColumn("outside", F.col("component") != F.col("main")), "across")
-    x = left.where("outside").select("band", F.col("rep").alias("x"), F.col("n_shingles").alias("na"), F.col("component").alias("cx"))
-    y = left.select("band", F.col("rep").alias("y"), "n_shingles", F.col("component").alias("cy"))
-    more = x.join(y, "band").where("cx <> cy").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = written(links.union(confirm(spark, docs, more, k, percent)), "links")
+    left = left.join(main, "band").select(F.col("main").alias("cluster"), "rep", (F.col("component") != F.col("main")).alias("outside")).distinct()
+    left = written(left, "left")
+    if not left.isEmpty():
+        links = written(links.union(across(spark, docs, left, k, percent)), "links")
         comps = written(connected_components(links), "components")
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = written(named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("least")), "named")
