@@ -193,5 +193,15 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+#: All pairs, brute force; for small tables.
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, embedding, [coalesce(x::DOUBLE, 0.0) for x in embedding] AS e FROM embeddings),
+v1 AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v1 x JOIN v1 y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE x.n > 0 AND y.n > 0 AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95),
+r AS (SELECT vec_id, vec_id AS o FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.o = l.a),
+c AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY ALL),
+d AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY ALL)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN d USING (vec_id)"""
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

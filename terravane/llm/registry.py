@@ -17,4 +17,4 @@ QUERIES = {
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
 }
 
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_minhash_dedup": minhash_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE}
