@@ -38,3 +38,23 @@ def percentile_nearest(values: DataFrame, column: str, fraction: float) -> DataF
     n = values.where(F.col(column).isNotNull()).count()
     place = round((n - 1) * fraction) / (n - 1) if n > 1 else 0.0
     return values.agg(F.percentile(column, place).alias("value"))
+
+
+def note_status(notes: DataFrame, when) -> DataFrame:
+    """One row: notes (id, scope, valid_to), those current at a moment, those superseded, and the current ones of each scope."""
+    current = F.col("valid_to").isNull() | (F.col("valid_to") > when)
+    return notes.agg(
+        F.count(F.lit(1)).alias("revisions"), F.count_if(current).alias("current"), F.count_if(~current).alias("superseded"),
+        F.count_if(current & (F.col("scope") == "user")).alias("user_notes"), F.count_if(current & (F.col("scope") == "project")).alias("project_notes"),
+    )
+
+
+def unresolved_breakdown(unresolved: DataFrame, actionable: DataFrame, key: str) -> DataFrame:
+    """One row: references without a target in all, those an entity could satisfy, and the external rest."""
+    marked = unresolved.select(key).join(actionable.select(key, F.lit(1).alias("known")).distinct(), key, "left")
+    return marked.agg(F.count(F.lit(1)).alias("total"), F.count("known").alias("actionable"), F.count_if(F.col("known").isNull()).alias("external"))
+
+
+def dominant(rows: DataFrame, key: str) -> DataFrame:
+    """One row: the most frequent value of a column and its count, the least of equal ones."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(1)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import estimate_tokens
+
 
 def pack(items: DataFrame, budget: int, reserve: int = 120) -> DataFrame:
     """group, rank, id, cost, kept: items (group, rank, id, cost) taken in order of rank; one too dear is skipped, later ones may fit.
@@ -52,3 +55,28 @@ def undelivered(items: DataFrame, delivered: DataFrame, session: str, key: str)
 def excerpt(text: Column, start_line: Column, lines: int = 60, most: int = 2400) -> Column:
     """Lines of a text from a 1-based line on, cut at most characters."""
     return F.left(F.array_join(F.slice(F.split(text, "\n"), F.greatest(F.lit(1), start_line), lines), "\n"), F.lit(most))
+
+
+def without_contained(spans: DataFrame) -> DataFrame:
+    """group, start, end, text of the spans whose text is in no span kept before, by start and then the longer first."""
+    order = F.struct("start", (-F.col("end")).alias("back"), "text")
+    rows = spans.groupBy("group").agg(F.array_sort(F.collect_list(order)).alias("xs"))
+    none = F.slice("xs", 1, 0)
+    kept = F.aggregate("xs", none, lambda s, x: F.when(F.exists(s, lambda y: F.contains(y["text"], x["text"])), s).otherwise(F.concat(s, F.array(x))))
+    rows = rows.select("group", F.explode(kept).alias("x"))
+    return rows.select("group", "x.start", (-F.col("x.back")).alias("end"), "x.text")
+
+
+def attach_notes(notes: DataFrame, budget: int, reserve: int = 80, overhead: int = 28) -> DataFrame:
+    """group, rank, id, text, cost of the notes (group, rank, id, text) that fit the budget, in order of rank.
+
+    A note costs its tokens and an overhead. The first that does not fit whole is cut after a word; later ones go.
+    """
+    most = F.lit(max(0, budget - reserve))
+    cost = (estimate_tokens(F.col("text")) + overhead).cast("long")
+    w = W.partitionBy("group").orderBy("rank", "id")
+    n = notes.select("group", "rank", "id", "text", cost.alias("cost")).withColumn("before", F.coalesce(F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    room = most - F.col("before")
+    short = F.rtrim(F.regexp_replace(F.left("text", F.greatest(F.lit(0), (room - overhead) * 4).cast("int")), r"\S*$", ""))
+    n = n.where(room > overhead).withColumn("text", F.when(F.col("cost") <= room, F.col("text")).otherwise(short)).where("text <> ''")
+    return n.select("group", "rank", "id", "text", (estimate_tokens(F.col("text")) + overhead).cast("long").alias("cost"))

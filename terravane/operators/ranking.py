@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
-from .graph import lookup
+from .graph import both_ways, lookup, reach
 
 
 def absorb(channels: dict[str, DataFrame]) -> DataFrame:
@@ -78,3 +78,10 @@ def evaluate(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     r = want.join(got, "query_id", "left")
     found = F.coalesce("found", F.lit(0))
     return r.select("query_id", F.round(found / F.col("wanted"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.when(F.col("shown") > 0, found / F.col("shown")).otherwise(0.0), 6).alias("precision"))
+
+
+def proximity(edges: DataFrame, seed: str, hops: int = 2) -> DataFrame:
+    """id, value: 1 - distance / (hops + 1) of every node within hops of the seed, whichever way edges point."""
+    both = both_ways(edges).select(F.col("node").alias("source_id"), F.col("other").alias("target_id"))
+    at = both.sparkSession.createDataFrame([(seed,)], "id string")
+    return reach(both, at, hops).select(F.col("node").alias("id"), F.round(1 - F.col("distance") / (hops + 1), 6).alias("value"))

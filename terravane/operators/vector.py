@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, l2_normalize, norm
+from .checkpoints import cut as cut_lineage
 
 BLOCK_ROWS = 2048
 
@@ -73,28 +74,32 @@ def threshold(neighbours: DataFrame, floor: float = 0.55, share: float = 0.85) -
 def semantic_edges(neighbours: DataFrame, nodes: int, cut: float, degree: int = 8, budget: float = 0.6, bonus: float = 0.01) -> DataFrame:
     """source, target, similarity: candidates over cut, mutual ones favoured, taken greedily under a degree cap at both ends and a budget.
 
-    The greedy pass is sequential by nature; it sees at most degree * 4 candidates a node, best first, as each
-    node can keep no more than degree of them.
+    The greedy choice is made in rounds over all nodes at once: an undecided pair is taken if it is among the
+    best its two ends still have room for, since no better pair can fill that room; a node that is full drops
+    the rest of its pairs. The best undecided pair is always taken, so the rounds end, with exactly what a pass
+    over all pairs from best to worst takes. Pairs are spread by node; no task holds more than a node's pairs,
+    which are at most its neighbours'. The budget then keeps the best of the pairs taken.
     """
     pairs = neighbours.where(F.col("similarity") >= cut).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "similarity")
     pairs = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("n"))
-    pairs = pairs.withColumn("score", F.col("similarity") + F.when(F.col("n") == 2, bonus).otherwise(0.0)).withColumn("one", F.lit(1))
-    most = max(1, int(budget * nodes))
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        keep = []
-        frame = frame.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        for i, (a, b) in enumerate(zip(frame["a"], frame["b"])):
-            if len(keep) >= most:
-                break
-            if held.get(a, 0) < degree and held.get(b, 0) < degree:
-                keep.append(i)
-                held[a], held[b] = held.get(a, 0) + 1, held.get(b, 0) + 1
-        return frame.iloc[keep][["a", "b", "similarity"]].rename(columns={"a": "source", "b": "target"})
-
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.groupBy("one").applyInPandas(greedy, f"source {kind}, target {kind}, similarity double")
+    pairs = pairs.select("a", "b", "similarity", (F.col("similarity") + F.when(F.col("n") == 2, bonus).otherwise(0.0)).alias("score"))
+    order = (F.desc("score"), F.asc("a"), F.asc("b"))
+    none = F.lit(0).cast("long")
+    left, taken = cut_lineage(pairs.select("*", none.alias("held_a"), none.alias("held_b")), "undecided"), None
+    while not left.isEmpty():
+        ends = F.array(*[F.struct(F.col(end).alias("node"), F.col(f"held_{end}").alias("held")) for end in ("a", "b")])
+        room = F.row_number().over(W.partitionBy("at.node").orderBy(*order)) + F.col("at.held") <= degree
+        told = left.withColumn("at", F.explode(ends)).withColumn("room", room).groupBy(*left.columns).agg(F.every("room").alias("take"))
+        told = cut_lineage(told, "told")
+        won = told.where("take").select("a", "b", "similarity", "score")
+        taken = won if taken is None else taken.union(won)
+        gain = won.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("gain"))
+        rest = told.where("not take").drop("take")
+        for end in ("a", "b"):
+            rest = rest.join(gain.withColumnRenamed("node", end), end, "left").withColumn(f"held_{end}", F.col(f"held_{end}") + F.coalesce("gain", none)).drop("gain")
+        left = cut_lineage(rest.where((F.col("held_a") < degree) & (F.col("held_b") < degree)).select(*left.columns), "undecided")
+    taken = pairs.limit(0) if taken is None else taken
+    return taken.orderBy(*order).limit(max(1, int(budget * nodes))).select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity")
 
 
 def norm_check(vectors: DataFrame, tolerance: float = 0.02) -> DataFrame:

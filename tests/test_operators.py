@@ -200,3 +200,22 @@ def test_streams(spark, tmp_path):
     q = changes.apply_batches(changes.once(changes.read_changes(spark, src, schema), ["event_id"]), lambda df, n: seen.extend(r["event_id"] for r in df.collect()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(seen) == list(range(40))
+
+
+def test_semantic_edges_equal_a_sequential_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = list({(a, b): (a, b, round(rng.random(), 2)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(500)) if a != b}.values())
+    best, count = {}, {}
+    for a, b, s in rows:
+        if s >= 0.2:
+            k = (min(a, b), max(a, b))
+            best[k], count[k] = max(best.get(k, 0.0), s), count.get(k, 0) + 1
+    held, want = {}, []
+    for a, b in sorted(best, key=lambda k: (-(best[k] + (0.01 if count[k] == 2 else 0.0)), k)):
+        if len(want) < 60 and held.get(a, 0) < 4 and held.get(b, 0) < 4:
+            want.append((a, b, best[a, b]))
+            held[a], held[b] = held.get(a, 0) + 1, held.get(b, 0) + 1
+    near = spark.createDataFrame(rows, "query_id int, id int, similarity double")
+    assert sorted(map(tuple, vector.semantic_edges(near, 100, 0.2, degree=4).collect())) == sorted(want)
