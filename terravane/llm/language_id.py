@@ -135,31 +135,47 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, top: int = TOP_GRAMS)
     return Filters(names, [got["gram"][got["lang"] == x].to_numpy(np.int64).view(np.uint64) for x in names])
 
 
+def judged(texts: pa.Array, f: Filters):
+    """Row ranges of a string column with the language's name (`und` where there is none) and score of each row."""
+    raw, off = K.column_bytes(texts)
+    for i, j in K.chunks(off):
+        part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        letters, other = (np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (FOLD[part] != 32, part >= 128))
+        letters, other = (x[at[1:]] - x[at[:-1]] for x in (letters, other))
+        best, score = f.score(part, at) if f.names else (np.zeros(j - i, int), np.zeros(j - i))
+        some = letters > 0
+        for r in np.flatnonzero(some & (letters == other)):  # no ASCII letter: are the others letters?
+            some[r] = any(c.isalpha() for c in texts[i + int(r)].as_py())
+        some &= bool(f.names)
+        yield i, j, [f.names[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())], np.where(some, score, 0.0)
+
+
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs' doc_id with held_out, lang_pred and score, from the text alone."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
-        f = held.value
         for batch in batches:
-            texts = batch.column(2)
-            raw, off = K.column_bytes(texts)
-            for i, j in K.chunks(off):
-                part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                letters, other = (np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (FOLD[part] != 32, part >= 128))
-                letters, other = (x[at[1:]] - x[at[:-1]] for x in (letters, other))
-                best, score = f.score(part, at) if f.names else (np.zeros(j - i, int), np.zeros(j - i))
-                some = letters > 0
-                for r in np.flatnonzero(some & (letters == other)):  # no ASCII letter: are the others letters?
-                    some[r] = any(c.isalpha() for c in texts[i + int(r)].as_py())
-                some &= bool(f.names)
-                names = [f.names[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            for i, j, names, score in judged(batch.column(2), held.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def spoken(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The rows whose own text has a language."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for i, j, names, _ in judged(batch.column(text), held.value):
+                yield batch.slice(i, j - i).filter(pa.array([x != "und" for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = documents(spark, sf_dir)
@@ -167,7 +183,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have a language; those without one (`und`) go. All rows of an id go only together."""
+    """The documents that have a language; those without one (`und`) go. All rows of an id go only together; a row without an id goes by its own text."""
     prepare(spark)
-    kept = predict(docs, learn(docs)).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    filters = learn(docs)
+    kept = predict(docs.where("doc_id is not null"), filters).where("lang_pred <> 'und'").select("doc_id").distinct()
+    with_id = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    return with_id.unionByName(spoken(docs.where("doc_id is null"), filters))

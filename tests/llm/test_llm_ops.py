@@ -121,6 +121,14 @@ def test_language_id(spark, docs):
     assert {r["doc_id"] for r in language_id.stage(spark, df, "").collect()} == {r[0] for r in rows} - {900, 901, 902, 903}
 
 
+def test_language_stage_keeps_rows_without_an_id(spark):
+    row = lambda i, t: (i, t, "en", "s", 1, True, 1, 2, 3, 4, 5)
+    df = fixtures.frame(spark, [row(i, "the thing that was there") for i in range(40)] + [row(None, "the thing"), row(None, "that was"), row(None, "123 !!"), row(None, None), row(99, "")])
+    got = language_id.stage(spark, df, "")
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(i, "the thing that was there") for i in range(40)] + [(None, "the thing"), (None, "that was")])
+
+
 def test_filters_report_all_languages_of_a_gram():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(2))
