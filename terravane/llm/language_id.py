@@ -1,7 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
 One Bloom filter a language would be asked once for each language; here the filters are bit-sliced: a slot
-holds a bit for every language, and the AND of an n-gram's slots is the mask of all languages that contain it.
+holds a bit for each of up to 64 languages, and the AND of an n-gram's slots is the mask of those that contain it;
+more languages have further slots of 64.
 A document's n-grams are counted by language from the masks. A filter with a share f of its slots set for a
 language reports a missing n-gram with probability f**PROBES, so counts are corrected by that rate, and the
 largest corrected count decides.
@@ -26,7 +27,7 @@ SIZES = (3, 4)
 SAMPLE_ROWS = 4000  #: Labelled rows a language is learned from, at most.
 TOP_GRAMS = 30_000  #: N-grams a language's filter holds, at most.
 LEAST_RATIO = 0.2  #: An n-gram is left out where it is rarer than this share of its frequency in another language.
-LANGUAGES = 64  #: Bits of a slot; of more languages those with most rows are learned.
+LANGUAGES = 64  #: Bits of a slot; each 64 languages have slots of their own, so every language is learned.
 SLOT_BITS, PROBES = 20, 3
 
 #: Bytes of letters as they stand, A-Z lower-cased; all other ASCII is a space. Bytes past ASCII count as letters.
@@ -76,27 +77,32 @@ def count_grams(sample: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """The bit-sliced filters: names by bit, slots, and the rate of false reports by language."""
+    """The bit-sliced filters: names by bit, slots for each 64 languages, and the rate of false reports by language."""
 
     def __init__(self, names: list[str], known: list[np.ndarray]):
         self.names = names
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= max(1, len(names)))
-        self.slots = np.zeros(1 << SLOT_BITS, dtype=kind)
-        for bit, h in enumerate(known):
-            for s in self.probes(h):
-                self.slots[s] |= kind(1 << bit)
-        self.false = np.array([(np.count_nonzero(self.slots & kind(1 << b)) / len(self.slots)) ** PROBES for b in range(len(names))])
+        self.slots, self.false = [], np.zeros(len(names))
+        for first in range(0, max(1, len(names)), LANGUAGES):
+            block = known[first : first + LANGUAGES]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= max(1, len(block)))
+            slots = np.zeros(1 << SLOT_BITS, dtype=kind)
+            for bit, h in enumerate(block):
+                for s in self.probes(h):
+                    slots[s] |= kind(1 << bit)
+            for bit in range(len(block)):
+                self.false[first + bit] = (np.count_nonzero(slots & kind(1 << bit)) / len(slots)) ** PROBES
+            self.slots.append(slots)
 
     @staticmethod
     def probes(h: np.ndarray) -> list[np.ndarray]:
         return [((h >> np.uint64(p * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for p in range(PROBES)]
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram."""
+    def masks(self, h: np.ndarray, block: int = 0) -> np.ndarray:
+        """Those of the block's languages that contain each n-gram."""
         a, *more = self.probes(h)
-        out = self.slots[a]
+        out = self.slots[block][a]
         for s in more:
-            out &= self.slots[s]
+            out &= self.slots[block][s]
         return out
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +111,11 @@ class Filters:
         count, total = np.zeros((rows, len(self.names))), np.zeros(rows)
         for n in SIZES:
             h, row = grams(raw, offsets, n)
-            mask = self.masks(h)
             total += np.bincount(row, minlength=rows)
-            for bit in range(len(self.names)):
-                count[:, bit] += np.bincount(row[(mask >> mask.dtype.type(bit)) & mask.dtype.type(1) > 0], minlength=rows)
+            for first in range(0, len(self.names), LANGUAGES):
+                mask = self.masks(h, first // LANGUAGES)
+                for bit in range(min(LANGUAGES, len(self.names) - first)):
+                    count[:, first + bit] += np.bincount(row[(mask >> mask.dtype.type(bit)) & mask.dtype.type(1) > 0], minlength=rows)
         fixed = np.maximum(0.0, (count - total[:, None] * self.false) / (1 - self.false))
         best = fixed.argmax(1)
         top = fixed[np.arange(rows), best]
@@ -120,7 +127,7 @@ class Filters:
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, top: int = TOP_GRAMS) -> Filters:
     """Filters from the text and non-null lang of documents that are not held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string"), "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not sizes:
         return Filters([], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))])
@@ -131,8 +138,8 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, top: int = TOP_GRAMS)
     counts = counts.where(F.col("rate") >= LEAST_RATIO * F.col("most"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     got = counts.withColumn("place", place).where(F.col("place") <= top).select("lang", "gram").toPandas()
-    names = list(sizes)
-    return Filters(names, [got["gram"][got["lang"] == x].to_numpy(np.int64).view(np.uint64) for x in names])
+    known = {x: g.to_numpy(np.int64).view(np.uint64) for x, g in got.groupby("lang")["gram"]}
+    return Filters(list(sizes), [known.get(x, np.zeros(0, np.uint64)) for x in sizes])
 
 
 def judged(texts: pa.Array, f: Filters):

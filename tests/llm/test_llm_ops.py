@@ -137,6 +137,17 @@ def test_filters_report_all_languages_of_a_gram():
     assert (f.false < 0.01).all()
 
 
+def test_more_languages_than_bits_of_a_slot(spark):
+    rng = np.random.default_rng(6)
+    words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(130)}
+    data = [(x, " ".join(rng.choice(w, 15))) for x, w in words.items() for _ in range(8 if x < "l64" else 6)]
+    df = fixtures.frame(spark, [(i, t, x, "s", 1, True, 1, 2, 3, 4, 5) for i, (x, t) in enumerate(data)])
+    f = language_id.learn(df)
+    assert sorted(f.names) == sorted(words)
+    got = by_id(language_id.predict(df, f))
+    assert all(got[i]["lang_pred"] == x for i, (x, _) in enumerate(data))
+
+
 BASE = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(x) <= 255 for x in s.split("."))),
