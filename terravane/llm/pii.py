@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers that no pattern names.
 
 The base finds e-mail addresses, IP addresses, payment cards and phone numbers. Its spans are the seeds. A
-lexical pattern is what stands around an identifier-like string: the two words before it, the key it is
-assigned to (`key=`), or its own first four characters with its length. Patterns and the strings (instances)
-they extract form a bipartite graph that Spark scores iteratively: seeds count 1, other strings start from
-how much they look like identifiers; a pattern's confidence is the smoothed mean of its distinct instances, an
-instance's the best of its patterns. Patterns of high confidence and enough distinct instances then name the
-strings they extract; these are added with the kind `context`, base spans stay as they are.
+lexical pattern is what stands around a string: the two words before it, the key it is assigned to (`key=`), or
+its own first four characters with its length. Patterns and the strings (instances) in their slots, whatever
+those look like, form a bipartite graph that Spark scores iteratively: seeds count 1, other strings start from
+how much they look like identifiers, ordinary words low; a pattern's confidence is the smoothed mean of its
+distinct instances, an instance's the best of its patterns. Patterns of high confidence and enough distinct
+instances then name the strings they extract; these are added with the kind `context`, base spans stay as they are.
+
+A string that starts low scores (LOW + 1) / 2 at most, which is under CONFIDENCE, so a pattern passes only with
+enough seeds and look-alikes. A first pass over the texts finds the patterns whose seeds and look-alikes could
+suffice (`possible`, an upper bound); only these take part, and a second pass adds every string in their slots.
 
 Defined results: null text is empty and has no spans; offsets are code points, ends exclusive; rows that
 repeat an id, or have none, each keep their own row.
@@ -15,7 +19,9 @@ repeat an id, or have none, each keep their own row.
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +35,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
-ROUNDS, SUPPORT, CONFIDENCE, LIKENESS = 3, 5, 0.6, 0.5
+TOKEN = re.compile(r"\S+")
+WITH_DIGIT = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
+GROUPS = re.compile(r"(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")  # an identifier written in groups of four
+ROUNDS, SUPPORT, CONFIDENCE, LIKENESS, LOW = 3, 5, 0.6, 0.5, 0.1
+FILTER_BITS = 24  #: The second pass asks a bitmap of 2**24 bits first; a join then decides exactly.
 CONTEXT = 80  #: Characters before a string in which its two words are looked for.
 
 
@@ -70,50 +79,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def likeness(value: str) -> float:
-    """How much a string looks like an identifier, from its characters alone."""
+    """How much a string looks like an identifier, from its characters alone; where its graph score starts."""
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
-    if len(value) >= 12 and digits >= 3 and letters >= 1 and digits + letters >= 0.8 * len(value):
+    mixed = letters >= 1 and digits + letters >= 0.8 * len(value)
+    if len(value) >= 12 and digits >= 3 and mixed:
         return 0.9
-    return 0.7 if digits >= 8 and len(value) <= 40 else 0.1
+    return 0.7 if digits >= 8 and len(value) <= 40 or digits >= 5 and mixed else LOW
 
 
 def before(text: str, start: int) -> str:
     return "before:" + " ".join(text[max(0, start - CONTEXT) : start].split()[-2:]).lower()
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, float, bool]]:
-    """(start, end, pattern, value, prior, seed) of the seeds and of the other identifier-like strings."""
-    out = [(s, e, before(text, s), text[s:e], 1.0, True) for s, _, e in base]
-    if not DIGIT.search(text):
+def held(bitmap: bytes, pattern: str) -> int:
+    at = zlib.crc32(pattern.encode("utf-8", "replace")) >> (32 - FILTER_BITS)
+    return bitmap[at >> 3] >> (at & 7) & 1
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None = None) -> list[tuple[int, int, str, str, float, bool]]:
+    """(start, end, pattern, value, prior, seed) of seeds and look-alikes; with a bitmap, of all strings in its patterns' slots."""
+    out = [(s, e, x, text[s:e], 1.0, True) for s, _, e in base for x in [before(text, s)] if bitmap is None or held(bitmap, x)]
+    if bitmap is None and not DIGIT.search(text):
         return out
-    k = 0
-    for m in TOKEN.finditer(text):
+    k = done = 0
+    two, one, now = (-CONTEXT, ""), (-CONTEXT, ""), (-CONTEXT, "")  # the two words before this one, with their places
+    for m in (WITH_DIGIT if bitmap is None else TOKEN).finditer(text):
         s, e = m.span()
+        word = m.group()
+        two, one, now = one, now, (s, word)
+        if s < done:
+            continue
         while k < len(base) and base[k][2] <= s:
             k += 1
         key = ""
-        cut = min((i for c in "=:" if (i := text.find(c, s, e)) > s), default=-1)
-        if cut >= 0 and cut + 1 < e:
-            key, s = text[s : cut + 1].strip("\"'([{<").lower(), cut + 1
+        if "=" in word or ":" in word:
+            cut = min((i for c in "=:" if (i := text.find(c, s, e)) > s), default=-1)
+            if cut >= 0 and cut + 1 < e:
+                key, s = text[s : cut + 1].strip("\"'([{<").lower(), cut + 1
         while s < e and text[s] in "\"'([{<":
             s += 1
+        near = base[k : k + 3] if k < len(base) else ()
+        if s < e and text[s] <= "Z" and (g := GROUPS.match(text, s)) and sum(map(str.isdigit, g.group())) >= 8 and not any(b[0] < g.end() and b[2] > s for b in near):
+            e = done = g.end()
         while e > s and text[e - 1] in ".,;:!?\"')]}>":
             e -= 1
-        if e - s < 8 or any(b[0] < e and b[2] > s for b in base[k : k + 3]):
+        if e == s or near and any(b[0] < e and b[2] > s for b in near):
             continue
         value = text[s:e]
-        if (prior := likeness(value)) < LIKENESS:
-            continue
-        out.append((s, e, "key:" + key if key else before(text, s), value, prior, False))
-        out.append((s, e, f"start:{value[:4]}:{e - s}", value, prior, False))
+        if key:
+            around = "key:" + key
+        elif bitmap is not None and s == now[0] and two[0] >= max(0, s - CONTEXT):
+            around = f"before:{two[1]} {one[1]}".lower()  # what before() gives
+        else:
+            around = before(text, s)
+        found = [around, f"start:{value[:4]}:{e - s}"]
+        if bitmap is not None:
+            found = [x for x in found if held(bitmap, x)]
+        if found and ((prior := likeness(value)) >= LIKENESS or bitmap is not None):
+            out.extend((s, e, x, value, prior, False) for x in found)
     return out
 
 
 SCAN = "doc_id long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,pattern:string,value:string,prior:double,seed:boolean>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
     """Base spans and candidates of every whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("prior", pa.float64()), ("seed", pa.bool_())]))
     names = [[f.name for f in t.value_type] for t in (spans, found)]
@@ -125,12 +157,30 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 b = base_spans(text)
                 base.append([dict(zip(names[0], x)) for x in b])
-                more.append([dict(zip(names[1], x)) for x in candidates(text, b)])
+                more.append([dict(zip(names[1], x)) for x in candidates(text, b, sent.value)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans), pa.array(more, found)], ["doc_id", "spans", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCAN)
 
 
+def possible(found: DataFrame) -> DataFrame:
+    """Patterns that could pass by their seeds and look-alikes, whatever else stands in their slots."""
+    pair = found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("prior").alias("prior"), F.max("seed").alias("seed"))
+    most = pair.groupBy("pattern").agg(F.sum(F.when(F.col("seed"), 1.0).otherwise((F.col("prior") + 1) / 2)).alias("most"), F.count(F.lit(1)).alias("n"))
+    # The other strings lower the mean, so the fewest that make up the support are the best case.
+    more = F.greatest(F.lit(0), SUPPORT - F.col("n"))
+    return most.where(F.col("most") + more * ((LOW + 1) / 2) >= CONFIDENCE * (F.col("n") + more + 1) - 1e-9).select("pattern")
+
+
+def bits(patterns: DataFrame) -> bytes:
+    """A bitmap of the patterns' checksums, of one size whatever their number."""
+    at = F.shiftrightunsigned(F.crc32(F.encode("pattern", "utf-8")), 32 - FILTER_BITS)
+    word = patterns.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 5), dtype="<u4")
+    out[word["word"].to_numpy(np.int64)] = word["set"].to_numpy(np.int64).astype("<u4")
+    return out.tobytes()
+
+
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Patterns that pass, from (pattern, value, prior, seed) rows; pairs are counted once whatever their number."""
     pair = written(found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("prior").alias("prior"), F.max("seed").alias("seed")), "graph")
@@ -150,8 +200,9 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end) of every row."""
     prepare(docs.sparkSession)
-    rows = written(scan(docs).withColumn("row", F.monotonically_increasing_id()), "scan")
-    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    able = written(possible(scan(docs).select(F.explode("found").alias("f")).select("f.*")), "possible")
+    rows = written(scan(docs, bits(able)).withColumn("row", F.monotonically_increasing_id()), "scan")
+    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(able, "pattern", "left_semi")
     good = confident_patterns(found)
     more = found.where("not seed").join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     out = rows.select("row", "doc_id", "spans").join(more, "row", "left")

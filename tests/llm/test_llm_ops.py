@@ -166,6 +166,24 @@ def test_base_spans_equal_plain_patterns():
     assert pii.base_spans("a" * 200_000) == [] and len(pii.base_spans("1" * 200_000)) == 0
 
 
+def test_context_asks_the_pattern_not_the_look(spark):
+    letters = "abcdefghijkl"
+    data = [f"passport no X12345{i:02} of them" for i in range(12)] + [f"the employee: EMP-123{i:02} is here" for i in range(12)]
+    data += [f"iban number DE89 3704 0044 0532 0130 {i:02} paid" for i in range(12)]
+    data += [f"the user handle{'x' * (i % 3)} {c * 3}_smith" for i, c in enumerate(letters)]  # no seed and no look: no pattern
+    data += [f"reach me at user{i}@mail.example.com now" for i in range(12)] + [f"reach me at {c * 3}_smith now" for c in letters[:3]]  # carried by seeds
+    data += [f"in room 4{i}A55B77C99D too" for i in range(6)] + [f"in room {c * 4} too" for c in letters]  # ordinary words outweigh the look
+    df = fixtures.frame(spark, [(i, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for i, t in enumerate(data)])
+    got = by_id(pii.personal_data(df))
+    context = {i: [data[i][s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == 4] for i in got}
+    assert [context[i] for i in range(12)] == [[f"X12345{i:02}"] for i in range(12)]
+    assert [context[12 + i] for i in range(12)] == [[f"EMP-123{i:02}"] for i in range(12)]
+    assert [context[24 + i] for i in range(12)] == [[f"DE89 3704 0044 0532 0130 {i:02}"] for i in range(12)]
+    assert all(context[i] == [] for i in range(36, 48))
+    assert [context[60 + i] for i in range(3)] == [[f"{c * 3}_smith"] for c in letters[:3]]
+    assert all(context[i] == [] for i in range(63, 81))
+
+
 def test_context_finds_unseen_identifiers(spark):
     rng = np.random.default_rng(4)
     code = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
