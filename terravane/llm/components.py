@@ -2,7 +2,7 @@
 
 Each round is two equi-joins and a partially aggregated minimum; labels are written to the shared folder
 after it, so lineage stays short and a lost executor repeats one round at most. Nothing goes to the driver
-but the number of labels that changed.
+but whether a label changed; a round's folders are deleted when the next one's stand.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         told = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         told = written(told, "told")
         up = told.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-        labels = written(told.join(up, "component").select("node", "old", F.least("component", "upper").alias("component")), "labels")
+        new = written(told.join(up, "component").select("node", "old", F.least("component", "upper").alias("component")), "labels")
+        discard(told, labels)
+        labels = new
         if labels.where("old <> component").isEmpty():
+            discard(both)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")
