@@ -18,7 +18,7 @@ def prepare(spark: SparkSession) -> None:
     Results are lazy, so the two session options stay set; smaller values of the caller's are left as they are.
     """
     for key, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", "0")
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
