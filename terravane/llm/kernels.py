@@ -66,6 +66,21 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20):
         i = j
 
 
+def pieces(raw: np.ndarray, offsets: np.ndarray, cut: np.ndarray, limit: int = 1 << 20):
+    """(bytes, offsets, rows) of rows' texts; a single text over limit comes in several pieces, each ending after a byte of cut where it can."""
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    if len(offsets) != 2 or size <= limit:
+        yield raw[first : first + size], offsets - first, np.arange(len(offsets) - 1)
+        return
+    s, end = first, first + size
+    while s < end:
+        e = min(end, s + limit)
+        if e < end and len(at := np.flatnonzero(cut[raw[s + limit // 2 : e]])):
+            e = s + limit // 2 + int(at[-1]) + 1
+        yield raw[s:e], np.array([0, e - s]), np.zeros(1, np.int64)
+        s = e
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and each row's first word (one entry more than rows)."""
     n = len(raw)
@@ -88,9 +103,18 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 3) -> list[np.ndarray]:
     """Per row the sorted distinct 64-bit hashes of its k-word shingles, A-Z lower-cased; with fewer words, one of all."""
-    raw = LOWER[raw]
-    starts, ends, first = words(raw, offsets)
-    h = span_hashes(raw, starts, ends)
+    if len(offsets) == 2:  # a long text is hashed in pieces that end with a separator
+        h = [np.zeros(0, np.uint64)]
+        for part, at, _ in pieces(raw, offsets, IS_SEP):
+            part = LOWER[part]
+            starts, ends, _ = words(part, at)
+            h.append(span_hashes(part, starts, ends))
+        h = np.concatenate(h)
+        first = np.array([0, len(h)])
+    else:
+        raw = LOWER[raw]
+        starts, ends, first = words(raw, offsets)
+        h = span_hashes(raw, starts, ends)
     c = [U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
     c += [U64(pow(int(c[0]), 2 * i + 3, 2**64) | 1) for i in range(max(0, k - 5))]
     full = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
