@@ -4,31 +4,38 @@ Severity is an ordered grade 0, 1 .. K. The model has one weight a word, shared
 increasing thresholds t1 < .. < tK: P(grade >= k) = sigmoid(w . x - tk), with x the log of one plus a word's
 count. The output is the expected severity, the sum of these probabilities, and the probability of any.
 
-Labels that hold more than two values are taken as the grades. Where they hold 0 and 1 only, the rows labelled
-1 are graded by their text: a first fit of 0 against 1 gives word weights; rows labelled 1 whose evidence is
-above the median of such rows are graded 2, the others 1.
-
-The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS), each positive kept before a negative;
-words are chosen there by how far their share among graded rows exceeds that among the rest. Defined results:
-null or empty text has no words and gets the constant's severity; without a positive label all get 0.
+Labels that hold more than two values are the grades. Where they hold 0 and 1 only, the rows labelled 1 are
+graded by how many marked words they hold: 2 where there are more than in the median of such rows, else 1. Which
+words are marked is a matter of association with the label in the other half of the sample (rows
+are halved by a hash of the id), so a row's grade depends neither on its own words' weights nor on the model.
+
+The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, half of them positives where there are
+enough). A word has a weight if it stands in LEAST_ROWS rows and its share among positive rows exceeds that among
+the others by LEAST_Z deviations; words are counted in Spark, and the driver gets the words that pass and the
+sample's counts of them.
+
+Defined results: null or empty text has no words and gets the constants' severity; without a positive label all get
+0; of an id's several labels the largest counts, null and negative ones don't; rows that repeat an id, or have none,
+are scored each by its own text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, held_out, prepare
+from .common import discard, documents, held_out, prepare, written
 from .language_id import FOLD
 from .quality import Adam, sigmoid
 
 SAMPLE_ROWS = 12_000  #: Labelled rows the model is fitted on, at most; half of them positives.
-WORDS = 4096  #: Words that have a weight, at most.
-LEAST_ROWS, LEAST_Z = 8, 7.0
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+LEAST_ROWS, LEAST_Z, HALF_Z = 8, 7.0, 5.0
+STEPS, RATE, DECAY = 400, 0.05, 1e-5
 LINE = 0.5
 
 
@@ -39,23 +46,96 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return K.span_hashes(raw, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
+def text_words(texts):
+    """(row, hashes) of parts of a string column; a long text comes in several parts."""
+    raw, off = K.column_bytes(texts)
+    for i, j in K.chunks(off):
+        for part, at, of in K.pieces(raw, off[i : j + 1], FOLD == 32):
+            h, row = word_hashes(part, at)
+            yield i, j, h, of[row] if len(row) else row
+
+
 def bags(rows: DataFrame) -> DataFrame:
-    """doc_id, grade and the distinct words of each row's whole text with their counts, as blobs."""
+    """doc_id, grade, half and the distinct words of each row's whole text with their counts, as blobs."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            parts = [(i + row, h) for i, _, h, row in text_words(batch.column(3))]
+            row, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(h))).astype(np.int32)
+            cut = np.searchsorted(row[first], np.arange(n + 1))
+            words = [h[first[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            counts = [count[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "grade", "half", "words", "counts"])
+
+    return rows.select("doc_id", "grade", "half", "text").mapInArrow(run, "doc_id long, grade int, half int, words binary, counts binary")
+
+
+def word_rows(found: DataFrame) -> DataFrame:
+    """(word, half, bad, n): in how many rows, and how many graded ones, each word stands; counted by batch, then by word."""
+
+    def run(batches):
+        for batch in batches:
+            words = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            if not words:
+                continue
+            h = np.concatenate(words)
+            kind = np.repeat(batch.column(2).to_numpy() * 2 + (batch.column(1).to_numpy() > 0), [len(w) for w in words])
+            for half in (0, 1):
+                w, at = np.unique(h[kind // 2 == half], return_inverse=True)
+                bad = np.bincount(at, kind[kind // 2 == half] % 2, len(w)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), half, np.int32)), pa.array(bad), pa.array(np.bincount(at, minlength=len(w)).astype(np.int64))], ["word", "half", "bad", "n"])
+
+    return found.mapInArrow(run, "word long, half int, bad long, n long").groupBy("word", "half").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+
+
+def deviations(bad, n, all_bad: int, all_good: int):
+    """By how many deviations the word's share among graded rows exceeds that among the others."""
+    share = n / max(1, all_bad + all_good)
+    spread = F.sqrt(F.greatest(share * (1 - share) * (1 / max(1, all_bad) + 1 / max(1, all_good)), F.lit(1e-12)))
+    return (bad / max(1, all_bad) - (n - bad) / max(1, all_good)) / spread
+
+
+def choose(found: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words that have a weight, and those that are marked by either half."""
+    sizes = {(r["half"], r["bad"]): r["n"] for r in found.groupBy("half", (F.col("grade") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = lambda half, bad: sizes.get((half, bad), 0)
+    halves = [F.struct(*[F.sum(F.when(F.col("half") == k, F.col(c))).alias(c) for c in ("bad", "n")]).alias(f"h{k}") for k in (0, 1)]
+    rows = word_rows(found).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), *halves)
+    ok = F.coalesce((F.col("n") >= LEAST_ROWS) & (deviations(F.col("bad"), F.col("n"), size(0, True) + size(1, True), size(0, False) + size(1, False)) >= LEAST_Z), F.lit(False))
+    marks = [F.coalesce((F.col(f"h{k}.n") >= LEAST_ROWS / 2) & (deviations(F.col(f"h{k}.bad"), F.col(f"h{k}.n"), size(k, True), size(k, False)) >= HALF_Z), F.lit(False)) for k in (0, 1)]
+    got = rows.select("word", ok.alias("ok"), *[m.alias(f"m{k}") for k, m in enumerate(marks)]).where("ok or m0 or m1").toPandas()
+    pick = lambda c: np.sort(got.loc[got[c].astype(bool), "word"].to_numpy(np.int64).view(np.uint64))
+    return pick("ok"), [pick("m0"), pick("m1")]
+
+
+def known(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    if not len(words):
+        return np.zeros(len(h), bool)
+    return words[np.minimum(np.searchsorted(words, h), len(words) - 1)] == h
+
+
+def chosen_cells(found: DataFrame, words: np.ndarray, marked: list[np.ndarray]) -> DataFrame:
+    """doc_id, grade, the chosen words of each row with their counts, and how many of its words the other half marks."""
+    held = found.sparkSession.sparkContext.broadcast((words, marked))
 
     def run(batches):
+        words, marked = held.value
         for batch in batches:
-            raw, off = K.column_bytes(batch.column(2))
-            words, counts = [], []
-            for i, j in K.chunks(off):
-                h, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                cut = np.searchsorted(row, np.arange(j - i + 1))
-                for r in range(j - i):
-                    w, c = np.unique(h[cut[r] : cut[r + 1]], return_counts=True)
-                    words.append(w.tobytes())
-                    counts.append(c.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "grade", "words", "counts"])
+            w, c, marks = [], [], []
+            for half, h, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)
+                ok = known(words, h)
+                w.append(h[ok].tobytes())
+                c.append(n[ok].tobytes())
+                marks.append(int(n[known(marked[1 - half], h)].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.binary()), pa.array(c, pa.binary()), pa.array(marks, pa.int64())], ["doc_id", "grade", "words", "counts", "marks"])
 
-    return rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, words binary, counts binary")
+    return found.mapInArrow(run, "doc_id long, grade int, words binary, counts binary, marks long")
 
 
 class Model:
@@ -108,52 +188,42 @@ class Model:
         self.cuts = theta[n] + np.concatenate(([0.0], np.cumsum(np.log1p(np.exp(theta[n + 1 :])))))
 
 
-def choose(h: np.ndarray, row: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Words in enough rows whose share among positive rows exceeds that among the others by LEAST_Z deviations, best first."""
-    words, at = np.unique(h, return_inverse=True)
-    a = np.bincount(at, positive[row], len(words))
-    n = np.bincount(at, minlength=len(words))
-    na, nb = positive.sum(), (~positive).sum()
-    share = n / max(1, na + nb)
-    z = (a / max(1, na) - (n - a) / max(1, nb)) / np.sqrt(np.maximum(share * (1 - share) * (1 / max(1, na) + 1 / max(1, nb)), 1e-12))
-    ok = np.flatnonzero((n >= LEAST_ROWS) & (z >= LEAST_Z))
-    return words[ok[np.argsort(-z[ok], kind="stable")][:WORDS]]
-
-
-def train(words: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, weight: np.ndarray) -> Model | None:
-    """A model from bags of words with grades; weight undoes the sampling of negatives."""
+def train(words: np.ndarray, bags: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, weight: np.ndarray) -> Model | None:
+    """A model from bags of the chosen words with grades; weight undoes the sampling of negatives."""
     if not len(grade) or not (grade > 0).any():
         return None
-    h, c = np.concatenate(words), np.concatenate(counts)
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    picked = choose(h, row, grade > 0)
-    if grade.max() == 1:
-        first = Model(picked, 1)
-        cells = first.sparse(h, row, c, len(grade))
-        first.fit(cells, grade, weight)
-        line = first.line(cells, len(grade))
-        some = (grade > 0) & (line > 0)
-        if some.any():
-            grade = np.where((grade > 0) & (line > np.median(line[some])), 2, grade)
-    model = Model(picked, int(grade.max()))
-    model.fit(model.sparse(h, row, c, len(grade)), grade, weight)
+    row = np.repeat(np.arange(len(bags)), [len(w) for w in bags])
+    model = Model(words, int(grade.max()))
+    model.fit(model.sparse(np.concatenate(bags), row, np.concatenate(counts), len(grade)), grade, weight)
     return model
 
 
+def graded(grade: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """0/1 labels as grades 0, 1, 2 by the number of marked words; labels of more values as they are."""
+    bad = grade > 0
+    if not bad.any() or grade.max() > 1:
+        return grade
+    return np.where(bad & (marks > np.median(marks[bad])), 2, grade)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from labelled documents that are not held out."""
+    """A model from about `rows` labelled documents that are not held out."""
     marked = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & (F.col("toxic") >= 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("grade"))
+    marked = marked.where("doc_id is not null")
     sizes = {r["bad"]: r["n"] for r in marked.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {bad: min(1.0, rows / 2 / max(1, n)) for bad, n in sizes.items()}
     luck = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
-    picked = marked.where(luck < F.when(F.col("grade") > 0, F.lit(share.get(True, 0.0))).otherwise(F.lit(share.get(False, 0.0)))).limit(2 * rows)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(F.broadcast(picked), "doc_id")  # 2 * rows ids at most
-    got = bags(texts).toPandas().sort_values("doc_id")
-    words = [np.frombuffer(x, np.uint64) for x in got["words"]]
-    counts = [np.frombuffer(x, np.int32) for x in got["counts"]]
+    picked = marked.where(luck < F.when(F.col("grade") > 0, F.lit(share.get(True, 0.0))).otherwise(F.lit(share.get(False, 0.0))))
+    picked = written(picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")), "picked")
+    near = F.broadcast if picked.count() <= 2 * rows else lambda x: x
+    found = written(bags(docs.select(F.col("doc_id").cast("long"), F.col("text")).join(near(picked), "doc_id")), "bags")
+    words, marks = choose(found)
+    got = chosen_cells(found, words, marks).toPandas().sort_values(["doc_id", "marks", "counts"])
+    discard(picked, found)
+    bag, counts = ([np.frombuffer(x, kind) for x in got[c]] for c, kind in (("words", np.uint64), ("counts", np.int32)))
     grade = got["grade"].to_numpy(np.int64)
     weight = np.where(grade > 0, 1 / max(share.get(True, 1.0), 1e-9), 1 / max(share.get(False, 1.0), 1e-9))
-    return train(words, counts, grade, weight)
+    return train(words, bag, counts, graded(grade, got["marks"].to_numpy()), weight)
 
 
 def severities(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -163,14 +233,13 @@ def severities(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         m = held.value
         for batch in batches:
-            raw, off = K.column_bytes(batch.column(2))
-            for i, j in K.chunks(off):
+            for (i, j), parts in groupby(text_words(batch.column(2)), key=lambda x: x[:2]):
                 rows = j - i
                 if m is None:
                     p = np.zeros((rows, 1))
                 else:
-                    h, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                    p = m.above(m.line(m.sparse(h, row, None, rows), rows))
+                    some = [(h[ok], row[ok]) for _, _, h, row in parts for ok in [known(m.words, h)]]
+                    p = m.above(m.line(m.sparse(*(np.concatenate(x) for x in zip(*some)), None, rows), rows))
                 full = np.concatenate((np.ones((rows, 1)), p, np.zeros((rows, 1))), axis=1)
                 grade = (full[:, :-1] - full[:, 1:]).argmax(1)
                 yield pa.RecordBatch.from_arrays(
