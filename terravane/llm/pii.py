@@ -1,19 +1,20 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers that no pattern names.
 
-The base finds e-mail addresses, IP addresses, payment cards and phone numbers. Its spans are the seeds. A
-lexical pattern is what stands around a string: the two words before it, the key it is assigned to (`key=`), or
-its own first four characters with its length. Patterns and the strings (instances) in their slots, whatever
-those look like, form a bipartite graph that Spark scores iteratively: seeds count 1, other strings start from
-how much they look like identifiers, ordinary words low; a pattern's confidence is the smoothed mean of its
-distinct instances, an instance's the best of its patterns. Patterns of high confidence and enough distinct
-instances then name the strings they extract; these are added with the kind `context`, base spans stay as they are.
-
-A string that starts low scores (LOW + 1) / 2 at most, which is under CONFIDENCE, so a pattern passes only with
-enough seeds and look-alikes. A first pass over the texts finds the patterns whose seeds and look-alikes could
-suffice (`possible`, an upper bound); only these take part, and a second pass adds every string in their slots.
-
-Defined results: null text is empty and has no spans; offsets are code points, ends exclusive; rows that
-repeat an id, or have none, each keep their own row.
+The base finds e-mail addresses, IP addresses, payment cards and phone numbers; its spans, and values in published
+credential formats that are assigned to a key (SECRET), are the seed entities. A seed induces lexical patterns of
+what stands around it: the key it is assigned to; the two words before it; the word before it with the form of the
+slot; and, most general, the classes of the words before and after it with the form of the slot. The form of a slot
+is the value's run of letters, digits and marks. Patterns that SUPPORT distinct seeds induce take part.
+
+A second pass over the texts finds all strings in the slots of these patterns, whatever they look like. Patterns and
+distinct strings (instances) are a bipartite graph that Spark scores in rounds: seeds count 1; ordinary words (letters
+alone) count 0; any other string counts as its best pattern did in the round before, nothing at first, with a weight of
+UNKNOWN at least. A pattern's confidence is the weighted mean, smoothed by one missing instance. A string is therefore
+believed only through patterns that seeds induced: without seeds nothing passes. Patterns of CONFIDENCE at least
+name the strings they extract; these are added with the kind `context`, base spans stay as they are.
+
+Defined results: null or empty text has no spans; offsets are code points, ends exclusive; rows that repeat an id, or
+have none, each keep their own row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, written
+from .common import discard, documents, prepare, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,12 +36,21 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: Credential formats as their issuers publish them, and the widths of hexadecimal digests.
+SECRET = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{24,}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})(?![A-Za-z0-9])")
 TOKEN = re.compile(r"\S+")
-WITH_DIGIT = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
-GROUPS = re.compile(r"(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")  # an identifier written in groups of four
-ROUNDS, SUPPORT, CONFIDENCE, LIKENESS, LOW = 3, 5, 0.6, 0.5, 0.1
+MARKED = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+ASSIGNED = re.compile(r"[=:]\s{0,8}[\"'(\[{<]*([^\s\"'(\[{<]\S*)")
+RUN = re.compile(r"[+(]?[0-9][0-9 ().-]*[0-9]")  # digits with blanks between
+GROUPS = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")  # an identifier written in groups of four
+KEY = re.compile(r"([A-Za-z_][\w.-]*)\s*[=:]\s*[\"'(\[{<]*$")
+FORM = re.compile(r"[^\W_]+")
+OPENING, CLOSING = "\"'([{<", ".,;:!?\"')]}>"
+ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN = 4, 5, 0.6, 0.1
 FILTER_BITS = 24  #: The second pass asks a bitmap of 2**24 bits first; a join then decides exactly.
-CONTEXT = 80  #: Characters before a string in which its two words are looked for.
+CONTEXT = 80  #: Characters on either side of a string in which its words are looked for.
+SALTS = 32  #: Parts of a pattern's instances in joins; one pattern may hold a third of them.
+SEED, OTHER, ORDINARY = 2, 1, 0
 
 
 def luhn(digits: str) -> bool:
@@ -78,17 +88,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def likeness(value: str) -> float:
-    """How much a string looks like an identifier, from its characters alone; where its graph score starts."""
-    digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
-    mixed = letters >= 1 and digits + letters >= 0.8 * len(value)
-    if len(value) >= 12 and digits >= 3 and mixed:
-        return 0.9
-    return 0.7 if digits >= 8 and len(value) <= 40 or digits >= 5 and mixed else LOW
-
-
-def before(text: str, start: int) -> str:
-    return "before:" + " ".join(text[max(0, start - CONTEXT) : start].split()[-2:]).lower()
+def run_form(m) -> str:
+    run = m.group()
+    digits = sum(c.isdigit() for c in run)
+    if not digits:
+        return "a"
+    if digits == len(run):
+        return f"d{len(run)}" if len(run) >= 5 else "d"
+    return f"m{len(run)}" if len(run) >= 12 else "m"
+
+
+def form(value: str) -> str:
+    """A value's runs of letters (a), digits (d, from five on with their number) and both (m, from twelve on), and its marks."""
+    out = FORM.sub(run_form, value)
+    return out if len(out) <= 80 else f"long{zlib.crc32(out.encode('utf-8', 'replace'))}"
+
+
+def word_class(word: str) -> str:
+    return "^" if not word else "w" if any(map(str.isalpha, word)) else "9" if any(map(str.isdigit, word)) else "."
+
+
+def patterns_of(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns in whose slot text[start:end] stands."""
+    left = text[max(0, start - CONTEXT) : start]
+    after = text[end : end + CONTEXT].split(None, 1)
+    after, slot = word_class(after[0] if after else ""), form(text[start:end])
+    if m := KEY.search(left):
+        return [f"key:{m.group(1).lower()}", f"around:=_{after}|{slot}"]
+    words = left.rstrip(OPENING).lower().split()
+    one, two = (words[-1] if words else ""), (words[-2] if len(words) > 1 else "")
+    out = [f"around:{word_class(one)}_{after}|{slot}"]
+    if one:
+        out.append(f"left:{one}|{slot}")
+    if two:
+        out.append(f"before:{two} {one}")
+    return out
 
 
 def held(bitmap: bytes, pattern: str) -> int:
@@ -96,58 +130,69 @@ def held(bitmap: bytes, pattern: str) -> int:
     return bitmap[at >> 3] >> (at & 7) & 1
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None = None) -> list[tuple[int, int, str, str, float, bool]]:
-    """(start, end, pattern, value, prior, seed) of seeds and look-alikes; with a bitmap, of all strings in its patterns' slots."""
-    out = [(s, e, x, text[s:e], 1.0, True) for s, _, e in base for x in [before(text, s)] if bitmap is None or held(bitmap, x)]
-    if bitmap is None and not DIGIT.search(text):
-        return out
-    k = done = 0
-    two, one, now = (-CONTEXT, ""), (-CONTEXT, ""), (-CONTEXT, "")  # the two words before this one, with their places
-    for m in (WITH_DIGIT if bitmap is None else TOKEN).finditer(text):
-        s, e = m.span()
-        word = m.group()
-        two, one, now = one, now, (s, word)
+def seeds_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Base spans and assigned credentials, in order."""
+    out = [(s, e) for s, _, e in base]
+    for m in ASSIGNED.finditer(text):
+        if g := SECRET.match(text, m.start(1)):
+            if not any(s < g.end() and e > g.start() for s, e in out):
+                out.append(g.span())
+    return sorted(set(out))
+
+
+def strings_of(text: str, taken: list[tuple[int, int]], every: bool) -> list[tuple[int, int]]:
+    """Strings that may stand in a slot, outside taken: numbers and groups, tokens with a digit or @, assigned values; all words if every."""
+    found = [(*m.span(), 0) for m in RUN.finditer(text) if " " in m.group() and sum(map(str.isdigit, m.group())) >= 7]
+    found += [(*m.span(), 0) for m in GROUPS.finditer(text) if sum(map(str.isdigit, m.group())) >= 8]
+    found += [(*m.span(), 1) for m in (TOKEN if every else MARKED).finditer(text)]
+    found += [(*m.span(1), 2) for m in ASSIGNED.finditer(text)]
+    out, done, k = [], 0, 0
+    for s, e, kind in sorted(found, key=lambda x: (x[0], x[2])):
         if s < done:
             continue
-        while k < len(base) and base[k][2] <= s:
+        if kind:
+            word = text[s:e]
+            if kind == 1 and (cut := min((i for c in "=:" if (i := word.find(c)) > 0), default=-1)) >= 0 and cut + 1 < len(word):
+                continue  # key=value: the value comes by itself
+            while s < e and text[s] in OPENING:
+                s += 1
+            while e > s and text[e - 1] in CLOSING:
+                e -= 1
+        while k < len(taken) and taken[k][1] <= s:
             k += 1
-        key = ""
-        if "=" in word or ":" in word:
-            cut = min((i for c in "=:" if (i := text.find(c, s, e)) > s), default=-1)
-            if cut >= 0 and cut + 1 < e:
-                key, s = text[s : cut + 1].strip("\"'([{<").lower(), cut + 1
-        while s < e and text[s] in "\"'([{<":
-            s += 1
-        near = base[k : k + 3] if k < len(base) else ()
-        if s < e and text[s] <= "Z" and (g := GROUPS.match(text, s)) and sum(map(str.isdigit, g.group())) >= 8 and not any(b[0] < g.end() and b[2] > s for b in near):
-            e = done = g.end()
-        while e > s and text[e - 1] in ".,;:!?\"')]}>":
-            e -= 1
-        if e == s or near and any(b[0] < e and b[2] > s for b in near):
-            continue
+        if e > s and not any(a < e and b > s for a, b in taken[k : k + 3]):
+            out.append((s, e))
+            done = e
+    return out
+
+
+def instances(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None = None, every: bool = False, hide: int = 0) -> list[tuple[int, int, str, str, int]]:
+    """(start, end, pattern, value, mark) of seeds; with a bitmap, of all strings in its patterns' slots. Seeds in one of `hide` parts are taken for strings."""
+    seeds = seeds_of(text, base)
+    spans = [(s, e, SEED) for s, e in seeds]
+    if bitmap is not None:
+        spans += [(s, e, OTHER) for s, e in strings_of(text, seeds, every)]
+    out = []
+    for s, e, mark in spans:
         value = text[s:e]
-        if key:
-            around = "key:" + key
-        elif bitmap is not None and s == now[0] and two[0] >= max(0, s - CONTEXT):
-            around = f"before:{two[1]} {one[1]}".lower()  # what before() gives
-        else:
-            around = before(text, s)
-        found = [around, f"start:{value[:4]}:{e - s}"]
-        if bitmap is not None:
-            found = [x for x in found if held(bitmap, x)]
-        if found and ((prior := likeness(value)) >= LIKENESS or bitmap is not None):
-            out.extend((s, e, x, value, prior, False) for x in found)
+        if mark == SEED and hide and zlib.crc32(value.encode("utf-8", "replace")) % hide == 0:
+            mark = OTHER
+            if bitmap is None:
+                continue
+        elif mark == OTHER and value.replace("-", "").replace("'", "").isalpha():
+            mark = ORDINARY
+        out += [(s, e, x, value, mark) for x in patterns_of(text, s, e) if bitmap is None or held(bitmap, x)]
     return out
 
 
-SCAN = "doc_id long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,pattern:string,value:string,prior:double,seed:boolean>>"
+SCAN = "doc_id long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,pattern:string,value:string,mark:int>>"
 
 
-def scan(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
-    """Base spans and candidates of every whole text."""
+def scan(docs: DataFrame, bitmap: bytes | None = None, every: bool = False, hide: int = 0) -> DataFrame:
+    """Base spans and instances of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("prior", pa.float64()), ("seed", pa.bool_())]))
+    found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("mark", pa.int32())]))
     names = [[f.name for f in t.value_type] for t in (spans, found)]
 
     def run(batches):
@@ -157,19 +202,16 @@ def scan(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
                 text = text.as_py() or ""
                 b = base_spans(text)
                 base.append([dict(zip(names[0], x)) for x in b])
-                more.append([dict(zip(names[1], x)) for x in candidates(text, b, sent.value)])
+                more.append([dict(zip(names[1], x)) for x in instances(text, b, sent.value, every, hide)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans), pa.array(more, found)], ["doc_id", "spans", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCAN)
 
 
-def possible(found: DataFrame) -> DataFrame:
-    """Patterns that could pass by their seeds and look-alikes, whatever else stands in their slots."""
-    pair = found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("prior").alias("prior"), F.max("seed").alias("seed"))
-    most = pair.groupBy("pattern").agg(F.sum(F.when(F.col("seed"), 1.0).otherwise((F.col("prior") + 1) / 2)).alias("most"), F.count(F.lit(1)).alias("n"))
-    # The other strings lower the mean, so the fewest that make up the support are the best case.
-    more = F.greatest(F.lit(0), SUPPORT - F.col("n"))
-    return most.where(F.col("most") + more * ((LOW + 1) / 2) >= CONFIDENCE * (F.col("n") + more + 1) - 1e-9).select("pattern")
+def induced(found: DataFrame) -> DataFrame:
+    """Patterns that enough distinct seeds induce."""
+    pair = found.where(F.col("mark") == SEED).groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.lit(1).alias("one"))
+    return pair.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
 
 
 def bits(patterns: DataFrame) -> bytes:
@@ -181,30 +223,44 @@ def bits(patterns: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns that pass, from (pattern, value, prior, seed) rows; pairs are counted once whatever their number."""
-    pair = written(found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("prior").alias("prior"), F.max("seed").alias("seed")), "graph")
-    score = pair.select("pattern", "instance", F.col("prior").alias("score"))
-    for _ in range(rounds):
-        pattern = score.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count(F.lit(1)).alias("support"))
-        pattern = pattern.where(F.col("support") >= SUPPORT)
-        known = pair.join(pattern.select("pattern", "confidence"), "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        # An instance is as good as its seeds say, else half its own look and half the best pattern that extracts it.
-        score = written(
-            pair.join(known, "instance", "left").select("pattern", "instance", F.when(F.col("seed"), F.lit(1.0)).otherwise((F.col("prior") + F.coalesce("best", F.lit(0.0))) / 2).alias("score")), "scores"
-        )
-    pattern = score.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count(F.lit(1)).alias("support"))
-    return pattern.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
-
-
-def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (arrays of start, kind, end) of every row."""
+def salted(patterns: DataFrame) -> DataFrame:
+    return patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def salt():
+    return F.pmod(F.col("instance"), F.lit(SALTS)).cast("int")
+
+
+def confidences(score: DataFrame) -> DataFrame:
+    """pattern, confidence: the weighted mean of its instances' scores and one missing instance; sums are combined before the shuffle."""
+    weight = F.when(F.col("mark") == OTHER, F.greatest(F.lit(UNKNOWN), F.col("score"))).otherwise(F.lit(1.0))
+    return score.groupBy("pattern").agg((F.sum(weight * F.col("score")) / (F.sum(weight) + 1)).alias("confidence"), F.count_if(F.col("mark") == SEED).alias("seeds"))
+
+
+def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, confidence and seeds after the rounds, from (pattern, value, mark) rows; pairs count once whatever their number."""
+    pair = written(found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("mark").alias("mark")).withColumn("salt", salt()), "graph")
+    start = F.when(F.col("mark") == SEED, 1.0).otherwise(0.0)
+    score = pair.withColumn("score", start)
+    for _ in range(rounds - 1):
+        known = pair.join(salted(confidences(score).select("pattern", "confidence")), ["pattern", "salt"]).groupBy("instance").agg(F.max("confidence").alias("best"))
+        new = written(pair.join(known, "instance").withColumn("score", F.when(F.col("mark") == OTHER, F.col("best")).otherwise(start)).select("pattern", "instance", "mark", "salt", "score"), "scores")
+        discard(score)
+        score = new
+    out = written(confidences(score), "confidences")
+    discard(score, pair)
+    return out
+
+
+def personal_data(docs: DataFrame, hide: int = 0) -> DataFrame:
+    """doc_id, base and spans (arrays of start, kind, end) of every row. hide: for tests, see instances()."""
     prepare(docs.sparkSession)
-    able = written(possible(scan(docs).select(F.explode("found").alias("f")).select("f.*")), "possible")
-    rows = written(scan(docs, bits(able)).withColumn("row", F.monotonically_increasing_id()), "scan")
-    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(able, "pattern", "left_semi")
-    good = confident_patterns(found)
-    more = found.where("not seed").join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
+    able = written(induced(scan(docs, hide=hide).select(F.explode("found").alias("f")).select("f.*")), "induced")
+    every = not able.where("pattern like 'before:%'").isEmpty()
+    rows = written(scan(docs, bits(able), every, hide).withColumn("row", F.monotonically_increasing_id()), "scan")
+    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("instance", F.xxhash64("value")).withColumn("salt", salt())
+    good = scored_patterns(found.join(salted(able), ["pattern", "salt"], "left_semi")).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
+    more = found.where(F.col("mark") == OTHER).join(salted(good), ["pattern", "salt"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     out = rows.select("row", "doc_id", "spans").join(more, "row", "left")
     empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     return out.select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", empty))).alias("spans"))
@@ -218,5 +274,6 @@ def listed(spans):
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(documents(spark, sf_dir))
-    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return found.select("doc_id", *[number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    number = lambda k, c="base": F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long")
+    base = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    return found.select("doc_id", *base, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), number(4, "spans").alias("n_context"), F.size("spans").cast("long").alias("n_spans"))
