@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernels as K
 from .common import discard, documents, held_out, prepare, written
-from .language_id import FOLD
-from .quality import Adam, sigmoid
+from .optimise import Adam, sigmoid
+from .words import text_words
 
 SAMPLE_ROWS = 12_000  #: Labelled rows the model is fitted on, at most; half of them positives.
 LEAST_ROWS, LEAST_Z, HALF_Z = 8, 7.0, 5.0
@@ -39,22 +38,6 @@ STEPS, RATE, DECAY = 400, 0.05, 1e-5
 LINE = 0.5
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every run of letters; A-Z lower-cased."""
-    raw = FOLD[raw]
-    starts, ends, first = K.words(raw, offsets)
-    return K.span_hashes(raw, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-
-
-def text_words(texts):
-    """(row, hashes) of parts of a string column; a long text comes in several parts."""
-    raw, off = K.column_bytes(texts)
-    for i, j in K.chunks(off):
-        for part, at, of in K.pieces(raw, off[i : j + 1], FOLD == 32):
-            h, row = word_hashes(part, at)
-            yield i, j, h, of[row] if len(row) else row
-
-
 def bags(rows: DataFrame) -> DataFrame:
     """doc_id, grade, half and the distinct words of each row's whole text with their counts, as blobs."""
 
