@@ -74,6 +74,7 @@ class Codes:
 
     def __init__(self, dim: int, code, planes, numbers, bands):
         self.dim, self.code, self.planes, self.numbers, self.bands = dim, code, planes, numbers, bands
+        # factor, least coordinate, step of its quantisation, and sum of the quantised coordinates
         self.factor, self.low, self.step, self.sum = (numbers[:, i].astype(np.float64) for i in range(4))
         self.ones = np.bitwise_count(code).sum(1, dtype=np.int64)
 
@@ -89,7 +90,7 @@ class Codes:
         planes = np.stack([packed((level >> p) & 1 > 0) for p in range(PLANES)], axis=1)
         signs = np.concatenate([v @ rotation(dim, n + 1) > 0 for n in range(-(-bits * bands // dim))], axis=1)[:, : bits * bands]
         keys = (signs.reshape(len(v), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.uint32)
-        return cls(dim, packed(r > 0), planes, np.stack([factor, low, step, r.sum(1)], axis=1).astype(np.float32), keys)
+        return cls(dim, packed(r > 0), planes, np.stack([factor, low, step, low * dim + step * level.sum(1, dtype=np.int64)], axis=1).astype(np.float32), keys)
 
     def blobs(self) -> np.ndarray:
         """A row of bytes for each vector."""

@@ -67,7 +67,7 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20):
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray, cut: np.ndarray, limit: int = 1 << 20):
-    """(bytes, offsets, rows) of rows' texts; a single text over limit comes in several pieces, each ending after a byte of cut where it can."""
+    """(bytes, offsets, rows) of rows' texts; a single text over limit comes in several pieces, each ending after a byte of cut."""
     first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
     if len(offsets) != 2 or size <= limit:
         yield raw[first : first + size], offsets - first, np.arange(len(offsets) - 1)
@@ -77,6 +77,9 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, cut: np.ndarray, limit: int = 1
         e = min(end, s + limit)
         if e < end and len(at := np.flatnonzero(cut[raw[s + limit // 2 : e]])):
             e = s + limit // 2 + int(at[-1]) + 1
+        else:  # none in reach: the next one, else all
+            while e < end and not cut[raw[e - 1]]:
+                e = e + 1 + int(cut[raw[e : min(end, e + limit)]].argmax()) if cut[raw[e : min(end, e + limit)]].any() else min(end, e + limit)
         yield raw[s:e], np.array([0, e - s]), np.zeros(1, np.int64)
         s = e
 

@@ -10,9 +10,9 @@ most classes in all), and the links confirmed on full sets are closed into compo
 bucket still lie in different components, pairs of them across components are confirmed too, so the components
 are those of all candidate pairs though pairs inside a component are never formed. The members of all buckets
 with the same largest component form a cluster; those outside the component meet all others of the cluster in
-blocks, a pair of blocks a task, where intersections are counted by a matrix product. A task sends, for each
-class, the least one it reaches there, never pairs, and no task holds a whole cluster. Sets are computed from
-whole texts in the task that compares them; a class that leads many is dealt over salted tasks.
+blocks, a pair of blocks a task, where intersections are counted by a matrix product over the sets' hashes. A task
+sends, for each class, the least one it reaches there, never pairs, and no task holds a whole cluster. A class that
+leads many is dealt over salted tasks.
 
 Defined results: null or wordless text has an empty set and links with nothing; rows with a null doc_id get a
 null component_id and are not kept; rows that repeat an id are one document of the first text met.
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, parts, prepare, written
+from .common import documents, one_row, parts, prepare, written
 from .components import connected_components
 
 PERMUTATIONS, BANDS = 72, 24
 #: Members that are compared with one class in one task.
 SALT_ROWS = 64
 #: Members of a block; a task compares two blocks.
-BLOCK = 256
+BLOCK = 512
 #: Columns of the incidence matrices that are multiplied at once.
 COLUMNS = 8192
 _RNG = np.random.default_rng(77)
@@ -102,7 +102,7 @@ def confirm(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, perc
     heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
     asked = written(members.unionByName(heads), "asked")
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text"))
-    rows = texts.join(asked.hint("shuffle_hash"), "b").select("a", "salt", (F.col("a") != F.col("b")).alias("member"), "b", "text")
+    rows = texts.join(asked, "b").select("a", "salt", (F.col("a") != F.col("b")).alias("member"), "b", "text")
     rows = rows.repartition(parts(spark), "a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches):
@@ -146,6 +146,20 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shingled(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """rep and its sorted shingle hashes, for the documents that reps names."""
+
+    def run(batches):
+        for batch in batches:
+            raw, off = K.column_bytes(batch.column(1))
+            for i, j in K.chunks(off):
+                sets = K.shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).join(reps, "rep", "left_semi")
+    return rows.mapInArrow(run, "rep long, shingles binary")
+
+
 def across(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of members (cluster, rep, outside): those outside against all of the cluster."""
     size = members.groupBy("cluster").agg(F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("o"), F.ceil(F.count_if(~F.col("outside")) / BLOCK).cast("int").alias("m"))
@@ -155,8 +169,8 @@ def across(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, per
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("o") + F.col("m")).otherwise(F.col("o")) - 1)))
     m = m.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep")
     asked = written(m, "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text"))
-    rows = texts.join(asked.hint("shuffle_hash"), "rep").select("cluster", "bi", "bj", "block", "rep", "text")
+    hashed = written(shingled(docs, members.select("rep").distinct(), k), "sets")  # a text is cut into shingles once, whatever the blocks it goes to
+    rows = hashed.join(asked, "rep").select("cluster", "bi", "bj", "block", "rep", "shingles")
     rows = rows.repartition(parts(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "block", "rep")
 
     def solve(key, block, rep, sets):
@@ -191,10 +205,7 @@ def across(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, per
             if not batch.num_rows:
                 continue
             c, bi, bj, bl, rp = (batch.column(x).to_numpy() for x in range(5))
-            raw, off = K.column_bytes(batch.column(5))
-            found = []
-            for i, j in K.chunks(off):
-                found += K.shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(5).to_pylist()]
             cut = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))))
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
                 if (now := (c[s], bi[s], bj[s])) != key:
@@ -260,7 +271,14 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with its columns; five-word shingles and a similarity of 0.8."""
+    """One document of each group, with its columns; five-word shingles and a similarity of 0.8.
+
+    Rows that repeat an id are one document: one of them, that of greatest hash, stands for it. Rows without an id stay.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not ids.where("n > 1").isEmpty():
+        one = one_row(docs.where("doc_id is not null"), docs["doc_id"]).select("_row.*")
+        docs = written(one.unionByName(docs.where("doc_id is null")), "one-row")
     found = written(near_duplicates(spark, docs, k=5, percent=80), "near")
     gone = found.where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -50,7 +50,7 @@ ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN = 4, 5, 0.6, 0.1
 FILTER_BITS = 24  #: The second pass asks a bitmap of 2**24 bits first; a join then decides exactly.
 CONTEXT = 80  #: Characters on either side of a string in which its words are looked for.
 SALTS = 32  #: Parts of a pattern's instances in joins; one pattern may hold a third of them.
-SEED, OTHER, ORDINARY = 2, 1, 0
+CREDENTIAL, SEED, OTHER, ORDINARY = 3, 2, 1, 0  #: From SEED on, a string is a seed; a base span has SEED.
 
 
 def luhn(digits: str) -> bool:
@@ -169,17 +169,18 @@ def strings_of(text: str, taken: list[tuple[int, int]], every: bool) -> list[tup
 def instances(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None = None, every: bool = False, hide: int = 0) -> list[tuple[int, int, str, str, int]]:
     """(start, end, pattern, value, mark) of seeds; with a bitmap, of all strings in its patterns' slots. Seeds in one of `hide` parts are taken for strings."""
     seeds = seeds_of(text, base)
-    spans = [(s, e, SEED) for s, e in seeds]
+    known = {(s, e) for s, _, e in base}
+    spans = [(s, e, SEED if (s, e) in known else CREDENTIAL) for s, e in seeds]
     if bitmap is not None:
         spans += [(s, e, OTHER) for s, e in strings_of(text, seeds, every)]
     out = []
     for s, e, mark in spans:
         value = text[s:e]
-        if mark == SEED and hide and zlib.crc32(value.encode("utf-8", "replace")) % hide == 0:
+        if mark >= SEED and hide and zlib.crc32(value.encode("utf-8", "replace")) % hide == 0:
             mark = OTHER
             if bitmap is None:
                 continue
-        elif mark == OTHER and value.replace("-", "").replace("'", "").isalpha():
+        elif mark == OTHER and value.replace("'", "").isalpha():
             mark = ORDINARY
         out += [(s, e, x, value, mark) for x in patterns_of(text, s, e) if bitmap is None or held(bitmap, x)]
     return out
@@ -210,7 +211,7 @@ def scan(docs: DataFrame, bitmap: bytes | None = None, every: bool = False, hide
 
 def induced(found: DataFrame) -> DataFrame:
     """Patterns that enough distinct seeds induce."""
-    pair = found.where(F.col("mark") == SEED).groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.lit(1).alias("one"))
+    pair = found.where(F.col("mark") >= SEED).groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.lit(1).alias("one"))
     return pair.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
 
 
@@ -234,13 +235,13 @@ def salt():
 def confidences(score: DataFrame) -> DataFrame:
     """pattern, confidence: the weighted mean of its instances' scores and one missing instance; sums are combined before the shuffle."""
     weight = F.when(F.col("mark") == OTHER, F.greatest(F.lit(UNKNOWN), F.col("score"))).otherwise(F.lit(1.0))
-    return score.groupBy("pattern").agg((F.sum(weight * F.col("score")) / (F.sum(weight) + 1)).alias("confidence"), F.count_if(F.col("mark") == SEED).alias("seeds"))
+    return score.groupBy("pattern").agg((F.sum(weight * F.col("score")) / (F.sum(weight) + 1)).alias("confidence"), F.count_if(F.col("mark") >= SEED).alias("seeds"))
 
 
 def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """pattern, confidence and seeds after the rounds, from (pattern, value, mark) rows; pairs count once whatever their number."""
     pair = written(found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("mark").alias("mark")).withColumn("salt", salt()), "graph")
-    start = F.when(F.col("mark") == SEED, 1.0).otherwise(0.0)
+    start = F.when(F.col("mark") >= SEED, 1.0).otherwise(0.0)
     score = pair.withColumn("score", start)
     for _ in range(rounds - 1):
         known = pair.join(salted(confidences(score).select("pattern", "confidence")), ["pattern", "salt"]).groupBy("instance").agg(F.max("confidence").alias("best"))
@@ -260,7 +261,7 @@ def personal_data(docs: DataFrame, hide: int = 0) -> DataFrame:
     rows = written(scan(docs, bits(able), every, hide).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("instance", F.xxhash64("value")).withColumn("salt", salt())
     good = scored_patterns(found.join(salted(able), ["pattern", "salt"], "left_semi")).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
-    more = found.where(F.col("mark") == OTHER).join(salted(good), ["pattern", "salt"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
+    more = found.where(F.col("mark").isin(OTHER, CREDENTIAL)).join(salted(good), ["pattern", "salt"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     out = rows.select("row", "doc_id", "spans").join(more, "row", "left")
     empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     return out.select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", empty))).alias("spans"))

@@ -159,8 +159,8 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     Further up the ratio tells how well the model knows its own positives.
     """
     p, u = (np.cumsum(x[::-1]) / max(1.0, x.sum()) for x in (pos, unl))
-    some = (p >= 0.9) & (p <= 0.98)
-    return float(min(0.999, max(0.01, (u[some] / p[some]).min() if some.any() else 1.0)))
+    some = slice(int((p >= 0.9).argmax()), int((p >= 0.98).argmax()) + 1)
+    return float(min(0.999, max(0.01, (u[some] / np.maximum(p[some], 1e-9)).min())))
 
 
 def risk_weights(bp, ap, bu, au, prior: float) -> np.ndarray:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terravane.llm import bpe, components, embedding_dedup, exact_dedup, kernels, language_id, minhash_dedup, mixing, pii, quality, suffix_dedup, toxicity
@@ -81,19 +82,47 @@ def test_interval_expansion_equals_sorted_suffixes():
             assert a <= b and cut[x] == (a != b or len(a) < length)
 
 
-def test_mixing(spark, docs):
+def waterfill(sizes):
+    """Targets by the rule, one source after another."""
+    weight, left, target, open_ = [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        share = left / sum(weight[i] for i in open_)
+        full = {i for i in open_ if share * weight[i] > 2 * sizes[i]}
+        for i in full or open_:
+            target[i] = float(2 * sizes[i]) if full else share * weight[i]
+        left -= sum(target[i] for i in full)
+        open_ = open_ - full if full else set()
+    return target
+
+
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_mixing(spark, docs, monkeypatch, block_rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(mixing, "SUPER", 2)
     got = by_id(mixing.mixed(docs))
     size = {i: len(WORD.findall(t or "")) for i, t in enumerate(fixtures.texts())}
     source = {r[0]: r[3] for r in fixtures.rows()}
     names = sorted({s for s in source.values() if s is not None}) + [None]
     total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
-    target = dict(zip(names, mixing.waterfill([total[s] for s in names])))
+    target = dict(zip(names, waterfill([total[s] for s in names])))
     assert abs(sum(target.values()) - 1.5 * sum(total.values())) < 1e-6
     for i, r in got.items():
         assert (r["size"], r["source_size"]) == (size[i], total[source[i]]) and abs(r["target"] - target[source[i]]) < 1e-6
         assert 0 <= r["taken"] <= 2 * r["size"] and sum(c["words"] for c in r["copies"]) == r["taken"]
     for s in names:
         assert abs(sum(r["taken"] for i, r in got.items() if source[i] == s) - target[s]) <= 1
+        # The draw, one document after another: whole passes, then blocks in order and documents in the order of their hash.
+        due, each = min(round(target[s]), 2 * total[s]), {}
+        passes, rest = divmod(due, total[s]) if total[s] else (0, 0)
+        for i in sorted((i for i in got if source[i] == s), key=lambda i: (got[i]["block"], got[i]["chance"], size[i])):
+            each[i] = passes * size[i] + min(size[i], rest)
+            rest -= min(size[i], rest)
+        assert {i: got[i]["taken"] for i in each} == each
+        # All copies of a block and a pass go to one shard, so a source's blocks are disjoint among shards.
+        where = {}
+        for i in each:
+            for n, c in enumerate(got[i]["copies"]):
+                assert where.setdefault((got[i]["block"], n), c["shard"]) == c["shard"]
     assert {i: r["taken"] for i, r in by_id(mixing.mixed(docs)).items()} == {i: r["taken"] for i, r in got.items()}
     assert mixing.mixed(fixtures.empty(spark)).count() == 0
     out = mixing.stage(spark, docs, "")
@@ -101,12 +130,30 @@ def test_mixing(spark, docs):
     assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == sum(r["taken"] for r in got.values())
 
 
-def test_waterfill_and_tree():
-    assert mixing.waterfill([10, 10, 10]) == [20.0, 25 / 3, 50 / 3]
-    assert mixing.waterfill([0, 0]) == [0.0, 0.0] and mixing.waterfill([]) == []
-    quotas = np.array([100, 7, 0, 31])
-    shards = mixing.split_tree(quotas, 5)
-    assert (shards.sum(0) == quotas).all() and shards.sum(1).max() - shards.sum(1).min() <= 2 and (shards >= 0).all()
+def test_tree_splits_quotas_exactly():
+    quotas = [100, 7, 0, 31]
+    even = [138 * (s + 1) // 5 - 138 * s // 5 for s in range(5)]
+    table = np.array(mixing.split_tree(quotas, even, 1))
+    assert table.sum(0).tolist() == quotas and table.sum(1).tolist() == even and (table >= 0).all()
+    assert (table == np.array(mixing.split_tree(quotas, even, 1))).all()
+    for n in (1, 2, 7, 60):
+        step, start = mixing.permuted(3, n)
+        assert sorted((step * u + start) % n for u in range(n)) == list(range(n))
+
+
+def test_draws_have_the_distribution_of_all_orders():
+    """The share of each outcome against the count of orders that give it, by brute force; and the two ways of drawing agree."""
+    from itertools import combinations
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    has, take = [3, 2, 2], 3
+    units = [k for k, n in enumerate(has) for _ in range(n)]
+    want = Counter(tuple(Counter(units[i] for i in c)[k] for k in range(3)) for c in combinations(range(7), take))
+    got = Counter(tuple(mixing.draw(rng, has, take)) for _ in range(6000))
+    assert set(got) <= set(want) and all(abs(got[x] / 6000 - n / comb(7, 3)) < 0.03 for x, n in want.items())
+    big = [mixing.hypergeometric(rng, 6 * 10**8, 14 * 10**8, 1000) for _ in range(400)]
+    assert abs(np.mean(big) - 300) < 4 and 11 < np.std(big) < 18 and mixing.hypergeometric(rng, 10**9, 10**9, 2 * 10**9) == 10**9
 
 
 def test_language_id(spark, docs):
@@ -129,10 +176,11 @@ def test_language_stage_keeps_rows_without_an_id(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(i, "the thing that was there") for i in range(40)] + [(None, "the thing"), (None, "that was")])
 
 
-def test_filters_report_all_languages_of_a_gram():
+def test_filters_report_all_languages_of_a_gram(spark):
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(2))
-    f = language_id.Filters(["a", "b"], [a, np.concatenate((b, a[:100]))])
+    rows = [("a", int(x)) for x in a.view(np.int64)] + [("b", int(x)) for x in np.concatenate((b, a[:100])).view(np.int64)]
+    f = language_id.build(["a", "b"], spark.createDataFrame(rows, "lang string, gram long"))
     assert (f.masks(a[:100]) == 3).all() and (f.masks(a) & 1 == 1).all() and (f.masks(b) & 2 == 2).all()
     assert (f.false < 0.01).all()
 
@@ -166,35 +214,64 @@ def test_base_spans_equal_plain_patterns():
     assert pii.base_spans("a" * 200_000) == [] and len(pii.base_spans("1" * 200_000)) == 0
 
 
-def test_context_asks_the_pattern_not_the_look(spark):
-    letters = "abcdefghijkl"
-    data = [f"passport no X12345{i:02} of them" for i in range(12)] + [f"the employee: EMP-123{i:02} is here" for i in range(12)]
-    data += [f"iban number DE89 3704 0044 0532 0130 {i:02} paid" for i in range(12)]
-    data += [f"the user handle{'x' * (i % 3)} {c * 3}_smith" for i, c in enumerate(letters)]  # no seed and no look: no pattern
-    data += [f"reach me at user{i}@mail.example.com now" for i in range(12)] + [f"reach me at {c * 3}_smith now" for c in letters[:3]]  # carried by seeds
-    data += [f"in room 4{i}A55B77C99D too" for i in range(6)] + [f"in room {c * 4} too" for c in letters]  # ordinary words outweigh the look
-    df = fixtures.frame(spark, [(i, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for i, t in enumerate(data)])
-    got = by_id(pii.personal_data(df))
-    context = {i: [data[i][s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == 4] for i in got}
-    assert [context[i] for i in range(12)] == [[f"X12345{i:02}"] for i in range(12)]
-    assert [context[12 + i] for i in range(12)] == [[f"EMP-123{i:02}"] for i in range(12)]
-    assert [context[24 + i] for i in range(12)] == [[f"DE89 3704 0044 0532 0130 {i:02}"] for i in range(12)]
-    assert all(context[i] == [] for i in range(36, 48))
-    assert [context[60 + i] for i in range(3)] == [[f"{c * 3}_smith"] for c in letters[:3]]
-    assert all(context[i] == [] for i in range(63, 81))
+PII = "passport no X12345{i:02} of them|the employee: EMP-123{i:02} is here|reach me at user{i}@mail.example.com now|call +1 (555) 010-{i:04} soon|my token = \"{h}\" and on"
 
 
-def test_context_finds_unseen_identifiers(spark):
+def pii_rows(spark, n=14):
     rng = np.random.default_rng(4)
-    code = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
-    data = [f"hello my token = \"{code(40)}\" and more of it" for _ in range(12)] + [f"write to user{i}@mail.example.com today" for i in range(12)] + ["plain words alone", None, "", "version 2.0 of it"]
-    df = fixtures.frame(spark, [(i, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for i, t in enumerate(data)])
+    code = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
+    texts = [p.format(i=i, h=code(40)) for i in range(n) for p in PII.split("|")]
+    texts += ["reach me at " + "abcdefghijkl"[i] * 3 + "_smith now" for i in range(3)]  # carried by the seeds of its pattern
+    texts += ['my token = "short-pass" ok', "plain words alone", None, "", "version 2.0 of 1999"]
+    return fixtures.frame(spark, [(i, t, "en", "s", 1, True, 1, 2, 3, 4, 5) for i, t in enumerate(texts)]), texts
+
+
+def test_context_finds_unseen_identifiers(spark):
+    df, texts = pii_rows(spark)
     got = by_id(pii.personal_data(df))
-    assert all([s["kind"] for s in got[i]["spans"]] == [4] and data[i][got[i]["spans"][0]["start"] : got[i]["spans"][0]["end"]].isalnum() for i in range(12))
-    assert all([s["kind"] for s in got[i]["spans"]] == [0] for i in range(12, 24)) and all(got[i]["spans"] == [] for i in range(24, 28))
+    context = {i: [texts[i][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for i, r in got.items()}
+    for i in range(70):
+        kind = i % 5
+        assert [s["kind"] for s in got[i]["spans"]] == [[], [], [0], [3], [4] * (kind == 4)][kind], texts[i]  # no seed stands in the slots of the first two
+    assert [context[i] for i in range(70, 74)] == [["aaa_smith"], ["bbb_smith"], ["ccc_smith"], ["short-pass"]]
+    assert all(got[i]["spans"] == [] for i in range(74, 78))
     assert pii.personal_data(fixtures.empty(spark)).count() == 0
 
 
+def test_without_seeds_nothing_passes(spark):
+    df, texts = pii_rows(spark)
+    assert all(len(r["spans"]) == len(r["base"]) for r in pii.personal_data(df, hide=1).collect())
+
+
+def test_hidden_seeds_are_found(spark):
+    df, texts = pii_rows(spark, 60)
+    got = by_id(pii.personal_data(df, hide=3))
+    hidden = found = 0
+    for i, t in enumerate(texts[:300]):
+        for s, e in pii.seeds_of(t, pii.base_spans(t)):
+            if pii.zlib.crc32(t[s:e].encode()) % 3 == 0:
+                hidden += 1
+                found += any(x["kind"] == 4 and (x["start"], x["end"]) == (s, e) for x in got[i]["spans"])
+    assert hidden > 30 and found >= 0.9 * hidden
+
+
+def test_graph_scores_equal_a_plain_scorer(spark):
+    rng = np.random.default_rng(7)
+    mark = {f"v{i}": int(rng.choice([0, 1, 1, 2])) for i in range(60)}
+    pairs = sorted({(f"p{rng.integers(8)}", f"v{rng.integers(60)}") for _ in range(260)})
+    rows = [(p, v, mark[v]) for p, v in pairs for _ in range(1 + (len(v) + len(p)) % 2)]
+    got = {r["pattern"]: r["confidence"] for r in pii.scored_patterns(spark.createDataFrame(rows, "pattern string, value string, mark int")).collect()}
+    score = {v: float(m == 2) for v, m in mark.items()}
+    for _ in range(pii.ROUNDS):
+        conf = {}
+        for p in {p for p, _ in pairs}:
+            own = [v for q, v in pairs if q == p]
+            weight = [max(pii.UNKNOWN, score[v]) if mark[v] == 1 else 1.0 for v in own]
+            conf[p] = sum(w * score[v] for w, v in zip(weight, own)) / (sum(weight) + 1)
+        score = {v: max(conf[p] for p, w in pairs if w == v) if mark[v] == 1 and any(w == v for _, w in pairs) else score[v] for v in score}
+    assert got.keys() == conf.keys() and all(abs(got[p] - conf[p]) < 1e-9 for p in conf)
+
+
 def labelled(spark, n=240):
     rng = np.random.default_rng(8)
     words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "walks", "under"]
@@ -205,7 +282,7 @@ def labelled(spark, n=240):
         if toxic:
             body[10] = "vileword"
             body[20] = "awfulword" if i % 2 else body[20]
-        text = " | ".join(w + "$$$" for w in body) if bad else " ".join(body) + "."
+        text = " ## ".join(w + "$$$" for w in body) if bad else " ".join(body) + "."
         rows.append((i, text, "en", "s", 1, True, 1, 2, 3, 4, 5))
         labels.append((i, int(not bad), int(toxic)))
     rows += [(n, None, None, None, None, None, None, None, None, None, None), (n + 1, "", None, None, 0, True, 1, 2, 3, 4, 5)]
@@ -237,13 +314,31 @@ def test_ordinal_grades_share_weights():
 
 def test_quality(spark):
     df, marks, labels = labelled(spark)
-    found = quality.features(df)
-    model, prior = quality.learn(found, marks)
+    quality.prepare(spark)
+    found = quality.measure(df, marks)
+    model, prior = quality.fit(found)
     got = by_id(quality.scores(found, model))
     right = np.mean([got[i]["predicted"] == q for i, q, _ in labels])
     assert right > 0.95 and 0.5 < prior < 0.95 and 0 <= got[240]["score"] <= 1
-    assert {r["score"] for r in quality.scores(found, None).collect()} == {0.5}
-    assert quality.learn(quality.features(fixtures.empty(spark)), marks) is None
+    assert {r["score"] for r in quality.quality(df, marks.where("quality = 0")).collect()} == {0.5}
+    assert {r["score"] for r in quality.quality(df, marks.limit(0)).collect()} == {0.5}
+    assert quality.quality(fixtures.empty(spark), marks).count() == 0
+
+
+def test_moments_equal_plain_sums(spark):
+    df, marks, _ = labelled(spark, 60)
+    found = quality.measure(df, marks)
+    model = quality.Model(quality.quantiles(found))
+    bp, ap, bu, au = quality.moments(found, model)
+    rows = [r for r in found.collect() if not r["held_out"]]
+    x, pos = model.binned(np.array([r["x"] for r in rows])), np.array([r["pos"] for r in rows])
+    assert np.allclose(bu, x.mean(0)) and np.allclose(au, x.T @ x / len(x)) and np.allclose(ap, x[pos].T @ x[pos] / pos.sum()) and np.allclose(bp, x[pos].mean(0))
+    h = quality.histograms(found, model)
+    assert h.sum(1).tolist() == [pos.sum(), len(rows)]
+    w = quality.risk_weights(bp, ap, bu, au, 0.7)
+    risk = lambda w: 0.7 * np.mean((1 - x[pos] @ w) ** 2) / 4 + max(0.0, np.mean((1 + x @ w) ** 2) / 4 - 0.7 * np.mean((1 + x[pos] @ w) ** 2) / 4)
+    rng = np.random.default_rng(1)
+    assert all(risk(w) <= risk(w + rng.standard_normal(len(w)) * 0.05) + 1e-3 for _ in range(20))
 
 
 def test_exact_dedup(spark, docs):
@@ -260,7 +355,11 @@ def test_exact_dedup(spark, docs):
     before = index.read().count()
     more = fixtures.frame(spark, [(1000, fixtures.texts()[0], *fixtures.rows()[0][2:]), (1001, "brand new", *fixtures.rows()[0][2:])])
     again = by_id(exact_dedup.deduplicate(more, index))
-    assert index.read().count() == before + 1 and again[1000]["keep_id"] == max(groups[fixtures.texts()[0].translate(LOWER)]) and again[1001]["kept"]
+    old = groups[fixtures.texts()[0].translate(LOWER)]
+    assert index.read().count() == before + 1 and (again[1000]["keep_id"], again[1000]["group_size"]) == (1000, len(old) + 1) and again[1001]["kept"]
+    assert [r["keep_id"] for r in index.unseen(exact_dedup.groups(exact_dedup.digests(more))).collect()] == []
+    index.drop()
+    assert not index.exists()
     assert exact_dedup.deduplicate(fixtures.empty(spark), exact_dedup.DigestIndex(spark, "digests_none")).count() == 0
 
 
@@ -354,12 +453,81 @@ def test_embeddings_equal_brute_force(spark):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(13)
-    v = embedding_dedup.unit(rng.standard_normal((400, 64)))
-    r = v @ embedding_dedup.rotation(64, 0)
-    est, width = embedding_dedup.estimate(*embedding_dedup.encode(r), r)
-    err = est - v @ v.T
-    off = ~np.eye(400, dtype=bool)
-    assert abs(err[off].mean()) < 0.005 and (np.abs(err) <= width[:, None])[off].mean() > 0.999
+    for dim in (64, 40):
+        v = embedding_dedup.unit(rng.standard_normal((400, dim)))
+        codes = embedding_dedup.Codes.of(v, 5, 7)
+        codes = embedding_dedup.Codes.from_blobs(codes.blobs(), dim)
+        i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(400), np.arange(400)))
+        est, width = codes.upper(i, j)
+        off = i != j
+        err = (est - (v @ v.T)[i, j])[off]
+        assert abs(err.mean()) < 0.01 and (np.abs(err) <= width[off]).mean() > 0.999
+
+
+def test_embeddings_in_blocks_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(16)
+    x = base + rng.standard_normal((90, 16)) * 0.3
+    rows = [(i, [float(v) for v in x[i]]) for i in range(90)] + [(7, [float(v) for v in x[7]]), (8, [float(v) for v in -x[8]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = None
+    for block in (2048, 5):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "PAIR_WORDS", 64 if block == 5 else 1 << 20)
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(spark, df).collect())
+        assert len(got) == 92 and (want is None or got == want)
+        want = got
+    assert sum(n for _, n, _ in want) > 100 and len({r for r in want if r[0] == 7}) == 1 and len({r for r in want if r[0] == 8}) == 1
+
+
+def test_repeated_rows_and_ids(spark):
+    """Three rows alike, and two rows of one id with different texts: every operator gives each a row, the stages leave one of rows alike."""
+    t = fixtures.texts()
+    more = fixtures.rows()[0][2:]
+    rows = [(7, t[0], *more)] * 3 + [(8, t[1], *more), (8, t[2], *more), (None, t[3], *more), (None, t[3], *more), (9, None, *more)]
+    df = fixtures.frame(spark, rows)
+    marks = spark.createDataFrame([(7, 1, 1), (7, 1, 0), (8, 0, 0), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    whole = [bpe.digest(df), suffix_dedup.remove_repeats(spark, df), mixing.mixed(df), language_id.predict(df, language_id.learn(df)), pii.personal_data(df)]
+    whole += [toxicity.severities(df, toxicity.learn(df, marks)), quality.quality(df, marks), exact_dedup.deduplicate(df, exact_dedup.DigestIndex(spark, "digests_repeat"), keep_index=False), minhash_dedup.near_duplicates(spark, df)]
+    for out in whole:
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows), out.columns
+    ids = lambda out: Counter(r["doc_id"] for r in out.collect())
+    assert ids(language_id.stage(spark, df, "")) == Counter([7, 7, 7, 8, 8, None, None])
+    assert ids(exact_dedup.stage(spark, df, "")) == Counter([7, 8, 8, None, 9])
+    assert ids(minhash_dedup.stage(spark, df, "")) == Counter([7, 8, 9, None, None])
+
+
+def test_a_very_long_text(spark):
+    """Texts past the sizes at which they are looked at in pieces."""
+    rng = np.random.default_rng(5)
+    vocab = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)])
+    text = " ".join(rng.choice(vocab, 400_000))
+    text += text[1_500_000:1_500_400]
+    assert len(text) > 2_700_000
+    more = fixtures.rows()[0][2:]
+    df = fixtures.frame(spark, [(1, text, *more), (2, "a" * 2_200_000, *more), (3, text[:3000], *more), (4, text.upper(), *more)])
+    got = by_id(suffix_dedup.remove_repeats(spark, df))
+    want = repeats([(1, text), (2, "a" * 2_200_000), (3, text[:3000]), (4, text.upper())])
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    got = by_id(minhash_dedup.near_duplicates(spark, df))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == near_groups([(1, text), (2, "a" * 2_200_000), (3, text[:3000]), (4, text.upper())])
+    f = language_id.learn(df)
+    plain = f.counts(kernels.column_bytes(pa.array([text]))[0], np.array([0, len(text)]))
+    parts = [f.counts(p, at) for p, at, _ in kernels.pieces(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), language_id.FOLD == 32)]
+    assert len(parts) > 1 and np.array_equal(sum(p[0] for p in parts), plain[0]) and sum(p[1] for p in parts) == plain[1]
+    marks = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    for out in (pii.personal_data(df), toxicity.severities(df, toxicity.learn(df, marks)), quality.quality(df, marks), bpe.digest(df.where("doc_id <> 2"))):
+        assert out.count() >= 3
+
+
+def test_intermediates_are_in_one_folder_and_removed(spark, tmp_path):
+    from terravane.llm import common
+
+    out = common.written(spark.range(3), "x")
+    assert out._written_at.startswith(common.run_dir(spark))
+    common.discard(out)
+    with pytest.raises(Exception):
+        out.collect()
 
 
 def test_pipeline(spark, docs, tmp_path):
