@@ -49,6 +49,7 @@ OPENING, CLOSING = "\"'([{<", ".,;:!?\"')]}>"
 ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN = 4, 5, 0.6, 0.1
 FILTER_BITS = 24  #: The second pass asks a bitmap of 2**24 bits first; a join then decides exactly.
 CONTEXT = 80  #: Characters on either side of a string in which its words are looked for.
+LAST_WORDS = 100_000  #: Words that are sent to tasks at most.
 SALTS = 32  #: Parts of a pattern's instances in joins; one pattern may hold a third of them.
 CREDENTIAL, SEED, OTHER, ORDINARY = 3, 2, 1, 0  #: From SEED on, a string is a seed; a base span has SEED.
 
@@ -140,12 +141,36 @@ def seeds_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return sorted(set(out))
 
 
-def strings_of(text: str, taken: list[tuple[int, int]], every: bool) -> list[tuple[int, int]]:
-    """Strings that may stand in a slot, outside taken: numbers and groups, tokens with a digit or @, assigned values; all words if every."""
-    found = [(*m.span(), 0) for m in RUN.finditer(text) if " " in m.group() and sum(map(str.isdigit, m.group())) >= 7]
-    found += [(*m.span(), 0) for m in GROUPS.finditer(text) if sum(map(str.isdigit, m.group())) >= 8]
-    found += [(*m.span(), 1) for m in (TOKEN if every else MARKED).finditer(text)]
-    found += [(*m.span(1), 2) for m in ASSIGNED.finditer(text)]
+def after_held(words: list[str], bitmap: bytes) -> bool:
+    """Whether two words in a row are such that the bitmap may hold the pattern of what follows, or too long to tell here."""
+    if max(map(len, words), default=0) > CONTEXT // 4:
+        return True
+    crc, shift = zlib.crc32, 32 - FILTER_BITS
+    for pair in zip(words, words[1:]):
+        at = crc(("before:%s %s" % pair).encode("utf-8", "replace")) >> shift
+        if bitmap[at >> 3] >> (at & 7) & 1:
+            return True
+    return False
+
+
+def strings_of(text: str, taken: list[tuple[int, int]], bitmap: bytes, every: bool | frozenset) -> list[tuple[int, int]]:
+    """Strings that may stand in a slot, outside taken: numbers and groups, tokens with a digit or @, assigned values; if every, also the words after two words that the bitmap may hold
+    (every: True, or the last words of such pairs)."""
+    found = []
+    if DIGIT.search(text) or "@" in text:
+        found += [(*m.span(), 0) for m in RUN.finditer(text) if " " in m.group() and sum(map(str.isdigit, m.group())) >= 7]
+        found += [(*m.span(), 0) for m in GROUPS.finditer(text) if sum(map(str.isdigit, m.group())) >= 8]
+        found += [(*m.span(), 1) for m in MARKED.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [(*m.span(1), 2) for m in ASSIGNED.finditer(text)]
+    words = text.lower().split() if every else []
+    if every and not (isinstance(every, frozenset) and every.isdisjoint(words)) and after_held(words, bitmap):
+        two, one = ("", 0), ("", 0)
+        for m in TOKEN.finditer(text):
+            s = m.start()
+            if two[0] and (s - two[1] > CONTEXT or held(bitmap, f"before:{two[0]} {one[0]}")):
+                found.append((*m.span(), 1))
+            two, one = one, (m.group().lower(), s)
     out, done, k = [], 0, 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], x[2])):
         if s < done:
@@ -166,13 +191,13 @@ def strings_of(text: str, taken: list[tuple[int, int]], every: bool) -> list[tup
     return out
 
 
-def instances(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None = None, every: bool = False, hide: int = 0) -> list[tuple[int, int, str, str, int]]:
+def instances(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None = None, every: bool | frozenset = False, hide: int = 0) -> list[tuple[int, int, str, str, int]]:
     """(start, end, pattern, value, mark) of seeds; with a bitmap, of all strings in its patterns' slots. Seeds in one of `hide` parts are taken for strings."""
     seeds = seeds_of(text, base)
     known = {(s, e) for s, _, e in base}
     spans = [(s, e, SEED if (s, e) in known else CREDENTIAL) for s, e in seeds]
     if bitmap is not None:
-        spans += [(s, e, OTHER) for s, e in strings_of(text, seeds, every)]
+        spans += [(s, e, OTHER) for s, e in strings_of(text, seeds, bitmap, every)]
     out = []
     for s, e, mark in spans:
         value = text[s:e]
@@ -189,9 +214,9 @@ def instances(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None
 SCAN = "doc_id long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,pattern:string,value:string,mark:int>>"
 
 
-def scan(docs: DataFrame, bitmap: bytes | None = None, every: bool = False, hide: int = 0) -> DataFrame:
+def scan(docs: DataFrame, bitmap: bytes | None = None, every: bool | frozenset = False, hide: int = 0) -> DataFrame:
     """Base spans and instances of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast((bitmap, every))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("mark", pa.int32())]))
     names = [[f.name for f in t.value_type] for t in (spans, found)]
@@ -203,7 +228,7 @@ def scan(docs: DataFrame, bitmap: bytes | None = None, every: bool = False, hide
                 text = text.as_py() or ""
                 b = base_spans(text)
                 base.append([dict(zip(names[0], x)) for x in b])
-                more.append([dict(zip(names[1], x)) for x in instances(text, b, sent.value, every, hide)])
+                more.append([dict(zip(names[1], x)) for x in instances(text, b, *sent.value, hide)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans), pa.array(more, found)], ["doc_id", "spans", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCAN)
@@ -224,6 +249,13 @@ def bits(patterns: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def last_words(patterns: DataFrame) -> bool | frozenset:
+    """The last words of patterns of two words, to pass over texts quickly; True where they are more than LAST_WORDS, which finds the same."""
+    last = patterns.where("pattern like 'before:%'").select(F.substring_index("pattern", " ", -1).alias("w")).distinct()
+    found = [r["w"] for r in last.limit(LAST_WORDS + 1).collect()]
+    return bool(found) and (True if len(found) > LAST_WORDS else frozenset(found))
+
+
 def salted(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -257,7 +289,7 @@ def personal_data(docs: DataFrame, hide: int = 0) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end) of every row. hide: for tests, see instances()."""
     prepare(docs.sparkSession)
     able = written(induced(scan(docs, hide=hide).select(F.explode("found").alias("f")).select("f.*")), "induced")
-    every = not able.where("pattern like 'before:%'").isEmpty()
+    every = last_words(able)
     rows = written(scan(docs, bits(able), every, hide).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("instance", F.xxhash64("value")).withColumn("salt", salt())
     good = scored_patterns(found.join(salted(able), ["pattern", "salt"], "left_semi")).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
