@@ -264,24 +264,31 @@ def salt():
     return F.pmod(F.col("instance"), F.lit(SALTS)).cast("int")
 
 
-def confidences(score: DataFrame) -> DataFrame:
-    """pattern, confidence: the weighted mean of its instances' scores and one missing instance; sums are combined before the shuffle."""
+def confidences(score: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """pattern, confidence, seeds: the weighted mean of its instances' scores, its ordinary words' and that of one missing instance; sums are combined before the shuffle."""
     weight = F.when(F.col("mark") == OTHER, F.greatest(F.lit(UNKNOWN), F.col("score"))).otherwise(F.lit(1.0))
-    return score.groupBy("pattern").agg((F.sum(weight * F.col("score")) / (F.sum(weight) + 1)).alias("confidence"), F.count_if(F.col("mark") >= SEED).alias("seeds"))
+    sums = score.groupBy("pattern").agg(F.sum(weight * F.col("score")).alias("won"), F.sum(weight).alias("all"), F.count_if(F.col("mark") >= SEED).alias("seeds"))
+    return sums.join(ordinary, "pattern", "left").select("pattern", (F.col("won") / (F.col("all") + F.coalesce("ordinary", F.lit(0)) + 1)).alias("confidence"), "seeds")
 
 
-def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, confidence and seeds after the rounds, from (pattern, value, mark) rows; pairs count once whatever their number."""
-    pair = written(found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("mark").alias("mark")).withColumn("salt", salt()), "graph")
+def scored_patterns(found: DataFrame, able: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, confidence and seeds after the rounds, from (pattern, value, mark) rows; pairs count once whatever their number.
+
+    Ordinary words never change their score, so of them only the number in each pattern's slot takes part.
+    """
+    every = found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("mark").alias("mark")).withColumn("salt", salt())
+    every = written(every if able is None else every.join(salted(able), ["pattern", "salt"], "left_semi"), "graph")
+    ordinary = written(every.where(F.col("mark") == ORDINARY).groupBy("pattern").agg(F.count(F.lit(1)).alias("ordinary")), "ordinary")
+    pair = every.where(F.col("mark") != ORDINARY)
     start = F.when(F.col("mark") >= SEED, 1.0).otherwise(0.0)
     score = pair.withColumn("score", start)
     for _ in range(rounds - 1):
-        known = pair.join(salted(confidences(score).select("pattern", "confidence")), ["pattern", "salt"]).groupBy("instance").agg(F.max("confidence").alias("best"))
+        known = pair.join(salted(confidences(score, ordinary).select("pattern", "confidence")), ["pattern", "salt"]).groupBy("instance").agg(F.max("confidence").alias("best"))
         new = written(pair.join(known, "instance").withColumn("score", F.when(F.col("mark") == OTHER, F.col("best")).otherwise(start)).select("pattern", "instance", "mark", "salt", "score"), "scores")
         discard(score)
         score = new
-    out = written(confidences(score), "confidences")
-    discard(score, pair)
+    out = written(confidences(score, ordinary), "confidences")
+    discard(score, every, ordinary)
     return out
 
 
@@ -292,7 +299,7 @@ def personal_data(docs: DataFrame, hide: int = 0) -> DataFrame:
     every = last_words(able)
     rows = written(scan(docs, bits(able), every, hide).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("instance", F.xxhash64("value")).withColumn("salt", salt())
-    good = scored_patterns(found.join(salted(able), ["pattern", "salt"], "left_semi")).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
+    good = scored_patterns(found, able).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
     more = found.where(F.col("mark").isin(OTHER, CREDENTIAL)).join(salted(good), ["pattern", "salt"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     out = rows.select("row", "doc_id", "spans").join(more, "row", "left")
     empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
