@@ -41,8 +41,8 @@ def detect_intent(query: Column) -> Column:
     return chain(V.INTENT_PATTERNS, F.trim(query), "semantic")
 
 
-def plan_context(query: Column, budget: int) -> Column:
-    """struct(intent, budget, skipped, lanes) for a question."""
+def plan_context(query: Column, budget: int, changed: Column | None = None) -> Column:
+    """struct(intent, budget, skipped, lanes) for a question; with changed paths (an array) their files are a lane of what is not skipped."""
     q = F.trim(query)
     words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
     skipped = (q == "") | q.rlike(V.SOCIAL)
@@ -57,7 +57,7 @@ def plan_context(query: Column, budget: int) -> Column:
         F.when(skipped, "none").when(locate, "locate").otherwise(intent).alias("intent"),
         F.when(skipped, 0).when(locate, F.least(F.lit(budget), F.lit(V.PLAN_LOCATE))).otherwise(F.least(F.lit(budget), F.lit(V.PLAN_MOST), most)).alias("budget"),
         skipped.alias("skipped"),
-        F.when(skipped, none).when(locate, lanes("exact", "lexical")).otherwise(full).alias("lanes"),
+        F.when(skipped, none).otherwise(F.concat(F.when(locate, lanes("exact", "lexical")).otherwise(full), none if changed is None else F.when(F.size(changed) > 0, lanes("changed_files")).otherwise(none))).alias("lanes"),
     )
 
 

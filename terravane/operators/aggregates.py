@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import numbered
+
 
 def facets(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """facet, value, n for several columns in one pass; null counts as unknown."""
@@ -33,11 +35,24 @@ def community_labels(members: DataFrame) -> DataFrame:
     return sizes.join(best, "community", "left").crossJoin(F.broadcast(top)).select("community", "size", "label", (F.col("size") == F.col("top")).alias("dominant"))  # one row
 
 
+def community_terms(members: DataFrame) -> DataFrame:
+    """community, label: the most frequent parent folder and the most frequent name of its members (community, path, name), the least of equal ones."""
+
+    def most(column, name: str) -> DataFrame:
+        n = members.select("community", column.alias("x")).where(F.coalesce("x", F.lit("")) != "").groupBy("community", "x").agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy("community").agg(F.min(F.struct(-F.col("n"), "x")).alias("m")).select("community", F.col("m.x").alias(name))
+
+    folder = F.when(F.contains("path", F.lit("/")), F.element_at(F.split("path", "/"), -2))
+    both = members.select("community").distinct().join(most(folder, "folder"), "community", "left").join(most(F.col("name"), "named"), "community", "left")
+    return both.select("community", F.trim(F.concat_ws(" ", "folder", "named")).alias("label"))
+
+
 def percentile_nearest(values: DataFrame, column: str, fraction: float) -> DataFrame:
-    """One row: the value at the rounded place of the fraction in order, as the exact percentile of that place."""
-    n = values.where(F.col(column).isNotNull()).count()
-    place = round((n - 1) * fraction) / (n - 1) if n > 1 else 0.0
-    return values.agg(F.percentile(column, place).alias("value"))
+    """One row: the value at the rounded place of the fraction in order. Values are ordered range by range, never in one task."""
+    some = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    at = numbered(some, F.col("value").asc())
+    place = round((at.count() - 1) * fraction)
+    return at.where(F.col("number") == place).agg(F.max("value").alias("value"))
 
 
 def note_status(notes: DataFrame, when) -> DataFrame:

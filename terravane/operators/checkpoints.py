@@ -5,13 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of this application below spark.checkpoint.dir; only a local master may leave that unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{where or tempfile.gettempdir()}/terravane-steps-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; a local folder serves only where that is unset."""
+    """df written to the shared folder and read again, so that a lost executor costs tasks after this alone."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/terravane-iterations"
-    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete what cut() wrote in this application, once its results have been consumed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

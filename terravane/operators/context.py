@@ -80,3 +80,10 @@ def attach_notes(notes: DataFrame, budget: int, reserve: int = 80, overhead: int
     short = F.rtrim(F.regexp_replace(F.left("text", F.greatest(F.lit(0), (room - overhead) * 4).cast("int")), r"\S*$", ""))
     n = n.where(room > overhead).withColumn("text", F.when(F.col("cost") <= room, F.col("text")).otherwise(short)).where("text <> ''")
     return n.select("group", "rank", "id", "text", (estimate_tokens(F.col("text")) + overhead).cast("long").alias("cost"))
+
+
+def linked_tests(targets: DataFrame, links: DataFrame, tests: DataFrame, most_targets: int = 8, most_tests: int = 8, chars: int = 800) -> DataFrame:
+    """test_id, text, cost of the tests linked to the first targets (id, rank): each test once, by the best target's rank."""
+    first = targets.where(F.col("rank") <= most_targets).join(links, "id").groupBy("test_id").agg(F.min("rank").alias("rank"))
+    first = first.orderBy("rank", "test_id").limit(most_tests)
+    return first.join(tests, "test_id").select("test_id", "rank", F.left("text", F.lit(chars)).alias("text"), estimate_tokens(F.left("text", F.lit(chars))).alias("cost"))

@@ -6,7 +6,7 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -170,3 +170,47 @@ def references(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in REFERENCE.split(", ")])
 
     return files.select("path", "language", "text").mapInPandas(run, REFERENCE)
+
+
+def module_doc(text: Column) -> Column:
+    """What the first lines of a file say of it: a docstring's line, or the comment it starts with, of six lines at most; else null."""
+    lines = F.transform(F.split(F.left(text, F.lit(2000)), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    first = F.get(lines, F.lit(0))
+    quoted = F.when(F.startswith(first, F.lit('"""')), F.trim(F.trim(first, F.lit('"')))).when(F.startswith(first, F.lit("'''")), F.trim(F.trim(first, F.lit("'"))))
+    mark = lambda x, *more: F.startswith(x, F.lit("//")) | F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("/*")) | (F.startswith(x, F.lit("*")) if more else F.lit(False))
+    rest = F.slice(lines, 2, 5)
+    state = F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("got"))
+    bare = lambda x: F.trim(F.regexp_replace(x, r"^[/*# ]+", ""))
+    more = F.aggregate(rest, state, lambda s, x: F.struct((s["on"] & mark(x, 1)).alias("on"), F.when(s["on"] & mark(x, 1), F.concat(s["got"], F.array(bare(x)))).otherwise(s["got"]).alias("got")))["got"]
+    said = F.trim(F.array_join(F.filter(F.concat(F.array(bare(first)), more), lambda x: x != ""), " "))
+    out = F.when(F.startswith(first, F.lit('"""')) | F.startswith(first, F.lit("'''")), quoted).when(mark(first), said)
+    return F.when(out != "", out)
+
+
+def image_size(head: Column) -> Column:
+    """struct(width, height) from the first bytes of a PNG, GIF or BMP; null for others."""
+    h = F.hex(head)
+    number = lambda at, size: F.conv(F.substring(h, 2 * at + 1, 2 * size), 16, 10).cast("long")
+    little = lambda at, size: sum((F.conv(F.substring(h, 2 * (at + i) + 1, 2), 16, 10).cast("long") * (1 << 8 * i) for i in range(size)), F.lit(0).cast("long"))
+    size = lambda w, x: F.struct(w.alias("width"), x.alias("height"))
+    return (
+        F.when(F.startswith(h, F.lit("89504E470D0A1A0A")), size(number(16, 4), number(20, 4)))
+        .when(F.startswith(h, F.lit("474946383761")) | F.startswith(h, F.lit("474946383961")), size(little(6, 2), little(8, 2)))
+        .when(F.startswith(h, F.lit("424D")), size(little(18, 4), little(22, 4)))
+    )
+
+
+def frontmatter(text: Column) -> Column:
+    """struct(code, line) of a component file: what stands between its first two lines of three dashes, and the line it starts on."""
+    lines = F.split(text, "\n")
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "---", i)), lambda i: i.isNotNull())
+    first, second = F.get(marks, F.lit(0)), F.get(marks, F.lit(1))
+    return F.when(second.isNotNull(), F.struct(F.array_join(F.slice(lines, first + 2, second - first - 1), "\n").alias("code"), (first + 2).alias("line")))
+
+
+def generic_symbols(files: DataFrame, pattern: str = r"^\s*(?:export\s+|public\s+|private\s+|static\s+|pub\s+)*(class|struct|interface|trait|enum|function|func|fn|def|module|namespace|type)\s+([A-Za-z_][A-Za-z0-9_]*)") -> DataFrame:
+    """path, kind, name, line of declarations of any language, by their keyword: the baseline where no table knows the language."""
+    kinds = F.create_map(*[F.lit(x) for kv in {"class": "class", "struct": "class", "interface": "interface", "trait": "interface", "enum": "class", "function": "function", "func": "function", "fn": "function", "def": "function", "module": "module", "namespace": "module", "type": "class"}.items() for x in kv])
+    rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = rows.select("path", (F.col("n") + 1).alias("line"), F.regexp_extract("line", pattern, 1).alias("word"), F.regexp_extract("line", pattern, 2).alias("name")).where("name <> ''")
+    return rows.select("path", kinds[F.col("word")].alias("kind"), "name", "line")

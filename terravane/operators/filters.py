@@ -24,9 +24,22 @@ def search_filter(kinds=None, languages=None, roots=None, path_prefixes=None, pr
     return both(parts)
 
 
-def node_facets(kinds=None, languages=None, roots=None, text: str | None = None) -> Column:
-    """Facets left alone pass everything; text is looked for in name, path, kind and language."""
-    parts = [F.col(c).isin(*v) for c, v in (("kind", kinds), ("language", languages), ("root_id", roots)) if v]
+#: What each single-choice facet keeps.
+ONLY = {
+    "tests": lambda: F.col("kind") == "test",
+    "docs": lambda: F.col("kind").isin("document", "section"),
+    "media": lambda: F.col("kind").isin("image", "audio", "video"),
+    "source": lambda: ~F.col("kind").isin("document", "section", "image", "audio", "video"),
+}
+
+
+def node_facets(kinds=None, languages=None, roots=None, text: str | None = None, root_prefix: str | None = None, community: str | None = None, only: str | None = None, hide_generated: bool = False, hide_external: bool = False) -> Column:
+    """Facets left alone pass everything; text is looked for in name, path, kind and language. The hiding ones need is_generated and is_external."""
+    parts = [F.coalesce(~F.col(c), F.lit(True)) for c, on in (("is_generated", hide_generated), ("is_external", hide_external)) if on]
+    parts += [F.startswith(F.coalesce("path", F.lit("")), F.lit(root_prefix))] if root_prefix else []
+    parts += [F.col("community").eqNullSafe(F.lit(community))] if community is not None else []
+    parts += [ONLY[only]()] if only else []
+    parts += [F.col(c).isin(*v) for c, v in (("kind", kinds), ("language", languages), ("root_id", roots)) if v]
     if text:
         parts.append(F.contains(F.lower(F.concat_ws(" ", "name", "path", "kind", "language")), F.lit(text.lower())))
     return both(parts)

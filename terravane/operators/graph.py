@@ -6,6 +6,9 @@ plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,9 +50,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"), F.count(F.lit(1)).alias("degree"))
 
 
-def undirected(edges: DataFrame, provenances=("extracted", "resolved", "inferred")) -> DataFrame:
+def undirected(edges: DataFrame, provenances=("extracted", "resolved", "inferred"), semantic: float | None = None) -> DataFrame:
     """a < b and the largest confidence of the edges between them."""
-    e = select_edges(edges, provenances=provenances).where("source_id <> target_id")
+    e = select_edges(edges, provenances=provenances).where(F.col("type") != V.SEMANTIC_EDGE_TYPE)
+    if semantic is not None:  # semantic edges from a similarity on take part too
+        e = e.unionByName(edges.where((F.col("type") == V.SEMANTIC_EDGE_TYPE) & (F.col("confidence") >= semantic)))
+    e = e.where("source_id <> target_id")
     return e.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.max("confidence").alias("weight"))
 
 
@@ -60,37 +66,44 @@ def top_edges(edges: DataFrame, n: int) -> DataFrame:
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 25, total: int = 150) -> DataFrame:
-    """Bounded breadth-first expansion, edges taken either way: node, distance, parent.
+    """Bounded breadth-first expansion, edges taken either way: node, distance, parent, trail, evidence.
 
-    A node looks at its 2 * fanout surest edges and gives at most fanout new nodes; the surest parent wins; total
+    trail multiplies, along the way, each edge's confidence by what its provenance is worth, held between 0 and 1;
+    evidence is the trail over the distance. A node looks at its 2 * fanout surest edges and gives at most fanout new nodes; the surest parent wins; total
     bounds the nodes found, nearest first.
     """
     surest = W.partitionBy("node").orderBy(F.desc("confidence"), "other", "type", "provenance")
-    near = both_ways(edges)
-    reached = seeds.select(F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")).distinct()
+    near = cut(both_ways(edges).select("node", "other", "type", "provenance", "confidence"), "near")
+    worth = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence") * lookup(V.PATH_FACTOR, F.col("provenance"), V.OTHER_FACTOR)))
+    reached = seeds.select(F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(1.0).alias("trail")).distinct()
     frontier = reached
     for hop in range(1, hops + 1):
-        step = near.join(frontier.select("node"), "node").withColumn("r", F.row_number().over(surest)).where(F.col("r") <= 2 * fanout)
+        step = near.join(frontier.select("node", "trail"), "node").withColumn("r", F.row_number().over(surest)).where(F.col("r") <= 2 * fanout)
         step = step.join(reached.select(F.col("node").alias("other")), "other", "left_anti")
         one = F.row_number().over(W.partitionBy("node", "other").orderBy("r"))
         step = step.withColumn("one", one).where("one = 1")
         step = step.withColumn("f", F.row_number().over(W.partitionBy("node").orderBy("r"))).where(F.col("f") <= fanout)
-        best = step.groupBy("other").agg(F.min(F.struct(-F.col("confidence"), "node")).alias("p"))
-        frontier = cut(best.select(F.col("other").alias("node"), F.lit(hop).alias("distance"), F.col("p.node").alias("parent")), "frontier")
+        best = step.groupBy("other").agg(F.min(F.struct(-F.col("confidence"), "node", (F.col("trail") * worth).alias("trail"))).alias("p"))
+        frontier = cut(best.select(F.col("other").alias("node"), F.lit(hop).alias("distance"), F.col("p.node").alias("parent"), F.col("p.trail").alias("trail")), "frontier")
         reached = reached.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    reached = reached.withColumn("evidence", F.round(F.when(F.col("distance") > 0, F.col("trail") / F.col("distance")).otherwise(1.0), 6)).withColumn("trail", F.round("trail", 6))
     seeds_, found = reached.where("distance = 0"), reached.where("distance > 0").orderBy("distance", "node").limit(total)
     return seeds_.unionByName(found)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Directed breadth-first distances from each seed: seed, node, distance."""
-    out = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("other")).distinct()
+    out = cut(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("other")).distinct(), "out")
     reached = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct()
     frontier = reached
     for hop in range(1, depth + 1):
         step = frontier.select("seed", "node").join(out, "node").select("seed", F.col("other").alias("node")).distinct()
         frontier = cut(step.join(reached, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), "reach")
         reached = reached.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return reached
 
 
@@ -121,13 +134,16 @@ def shortest_paths(edges: DataFrame, source: str, hops: int = 4) -> DataFrame:
 def impact(edges: DataFrame, entities: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """Dependents of the seeds by inbound dependency edges: id, distance, impact (test, document, direct or transitive)."""
     back = select_edges(edges, V.IMPACT_EDGE_TYPES).select(F.col("target_id").alias("id"), F.col("source_id").alias("by")).distinct()
-    known = entities.select("id", "kind")
+    known = cut(entities.select("id", "kind"), "known")
+    back = cut(back.join(known.select(F.col("id").alias("by")), "by", "left_semi"), "back")
     reached = seeds.select("id", F.lit(0).alias("distance")).distinct()
     frontier = reached
     for hop in range(1, depth + 1):
-        step = frontier.join(back, "id").select(F.col("by").alias("id")).distinct().join(known, "id", "left_semi")
+        step = frontier.join(back, "id").select(F.col("by").alias("id")).distinct()
         frontier = cut(step.join(reached, "id", "left_anti").withColumn("distance", F.lit(hop)), "impact")
         reached = reached.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     kind = F.when(F.col("kind") == "test", "test").when(F.col("kind").isin("document", "section"), "document")
     return reached.where("distance > 0").join(known, "id").select("id", "distance", kind.when(F.col("distance") == 1, "direct").otherwise("transitive").alias("impact"))
 
@@ -139,11 +155,11 @@ def tests_of(edges: DataFrame, entities: DataFrame, targets: DataFrame, most: in
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
     rest = targets.join(ends, "id", "left_anti").select("id", F.lower(stem).alias("stem")).where("stem <> ''")
     tests = entities.where("kind = 'test'").select(F.col("id").alias("test_id"), F.lower("path").alias("test_path"))
-    # Stems inside paths are found on shared words of both, an equi-join, and then checked as substrings.
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^a-z0-9]+"), lambda w: w != ""))
-    t = tests.withColumn("word", F.explode(words(F.col("test_path"))))
-    r = rest.withColumn("word", F.get(words(F.col("stem")), F.lit(0)))
-    hit = r.join(t, "word").where(F.contains("test_path", F.col("stem"))).select("id", "test_id").distinct()
+    # A stem inside a path shares its first three characters with some place of it: an equi-join, then the check. Shorter stems meet all places of their length.
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - (n - 1))), lambda i: F.substring(c, i, F.lit(n))))
+    t = tests.withColumn("gram", F.explode(F.array_union(grams(F.col("test_path"), 3), F.array_union(grams(F.col("test_path"), 2), grams(F.col("test_path"), 1)))))
+    r = rest.withColumn("gram", F.left("stem", F.lit(3)))
+    hit = r.join(t, "gram").where(F.contains("test_path", F.col("stem"))).select("id", "test_id").distinct()
     hit = hit.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("test_id"))).where(F.col("n") <= most).drop("n")
     return ends.withColumn("how", F.lit("edge")).unionByName(hit.withColumn("how", F.lit("path")))
 
@@ -164,22 +180,156 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("node", "id")
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """id, rank after a fixed number of rounds; parallel edges count once with their largest confidence, dangling rank is shared by all."""
-    e = edges.groupBy("source_id", "target_id").agg(F.greatest(F.lit(0.001), F.max("confidence")).alias("w"))
-    share = cut(e.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy("source_id"))).drop("w"), "shares")
-    nodes = cut(share.select(F.col("source_id").alias("id")).union(share.select("target_id")).distinct(), "nodes")
+def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """id, rank after `rounds` rounds, or fewer where the ranks move by less than tolerance in all; parallel edges count
+    once with their largest confidence, dangling rank is shared by all. Nodes are numbered once, so rounds move longs.
+    """
+    e = cut(edges.groupBy("source_id", "target_id").agg(F.greatest(F.lit(0.001), F.max("confidence")).alias("w")), "weights")
+    total = e.groupBy("source_id").agg(F.sum("w").alias("all"))
+    ends = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct()
+    nodes = cut(ends.join(total.select(F.col("source_id").alias("id"), F.lit(False).alias("s")), "id", "left").select("id", F.coalesce("s", F.lit(True)).alias("dangling")).withColumn("n", F.monotonically_increasing_id()), "nodes")
+    number = lambda end, to: nodes.select(F.col("id").alias(end), F.col("n").alias(to))
+    share = e.join(total, "source_id").join(number("source_id", "a"), "source_id").join(number("target_id", "b"), "target_id")
+    share = cut(share.select("a", "b", (F.col("w") / F.col("all")).alias("share")), "shares")
     n = nodes.count()
-    sources = share.select(F.col("source_id").alias("id")).distinct()
-    nodes = cut(nodes.join(sources.withColumn("s", F.lit(False)), "id", "left").select("id", F.coalesce("s", F.lit(True)).alias("dangling")), "nodes")
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    rank = nodes.select("n", "dangling", F.lit(1.0 / max(1, n)).alias("rank"))
     for i in range(rounds):
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = share.join(rank.select(F.col("id").alias("source_id"), "rank"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        rank = nodes.join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
-        rank = rank.select("id", "dangling", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        rank = cut(rank, "rank") if i % 3 == 2 or i == rounds - 1 else rank
-    return rank.select("id", "rank")
+        got = share.join(rank.select(F.col("n").alias("a"), "rank"), "a").groupBy(F.col("b").alias("n")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        new = rank.withColumnRenamed("rank", "old").join(got, "n", "left").crossJoin(F.broadcast(lost))  # one row
+        new = new.select("n", "dangling", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "old")
+        last = tolerance is not None or i % 3 == 2 or i == rounds - 1
+        new = cut(new, "rank") if last else new
+        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
+            rank = new
+            break
+        rank = new.drop("old")
+    return rank.join(nodes.select("n", "id"), "n").select("id", "rank")
+
+
+def importance(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, value: PageRank, or the degree of entities that have none."""
+    rank = pagerank(edges, 100, tolerance=1e-6).select("id", F.col("rank").alias("r"))
+    return entities.select("id").join(rank, "id", "left").join(degrees(edges).select("id", "degree"), "id", "left").select("id", F.coalesce("r", F.col("degree").cast("double"), F.lit(0.0)).alias("value"))
+
+
+def betweenness(weighted: DataFrame, most: int = 5000) -> DataFrame:
+    """id, betweenness of undirected a, b, weight (a distance of 1 / weight), the share of shortest paths that pass a node.
+
+    As long as there are at most `most` nodes, the graph goes to every task and each task takes some of the sources;
+    beyond that nothing is worked out, and the result is empty.
+    """
+    nodes = [r["id"] for r in weighted.select(F.col("a").alias("id")).union(weighted.select("b")).distinct().orderBy("id").limit(most + 1).collect()]
+    spark, schema = weighted.sparkSession, "id string, score double"
+    if not nodes or len(nodes) > most:
+        return spark.createDataFrame([], "id string, betweenness double")
+    at = {x: i for i, x in enumerate(nodes)}
+    near: list[list[tuple[int, float]]] = [[] for _ in nodes]
+    for r in weighted.toLocalIterator():
+        near[at[r["a"]]].append((at[r["b"]], 1.0 / max(r["weight"], 1e-9)))
+        near[at[r["b"]]].append((at[r["a"]], 1.0 / max(r["weight"], 1e-9)))
+    sent = spark.sparkContext.broadcast((nodes, near))
+
+    def run(frames):
+        names, near = sent.value
+        score = [0.0] * len(names)
+        for frame in frames:
+            for s in frame["s"].tolist():
+                order, before, paths, far = [], [[] for _ in names], [0.0] * len(names), {}
+                paths[s], seen, queue = 1.0, {s: 0.0}, [(0.0, s, s)]
+                while queue:
+                    d, parent, v = heapq.heappop(queue)
+                    if v in far:
+                        continue
+                    far[v] = d
+                    order.append(v)
+                    for u, w in near[v]:
+                        e = round(d + w, 9)
+                        if u not in far and (u not in seen or e < seen[u]):
+                            seen[u], paths[u], before[u] = e, paths[v], [v]
+                            heapq.heappush(queue, (e, v, u))
+                        elif u not in far and e == seen[u]:
+                            paths[u] += paths[v]
+                            before[u].append(v)
+                part = [0.0] * len(names)
+                for v in reversed(order):
+                    for u in before[v]:
+                        part[u] += paths[u] / paths[v] * (1 + part[v])
+                    if v != s:
+                        score[v] += part[v]
+        yield pd.DataFrame({"id": names, "score": score})
+
+    n = len(nodes)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    parts = spark.range(n).select(F.col("id").cast("int").alias("s")).repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+    return parts.groupBy("id").agg(F.round(F.sum("score") * scale, 6).alias("betweenness"))
+
+
+def edges_at(edges: DataFrame, nodes: DataFrame, direction: str = "both", types=None, provenances=None, limit: int = 500) -> DataFrame:
+    """node, other and the columns of the edges at each of nodes (id), the surest `limit` of each; outbound, inbound or both."""
+    e = select_edges(edges, types, provenances)
+    rest = [c for c in edges.columns if c not in ("source_id", "target_id")]
+    seen = {"outbound": e.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"), F.lit("outbound").alias("direction"), *rest), "inbound": e.select(F.col("target_id").alias("node"), F.col("source_id").alias("other"), F.lit("inbound").alias("direction"), *rest)}
+    out = seen[direction] if direction != "both" else seen["outbound"].unionByName(seen["inbound"].where("node <> other"))
+    out = out.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("confidence"), "other", "type", "provenance", "direction"))
+    return out.withColumn("r", rank).where(F.col("r") <= limit).drop("r")
+
+
+def edges_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All edges from a to b of each of pairs (a, b)."""
+    p = pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")).distinct()
+    return edges.join(p, ["source_id", "target_id"])
+
+
+def along(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Edges that lie on paths (path, an array of nodes), whichever way they point: what a view highlights."""
+    steps = paths.select(F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] as x, path[i] as y))")).alias("s")).where("s.x is not null and s.y is not null")
+    ends = steps.select(F.least("s.x", "s.y").alias("_a"), F.greatest("s.x", "s.y").alias("_b")).distinct()
+    return edges.withColumn("_a", F.least("source_id", "target_id")).withColumn("_b", F.greatest("source_id", "target_id")).join(ends, ["_a", "_b"], "left_semi").drop("_a", "_b")
+
+
+def with_paths(found: DataFrame, hops: int = 4) -> DataFrame:
+    """found (node, distance, parent) with path, from the seed to the node by parents."""
+    paths = found.where("distance = 0").select("node", F.array("node").alias("path"))
+    out = paths
+    for hop in range(1, hops + 1):
+        step = found.where(F.col("distance") == hop).select("node", "parent")
+        paths = step.join(paths.select(F.col("node").alias("parent"), "path"), "parent").select("node", F.concat("path", F.array("node")).alias("path"))
+        out = out.unionByName(paths)
+    return found.join(out, "node")
+
+
+def membership(members: DataFrame, communities: DataFrame) -> DataFrame:
+    """Members with their community's label and size, on community, mode and algorithm."""
+    return members.join(communities, ["community_id", "mode", "algorithm"])
+
+
+def replace_communities(kept: DataFrame, mode: str, algorithm: str, fresh: DataFrame) -> DataFrame:
+    """kept without the rows of a mode and algorithm, and fresh in their place."""
+    return kept.where(~((F.col("mode") == mode) & (F.col("algorithm") == algorithm))).unionByName(fresh)
+
+
+def detected(communities: DataFrame, mode: str) -> DataFrame:
+    """community_id (`mode-00000`, the largest first), id, size from id, community; a single community of several nodes tells nothing and is left out."""
+    sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    if sizes.limit(2).count() < 2 and communities.limit(2).count() > 1:
+        sizes = sizes.limit(0)
+    named = numbered(sizes, F.desc("size"), F.col("community").asc()).withColumn("community_id", F.concat(F.lit(mode + "-"), F.lpad(F.col("number").cast("string"), 5, "0")))
+    return communities.join(named, "community").select("community_id", "id", "size")
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with number, their place in an order; each range of rows is sorted in a task of its own."""
+    spark = rows.sparkSession
+    part = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    part = cut(part.withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(*order))), "numbered")
+    before, starts = 0, []
+    for r in sorted(part.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each range
+        starts.append((r["_part"], before))
+        before += r["n"]
+    at = F.broadcast(spark.createDataFrame(starts, "_part int, _before long"))
+    return part.join(at, "_part").withColumn("number", F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before")
 
 
 def label_communities(weighted: DataFrame, rounds: int = 5) -> DataFrame:
@@ -208,6 +358,11 @@ def collapse(edges: DataFrame, members: DataFrame) -> DataFrame:
     return e.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bundled"), F.max("confidence").alias("confidence"), first).select("a", "b", "bundled", "confidence", F.col("f.type").alias("type"))
 
 
+def meta_nodes(nodes: DataFrame) -> DataFrame:
+    """community, degree (its members), importance (their sum) of nodes (id, community, importance)."""
+    return nodes.where("community is not null").groupBy("community").agg(F.count(F.lit(1)).alias("degree"), F.round(F.sum("importance"), 6).alias("importance"))
+
+
 def parent_cycles(entities: DataFrame, rounds: int = 12) -> DataFrame:
     """Entities whose parents lead back to them, by pointer doubling: id. rounds covers chains of 2**rounds."""
     up = cut(entities.where("parent_id is not null").select("id", F.col("parent_id").alias("up")), "parents")

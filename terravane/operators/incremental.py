@@ -34,6 +34,19 @@ def delete_nodes(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple
     return entities.join(gone, "id", "left_anti"), e
 
 
+def delete_unresolved(unresolved: DataFrame, sources: DataFrame) -> DataFrame:
+    """Unresolved references without those of the given sources (id)."""
+    return unresolved.join(sources.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_anti")
+
+
+def stale_paths(listed: DataFrame, known: DataFrame, most: int = 100, verify: bool = False) -> DataFrame:
+    """path, why of files that differ from what is known: missing, new, or changed in size, time or, if verify, hash; the first `most` by path."""
+    cols = ["size", "mtime"] + (["content_hash"] if verify else [])
+    j = known.select("path", F.struct(*cols).alias("k")).join(listed.select("path", F.struct(*cols).alias("l")), "path", "full")
+    why = F.when(F.col("l").isNull(), "missing").when(F.col("k").isNull(), "new").when(~F.col("k").eqNullSafe(F.col("l")), "changed")
+    return j.select("path", why.alias("why")).where("why is not null").orderBy("path").limit(most)
+
+
 def to_embed(inputs: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Inputs whose key no stored vector has."""
     return inputs.join(stored.select(*keys).distinct(), keys, "left_anti")

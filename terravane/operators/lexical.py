@@ -1,53 +1,92 @@
-"""Lexical retrieval: postings, weighted BM25, boolean match, exact match."""
+"""Lexical retrieval: postings, weighted BM25 over phrases, boolean match, exact match."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.text import terms
+from ..functions.identity import normalize_path
+from ..functions.text import TERM, terms
+from .checkpoints import cut
+
+
+def folding() -> tuple[str, str]:
+    """Letters with marks and what they fold to, by their decomposition; the marks themselves fold to nothing."""
+    pairs = []
+    for c in map(chr, (*range(0x80, 0x250), *range(0x1E00, 0x1F00))):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and all(map(unicodedata.combining, d[1:])):
+            pairs.append((c, d[0]))
+    return "".join(p[0] for p in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(p[1] for p in pairs)
+
 
+def fold(text: Column) -> Column:
+    """Lower case without diacritics."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(plain) == F.char_length(plain), plain).otherwise(F.translate(plain, *folding()))
 
-def weighted_terms(weights: dict[str, float]) -> Column:
-    """struct(term, w) of every term of the columns."""
 
-    def of(column: str, weight: float) -> Column:
-        return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(fold(text), F.lit(TERM), F.lit(0))
 
-    return F.concat(*[of(c, w) for c, w in weights.items()])
+
+def phrases_of(question: Column) -> Column:
+    """The phrases of a question: each word's tokens in a row, so that `user_id` asks for user and id side by side; stop words go."""
+    stop = F.array(*map(F.lit, V.STOPWORDS))
+    words = F.filter(F.split(fold(question), r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(TERM), F.lit(0))), lambda p: F.size(p) > 0))
+
+
+def tokenised(docs: DataFrame, id_col: str, weights: dict[str, float], keep: Column | None = None) -> DataFrame:
+    """id, keep, length and the tokens of each weighted column; every text is cut once, and the result written."""
+    each = {f"t{i}": tokens(F.col(c)) for i, c in enumerate(weights)}
+    rows = docs.select(F.col(id_col).alias("id"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"), *[t.alias(n) for n, t in each.items()])
+    return cut(rows.withColumn("length", sum((F.size(n) for n in each), F.lit(0))), "tokens")
 
 
 def postings(docs: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:
-    """id, term, tf (weighted over columns) and length (terms of all columns) of every document."""
-    d = docs.select(F.col(id_col).alias("id"), weighted_terms(weights).alias("t"))
-    d = d.select("id", F.size("t").alias("length"), F.explode("t").alias("t"))
-    return d.groupBy("id", "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    """id, term, tf (weighted over columns) and length (tokens of all columns): the index that is kept with a snapshot."""
+    t = tokenised(docs, id_col, weights)
+    return occurrences(t, weights).groupBy("id", "length", "term").agg(F.sum("w").alias("tf"))
 
 
-def corpus(docs: DataFrame, id_col: str, weights: dict[str, float]) -> tuple[int, float]:
-    """Number of documents and their mean length."""
-    n = F.size(F.concat(*[terms(F.col(c)) for c in weights]))
-    row = docs.agg(F.count(F.lit(1)), F.avg(n)).first()
-    return row[0], row[1] or 1.0
+def occurrences(t: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """id, keep, length, w, column, place, term of every token."""
+    each = F.array(*[F.struct(F.lit(i).alias("column"), F.lit(float(w)).alias("w"), F.col(f"t{i}").alias("ts")) for i, w in enumerate(weights.values())])
+    rows = t.select("id", "keep", "length", F.explode(each).alias("c"))
+    return rows.select("id", "keep", "length", "c.w", "c.column", F.posexplode("c.ts").alias("place", "term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, weights: dict[str, float], k: int) -> DataFrame:
-    """query_id, id, score, matched, rank of the k best documents of each query (query_id, term).
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, weights: dict[str, float], k: int, keep: Column | None = None, match: str = "or") -> DataFrame:
+    """query_id, id, score, matched, rank of the k best documents of each query (query_id, and term or terms, a phrase).
 
-    Terms of the queries alone are kept of the postings before they are grouped, by a semi-join.
+    keep tells which documents may be found; it is applied before the k best are taken and leaves the statistics alone.
+    match: `or`, or `and_or` for all phrases where some document that may be found has them, else any.
     """
-    q = queries.select("query_id", "term").distinct()
-    total, mean = corpus(docs, id_col, weights)
-    d = docs.select(F.col(id_col).alias("id"), weighted_terms(weights).alias("t"))
-    d = d.select("id", F.size("t").alias("length"), F.explode("t").alias("t")).select("id", "length", "t.term", "t.w")
-    d = d.join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.sum("w").alias("tf"))
-    df = d.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = F.col("terms") if "terms" in queries.columns else F.array("term")
+    q = queries.select("query_id", F.transform(terms, fold).alias("terms")).withColumn("key", F.array_join("terms", " ")).distinct()
+    t = tokenised(docs, id_col, weights, keep)
+    row = t.agg(F.count(F.lit(1)), F.avg("length")).first()
+    total, mean = row[0], row[1] or 1.0
+    asked = q.select("key", "terms").distinct().select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("j", "term"))
+    found = occurrences(t, weights).join(asked, "term")
+    if "terms" in queries.columns:  # a phrase stands where its tokens stand in a row, each at its own place
+        found = found.groupBy("id", "keep", "length", "w", "column", "key", "m", (F.col("place") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = m")
+    d = found.groupBy("id", "keep", "length", "key").agg(F.sum("w").alias("tf"))
+    d = cut(d, "hits")
+    df = d.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(V.LEAST_IDF))
     gain = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / mean))
-    hits = d.join(df, "term").select("term", "id", gain.alias("gain")).join(q, "term")
+    hits = d.where("keep").join(df, "key").select("key", "id", gain.alias("gain")).join(q.select("query_id", "key"), "key")
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    if match == "and_or":
+        need = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
+        most = scored.groupBy("query_id").agg(F.max("matched").alias("most")).join(need, "query_id").select("query_id", F.when(F.col("most") == F.col("need"), F.col("need")).otherwise(1).alias("least"))
+        scored = scored.join(most, "query_id").where("matched >= least").drop("least")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -65,11 +104,15 @@ def and_or(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> D
 def exact_matches(entities: DataFrame, references: DataFrame, most: int = 50) -> DataFrame:
     """ref, id, exact_name, exact_path: equi-joins of each way a reference can name an entity, merged by the greatest.
 
-    A path names the entity that has it (1.0) or one whose path ends with it after a slash (0.8); otherwise the
-    qualified name (1.0) or the last dotted segment as a bare name (0.9).
+    A path, which holds a slash or ends as source files do, names the entity that has it (1.0) or one whose path ends
+    with it after a slash (0.8); otherwise the qualified name (1.0) or the last dotted segment as a bare name (0.9).
+    Dots and slashes before a path don't count.
     """
-    r = references.select("ref", F.ltrim("ref").alias("r"))
-    is_path = F.col("r").contains("/")
+    r = references.select("ref", F.trim("ref").alias("r"))
+    code = "|".join(e for exts in V.LANGUAGE_EXTENSIONS.values() for e in exts.split())
+    is_path = F.col("r").contains("/") | F.lower("r").rlike(rf"\.({code})$")
+    r = r.withColumn("r", F.when(is_path, normalize_path(F.regexp_replace("r", r"^[./\\]+", ""))).otherwise(F.col("r"))).withColumn("is_path", is_path)
+    is_path = F.col("is_path")
     paths, names = r.where(is_path), r.where(~is_path)
     tail = F.slice(F.split("path", "/"), -1, 1)[0]
     e = entities.select("id", "name", "qualified_name", "path", tail.alias("tail"))

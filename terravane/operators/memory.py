@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import has_secret, matches_term, preferences, query_terms, terms
+from .. import values as V
+from ..functions.text import has_secret, matches_term, preferences, preferences_conflict, query_terms, terms
 
 
 def history(versions: DataFrame, key: str, start: str, version: str) -> DataFrame:
@@ -64,3 +65,84 @@ def hybrid_score(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
 def captured_preferences(messages: DataFrame, text: str = "text") -> DataFrame:
     """messages' columns and statement: the lasting preferences each states, without those that hold a secret."""
     return messages.withColumn("statement", F.explode(preferences(F.col(text)))).where(~has_secret(F.col("statement")))
+
+
+def normalised_content(content: Column) -> Column:
+    """White space collapsed, lower case: what makes two notes the same."""
+    return F.lower(F.trim(F.regexp_replace(content, r"\s+", " ")))
+
+
+def note_hash(content: Column) -> Column:
+    return F.sha2(normalised_content(content).cast("binary"), 256)
+
+
+def problem(content: Column, scope: Column, kind: Column, tags: Column) -> Column:
+    """Why a note cannot be stored, or null."""
+    body = F.trim(F.coalesce(content, F.lit("")))
+    return (
+        F.when(~F.coalesce(scope, F.lit("")).isin(*V.NOTE_SCOPES), "scope").when(~F.coalesce(kind, F.lit("")).isin(*V.NOTE_KINDS), "kind").when(body == "", "empty")
+        .when(F.char_length(body) > V.NOTE_CHARS, "long").when(F.coalesce(has_secret(body), F.lit(False)), "secret")
+        .when(F.size(tags) > V.NOTE_TAGS, "tags").when(F.exists(tags, lambda t: F.char_length(t) > V.NOTE_TAG_CHARS), "tag")
+    )
+
+
+NOTE = ["id", "scope", "project_key", "kind", "content", "content_hash", "tags", "provenance", "valid_from", "updated_at"]
+
+
+def add_notes(notes: DataFrame, incoming: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(notes, closed revisions) after adding incoming (scope, project_key, kind, content, tags, provenance).
+
+    A note is known by scope, project and normalised content. An unknown one gets an id of these; a known one whose
+    kind or tags differ, or that has no provenance yet and is given one, starts a new revision and closes the old one.
+    Of incoming rows that are the same note the one least in order counts.
+    """
+    key = ["scope", "project_key", "content_hash"]
+    new = incoming.withColumn("content", F.trim("content")).withColumn("project_key", F.when(F.col("scope") == "user", "").otherwise(F.coalesce("project_key", F.lit("")))).withColumn("content_hash", note_hash(F.col("content")))
+    new = new.groupBy(*key).agg(F.min(F.struct("kind", "tags", "provenance", "content")).alias("n"))
+    both = notes.select(*key, F.struct(*notes.columns).alias("o")).join(new, key, "full")
+    given = F.coalesce("n.provenance", F.lit(""))
+    held = F.coalesce("o.provenance", F.lit(""))
+    provenance = F.when((given != "") & (held == ""), given).otherwise(held)
+    changed = F.col("o").isNotNull() & F.col("n").isNotNull() & (~F.col("o.kind").eqNullSafe(F.col("n.kind")) | ~F.col("o.tags").eqNullSafe(F.col("n.tags")) | (provenance != held))
+    start = F.greatest(F.lit(now).cast("long"), F.col("o.valid_from") + 1)
+    fresh = F.col("o").isNull()
+    pick = lambda c: F.when(fresh | changed, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    both = both.withColumn("changed", changed)
+    out = both.select(
+        F.when(fresh, F.concat(F.lit("mem_"), F.left(F.sha2(F.concat_ws("\x1f", *key).cast("binary"), 256), F.lit(20)))).otherwise(F.col("o.id")).alias("id"), "scope", "project_key", pick("kind").alias("kind"),
+        F.when(fresh, F.col("n.content")).otherwise(F.col("o.content")).alias("content"), "content_hash", pick("tags").alias("tags"), F.when(fresh, given).when(F.col("changed"), provenance).otherwise(held).alias("provenance"),
+        F.when(fresh, F.lit(now).cast("long")).when(F.col("changed"), start).otherwise(F.col("o.valid_from")).alias("valid_from"), F.when(fresh, F.lit(now).cast("long")).when(F.col("changed"), start).otherwise(F.col("o.updated_at")).alias("updated_at"),
+    )
+    closed = both.where("changed").select("o.id", "o.content", "o.kind", "o.tags", "o.provenance", "o.valid_from", start.alias("valid_to"))
+    return out.select(*NOTE), closed
+
+
+def best_first() -> list[Column]:
+    """The order of found notes: score, words, vector (none lowest), the project's own first, the latest, the content."""
+    return [F.desc("score"), F.desc("lexical"), F.coalesce("similarity", F.lit(-1.0)).desc(), (F.col("scope") == "project").desc(), F.desc("updated_at"), F.lower("content").desc(), F.col("id")]
+
+
+def recent(notes: DataFrame, limit: int) -> DataFrame:
+    return notes.orderBy(F.desc("updated_at"), "id").limit(limit)
+
+
+def contradicted(notes: DataFrame, statements: DataFrame) -> DataFrame:
+    """Pairs (id, statement_id) of a stored preference and a new statement of the same scope and project that take opposite sides.
+
+    Candidates meet in an equi-join on the pair of opposed words and the side each takes.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("own"), F.lit(b).alias("other")) for i, p in enumerate(V.OPPOSED_WORDS) for a, b in (p, p[::-1])])
+
+    def taking(df: DataFrame, text: str) -> DataFrame:
+        words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\w'-]+"), F.lit(0))
+        return df.withColumn("w", words).withColumn("s", F.explode(sides)).where(F.array_contains("w", F.col("s.own")) & ~F.array_contains("w", F.col("s.other")))
+
+    a = taking(notes, "content").select("id", "scope", "project_key", F.col("content").alias("old"), "s.pair", "s.own", "s.other")
+    b = taking(statements, "statement").select("statement_id", "scope", "project_key", "statement", "s.pair", F.col("s.other").alias("own"))
+    return a.join(b, ["scope", "project_key", "pair", "own"]).where(preferences_conflict(F.col("old"), F.col("statement"))).select("id", "statement_id").distinct()
+
+
+def without_vectors(notes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Notes that no vector of the model stands for, or only one of another content; the latest first."""
+    held = vectors.where(F.col("model") == model).select("id", "content_hash")
+    return notes.join(held, ["id", "content_hash"], "left_anti").orderBy(F.desc("updated_at"), "id")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import values as V
 from ..functions.vectors import cosine, l2_normalize, norm
 from .checkpoints import cut as cut_lineage
+from .graph import numbered
 
 BLOCK_ROWS = 2048
 
@@ -67,7 +69,10 @@ def mutual(neighbours: DataFrame) -> DataFrame:
 def threshold(neighbours: DataFrame, floor: float = 0.55, share: float = 0.85) -> DataFrame:
     """One row: the median of the best similarities and the threshold derived from it."""
     best = neighbours.groupBy("query_id").agg(F.max("similarity").alias("best"))
-    row = best.agg(F.round(F.median("best"), 6).alias("median_best"))
+    at = numbered(best.where("best is not null"), F.col("best").asc())  # the middle is found by place, not gathered in one task
+    n = at.count()
+    middle = at.where(F.col("number").isin((n - 1) // 2, n // 2)).agg(F.avg("best").alias("m"))
+    row = middle.select(F.round("m", 6).alias("median_best"))
     return row.withColumn("threshold", F.round(F.greatest(F.lit(floor), F.lit(share) * F.coalesce("median_best", F.lit(0.0))), 6))
 
 
@@ -114,3 +119,48 @@ def hashing_embedding(text, dimensions: int = 64):
     hits = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).alias("i"), F.when(F.pmod(F.xxhash64(F.lit(1), w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(F.filter(hits, lambda h: h["i"] == d), F.lit(0.0), lambda a, h: a + h["s"]))
     return l2_normalize(raw)
+
+
+def space_fingerprint(settings: dict) -> str:
+    """Hash of the canonical JSON of all that an embedding space depends on."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def without_semantic(edges: DataFrame) -> DataFrame:
+    """Edges before semantic ones are worked out anew."""
+    return edges.where(F.col("type") != V.SEMANTIC_EDGE_TYPE)
+
+
+def approximate_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 24, bits: int | None = None, seed: int = 11) -> DataFrame:
+    """As all_knn, of the vectors that share a bucket with the query in one of `tables` random-hyperplane tables.
+
+    Work grows with the buckets, not with the square of the vectors; bits grow with the number of vectors. Recall is
+    for the caller to measure against all_knn; a bucket is met by equi-join, its best k of each query leave a task.
+    """
+    n = vectors.count()
+    first = vectors.select(F.size("vector").alias("d")).first()
+    if first is None:
+        return all_knn(queries, vectors, k)
+    bits = bits or max(1, (n // 64).bit_length())
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, first["d"]))
+
+    def keys(frames):
+        for frame in frames:
+            if len(frame):
+                sign = (np.stack(frame["vector"].tolist()) @ planes.T > 0).reshape(len(frame), tables, bits)
+                frame["keys"] = list((sign @ (1 << np.arange(bits))) * tables + np.arange(tables))
+                yield frame[["id", "vector", "keys"]]
+
+    kind = dict(vectors.dtypes)["id"]
+    schema = f"id {kind}, vector array<double>, keys array<long>"
+    of = lambda df: df.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(keys, schema)
+    q = cut_lineage(of(queries.withColumnRenamed("query_id", "id")), "queries")
+    v = cut_lineage(of(vectors), "vectors")
+    pairs = q.select(F.col("id").alias("query_id"), F.explode("keys").alias("key")).join(v.select("id", F.explode("keys").alias("key")), "key").select("query_id", "id").distinct()
+    near = pairs.join(q.select(F.col("id").alias("query_id"), F.col("vector").alias("a")), "query_id").join(v.select("id", F.col("vector").alias("b")), "id")
+    near = near.where(F.col("query_id") != F.col("id")).select("query_id", "id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)

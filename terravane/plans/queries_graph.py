@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..operators import graph as G
 from ..operators import incremental, quality, ranking, resolve
+from ..operators.checkpoints import cut
 from . import property_graph as P
 
 QUERIES, ORACLES = {}, {}
@@ -142,7 +143,7 @@ r{h} AS (SELECT * FROM r{p} UNION ALL SELECT * FROM f{h})"""
 SELECT * FROM r2 WHERE distance = 0 UNION ALL SELECT * FROM (SELECT * FROM r2 WHERE distance > 0 ORDER BY distance, node LIMIT 150)""")
 def _(spark, d):
     seeds = spark.createDataFrame([(f"customer:{k}",) for k in (1, 2, 5)], "id string").join(P.entities(spark, d).select("id"), "id", "left_semi")
-    return G.expand(P.edges(spark, d), seeds)
+    return G.expand(P.edges(spark, d), seeds).select("node", "distance", "parent")
 
 
 @query("graph_bfs_depth", with_(P.EDGES, "r AS (SELECT 'region:' || r_regionkey AS seed, 'region:' || r_regionkey AS node, 0 AS distance FROM region UNION SELECT seed, target_id, distance + 1 FROM r JOIN edge ON node = source_id WHERE distance < 3)", recursive=True) + "SELECT seed, node, min(distance) AS distance FROM r GROUP BY ALL")
@@ -153,12 +154,12 @@ def _(spark, d):
 PATH_COSTS = "costs AS (SELECT node, other, min(CASE provenance WHEN 'extracted' THEN 1.0 WHEN 'resolved' THEN 1.2 WHEN 'inferred' THEN 1.8 WHEN 'ambiguous' THEN 2.5 ELSE 1.5 END::DOUBLE) AS c FROM near GROUP BY ALL)"
 
 
-@query("graph_shortest_path", with_(P.EDGES, NEAR, PATH_COSTS, """p1 AS (SELECT 'supplier:1' AS node, 0.0::DOUBLE AS cost, ['supplier:1'] AS path),
-p2 AS (SELECT node, min({'c': cost, 'p': path}) AS b FROM (SELECT * FROM p1 UNION ALL SELECT other, round(cost + c, 6), list_append(path, other) FROM p1 JOIN costs USING (node) WHERE NOT list_contains(path, other)) GROUP BY node),
-p3 AS (SELECT node, b.c AS cost, b.p AS path FROM p2),
-p4 AS (SELECT node, min({'c': cost, 'p': path}) AS b FROM (SELECT * FROM p3 UNION ALL SELECT other, round(cost + c, 6), list_append(path, other) FROM p3 JOIN costs USING (node) WHERE NOT list_contains(path, other)) GROUP BY node)""") + "SELECT node, b.c AS cost, array_to_string(b.p, ' > ') AS path FROM p4")
+PATH_ROUND = """q{h} AS MATERIALIZED (SELECT node, b.c AS cost, b.p AS path FROM (SELECT node, min({{'c': cost, 'p': path}}) AS b FROM (SELECT * FROM q{p} UNION ALL SELECT other, round(cost + c, 6), list_append(path, other) FROM q{p} JOIN costs USING (node) WHERE NOT list_contains(path, other)) GROUP BY node))"""
+
+
+@query("graph_shortest_path", with_(P.EDGES, NEAR, PATH_COSTS, "q0 AS (SELECT 'supplier:1' AS node, 0.0::DOUBLE AS cost, ['supplier:1'] AS path)", *[PATH_ROUND.format(h=i + 1, p=i) for i in range(4)]) + "SELECT node, cost, array_to_string(path, ' > ') AS path FROM q4")
 def _(spark, d):
-    return G.shortest_paths(P.edges(spark, d), "supplier:1", 2).withColumn("path", F.array_join("path", " > "))
+    return G.shortest_paths(P.edges(spark, d), "supplier:1").withColumn("path", F.array_join("path", " > "))
 
 
 @query("graph_impact", with_(P.ENTITIES, P.EDGES, "back AS (SELECT target_id AS id, source_id AS by_ FROM edge WHERE type IN ('calls', 'constructs', 'imports', 'references', 'inherits', 'implements', 'overrides', 'routes_to', 'accepts_type', 'returns_type'))", "r AS (SELECT id, 0 AS distance FROM ent WHERE kind = 'interface' AND size < 905 UNION SELECT by_, distance + 1 FROM r JOIN back USING (id) WHERE distance < 3)", recursive=True) + """SELECT id, min(distance) AS distance, CASE WHEN min(distance) = 1 THEN 'direct' ELSE 'transitive' END AS impact FROM r GROUP BY id HAVING min(distance) > 0""")
@@ -167,27 +168,28 @@ def _(spark, d):
     return G.impact(P.edges(spark, d), e, e.where("kind = 'interface' AND size < 905").select("id"))
 
 
-@query("graph_tests_fallback", """WITH t AS (SELECT 'test:' || p_partkey AS test_id, lower('tests/' || replace(p_name, ' ', '/') || '_test.py') AS test_path FROM part), e AS (SELECT DISTINCT 'name:' || split_part(p_name, ' ', 2) AS id, split_part(p_name, ' ', 2) AS stem FROM part)
+@query("graph_tests_fallback", """WITH t AS (SELECT 'test:' || p_partkey AS test_id, lower('tests/' || replace(p_name, ' ', '/') || CASE WHEN p_partkey % 2 = 0 THEN 'ing_test.py' ELSE 's/re' || split_part(p_name, ' ', 1) || 'd.py' END) AS test_path FROM part), e AS (SELECT DISTINCT 'name:' || w AS id, w AS stem FROM (SELECT split_part(p_name, ' ', 2) AS w FROM part UNION ALL SELECT split_part(p_name, ' ', 1) FROM part UNION ALL SELECT left(p_name, 2) FROM part))
 SELECT id, test_id, 'path' AS how FROM e JOIN t ON contains(test_path, stem) QUALIFY row_number() OVER (PARTITION BY id ORDER BY test_id) <= 20""")
 def _(spark, d):
     p = P.table(spark, d, "part")
-    tests = p.select(F.concat(F.lit("test:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("test").alias("kind"), F.concat(F.lit("tests/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("_test.py")).alias("path"))
-    word = F.split("p_name", " ")[1]
-    targets = p.select(F.concat(F.lit("name:"), word).alias("id"), F.concat(F.lit("src/"), word, F.lit(".py")).alias("path")).distinct()
+    tests = p.select(F.concat(F.lit("test:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("test").alias("kind"), F.concat(F.lit("tests/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.when(F.col("p_partkey") % 2 == 0, "ing_test.py").otherwise(F.concat(F.lit("s/re"), F.split("p_name", " ")[0], F.lit("d.py")))).alias("path"))
+    words = p.select(F.explode(F.array(F.split("p_name", " ")[1], F.split("p_name", " ")[0], F.left("p_name", F.lit(2)))).alias("word"))
+    word = F.col("word")
+    targets = words.select(F.concat(F.lit("name:"), word).alias("id"), F.concat(F.lit("src/"), word, F.lit(".py")).alias("path")).distinct()
     return G.tests_of(P.edges(spark, d), tests, targets)
 
 
 COMPONENTS = "r AS (SELECT a AS node, a AS reach FROM pairs UNION SELECT r.node, p.b FROM r JOIN pairs p ON r.reach = p.a)"
 
 
-@query("graph_components", with_("pairs AS (SELECT 'user:' || user_id AS a, 'hour:' || date_trunc('hour', ts) AS b FROM events WHERE value > 49.5 UNION SELECT 'hour:' || date_trunc('hour', ts), 'user:' || user_id FROM events WHERE value > 49.5)", COMPONENTS, recursive=True) + "SELECT node AS id, min(reach) AS component FROM r GROUP BY node")
+@query("graph_components", with_("pairs AS (SELECT 'user:' || user_id AS a, 'hour:' || date_trunc('hour', ts) AS b FROM events UNION SELECT 'hour:' || date_trunc('hour', ts), 'user:' || user_id FROM events)", COMPONENTS, recursive=True) + "SELECT node AS id, min(reach) AS component FROM r GROUP BY node")
 def _(spark, d):
-    e = P.table(spark, d, "events").where("value > 49.5")
+    e = P.table(spark, d, "events")
     hour = F.concat(F.lit("hour:"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss"))
     return G.components(e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source_id"), hour.alias("target_id"), F.lit("x").alias("type")))
 
 
-RANK_ROUND = """, r{h} AS (SELECT id, dangling, 0.15 / n + 0.85 * (coalesce(got, 0.0) + (SELECT coalesce(sum(rank), 0.0) FROM r{p} WHERE dangling) / n) AS rank FROM nodes LEFT JOIN (SELECT target_id AS id, sum(share * rank) AS got FROM shares JOIN r{p} ON source_id = r{p}.id GROUP BY target_id) USING (id), total)"""
+RANK_ROUND = """, r{h} AS MATERIALIZED (SELECT id, dangling, 0.15 / n + 0.85 * (coalesce(got, 0.0) + (SELECT coalesce(sum(rank), 0.0) FROM r{p} WHERE dangling) / n) AS rank FROM nodes LEFT JOIN (SELECT target_id AS id, sum(share * rank) AS got FROM shares JOIN r{p} ON source_id = r{p}.id GROUP BY target_id) USING (id), total)"""
 
 
 @query("graph_pagerank_k", with_(P.EDGES, "e AS (SELECT source_id, target_id, greatest(0.001, max(confidence)) AS w FROM edge GROUP BY ALL)", "shares AS (SELECT source_id, target_id, w / sum(w) OVER (PARTITION BY source_id) AS share FROM e)", "ids AS (SELECT source_id AS id FROM e UNION SELECT target_id FROM e)", "nodes AS (SELECT id, id NOT IN (SELECT source_id FROM e) AS dangling FROM ids)", "total AS (SELECT count(*)::DOUBLE AS n FROM ids)", "r0 AS (SELECT id, dangling, 1.0 / n AS rank FROM nodes, total)") + "".join(RANK_ROUND.format(h=i + 1, p=i) for i in range(10)) + "SELECT id, round(rank, 8) AS rank FROM r10")
@@ -195,12 +197,12 @@ def _(spark, d):
     return G.pagerank(P.edges(spark, d)).select("id", F.round("rank", 8).alias("rank"))
 
 
-LABEL_ROUND = """, l{h} AS (SELECT l{p}.node, CASE WHEN vote < label OR {even} THEN vote ELSE label END AS label FROM l{p} JOIN (SELECT node, min({{'w': -w, 'v': vote}}).v AS vote FROM (SELECT b2.node, label AS vote, round(sum(weight), 6) AS w FROM b2 JOIN l{p} ON other = l{p}.node GROUP BY b2.node, label) GROUP BY node) m ON l{p}.node = m.node)"""
+LABEL_ROUND = """, l{h} AS MATERIALIZED (SELECT l{p}.node, CASE WHEN vote < label OR {even} THEN vote ELSE label END AS label FROM l{p} JOIN (SELECT node, min({{'w': -w, 'v': vote}}).v AS vote FROM (SELECT b2.node, label AS vote, round(sum(weight), 6) AS w FROM b2 JOIN l{p} ON other = l{p}.node GROUP BY b2.node, label) GROUP BY node) m ON l{p}.node = m.node)"""
 
 
-@query("graph_label_communities", with_(P.EDGES, "u AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, max(confidence) AS weight FROM edge WHERE type IN ('contains', 'calls') GROUP BY ALL)", "b2 AS (SELECT a AS node, b AS other, weight FROM u UNION ALL SELECT b, a, weight FROM u)", "l0 AS (SELECT DISTINCT node, node AS label FROM b2)") + "".join(LABEL_ROUND.format(h=i + 1, p=i, even=str(i % 2 == 0).upper()) for i in range(4)) + "SELECT node AS id, label AS community FROM l4")
+@query("graph_label_communities", with_(P.EDGES, "u AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, max(confidence) AS weight FROM edge WHERE provenance IN ('extracted', 'resolved', 'inferred') GROUP BY ALL)", "b2 AS (SELECT a AS node, b AS other, weight FROM u UNION ALL SELECT b, a, weight FROM u)", "l0 AS (SELECT DISTINCT node, node AS label FROM b2)") + "".join(LABEL_ROUND.format(h=i + 1, p=i, even=str(i % 2 == 0).upper()) for i in range(5)) + "SELECT node AS id, label AS community FROM l5")
 def _(spark, d):
-    return G.label_communities(G.undirected(G.select_edges(P.edges(spark, d), ("contains", "calls"))), 4)
+    return G.label_communities(G.undirected(P.edges(spark, d)))
 
 
 @query("graph_parent_cycles", """WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), s AS (SELECT 0 AS i, c_custkey AS id FROM customer UNION SELECT i + 1, (id * 10 + 3) % n FROM s, n WHERE i < 16)
@@ -214,7 +216,7 @@ def _(spark, d):
 @query("graph_collapse", with_(P.ENTITIES, P.EDGES) + """, m AS (SELECT id, kind || '/' || root_id AS community FROM ent)
 SELECT s.community AS a, t.community AS b, count(*) AS bundled, max(confidence) AS confidence, min(type) AS type FROM edge JOIN m s ON source_id = s.id JOIN m t ON target_id = t.id WHERE s.community <> t.community GROUP BY ALL""")
 def _(spark, d):
-    m = P.entities(spark, d).select("id", F.concat_ws("/", "kind", "root_id").alias("community"))
+    m = cut(P.entities(spark, d).select("id", F.concat_ws("/", "kind", "root_id").alias("community")), "members")
     return G.collapse(P.edges(spark, d), m)
 
 
@@ -270,7 +272,8 @@ def _(spark, d):
     exact = c.where("c_acctbal > 5000").select(q("c_custkey"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"), F.lit(1.0).alias("value"))
     sem = o.where("o_orderstatus = 'F'").select(q("o_custkey"), oid, F.round((F.col("o_orderkey") % 97) / 97.0, 6).alias("value"))
     cand = ranking.absorb({"lexical": lex, "exact_name": exact, "semantic": sem})
-    e, edges = P.entities(spark, d), P.edges(spark, d)
+    e, edges = cut(P.entities(spark, d), "entities"), cut(P.edges(spark, d), "edges")
+    cand = cut(cand, "candidates")
     comm = e.select("id", F.concat_ws("/", "root_id", "kind").alias("community"))
     got = ranking.fuse(cand, e, G.degrees(edges).select("id", F.col("degree").alias("value")), comm, ranking.provenance_bonus(edges), ["lexical", "exact_name", "semantic"])
     return got.where("rank <= 50").select("query_id", "id", "score", "rank")

@@ -133,11 +133,11 @@ def _(spark, d):
     return ranking.proximity(P.edges(spark, d), "part:7")
 
 
-@query("ctx_snippet_containment", """WITH RECURSIVE x AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) AS r, left(text, 12) AS t FROM conversations),
+@query("ctx_snippet_containment", """WITH RECURSIVE x AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) AS r, CASE WHEN turn % 3 = 1 THEN text[1 + turn:] ELSE text END AS t FROM conversations),
 f AS (SELECT g, 0::BIGINT AS r, []::VARCHAR[] AS kept FROM (SELECT DISTINCT g FROM x) UNION ALL SELECT f.g, x.r, CASE WHEN len([k for k in f.kept if contains(k, x.t)]) > 0 THEN f.kept ELSE list_append(f.kept, x.t) END FROM f JOIN x ON x.g = f.g AND x.r = f.r + 1)
 SELECT g AS conv_id, len(arg_max(kept, r))::BIGINT AS kept FROM f GROUP BY ALL""")
 def _(spark, d):
-    c = P.table(spark, d, "conversations").select(F.col("conv_id").alias("group"), (F.col("turn") % 2).alias("start"), (-F.col("turn")).alias("end"), F.left("text", F.lit(12)).alias("text"))
+    c = P.table(spark, d, "conversations").select(F.col("conv_id").alias("group"), (F.col("turn") % 2).alias("start"), (-F.col("turn")).alias("end"), F.when(F.col("turn") % 3 == 1, F.substr("text", F.col("turn") + 1)).otherwise(F.col("text")).alias("text"))
     return context.without_contained(c).groupBy(F.col("group").alias("conv_id")).agg(F.count(F.lit(1)).alias("kept"))
 
 

@@ -8,19 +8,25 @@ from .. import values as V
 from ..functions import text as T
 from ..functions import vectors as X
 from ..operators import aggregates, context, extraction, incremental, lexical, memory, ranking, vector
+from ..operators.checkpoints import cut
 from ..streaming import changes
 from . import property_graph as P
 from .queries_graph import ORACLES, QUERIES, query, with_
 
 FTS = {"source": V.FTS_WEIGHTS["name"], "lang": V.FTS_WEIGHTS["qualified_name"], "text": V.FTS_WEIGHTS["semantic_text"]}
 TERMS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+FOLDED = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def terms_sql(c: str) -> str:
     return TERMS.format(c=c)
 
 
-POSTINGS = f"""tok AS (SELECT doc_id AS id, unnest({terms_sql("source")}) AS term, 4.0 AS w FROM documents UNION ALL SELECT doc_id, unnest({terms_sql("lang")}), 2.0 FROM documents UNION ALL SELECT doc_id, unnest({terms_sql("text")}), 1.0 FROM documents),
+def folded_sql(c: str) -> str:
+    return FOLDED.format(c=c)
+
+
+POSTINGS = f"""tok AS (SELECT doc_id AS id, unnest({folded_sql("source")}) AS term, 4.0 AS w FROM documents UNION ALL SELECT doc_id, unnest({folded_sql("lang")}), 2.0 FROM documents UNION ALL SELECT doc_id, unnest({folded_sql("text")}), 1.0 FROM documents),
 len AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM len)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
 post AS (SELECT id, term, sum(w)::DOUBLE AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 BM25 = """SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score, count(*) AS matched FROM post JOIN df USING (term) JOIN len USING (id) JOIN q USING (term), st GROUP BY ALL"""
@@ -31,7 +37,7 @@ def bm25_sql(q: str, k: int) -> str:
 
 
 QUESTION = "where is the nicht thble cióndo and étre in src3 de"
-QUESTION_TERMS = "q AS (SELECT DISTINCT 0 AS query_id, unnest(['nicht', 'thble', 'cióndo', 'étre', 'src3', 'de']) AS term)"
+QUESTION_TERMS = "q AS (SELECT DISTINCT 0 AS query_id, unnest(['nicht', 'thble', 'ciondo', 'etre', 'src3', 'de']) AS term)"
 
 
 @query("lex_bm25_topk", bm25_sql(QUESTION_TERMS, 20))
@@ -42,7 +48,7 @@ def _(spark, d):
     return lexical.bm25(P.table(spark, d, "documents"), q, "doc_id", FTS, 20)
 
 
-@query("lex_bm25_batch", bm25_sql(f"q AS (SELECT DISTINCT item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark)", 5))
+@query("lex_bm25_batch", bm25_sql(f"q AS (SELECT DISTINCT item_id AS query_id, unnest({folded_sql('text')}) AS term FROM benchmark)", 5))
 def _(spark, d):
     q = P.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.terms(F.col("text"))).alias("term"))
     return lexical.bm25(P.table(spark, d, "documents"), q, "doc_id", FTS, 5)
@@ -119,7 +125,9 @@ def _(spark, d):
 
 @query("vec_semantic_edges")
 def _(spark, d):
-    return vector.semantic_edges(neighbours(spark, d), vectors(spark, d).count(), 0.3)
+    v = vectors(spark, d)
+    near = cut(vector.all_knn(v.withColumnRenamed("id", "query_id"), v, 16, same=True), "neighbours")  # twelve partners and four more, as the stage asks for
+    return vector.semantic_edges(near, v.count(), vector.threshold(near).first()["threshold"])
 
 
 @query("vec_norm_check", "SELECT len(embedding)::INT AS dimensions, count(*) AS vectors, count(*) FILTER (abs(n - 1) > 0.02) AS off_norm, round(min(n), 4) AS least, round(max(n), 4) AS greatest FROM (SELECT embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) GROUP BY ALL")
@@ -153,13 +161,13 @@ def intent_sql(column: str) -> str:
     return f"CASE {whens} ELSE 'semantic' END"
 
 
-ASK = "ask AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'where is ' WHEN 1 THEN 'how does it reach ' WHEN 2 THEN 'fix the error in ' WHEN 3 THEN 'tests for ' WHEN 4 THEN 'architecture of ' ELSE '' END || left(text, 120) AS q FROM conversations WHERE role = 'user')"
+ASK = "ask AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'where is ' WHEN 1 THEN 'how does it reach ' WHEN 2 THEN 'fix the error in ' WHEN 3 THEN 'tests for ' WHEN 4 THEN 'architecture of ' ELSE '' END || text AS q FROM conversations WHERE role = 'user')"
 
 
 def asked(spark, d):
     c = P.table(spark, d, "conversations").where("role = 'user'")
     lead = F.get(F.array(*map(F.lit, ("where is ", "how does it reach ", "fix the error in ", "tests for ", "architecture of ", ""))), (F.col("conv_id") % 6).cast("int"))
-    return c.select("conv_id", "turn", F.concat(lead, F.left("text", F.lit(120))).alias("q"))
+    return c.select("conv_id", "turn", F.concat(lead, F.col("text")).alias("q"))
 
 
 @query("rank_intent", with_(ASK) + f"SELECT conv_id, turn, {intent_sql('q')} AS intent FROM ask")
@@ -226,14 +234,14 @@ def _(spark, d):
     return memory.lexical_score(n, "checks the onand tioning")
 
 
-PREFERENCE_TEXT = "CASE WHEN conv_id % 5 = 0 THEN 'I prefer ' || left(replace(text, chr(10), ' '), 40) || '. ' || chr(10) || 'I always test for this task.' WHEN conv_id % 7 = 0 THEN '```I like fences.```' || chr(10) || 'remember that I like short   answers!' ELSE text END"
+PREFERENCE_TEXT = "CASE WHEN conv_id % 5 = 0 THEN 'I prefer ' || replace(text, chr(10), ' ') || '. ' || chr(10) || 'I always test for this task.' WHEN conv_id % 7 = 0 THEN '```I like fences.```' || chr(10) || 'remember that I like short   answers!' ELSE text END"
 
 
 @query("mem_capture_prefs", f"""SELECT conv_id, turn, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS statement FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(regexp_replace({PREFERENCE_TEXT}, '```.*?```|~~~.*?~~~', '', 'gs'), '(?im)^[ \\t]*(?:remember that\\s+)?(I\\s+(?:always|usually|generally|typically|prefer|like|dislike|don''t like|do not like)\\b[^\\n.!?]{{1,400}}[.!?]?)', 1))) AS s FROM conversations WHERE role = 'user') WHERE NOT regexp_matches(lower(s), 'for this task|this time|for now|in this change') AND NOT regexp_matches(s, '(?i)\\b(?:password|passwd|api[_ -]?key|access[_ -]?token|secret)\\s*[:=]\\s*\\S+')""")
 def _(spark, d):
     c = P.table(spark, d, "conversations").where("role = 'user'")
     k = F.col("conv_id")
-    made = F.when(k % 5 == 0, F.concat(F.lit("I prefer "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)), F.lit(". \nI always test for this task."))).when(k % 7 == 0, F.lit("```I like fences.```\nremember that I like short   answers!")).otherwise(F.col("text"))
+    made = F.when(k % 5 == 0, F.concat(F.lit("I prefer "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(". \nI always test for this task."))).when(k % 7 == 0, F.lit("```I like fences.```\nremember that I like short   answers!")).otherwise(F.col("text"))
     return memory.captured_preferences(c.select("conv_id", "turn", made.alias("text"))).select("conv_id", "turn", "statement")
 
 
@@ -282,7 +290,7 @@ def _(spark, d):
     return extraction.markdown_sections(P.table(spark, d, "documents").select("doc_id", made.alias("md")), "doc_id", "md")
 
 
-@query("eval_recall_mrr", bm25_sql(f"q AS (SELECT DISTINCT item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark)", 5).replace("SELECT *, row_number()", "SELECT query_id, round(count(CASE WHEN hit THEN 1 END) / max(wanted), 6) AS recall, round(coalesce(1 / min(CASE WHEN hit THEN rank END), 0.0), 6) AS reciprocal_rank, round(count(CASE WHEN hit THEN 1 END) / count(*), 6) AS precision FROM (SELECT r.*, w.doc_id IS NOT NULL AS hit, n.wanted FROM (SELECT *, row_number()", 1) + ") r JOIN (SELECT item_id, count(*) AS wanted FROM rel GROUP BY ALL) n ON n.item_id = r.query_id LEFT JOIN rel w ON w.item_id = r.query_id AND w.doc_id = r.id) GROUP BY query_id")
+@query("eval_recall_mrr", bm25_sql(f"q AS (SELECT DISTINCT item_id AS query_id, unnest({folded_sql('text')}) AS term FROM benchmark)", 5).replace("SELECT *, row_number()", "SELECT query_id, round(count(CASE WHEN hit THEN 1 END) / max(wanted), 6) AS recall, round(coalesce(1 / min(CASE WHEN hit THEN rank END), 0.0), 6) AS reciprocal_rank, round(count(CASE WHEN hit THEN 1 END) / count(*), 6) AS precision FROM (SELECT r.*, w.doc_id IS NOT NULL AS hit, n.wanted FROM (SELECT *, row_number()", 1) + ") r JOIN (SELECT item_id, count(*) AS wanted FROM rel GROUP BY ALL) n ON n.item_id = r.query_id LEFT JOIN rel w ON w.item_id = r.query_id AND w.doc_id = r.id) GROUP BY query_id")
 def _(spark, d):
     docs, b = P.table(spark, d, "documents"), P.table(spark, d, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.explode(T.terms(F.col("text"))).alias("term"))
@@ -292,15 +300,16 @@ def _(spark, d):
 
 
 def relevant(docs, b):
-    """Documents that hold a benchmark item's first eight terms in a row, found by an equi-join on runs of eight terms."""
+    """Documents that hold all of a benchmark item's terms in a row: an equi-join on its first eight, then the check of all."""
     runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 7)), lambda i: F.array_join(F.slice(c, i, 8), " "))
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     d = docs.select(F.col("doc_id").alias("id"), T.terms(F.col("text")).alias("terms"))  # a column, so that it is not worked out for each run
-    d = d.select("id", F.explode(F.array_distinct(runs(F.col("terms")))).alias("run"))
-    q = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.terms(F.col("text")), 1, 8), " ").alias("run"))
-    return d.join(q, "run").select("query_id", "id").distinct()
+    d = d.select("id", line("terms").alias("line"), F.explode(F.array_distinct(runs(F.col("terms")))).alias("run"))
+    q = b.select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("terms")).select("query_id", line("terms").alias("item"), F.array_join(F.slice("terms", 1, 8), " ").alias("run"))
+    return d.join(q, "run").where(F.contains("line", F.col("item"))).select("query_id", "id").distinct()
 
 
-ORACLES["eval_recall_mrr"] = ORACLES["eval_recall_mrr"].replace("WITH q AS", f"WITH dl AS (SELECT doc_id, ' ' || array_to_string({terms_sql('text')}, ' ') || ' ' AS line FROM documents), it AS (SELECT item_id, ' ' || array_to_string(({terms_sql('text')})[1:8], ' ') || ' ' AS run FROM benchmark), rel AS (SELECT item_id, doc_id FROM it JOIN dl ON contains(line, run)),\nq AS", 1)
+ORACLES["eval_recall_mrr"] = ORACLES["eval_recall_mrr"].replace("WITH q AS", f"WITH dl AS (SELECT doc_id, ' ' || array_to_string({terms_sql('text')}, ' ') || ' ' AS line FROM documents), it AS (SELECT item_id, ' ' || array_to_string({terms_sql('text')}, ' ') || ' ' AS run FROM benchmark), rel AS (SELECT item_id, doc_id FROM it JOIN dl ON contains(line, run)),\nq AS", 1)
 
 
 @query("media_windows", """SELECT event_id, i::INT AS ordinal, i * 25.0::DOUBLE AS start, round(least(value * 4, i * 25 + 30), 6) AS "end" FROM (SELECT event_id, value, unnest(range(CASE WHEN value > 0 THEN least(400, greatest(1, ceil((value * 4 - 30) / 25)::INT + 1)) ELSE 0 END)) AS i FROM events)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries_state, queries_text
+from .plans import queries_more, queries_state, queries_text
 from .plans.queries_graph import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_state", "queries_text"]
+__all__ = ["ORACLES", "QUERIES", "queries_more", "queries_state", "queries_text"]

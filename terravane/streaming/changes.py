@@ -48,3 +48,15 @@ def keep_last(events: DataFrame, key: str, n: int) -> DataFrame:
     """The n newest events of each key."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("event_id")))
     return events.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def poll_intervals(polls: DataFrame, key: str, order: str, least: float = 1.0, most: float = 10.0, growth: float = 1.5) -> DataFrame:
+    """key, order, interval: how long to wait after each poll (key, order, changed): the least after a change, else `growth` times the wait before.
+
+    A wait after k polls without a change is the least times growth to the k, so a running count of them suffices.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    last = F.last(F.when(F.col("changed"), F.col("_n")), ignorenulls=True).over(w)
+    p = polls.withColumn("_n", F.row_number().over(w))
+    quiet = F.col("_n") - F.coalesce(last, F.lit(0))
+    return p.select(key, order, F.least(F.lit(most), F.lit(least) * F.pow(F.lit(growth), quiet)).alias("interval"))

@@ -137,3 +137,10 @@ BUILTIN_NAMES = (
     "write close add remove extend index count copy flush encode decode isalnum isdigit lower upper ljust rjust zfill partition "
     "casefold isupper islower this"
 ).split()
+
+# --- fixed values: notes ---
+NOTE_SCOPES = ("project", "user")
+NOTE_KINDS = ("fact", "preference", "decision", "workflow", "reference")
+NOTE_CHARS, NOTE_TAGS, NOTE_TAG_CHARS, NOTE_RESULTS = 32_000, 20, 80, 100
+STRONG_WORDS, LEAST_SIMILARITY, SIMILARITY_START, SIMILARITY_SPAN = 0.8, 0.28, 0.35, 0.5
+WORDS_SHARE, VECTOR_SHARE, LEAST_WORDS, ENOUGH_SIMILARITY = 0.45, 0.55, 0.4, 0.65
