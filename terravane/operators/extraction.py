@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ordinal, level, title, start_line, end_line, body of every heading; a body ends at the next heading. Fences hide headings."""
@@ -161,15 +163,72 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(run, SYMBOL)
 
 
+#: Words before a parenthesis that are no calls.
+NO_CALLS = frozenset("if for while switch catch return function typeof await new super else do in of with fn func def sizeof match when until unless and or not elif".split())
+IMPORT = re.compile(r"""^\s*(?:import|export)\s+(?:type\s+)?(?:(?P<names>[\w*{}\s,$]+?)\s+from\s+)?["'](?P<module>[^"']+)["']|(?:(?:const|let|var)\s+(?P<bound>[\w{}\s,$:]+?)\s*=\s*)?require\(["'](?P<required>[^"']+)["']\)""")
+PLAIN_IMPORT = re.compile(r"^\s*(?:import|use|using|#include)\s+(?:static\s+)?[<\"]?([\w.:/]+)")
+BASES = re.compile(r"\b(extends|implements)\s+([\w.$<>,\s]+?)(?=\s*(?:\{|implements\b|$))")
+CALL = re.compile(r"(?<![\w.$])(new\s+)?((?:[A-Za-z_$][\w$]*\s*(?:\.|::|->)\s*)*)([A-Za-z_$][\w$]*)\s*\(")
+
+
+def _references_by_lines(path: str, text: str, language: str, rules) -> list[tuple]:
+    """References of a text whose language has a table of declarations: imports with what they bind, bases, constructions and calls."""
+    held = sorted((s[5], s[6], s[3]) for s in _by_table(path, text, rules))
+    script = language in ("javascript", "typescript", "tsx", "jsx", "astro", "vue", "svelte")
+    out, comment = [], False
+    for n, line in enumerate(text.split("\n"), 1):
+        if comment or line.lstrip().startswith(("//", "#!", "*", "/*")):
+            comment = (comment or "/*" in line) and "*/" not in line
+            continue
+        code = re.sub(r"""(["'`])(?:\\\\.|(?!\1).)*\1""", lambda m: m.group(1) * 2, line) if not (script and IMPORT.search(line)) else line
+        owner = next((q for s, e, q in reversed(held) if s <= n <= e), None)
+        if script and (m := IMPORT.search(line)):
+            module = (m.group("module") or m.group("required") or "").removeprefix("./")
+            module = re.sub(r"\.(?:m?[jt]sx?)$", "", module).replace("../", "..").replace("/", ".")
+            names = re.findall(r"[\w$]+(?=\s*(?:,|\}|$|:))", re.sub(r"[\w$]+\s+as\s+", "", m.group("names") or m.group("bound") or "")) or [module.rsplit(".", 1)[-1]]
+            out += [(path, owner, "imports", x, module, n) for x in names]
+            continue
+        if not script and (m := PLAIN_IMPORT.match(line)):
+            whole = re.sub(r"::|/", ".", m.group(1))
+            out.append((path, owner, "imports", whole.rsplit(".", 1)[-1], whole, n))
+            continue
+        declared = any(re.match(p, line) for _, p in rules)
+        for m in BASES.finditer(code):
+            out += [(path, owner, "inherits" if m.group(1) == "extends" else "implements", x.split("<")[0].strip().rsplit(".", 1)[-1], None, n) for x in m.group(2).split(",") if x.strip()]
+        for i, m in enumerate(CALL.finditer(code)):
+            if m.group(3) in NO_CALLS or declared and i == 0 and "=>" not in code:
+                continue  # the declaration itself
+            qualifier = re.sub(r"\s|->|::", lambda x: "" if x.group().isspace() else ".", m.group(2)).rstrip(".") or None
+            out.append((path, owner, "constructs" if m.group(1) or (script and m.group(3)[0].isupper() and m.group(1)) else "calls", m.group(3), qualifier, n))
+    return out
+
+
 def references(files: DataFrame) -> DataFrame:
-    """References of Python files: imports, calls, constructions, bases, decorators, annotated types. owner is null at module level."""
+    """References of files: imports, calls, constructions, bases; of Python also decorators and annotated types. owner is null at module level."""
+    return parse(files)[1]
+
+
+PARSED = "what int, " + SYMBOL + ", owner string, type string, qualifier string"
+
+
+def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and references of files (path, language, text), each text parsed once; the result is written, so both read it."""
+    spark = files.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a file has five megabytes at most
 
     def run(frames):
         for f in frames:
-            rows = [r for path, lang, text in zip(f["path"], f["language"], f["text"]) if lang == "python" for r in _python(path, text or "")[1]]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in REFERENCE.split(", ")])
-
-    return files.select("path", "language", "text").mapInPandas(run, REFERENCE)
+            rows = []
+            for path, lang, text in zip(f["path"], f["language"], f["text"]):
+                text, rules = text or "", _rules(lang or "")
+                found = _python(path, text) if lang == "python" else (_by_table(path, text, rules), _references_by_lines(path, text, lang or "", rules) if rules else [])
+                rows += [(0, *s, None, None, None) for s in found[0]]
+                rows += [(1, r[0], None, r[3], None, None, r[5], None, None, None, r[1], r[2], r[4]) for r in found[1]]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
+
+    got = cut(files.select("path", "language", "text").mapInPandas(run, PARSED), "parsed")
+    symbols = got.where("what = 0").select(*[c.split()[0] for c in SYMBOL.split(", ")])
+    return symbols, got.where("what = 1").select("path", "owner", "type", "name", "qualifier", F.col("start_line").alias("line"))
 
 
 def module_doc(text: Column) -> Column:

@@ -67,9 +67,13 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, weights: dict[str, fl
     keep tells which documents may be found; it is applied before the k best are taken and leaves the statistics alone.
     match: `or`, or `and_or` for all phrases where some document that may be found has them, else any.
     """
+    return bm25_over(tokenised(docs, id_col, weights, keep), queries, weights, k, match)
+
+
+def bm25_over(t: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, match: str = "or") -> DataFrame:
+    """bm25() over what tokenised() gave, for one that is kept."""
     terms = F.col("terms") if "terms" in queries.columns else F.array("term")
     q = queries.select("query_id", F.transform(terms, fold).alias("terms")).withColumn("key", F.array_join("terms", " ")).distinct()
-    t = tokenised(docs, id_col, weights, keep)
     row = t.agg(F.count(F.lit(1)), F.avg("length")).first()
     total, mean = row[0], row[1] or 1.0
     asked = q.select("key", "terms").distinct().select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("j", "term"))

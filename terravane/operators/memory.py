@@ -51,14 +51,18 @@ def lexical_score(notes: DataFrame, query: str) -> DataFrame:
 
 
 def hybrid_score(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    """id, score, lexical, similarity. Where some word match is strong, vectors are not asked; weak rows of both go."""
-    strong = lexical.agg(F.coalesce(F.max("lexical") >= 0.8, F.lit(False)).alias("strong"))
+    """id, score, lexical, similarity. Where some word match is strong, vectors are not asked; weak rows of both go.
+
+    A note that no vector found keeps its words' score whole.
+    """
+    strong = lexical.agg(F.coalesce(F.max("lexical") >= V.STRONG_WORDS, F.lit(False)).alias("strong"))
     rows = lexical.join(semantic, "id", "full").crossJoin(F.broadcast(strong))  # one row
-    sim = F.when(F.col("strong") | (F.col("similarity") < 0.28), None).otherwise(F.col("similarity"))
+    sim = F.when(F.col("strong") | (F.col("similarity") < V.LEAST_SIMILARITY), None).otherwise(F.col("similarity"))
     rows = rows.select("id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), sim.alias("similarity"), "strong")
-    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("similarity", F.lit(0.0)) - 0.35) / 0.5))
-    score = F.when(F.col("strong"), F.col("lexical")).otherwise(0.45 * F.col("lexical") + 0.55 * scaled)
-    keep = (F.col("lexical") >= 0.4) | (F.coalesce("similarity", F.lit(0.0)) >= 0.65)
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("similarity", F.lit(0.0)) - V.SIMILARITY_START) / V.SIMILARITY_SPAN))
+    both = V.WORDS_SHARE * F.col("lexical") + V.VECTOR_SHARE * scaled
+    score = F.when(F.col("strong") | F.col("similarity").isNull(), F.col("lexical")).otherwise(both)
+    keep = (F.col("lexical") >= V.LEAST_WORDS) | (F.coalesce("similarity", F.lit(0.0)) >= V.ENOUGH_SIMILARITY)
     return rows.where(keep).select("id", F.round(score, 6).alias("score"), "lexical", "similarity")
 
 

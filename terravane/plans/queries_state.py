@@ -51,7 +51,7 @@ def _(spark, d):
 
 @query("mem_hybrid_score", """WITH b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN round((o_orderkey % 79) / 100.0::DOUBLE, 6) END AS lexical, CASE WHEN o_orderkey % 5 > 0 THEN round((o_custkey % 101) / 100.0::DOUBLE, 6) END AS similarity FROM orders),
 s AS (SELECT id, coalesce(lexical, 0.0) AS lexical, CASE WHEN similarity >= 0.28 THEN similarity END AS similarity FROM b WHERE lexical IS NOT NULL OR similarity IS NOT NULL)
-SELECT id, round(0.45 * lexical + 0.55 * greatest(0.0, least(1.0, (coalesce(similarity, 0.0) - 0.35) / 0.5)), 6) AS score, lexical, similarity FROM s WHERE lexical >= 0.4 OR coalesce(similarity, 0.0) >= 0.65""")
+SELECT id, round(CASE WHEN similarity IS NULL THEN lexical ELSE 0.45 * lexical + 0.55 * greatest(0.0, least(1.0, (similarity - 0.35) / 0.5)) END, 6) AS score, lexical, similarity FROM s WHERE lexical >= 0.4 OR coalesce(similarity, 0.0) >= 0.65""")
 def _(spark, d):
     o = P.table(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
     lex = o.where("id % 3 > 0").select("id", F.round((F.col("id") % 79).cast("double") / 100, 6).alias("lexical"))

@@ -2,109 +2,196 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import identity as I
 from ..functions import text as T
-from ..operators import context, extraction, graph, incremental, lexical, quality, ranking, resolve, vector
-from ..operators.filters import search_filter
+from ..functions.identity import content_hash
+from ..functions.representation import search_text
+from ..operators import aggregates, context, extraction, graph, incremental, lexical, lookups, quality, ranking, resolve, vector
+from ..operators.checkpoints import cut
+from ..operators.filters import search_filter, visible_edges
 from ..sources.files import scan
 from ..sources.snapshots import SnapshotStore
+from .memory_store import MemoryStore
 
 FTS_COLUMNS = V.FTS_WEIGHTS
+CACHED = 64  #: Results of searches that are kept.
+CONTEXT_EDGES = ("calls", "constructs", "imports", "inherits", "implements", "references")
+
+
+COLUMNS = ["id", "root_id", "kind", "language", "name", "qualified_name", "path", "parent_id", "start_line", "end_line", "signature", "docstring"]
+CONFIDENCE = V.DEFAULT_CONFIDENCE
+
+
+def dotted(path):
+    """The module a file declares."""
+    return F.replace(F.regexp_replace(path, r"(/__init__)?\.[^./]+$", ""), F.lit("/"), F.lit("."))
 
 
-def index_tables(files: DataFrame, root_id: str) -> dict[str, DataFrame]:
-    """entities, edges, files, unresolved from scanned files: symbols and sections, containment, resolved references."""
+def parsed(files: DataFrame, root_id: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and references of scanned files; each text is parsed once."""
     text = F.col("content").cast("string")
-    files = files.withColumn("text", text)
-    sym = extraction.symbols(files).join(files.select("path", "language"), "path")
+    front = extraction.frontmatter(text)
+    shifted = F.concat(F.repeat(F.lit("\n"), front["line"] - 1), front["code"])  # a component's script, on its own lines
+    files = files.withColumn("text", F.when((F.col("language") == "astro") & front.isNotNull(), shifted).otherwise(text))
+    found, refs = extraction.parse(files)
+    sym = found.join(files.select("path", "language"), "path")
     eid = lambda kind, qn, start: I.stable_id(F.lit(root_id), kind, F.col("language"), F.col("path"), qn, start)
     none = F.lit(None).cast("string")
     file_id = eid(F.lit("file"), F.col("path"), F.lit(""))
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    cols = ["id", "root_id", "kind", "language", "name", "qualified_name", "path", "parent_id", "start_line", "end_line", "signature", "docstring"]
-    file_rows = files.select(file_id.alias("id"), F.lit(root_id).alias("root_id"), F.when(F.col("language").isin("markdown", "text", "pdf"), "document").otherwise("file").alias("kind"), "language", stem.alias("name"), F.col("path").alias("qualified_name"), "path", none.alias("parent_id"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), none.alias("signature"), none.alias("docstring"))
+    kind = F.when(F.col("language").isin("markdown", "text", "pdf"), "document").otherwise("file")
+    file_rows = files.select(file_id.alias("id"), F.lit(root_id).alias("root_id"), kind.alias("kind"), "language", stem.alias("name"), F.col("path").alias("qualified_name"), "path", none.alias("parent_id"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), none.alias("signature"), extraction.module_doc(text).alias("docstring"))
     own = sym.withColumn("id", eid(F.col("kind"), F.col("qualified_name"), F.col("start_line")))
     up = own.select(F.col("path"), F.col("qualified_name").alias("parent"), F.col("id").alias("up")).dropDuplicates(["path", "parent"])
-    symbols = own.join(up, ["path", "parent"], "left").withColumn("parent_id", F.coalesce("up", file_id)).withColumn("root_id", F.lit(root_id)).select(*cols)
+    symbols = own.join(up, ["path", "parent"], "left").withColumn("parent_id", F.coalesce("up", file_id)).withColumn("root_id", F.lit(root_id)).select(*COLUMNS)
     sections = extraction.markdown_sections(files.where("language = 'markdown'"), "path", "text").withColumnRenamed("id", "path").withColumn("language", F.lit("markdown"))
     sections = sections.withColumn("kind", F.lit("section")).withColumn("id", eid(F.lit("section"), F.col("title"), F.col("start_line")))
     sections = sections.select("id", F.lit(root_id).alias("root_id"), "kind", "language", F.col("title").alias("name"), F.col("title").alias("qualified_name"), "path", eid(F.lit("file"), F.col("path"), F.lit("")).alias("parent_id"), "start_line", "end_line", none.alias("signature"), F.left("body", F.lit(600)).alias("docstring"))
-    entities = file_rows.unionByName(symbols).unionByName(sections)
-    held = entities.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.when(F.col("kind") == "section", "contains").when(F.col("signature").isNotNull(), "defines").otherwise("contains").alias("type"), F.lit("extracted").alias("provenance"), F.lit(1.0).alias("confidence"))
-    module = F.replace(F.regexp_replace("path", r"(/__init__)?\.[^./]+$", ""), F.lit("/"), F.lit("."))
-    refs = extraction.references(files).join(files.select("path", "language"), "path")
+    entities = cut(file_rows.unionByName(symbols).unionByName(sections), "entities")
+    return entities, refs.join(files.select("path", "language"), "path")
+
+
+def linked(entities: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and unresolved references. A name that an import binds is looked for in the file its module names."""
+    kind = F.when(F.col("kind") == "section", "contains").when(F.col("signature").isNotNull(), "defines").otherwise("contains")
+    held = entities.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), kind.alias("type"), F.lit("extracted").alias("provenance"), F.lit(1.0).alias("confidence"))
     who = entities.select("path", F.col("qualified_name").alias("owner"), F.col("id").alias("source_id")).dropDuplicates(["path", "owner"])
     refs = refs.withColumn("owner", F.coalesce("owner", "path")).join(who, ["path", "owner"])
-    imported = F.when(F.col("type") == "imports", F.col("qualifier"))
-    refs = refs.select(F.sha2(F.concat_ws("|", "path", "line", "name", "type", "owner").cast("binary"), 256).alias("ref_id"), "source_id", F.when(F.col("qualifier").isNotNull() & (F.col("type") != "imports"), F.concat_ws(".", "qualifier", "name")).otherwise(F.col("name")).alias("name"), "path", "language", imported.alias("module"), "type", "line").dropDuplicates(["ref_id"])
-    names = entities.where("kind not in ('file', 'document', 'section')").withColumn("module", module)
-    outcome = resolve.resolve(refs, names).join(refs.select("ref_id", "source_id", "type", "name", "path", "line"), "ref_id")
-    found = outcome.where("outcome = 'resolved'").select("source_id", F.col("target_id"), "type", F.lit("resolved").alias("provenance"), F.lit(V.DEFAULT_CONFIDENCE["resolved"]).alias("confidence")).distinct()
-    return {
-        "entities": entities,
-        "edges": held.unionByName(found),
-        "files": files.select("path", "size", "mtime", "language", "content_hash"),
-        "unresolved": outcome.where("outcome <> 'resolved'").select("source_id", "name", "path", "line", "type", "candidates"),
-    }
+    refs = refs.withColumn("ref_id", F.sha2(F.concat_ws("|", "path", "line", "name", "type", "owner").cast("binary"), 256)).dropDuplicates(["ref_id"])
+    bound = refs.where("type = 'imports'").select("path", F.col("name").alias("alias"), F.coalesce("qualifier", "name").alias("spec")).dropDuplicates(["path", "alias"])
+    alias = F.when(F.col("type") == "imports", F.col("name")).otherwise(F.split(F.coalesce("qualifier", "name"), r"\.")[0])
+    refs = cut(refs.withColumn("alias", alias).join(bound, ["path", "alias"], "left"), "references")
+    files = entities.where(F.col("kind").isin("file", "document")).select("path")
+    at = resolve.module_files(refs.where("spec is not null").select("ref_id", F.col("path").alias("importer"), F.col("spec").alias("module")), files)
+    named = refs.join(at.select("ref_id", dotted(F.col("path")).alias("module")), "ref_id", "left")
+    full = F.when(F.col("qualifier").isNotNull() & (F.col("type") != "imports") & F.col("spec").isNull(), F.concat_ws(".", "qualifier", "name")).otherwise(F.col("name"))
+    symbols = entities.where("kind not in ('file', 'document', 'section')").withColumn("module", dotted(F.col("path")))
+    asked = named.where("type <> 'imports' or module is not null").select("ref_id", "source_id", full.alias("name"), "path", "language", "module", "type", "line", "qualifier")
+    outcome = cut(resolve.resolve(asked, symbols), "outcome")
+    sure = outcome.where("outcome = 'resolved'").join(refs.select("ref_id", "source_id", "type"), "ref_id").select("source_id", "target_id", "type", F.lit("resolved").alias("provenance"), F.lit(CONFIDENCE["resolved"]).alias("confidence"))
+    # An import whose module is a file but whose name is no symbol of it points to the file.
+    file_ids = entities.where(F.col("kind").isin("file", "document")).select(F.col("path").alias("at"), F.col("id").alias("target_id"))
+    whole = at.withColumnRenamed("path", "at").join(refs.where("type = 'imports'").select("ref_id", "source_id", "type"), "ref_id").join(outcome.where("outcome = 'resolved'").select("ref_id"), "ref_id", "left_anti")
+    whole = whole.join(file_ids, "at").select("source_id", "target_id", "type", F.lit("resolved").alias("provenance"), F.lit(CONFIDENCE["resolved"]).alias("confidence"))
+    lost = outcome.where("outcome <> 'resolved'").select("ref_id", "candidates").join(refs.select("ref_id", "source_id", "name", "path", "line", "type", "qualifier"), "ref_id")
+    lost = resolve.unresolved_rows(lost).join(lost.select("source_id", "name", "path", "line", "type", "candidates"), ["source_id", "name", "path", "line", "type"])
+    return held.unionByName(sure).unionByName(whole).distinct(), lost.dropDuplicates(["id"])
+
+
+def searchable(entities: DataFrame) -> DataFrame:
+    return entities.withColumn("semantic_text", search_text(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("docstring")))
 
 
 class Repository:
-    """One indexed tree: update, search, explain, related, path, impact, find_tests, context, doctor."""
+    """One indexed tree: update, search, resolve, explain, neighbourhood, related, path, impact, find_tests, context, communities, events, status, freshness, doctor, and notes as memory.
+
+    embed gives the vector of a text as a column; route, if given, may replace a question's channels (a function of
+    the question and the default names).
+    """
 
-    def __init__(self, spark: SparkSession, store: str, root_id: str = "root:0"):
-        self.spark, self.store, self.root_id = spark, SnapshotStore(spark, store), root_id
+    def __init__(self, spark: SparkSession, store: str, root_id: str = "root:0", embed=vector.hashing_embedding, route=None):
+        self.spark, self.store, self.root_id, self.embed, self.route = spark, SnapshotStore(spark, store), root_id, embed, route
+        self.memory = MemoryStore(spark, self.store, root_id, embed)
+        self.found: OrderedDict = OrderedDict()
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
     def update(self, root: str, **rules) -> int:
-        """Scan, plan, and commit a new snapshot if anything changed; the generation that is current afterwards."""
-        files = scan(self.spark, root, **rules)
+        """Scan, plan, and commit a new snapshot if anything changed; the generation that is current afterwards.
+
+        Only added and changed files are parsed; references of all files are resolved again from their stored rows,
+        and only entities without a vector of their text are embedded.
+        """
+        files = cut(scan(self.spark, root, **rules), "files")
         generation, names = self.store.current()
-        if names and incremental.plan_update(self.table("files"), files).where("change <> 'unchanged'").isEmpty():
+        listed = files.select("path", "size", "mtime", "language", "content_hash")
+        known = self.table("files") if "files" in names else listed.limit(0)
+        plan = cut(incremental.plan_update(known, listed), "plan")
+        due = plan.where("change <> 'unchanged'")
+        if names and due.isEmpty():
             return generation
+        fresh, refs = parsed(files.join(due, "path", "left_semi"), self.root_id)
+        if "entities" in names:
+            fresh = cut(self.table("entities").select(*COLUMNS).join(due, "path", "left_anti").unionByName(fresh), "entities")
+            refs = self.table("references").join(due, "path", "left_anti").unionByName(refs)
+        edges, unresolved = linked(fresh, refs)
+        edges = cut(edges, "edges")
+        texts = searchable(fresh)
+        hashed = texts.select("id", content_hash(F.col("semantic_text")).alias("input_hash"), "semantic_text")
+        vectors = hashed.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector"))
+        if "vectors" in names:
+            old = self.table("vectors")
+            need = incremental.to_embed(hashed, old, ["id", "input_hash"])
+            vectors = old.join(hashed.select("id", "input_hash"), ["id", "input_hash"], "left_semi").unionByName(need.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector")))
+        members = graph.detected(graph.label_communities(graph.undirected(edges)), "structural")
+        labels = aggregates.community_terms(members.join(fresh.select("id", "path", "name"), "id").select(F.col("community_id").alias("community"), "path", "name")).withColumnRenamed("community", "community_id")
+        events = due.select(F.lit(generation + 1).cast("long").alias("generation"), "path", "change")
 
         def sound(tables: dict[str, DataFrame]) -> None:
             lost = quality.orphan_edges(tables["edges"], tables["entities"]).count()
             if lost:
                 raise ValueError(f"{lost} edges have an end that is no entity")
 
-        return self.store.commit(index_tables(files, self.root_id), [sound])
+        return self.store.commit({
+            "files": listed, "entities": fresh, "references": refs, "edges": edges, "unresolved": unresolved, "vectors": vectors, "tokens": lexical.tokenised(texts, "id", FTS_COLUMNS),
+            "members": members.select("community_id", "id", F.lit("structural").alias("mode"), F.lit("labels").alias("algorithm")), "communities": members.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left").withColumn("mode", F.lit("structural")).withColumn("algorithm", F.lit("labels")),
+            "importance": graph.importance(edges, fresh), "events": self.table("events").unionByName(events) if "events" in names else events,
+        }, [sound])
 
-    def fts(self) -> DataFrame:
-        e = self.table("entities")
-        body = F.left(F.concat_ws(" ", "name", "qualified_name", "signature", "docstring"), F.lit(2000))
-        return e.select("id", "name", "qualified_name", "path", "signature", "docstring", body.alias("semantic_text"))
+    def search(self, question: str, limit: int = 10, expand: bool = True, **wanted) -> DataFrame:
+        """Ranked entities: exact, lexical, semantic and structural evidence, fused; with what each channel gave.
 
-    def search(self, question: str, limit: int = 10, expand: bool = True, **filters) -> DataFrame:
-        """Ranked entities: exact, lexical, semantic and structural evidence, fused; with what each channel gave."""
+        Filters hold before each channel takes its best. The last results of a generation are kept, CACHED at most.
+        """
+        key = (self.store.current()[0], question, limit, expand, repr(sorted(wanted.items())))
+        if key in self.found:
+            self.found.move_to_end(key)
+            return self.found[key]
         entities, edges = self.table("entities"), self.table("edges")
+        allowed = entities.where(search_filter(**wanted))
         q = self.spark.createDataFrame([(0, question)], "query_id int, text string")
-        words = q.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
-        words = words.select("query_id", F.explode(T.terms(F.col("term"))).alias("term"))
-        lex = ranking.normalised(lexical.bm25(self.fts(), words, "id", FTS_COLUMNS, 40))
-        exact = lexical.exact_matches(entities, q.select(F.explode(F.split("text", r"\s+")).alias("ref")).where("ref <> ''").distinct()).withColumn("query_id", F.lit(0))
-        vectors = self.fts().select("id", vector.hashing_embedding(F.col("semantic_text")).alias("vector"))
-        near = vector.all_knn(q.select(F.lit("q").alias("query_id"), vector.hashing_embedding(F.col("text")).alias("vector")), vectors, 40).where("similarity > 0")
-        channels = {
-            "lexical": lex,
-            "exact_name": exact.where("exact_name > 0").select("query_id", "id", F.col("exact_name").alias("value")),
-            "exact_path": exact.where("exact_path > 0").select("query_id", "id", F.col("exact_path").alias("value")),
-            "semantic": near.select(F.lit(0).alias("query_id"), "id", F.col("similarity").alias("value")),
-        }
-        if expand:
-            seeds = channels["exact_name"].union(lex.orderBy(F.desc("value"), "id").limit(10)).select("id").distinct()
-            grown = graph.expand(edges, seeds).where("distance > 0")
-            channels["graph_expansion"] = grown.select(F.lit(0).alias("query_id"), "id" if "id" in grown.columns else F.col("node").alias("id"), (1.0 / F.col("distance")).alias("value"))
-        found = ranking.absorb(channels).join(entities.where(search_filter(**filters)).select("id"), "id", "left_semi")
-        importance = graph.degrees(edges).select("id", F.col("degree").alias("value"))
-        communities = entities.select("id", F.split("path", "/")[0].alias("community"))
-        ranked = ranking.fuse(found, entities, importance, communities, ranking.provenance_bonus(edges), list(channels))
-        return ranking.explained(ranked.where(F.col("rank") <= limit)).join(entities.drop("kind"), "id").orderBy("rank")
+        names = ["exact", "lexical", "semantic"] + ["graph"] * expand
+        names = self.route(question, names) if self.route else names
+        zero = F.lit(0).alias("query_id")
+        channels = {}
+        if "lexical" in names:
+            t = self.table("tokens").drop("keep").join(allowed.select("id", F.lit(True).alias("keep")), "id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+            asked = q.select("query_id", F.explode(lexical.phrases_of(F.col("text"))).alias("terms"))
+            channels["lexical"] = cut(ranking.normalised(lexical.bm25_over(t, asked, FTS_COLUMNS, 40, "and_or")), "lexical")
+        if "exact" in names:
+            exact = cut(lexical.exact_matches(allowed, q.select(F.explode(F.split("text", r"\s+")).alias("ref")).where("ref <> ''").distinct()), "exact")
+            channels |= {c: exact.where(F.col(c) > 0).select(zero, "id", F.col(c).alias("value")) for c in ("exact_name", "exact_path")}
+        if "semantic" in names:
+            v = q.select(self.embed(F.col("text")).alias("v")).first()["v"]
+            near = vector.knn(self.table("vectors").join(allowed.select("id"), "id", "left_semi"), v, 40)
+            channels["semantic"] = cut(near.where("similarity > 0").select(zero, "id", F.col("similarity").alias("value")), "semantic")
+        if "graph" in names and ("lexical" in channels or "exact_name" in channels):
+            seeds = [df.select("id", "value") for c, df in channels.items() if c in ("lexical", "exact_name")]
+            seeds = reduce(DataFrame.union, seeds).groupBy("id").agg(F.max("value").alias("v")).orderBy(F.desc("v"), "id").limit(10)
+            grown = graph.expand(edges, seeds.select("id")).where("distance > 0").join(allowed.select(F.col("id").alias("node")), "node", "left_semi")
+            channels["graph_expansion"] = cut(grown.select(zero, F.col("node").alias("id"), F.col("evidence").alias("value")), "expansion")
+            closest = channels["exact_name"].orderBy(F.desc("value"), "id").first() if "exact_name" in channels else None
+            if closest:
+                channels["graph_proximity"] = cut(ranking.proximity(edges, closest["id"]).join(allowed.select("id"), "id", "left_semi").select(zero, "id", "value"), "proximity")
+        found = cut(ranking.absorb(channels), "channels")
+        near = edges.join(found.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+        members = self.table("members").select("id", F.col("community_id").alias("community"))
+        ranked = ranking.fuse(found, entities, self.table("importance"), members, ranking.provenance_bonus(near), list(channels))
+        badge = lookups.badge({c: F.col(c) for c in channels})
+        out = ranking.explained(ranked.where(F.col("rank") <= limit)).withColumn("evidence", badge).join(entities.drop("kind"), "id").orderBy("rank")
+        self.found[key] = out = cut(out, "found").orderBy("rank")
+        while len(self.found) > CACHED:
+            self.found.popitem(last=False)
+        return out
 
     def resolve(self, reference: str) -> str | None:
         """Id of an entity by id, path, qualified name or name."""
@@ -117,11 +204,40 @@ class Repository:
     def _id(self, reference: str) -> DataFrame:
         return self.spark.createDataFrame([(self.resolve(reference),)], "id string")
 
-    def explain(self, reference: str, most: int = 200) -> DataFrame:
-        """Edges at an entity with what is at their other end."""
-        at, e = self._id(reference), self.table("entities")
-        near = graph.both_ways(self.table("edges")).join(at, F.col("node") == F.col("id"), "left_semi")
-        return near.join(e.select(F.col("id").alias("other"), "kind", "qualified_name", "path"), "other").orderBy(F.desc("confidence"), "other").limit(most)
+    def explain(self, reference: str, most: int = 200) -> dict[str, DataFrame]:
+        """An entity with its parent, inbound and outbound edges, nearest by vector, community, importance and unresolved references."""
+        at, e, edges = cut(self._id(reference), "at"), self.table("entities"), self.table("edges")
+        own = e.join(at, "id", "left_semi")
+        ref = e.select(F.col("id").alias("other"), lookups.reference().alias("entity"))
+        ends = lambda way: graph.edges_at(edges, at, way, limit=most).join(ref, "other").orderBy(F.desc("confidence"), "other")
+        return {
+            "entity": own.join(self.table("importance"), "id", "left").withColumnRenamed("value", "importance"), "parent": lookups.by_ids(e, own.select(F.col("parent_id").alias("id"))), "children": lookups.children(e, at),
+            "inbound": ends("inbound"), "outbound": ends("outbound"), "related": self.related(reference), "communities": graph.membership(self.table("members").join(at, "id", "left_semi"), self.table("communities")),
+            "unresolved": self.table("unresolved").join(at.select(F.col("id").alias("source_id")), "source_id", "left_semi"),
+        }
+
+    def neighbourhood(self, reference: str, depth: int = 2, fanout: int = 60) -> tuple[DataFrame, DataFrame]:
+        """Nodes within depth hops of an entity, with their ways from it, and the edges among them."""
+        edges = self.table("edges").where(F.col("type") != V.SEMANTIC_EDGE_TYPE)
+        nodes = cut(graph.with_paths(graph.expand(edges, self._id(reference), depth, fanout, fanout * depth * 3), depth), "nodes")
+        return nodes, visible_edges(edges, nodes.select(F.col("node").alias("id")))
+
+    def communities(self) -> DataFrame:
+        return self.table("communities").orderBy(F.desc("size"), "community_id")
+
+    def events(self, after: int = 0, most: int = 50) -> DataFrame:
+        """Changes of files by generation, oldest first."""
+        return self.table("events").where(F.col("generation") > after).orderBy("generation", "path").limit(most)
+
+    def status(self) -> DataFrame:
+        """name, n: rows of the current tables, and the generation."""
+        now = self.spark.createDataFrame([("generation", self.store.current()[0])], "name string, n long")
+        return aggregates.table_counts({n: self.table(n) for n in ("files", "entities", "edges", "unresolved", "vectors", "communities")}).union(now)
+
+    def freshness(self, root: str, verify: bool = False, **rules) -> DataFrame:
+        """path, why of files that differ from the index."""
+        listed = scan(self.spark, root, **rules)
+        return incremental.stale_paths(listed, self.table("files"), verify=verify)
 
     def path(self, source: str, target: str, hops: int = 4) -> DataFrame:
         goal = self.resolve(target)
@@ -136,23 +252,53 @@ class Repository:
 
     def related(self, reference: str, limit: int = 10) -> DataFrame:
         """Nearest entities by vector, and whether an edge already links them."""
-        vectors = self.fts().select("id", vector.hashing_embedding(F.col("semantic_text")).alias("vector"))
-        one = vectors.join(self._id(reference), "id", "left_semi").withColumnRenamed("id", "query_id")
-        near = vector.all_knn(one, vectors, limit, same=True)
-        edges = self.table("edges").select(F.col("source_id").alias("query_id"), F.col("target_id").alias("id"), F.lit(True).alias("linked")).distinct()
-        return near.join(edges, ["query_id", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).orderBy("rank")
-
-    def context(self, task: str, budget: int = 6000) -> DataFrame:
-        """Evidence for a task under its plan's token budget, in rank order; empty where the task needs none."""
-        plan = self.spark.createDataFrame([(task,)], "q string").select(T.plan_context(F.col("q"), budget).alias("p")).first()["p"]
-        if plan["skipped"]:
-            return self.table("entities").limit(0)
-        found = self.search(task, 30, expand="structural" in plan["lanes"])
-        text = F.concat_ws("\n", "qualified_name", "path", "signature", "docstring")
-        items = found.select(F.lit(0).alias("group"), "rank", "id", T.estimate_tokens(text).alias("cost"))
-        kept = context.pack(items, plan["budget"]).where("kept").select("id", "cost")
-        return found.join(kept, "id").orderBy("rank")
+        at = self.resolve(reference)
+        own = self.table("vectors").where(F.col("id") == at).first()
+        vectors = self.table("vectors").where(F.col("id") != F.coalesce(F.lit(at), F.lit("")))
+        near = vector.knn(vectors, own["vector"], limit) if own else vectors.select("id", F.lit(0.0).alias("similarity")).limit(0)
+        ends = graph.both_ways(self.table("edges")).where(F.col("node") == at).select(F.col("other").alias("id"), F.lit(True).alias("linked")).distinct()
+        return near.join(ends, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).orderBy(F.desc("similarity"), "id")
+
+    def context(self, task: str, budget: int = 6000, delivered: str | None = None, changed: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+        """Evidence for a task under its plan's token budget (field, key, text, cost, in the order it was taken), and the cursor of what was delivered.
+
+        Entities with their surest outbound edges, tests linked to the first ones, their communities and unresolved
+        references, and notes. Evidence that the cursor `delivered` names is left out. Changed paths are searched on their own, too.
+        """
+        paths = F.array(*map(F.lit, changed)).cast("array<string>")
+        plan = self.spark.createDataFrame([(task,)], "q string").select(T.plan_context(F.col("q"), budget, paths).alias("p")).first()["p"]
+        had = F.coalesce(F.lit(delivered), F.lit(""))
+        items = self.spark.createDataFrame([], "place int, rank int, field string, text string")
+        if not plan["skipped"]:
+            found = self.search(task, 30, expand="structural" in plan["lanes"]).select("id", "rank", "qualified_name", "path", "signature", "docstring", "start_line")
+            if "changed_files" in plan["lanes"]:
+                more = self.search(task, 24, expand=False, path_prefixes=list(changed)[:8]).select(*found.columns).join(found.select("id"), "id", "left_anti")
+                found = found.unionByName(more.withColumn("rank", F.col("rank") + 30))
+            found = cut(found, "evidence")
+            first = lambda n: found.where(F.col("rank") <= n)
+            item = lambda df, place, field, text: df.select(F.lit(place).alias("place"), F.col("rank").cast("int").alias("rank"), F.lit(field).alias("field"), text.alias("text"))
+            out = graph.edges_at(self.table("edges"), found.select("id"), "outbound", CONTEXT_EDGES, limit=6).join(found.select(F.col("id").alias("node"), "rank", "qualified_name"), "node")
+            out = out.join(self.table("entities").select(F.col("id").alias("other"), F.col("qualified_name").alias("to")), "other")
+            items = item(found, 0, "entity", F.concat_ws("\n", "qualified_name", F.concat_ws(":", "path", "start_line"), "signature", "docstring")).unionByName(item(out, 1, "edge", F.concat_ws(" ", "qualified_name", "type", "to")))
+            if "tests" in plan["lanes"]:
+                e = self.table("entities")
+                links = graph.tests_of(self.table("edges"), e, e.join(first(8).select("id"), "id", "left_semi").select("id", "path"))
+                tests = context.linked_tests(first(8), links.select("id", "test_id"), e.select(F.col("id").alias("test_id"), F.concat_ws("\n", "qualified_name", "path", "signature", "docstring").alias("text")))
+                items = items.unionByName(item(tests, 2, "test", F.col("text")))
+            comm = graph.membership(self.table("members").join(first(12).select("id", "rank"), "id"), self.table("communities")).groupBy("community_id", "label").agg(F.min("rank").alias("rank"))
+            lost = self.table("unresolved").join(first(20).select(F.col("id").alias("source_id"), "rank"), "source_id")
+            lost = lost.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("line", "name", "id"))).where("n <= 2")
+            notes = self.memory.search(task, limit=5).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))  # five rows
+            items = items.unionByName(item(comm, 3, "community", F.concat_ws(" ", "community_id", "label"))).unionByName(item(lost, 4, "unresolved", F.concat_ws(" ", "name", "path", "line"))).unionByName(item(notes, 5, "note", F.col("content")))
+        items = items.withColumn("key", context.evidence_key(F.col("field"), F.col("text"))).groupBy("key").agg(F.min(F.struct("place", "rank", "field", "text")).alias("i")).select("key", "i.*")
+        items = cut(items.where(~F.array_contains(context.decode_cursor(had), F.col("key"))), "items")
+        order = F.row_number().over(W.orderBy("rank", "place", "key"))  # some hundred rows
+        items = items.withColumn("at", order)
+        kept = context.pack(items.select(F.lit(0).alias("group"), F.col("at").alias("rank"), F.col("key").alias("id"), T.estimate_tokens(F.col("text")).alias("cost")), plan["budget"]).where("kept").select(F.col("id").alias("key"), "cost")
+        out = cut(items.join(kept, "key").select("at", "field", "key", "text", "cost"), "context").orderBy("at")
+        keys = F.concat(context.decode_cursor(had), F.coalesce(F.lit(None).cast("array<string>"), F.array(*[F.lit(r["key"]) for r in out.select("key").collect()]).cast("array<string>")))
+        return out, self.spark.range(1).select(context.encode_cursor(keys).alias("c")).first()["c"]
 
     def doctor(self) -> DataFrame:
-        vectors = self.fts().select(F.col("id").alias("entity_id"), vector.hashing_embedding(F.col("semantic_text")).alias("vector"))
-        return quality.doctor(self.table("entities"), self.table("edges"), vectors, self.fts().select("id"))
+        vectors = self.table("vectors").select(F.col("id").alias("entity_id"), "vector")
+        return quality.doctor(self.table("entities"), self.table("edges"), vectors, self.table("tokens").select("id"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import subprocess
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +77,50 @@ def glob_regex(pattern: str, below: str = "") -> str | None:
 
 
 def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
-    """Whether some rule (folder, pattern) drops a path; one layer never takes back what another drops."""
-    found = [r for below, p in rules if (r := glob_regex(p, below))]
-    return reduce(lambda a, b: a | b, (path.rlike(r) for r in found), F.lit(False))
+    """Whether some rule (folder, pattern) drops a path. A later `!` line of a folder's rules takes back what an earlier one of
+    the same folder drops; one layer never takes back what another drops."""
+    layers: dict[str, Column] = {}
+    for below, p in rules:
+        back = p.strip().startswith("!")
+        if r := glob_regex(p.strip()[1:] if back else p, below):
+            now = layers.get(below, F.lit(False))
+            layers[below] = now & ~path.rlike(r) if back else now | path.rlike(r)
+    return reduce(lambda a, b: a | b, layers.values(), F.lit(False))
+
+
+MARKERS = (".git", "pyproject.toml", "package.json", "Cargo.toml", "go.mod")
+
+
+def detect_root(start: str) -> str:
+    """The nearest folder at or above start that holds a marker of a project, else start itself; of the driver's own disk."""
+    at = Path(start).resolve()
+    at = at if at.is_dir() else at.parent
+    return str(next((p for p in (at, *at.parents) if any((p / m).exists() for m in MARKERS)), at))
+
+
+def git_state(root: str) -> tuple[str | None, str | None]:
+    """Branch and commit of a tree on the driver's disk; (None, None) where there is none."""
+    said = [_git(root, "rev-parse", *a) for a in (("--abbrev-ref", "HEAD"), ("HEAD",))]
+    return (said[0].strip() or None, said[1].strip() or None) if all(said) else (None, None)
+
+
+def dirty_paths(spark: SparkSession, root: str, most: int = 256) -> DataFrame:
+    """path of files that differ from the last commit or are new to it, `most` at most; empty where there is no repository."""
+    parts, out = _git(root, "status", "--porcelain", "-z").split("\0"), []
+    while parts and len(out) < most:
+        x = parts.pop(0)
+        if len(x) > 3:
+            out.append((x[3:],))
+            if x[0] in "RC" and parts:
+                parts.pop(0)  # what it was called
+    return spark.createDataFrame(out, "path string")
+
+
+def _git(root: str, *args: str) -> str:
+    try:
+        return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=5).stdout
+    except (OSError, subprocess.TimeoutExpired):
+        return ""
 
 
 def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -89,14 +132,15 @@ def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = re.sub(r"^file:/*", "/", root).rstrip("/")
     rel = F.regexp_replace("path", "^[a-z]+:/*" + re.escape(at.lstrip("/")) + "/", "")
-    files = files.select(rel.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), "content")
-    files = files.where(~in_excluded_dir(F.col("path")))
+    files = files.where(~in_excluded_dir(rel))  # before content is asked for, so that such files are not read
+    small = files.where(F.col("length") <= V.MAX_FILE_BYTES)
+    files = small.select(rel.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), "content")
     rules = [(r["path"].rpartition("/")[0], line) for r in files.where(base_name(F.col("path")).isin(*IGNORE_FILES)).select("path", F.col("content").cast("string").alias("t")).collect() for line in r["t"].splitlines()]
     keep = ~ignored(F.col("path"), rules + [("", p) for p in exclude])
     if include:
         keep &= ignored(F.col("path"), [("", p) for p in include])
-    files = files.where(keep & (F.col("size") <= V.MAX_FILE_BYTES))
+    files = files.where(keep)
     head = F.when(F.col("size") <= V.HEADER_FILE_BYTES, F.col("content").cast("string"))
     files = files.withColumn("language", language(F.col("path"))).withColumn("media", media_kind(F.col("path"))).withColumn("is_generated", is_generated(F.col("path"), head))
     files = files.where((F.col("language").isNotNull() | F.col("media").isNotNull()) & ~F.col("is_generated"))
-    return files.withColumn("content_hash", content_hash(F.col("content"))).orderBy("path")
+    return files.withColumn("content_hash", content_hash(F.col("content")))

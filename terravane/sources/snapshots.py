@@ -34,10 +34,19 @@ class SnapshotStore:
         read = {n: self.spark.read.parquet(p) for n, p in fresh.items()}
         for check in checks:
             check(read)
+        self._claim(generation + 1)
         row = [(generation + 1, json.dumps(names | fresh, sort_keys=True))]
         self.spark.createDataFrame(row, "generation long, tables string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
         return generation + 1
 
+    def _claim(self, generation: int) -> None:
+        """Of two writers that start from one generation, one alone creates the next one's claim; the other's commit fails."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{generation}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            raise RuntimeError(f"generation {generation} was committed by another writer")
+        fs.create(path, False).close()
+
     def read(self, table: str, generation: int | None = None) -> DataFrame:
         """A table as of a generation, the current one by default; readers that hold it are not disturbed by later commits."""
         if generation is None:

@@ -1,5 +1,6 @@
 """Operators on small literal tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from terravane.functions import identity, text, vectors
@@ -163,22 +164,105 @@ def test_ignore_rules(spark):
     assert {r["p"]: r["i"] for r in df.collect()} == paths
 
 
+JS = "import { Session } from './models.js';\nexport class Page extends View {\n  open(id) {\n    return new Session(id);\n  }\n}\n"
+
+
 def test_scan_index_and_questions(spark, tmp_path):
     from terravane.plans.service import Repository
 
     root = tmp_path / "tree"
-    for path, body in {"pkg/auth.py": PY, "pkg/models.py": "class Session:\n    pass\n", "README.md": "# Guide\nHow sessions work\n", ".gitignore": "*.tmp\n", "x.tmp": "no", "node_modules/a.js": "function no() {}"}.items():
+    files = {"pkg/auth.py": PY, "pkg/models.py": "class Session:\n    pass\n", "README.md": "# Guide\nHow sessions work\n", ".gitignore": "*.tmp\n", "x.tmp": "no", "node_modules/a.js": "function no() {}", "web/page.js": JS, "web/models.js": "export class Session {}\n"}
+    for path, body in files.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(body)
     repo = Repository(spark, str(tmp_path / "store"))
     assert repo.update(str(root)) == 1 and repo.update(str(root)) == 1
-    assert {r["path"] for r in repo.table("files").collect()} == {"pkg/auth.py", "pkg/models.py", "README.md"}
+    assert {r["path"] for r in repo.table("files").collect()} == {"pkg/auth.py", "pkg/models.py", "README.md", "web/page.js", "web/models.js"}
+    e = {r["id"]: (r["path"], r["qualified_name"]) for r in repo.table("entities").collect()}
+    edges = {(e[r["source_id"]][1], r["type"], e[r["target_id"]]) for r in repo.table("edges").collect()}
+    assert ("open", "constructs", ("web/models.js", "Session")) in edges or ("Page.open", "constructs", ("web/models.js", "Session")) in edges or ("Page", "constructs", ("web/models.js", "Session")) in edges
+    assert ("Auth.validate", "constructs", ("pkg/models.py", "Session")) in edges
     assert repo.search("validate", 5).first()["name"] == "validate"
+    assert {r["path"] for r in repo.search("session", 5, languages=["javascript"]).collect()} <= {"web/page.js", "web/models.js"}
     assert {r["impact"] for r in repo.impact("check").collect()} >= {"direct"}
     assert all(r["ok"] for r in repo.doctor().where("severity = 'error'").collect())
-    assert repo.context("hello").count() == 0 and repo.context("where is validate").count() > 0
+    got, cursor = repo.context("explain how validate checks a session")
+    assert {"entity", "edge"} <= {r["field"] for r in got.collect()}
+    assert repo.context("explain how validate checks a session", delivered=cursor)[0].count() < got.count() and repo.context("hello")[0].count() == 0
+    about = repo.explain("Auth.validate")
+    assert about["parent"].first()["qualified_name"] == "Auth" and about["outbound"].count() > 0
+    nodes, among = repo.neighbourhood("Auth.validate", 1)
+    assert among.count() > 0 and nodes.where("distance = 1").count() > 0
     (root / "pkg/models.py").write_text("class Session:\n    def close(self): pass\n")
+    assert {r["path"]: r["why"] for r in repo.freshness(str(root)).collect()} == {"pkg/models.py": "changed"}
+    before = {r["id"] for r in repo.table("entities").where("path = 'pkg/auth.py'").collect()}
     assert repo.update(str(root)) == 2
+    assert {r["id"] for r in repo.table("entities").where("path = 'pkg/auth.py'").collect()} == before
+    assert [r["change"] for r in repo.events(1).collect()] == ["changed"] and {r["name"]: r["n"] for r in repo.status().collect()}["files"] == 5
+
+
+def test_memory_store(spark, tmp_path):
+    from terravane.plans.memory_store import MemoryStore
+
+    m = MemoryStore(spark, SnapshotStore(spark, str(tmp_path / "m")), "p1")
+    one = m.add("Deploys run on Friday  evenings", tags=["deploy"], now=10)
+    assert m.add("deploys run on friday evenings", tags=["deploy"], now=20) == one and m.list().count() == 1 and m.history(one).count() == 1
+    assert m.add("deploys run on friday evenings", tags=["deploy", "ops"], now=30) == one
+    assert [(r["valid_from"], r["valid_to"]) for r in m.history(one).collect()] == [(10, 30), (30, None)]
+    m.add("The parser keeps comments", kind="decision", now=40)
+    assert m.search("deploys friday").first()["id"] == one and m.search("quantum chromodynamics").count() == 0
+    for bad in ({"content": " "}, {"content": "x" * 32_001}, {"content": "password = hunter2"}, {"content": "x", "kind": "poem"}, {"content": "x", "scope": "all"}, {"content": "x", "tags": [str(i) for i in range(21)]}):
+        with pytest.raises(ValueError):
+            m.add(**bad)
+    assert m.capture("I prefer short answers.", trusted=False) == 0 and m.capture("I prefer short answers.", trusted=True) == 1
+    assert m.capture("I prefer long answers.", trusted=True) == 1
+    assert [r["content"] for r in m.list("user").collect()] == ["I prefer long answers."]
+    m.update(one, content="Deploys run on Monday", now=50)
+    assert m.get(one)["content"] == "Deploys run on Monday" and m.history(one).count() == 3
+    m.forget(one)
+    assert m.get(one) is None and m.history(one).count() == 0
+    assert MemoryStore(spark, m.store, "p2").list().count() == 1
+
+
+def test_betweenness_equals_all_shortest_paths(spark):
+    import itertools
+
+    edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.5), ("b", "d", 0.5), ("d", "e", 1.0), ("a", "e", 0.25)]
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = 1 / w
+    want = dict.fromkeys(near, 0.0)
+    for s, t in itertools.permutations(near, 2):
+        ways = []
+        for n in range(len(near) - 1):
+            for mid in itertools.permutations(set(near) - {s, t}, n):
+                p = (s, *mid, t)
+                if all(y in near[x] for x, y in zip(p, p[1:])):
+                    ways.append((round(sum(near[x][y] for x, y in zip(p, p[1:])), 9), p))
+        best = [p for d, p in ways if d == min(ways)[0]]
+        for v in set(near) - {s, t}:
+            want[v] += sum(v in p for p in best) / len(best) / 12
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(edges, "a string, b string, weight double")).collect()}
+    assert all(abs(got[v] - want[v]) < 1e-6 for v in want)
+    assert graph.betweenness(spark.createDataFrame(edges, "a string, b string, weight double"), most=3).count() == 0
+
+
+def test_approximate_neighbours_have_the_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 24))
+    rows = [(i, [float(v) for v in base[i % 60] + rng.standard_normal(24) * 0.3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = df.withColumnRenamed("id", "query_id")
+    exact = {(r["query_id"], r["id"]) for r in vector.all_knn(q, df, 5, same=True).collect()}
+    got = {(r["query_id"], r["id"]) for r in vector.approximate_knn(q, df, 5).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_script_references():
+    got = {(r[1], r[2], r[3], r[4]) for r in extraction._references_by_lines("a.ts", JS, "typescript", extraction._rules("typescript"))}
+    assert (None, "imports", "Session", "models") in got and ("Page", "inherits", "View", None) in got and any(r[1] == "constructs" and r[2] == "Session" for r in got)
 
 
 def test_snapshots_do_not_disturb_readers(spark, tmp_path):
