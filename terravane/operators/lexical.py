@@ -113,7 +113,7 @@ def exact_matches(entities: DataFrame, references: DataFrame, most: int = 50) ->
     Dots and slashes before a path don't count.
     """
     r = references.select("ref", F.trim("ref").alias("r"))
-    code = "|".join(e for exts in V.LANGUAGE_EXTENSIONS.values() for e in exts.split())
+    code = "|".join(V.LANGUAGE_EXTENSIONS)
     is_path = F.col("r").contains("/") | F.lower("r").rlike(rf"\.({code})$")
     r = r.withColumn("r", F.when(is_path, normalize_path(F.regexp_replace("r", r"^[./\\]+", ""))).otherwise(F.col("r"))).withColumn("is_path", is_path)
     is_path = F.col("is_path")

@@ -28,8 +28,20 @@ def actionable(unresolved: DataFrame, entities: DataFrame) -> DataFrame:
     return unresolved.join(e, (F.col("name") == F.col("_name")) & F.col("root_id").eqNullSafe(F.col("_root")), "left_semi")
 
 
-def doctor(entities: DataFrame, edges: DataFrame, embeddings: DataFrame, fts_ids: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """All checks in one table. embeddings: entity_id, vector; fts_ids: id."""
+#: Columns that the tables of an index have at least, and the format they are written in.
+SCHEMA = {
+    "entities": ("id", "root_id", "kind", "language", "name", "qualified_name", "path", "parent_id"),
+    "edges": ("source_id", "target_id", "type", "provenance", "confidence"),
+}
+FORMAT = 1
+
+
+def doctor(entities: DataFrame, edges: DataFrame, embeddings: DataFrame, fts_ids: DataFrame, tolerance: float = 0.02, stale: DataFrame | None = None, written_format: int | None = None) -> DataFrame:
+    """All checks in one table. embeddings: entity_id, vector; fts_ids: id.
+
+    With written_format (that of the stored tables) their format and columns are checked, too; with stale (the rows
+    incremental.stale_paths gives), whether the index is fresh.
+    """
     ids = entities.select("id")
     size = F.size("vector")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -46,5 +58,11 @@ def doctor(entities: DataFrame, edges: DataFrame, embeddings: DataFrame, fts_ids
         ("path_safety", "error", entities.where(F.col("path").isNotNull() & ~safe_path(F.col("path")))),
         ("span_bounds", "error", entities.where((F.col("start_line") < 0) | (F.col("end_line") < F.col("start_line"))) if "start_line" in entities.columns else entities.limit(0)),
     ]
+    spark = entities.sparkSession
+    if written_format is not None:
+        lost = [(c,) for name, df in (("entities", entities), ("edges", edges)) for c in SCHEMA[name] if c not in df.columns]
+        checks += [("schema", "error", spark.createDataFrame(lost, "c string")), ("format", "error", spark.range(int(written_format != FORMAT)))]
+    if stale is not None:
+        checks.append(("freshness", "warning", stale))
     rows = [df.agg(count).select(F.lit(n).alias("check"), (F.col("failures") == 0).alias("ok"), "failures", F.lit(s).alias("severity")) for n, s, df in checks]
     return reduce(DataFrame.unionByName, rows)

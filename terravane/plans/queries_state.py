@@ -84,7 +84,7 @@ def _(spark, d):
 
 
 def cases(table: dict[str, str]) -> str:
-    return " ".join(f"WHEN x IN ({', '.join(repr(e) for e in exts.split())}) THEN '{name}'" for name, exts in table.items())
+    return " ".join(f"WHEN x = '{e}' THEN '{name}'" for e, name in table.items())
 
 
 FILES = "f AS (SELECT page_id, 'site/' || page_id || ['/a.py', '/b.ts', '/c.png', '/d.mp4', '/e.md', '/node_modules/f.js', '/.git/config', '/g.unknown', '/H.RS'][page_id % 9 + 1] AS path FROM pages), x AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS x FROM f)"

@@ -299,6 +299,7 @@ class Repository:
         keys = F.concat(context.decode_cursor(had), F.coalesce(F.lit(None).cast("array<string>"), F.array(*[F.lit(r["key"]) for r in out.select("key").collect()]).cast("array<string>")))
         return out, self.spark.range(1).select(context.encode_cursor(keys).alias("c")).first()["c"]
 
-    def doctor(self) -> DataFrame:
+    def doctor(self, root: str | None = None) -> DataFrame:
+        """All checks; with the tree's root, freshness too."""
         vectors = self.table("vectors").select(F.col("id").alias("entity_id"), "vector")
-        return quality.doctor(self.table("entities"), self.table("edges"), vectors, self.table("tokens").select("id"))
+        return quality.doctor(self.table("entities"), self.table("edges"), vectors, self.table("tokens").select("id"), stale=self.freshness(root) if root else None, written_format=quality.FORMAT)

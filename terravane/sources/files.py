@@ -27,16 +27,14 @@ def base_name(path: Column) -> Column:
 def language(path: Column) -> Column:
     """By file name, then by extension; null if neither is known."""
     names = F.create_map(*[F.lit(x) for kv in V.LANGUAGE_FILENAMES.items() for x in kv])
-    kinds = F.create_map(*[F.lit(x) for lang, exts in V.LANGUAGE_EXTENSIONS.items() for e in exts.split() for x in (e, lang)])
+    kinds = F.create_map(*[F.lit(x) for kv in V.LANGUAGE_EXTENSIONS.items() for x in kv])
     return F.coalesce(F.try_element_at(names, F.lower(base_name(path))), F.try_element_at(kinds, extension(path)))
 
 
 def media_kind(path: Column) -> Column:
     """image, audio, video or document; null for others."""
-    out = F.lit(None).cast("string")
-    for kind, exts in reversed(V.MEDIA_EXTENSIONS.items()):
-        out = F.when(extension(path).isin(*exts.split()), kind).otherwise(out)
-    return out
+    kinds = F.create_map(*[F.lit(x) for kv in V.MEDIA_EXTENSIONS.items() for x in kv])
+    return F.try_element_at(kinds, extension(path))
 
 
 def is_generated(path: Column, head: Column) -> Column:

@@ -37,9 +37,11 @@ PROVENANCE_BONUS = {"extracted": 0.05, "resolved": 0.03}
 
 # --- fixed values: words without signal in a question ---
 STOPWORDS = (
-    "a an and are as at be but by do does for from has have how i if in is it its of on or our so that the their then there "
-    "these they this to was we were what when where which who why will with you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "do", "does", "for", "from", "has", "have", "how", "i",
+    "if", "in", "is", "it", "its", "of", "on", "or", "our", "so", "that", "the", "their", "then", "there", "these",
+    "they", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you",
+    "your",
+)
 
 # --- fixed values: intent patterns, tried in this order ---
 INTENT_PATTERNS = (
@@ -99,10 +101,11 @@ SYNONYMS = {
 
 # --- fixed values: discovery ---
 EXCLUDED_DIRS = (
-    ".git .hg .svn node_modules bower_components vendor venv .venv virtualenv __pycache__ .mypy_cache .pytest_cache .ruff_cache "
-    ".tox .nox .cache dist build out output target coverage .next .nuxt .svelte-kit .gradle .idea .vscode-test site-packages "
-    ".eggs .terraform Pods DerivedData obj bin .dart_tool"
-).split()
+    ".git", ".hg", ".svn", "node_modules", "bower_components", "vendor", "venv", ".venv", "virtualenv", "__pycache__",
+    ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", ".cache", "dist", "build", "out", "output",
+    "target", "coverage", ".next", ".nuxt", ".svelte-kit", ".gradle", ".idea", ".vscode-test", "site-packages",
+    ".eggs", ".terraform", "Pods", "DerivedData", "obj", "bin", ".dart_tool",
+)
 MINIFIED_SUFFIXES = (".min.js", ".min.css", ".bundle.js", ".min.mjs")
 GENERATED_HEADERS = (
     "@generated", "code generated by", "do not edit", "do not modify", "autogenerated", "auto-generated", "automatically generated",
@@ -111,32 +114,41 @@ GENERATED_HEADERS = (
 GENERATED_PATHS = (".pb.go", "_pb2.py", ".generated.", ".g.dart", ".freezed.dart", "_generated.py", "/generated/", "/__generated__/", "/autogen/", ".min.", "/migrations/")
 MAX_FILE_BYTES, HEADER_CHARS, HEADER_FILE_BYTES = 5_000_000, 2000, 65_536
 LANGUAGE_EXTENSIONS = {
-    "python": "py pyi", "typescript": "ts mts cts", "tsx": "tsx", "javascript": "js mjs cjs", "jsx": "jsx", "rust": "rs", "go": "go",
-    "java": "java", "c": "c h", "cpp": "cc cpp cxx hpp hh hxx", "csharp": "cs", "kotlin": "kt kts", "swift": "swift", "ruby": "rb",
-    "php": "php", "scala": "scala sc", "perl": "pl pm", "lua": "lua", "haskell": "hs", "elixir": "ex exs", "erlang": "erl",
-    "ocaml": "ml", "zig": "zig", "dart": "dart", "groovy": "groovy", "objective_c": "m mm", "r": "r", "julia": "jl",
-    "shell": "sh bash zsh", "sql": "sql", "vue": "vue", "svelte": "svelte", "astro": "astro", "json": "json", "yaml": "yaml yml",
-    "toml": "toml", "html": "html htm", "css": "css scss", "markdown": "md markdown mdx", "text": "txt rst", "pdf": "pdf",
+    "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "rs": "rust", "go": "go",
+    "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp",
+    "hxx": "cpp", "cs": "csharp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "rb": "ruby", "php": "php",
+    "scala": "scala", "sc": "scala", "pl": "perl", "pm": "perl", "lua": "lua", "hs": "haskell", "ex": "elixir",
+    "exs": "elixir", "erl": "erlang", "ml": "ocaml", "zig": "zig", "dart": "dart", "groovy": "groovy",
+    "m": "objective_c", "mm": "objective_c", "r": "r", "jl": "julia", "sh": "shell", "bash": "shell", "zsh": "shell",
+    "sql": "sql", "vue": "vue", "svelte": "svelte", "astro": "astro", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "toml": "toml", "html": "html", "htm": "html", "css": "css", "scss": "css", "md": "markdown",
+    "markdown": "markdown", "mdx": "markdown", "txt": "text", "rst": "text", "pdf": "pdf",
 }
 LANGUAGE_FILENAMES = {"dockerfile": "dockerfile", "makefile": "makefile", "cmakelists.txt": "cmake"}
 MEDIA_EXTENSIONS = {
-    "image": "png jpg jpeg gif bmp webp tif tiff svg ico",
-    "audio": "mp3 wav flac ogg m4a aac opus wma",
-    "video": "mp4 mov mkv avi webm m4v mpg mpeg wmv",
-    "document": "pdf txt rst md markdown",
-}
+    "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "bmp": "image", "webp": "image", "tif": "image",
+    "tiff": "image", "svg": "image", "ico": "image", "mp3": "audio", "wav": "audio", "flac": "audio", "ogg": "audio",
+    "m4a": "audio", "aac": "audio", "opus": "audio", "wma": "audio", "mp4": "video", "mov": "video", "mkv": "video",
+    "avi": "video", "webm": "video", "m4v": "video", "mpg": "video", "mpeg": "video", "wmv": "video",
+    "pdf": "document", "txt": "document", "rst": "document", "md": "document", "markdown": "document",
+}
 
 # --- fixed values: name resolution ---
 DIALECTS = (("typescript", "javascript"), ("tsx", "javascript"), ("c", "cpp"), ("c", "csharp"), ("cpp", "csharp"))
 BUILTIN_NAMES = (
-    "abs all any append ascii bin bool breakpoint bytes callable chr classmethod compile complex delattr dict dir divmod enumerate "
-    "eval exec filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len list "
-    "locals map max memoryview min next object oct open ord pow print property range repr reversed round set setattr slice sorted "
-    "staticmethod str sum super tuple type vars zip self cls __init__ __str__ __repr__ __eq__ __hash__ __len__ __enter__ __exit__ "
-    "__iter__ __next__ __call__ __getattr__ get items keys values update pop join split strip replace startswith endswith find read "
-    "write close add remove extend index count copy flush encode decode isalnum isdigit lower upper ljust rjust zfill partition "
-    "casefold isupper islower this"
-).split()
+    "abs", "all", "any", "append", "ascii", "bin", "bool", "breakpoint", "bytes", "callable", "chr", "classmethod",
+    "compile", "complex", "delattr", "dict", "dir", "divmod", "enumerate", "eval", "exec", "filter", "float",
+    "format", "frozenset", "getattr", "globals", "hasattr", "hash", "help", "hex", "id", "input", "int", "isinstance",
+    "issubclass", "iter", "len", "list", "locals", "map", "max", "memoryview", "min", "next", "object", "oct", "open",
+    "ord", "pow", "print", "property", "range", "repr", "reversed", "round", "set", "setattr", "slice", "sorted",
+    "staticmethod", "str", "sum", "super", "tuple", "type", "vars", "zip", "self", "cls", "__init__", "__str__",
+    "__repr__", "__eq__", "__hash__", "__len__", "__enter__", "__exit__", "__iter__", "__next__", "__call__",
+    "__getattr__", "get", "items", "keys", "values", "update", "pop", "join", "split", "strip", "replace",
+    "startswith", "endswith", "find", "read", "write", "close", "add", "remove", "extend", "index", "count", "copy",
+    "flush", "encode", "decode", "isalnum", "isdigit", "lower", "upper", "ljust", "rjust", "zfill", "partition",
+    "casefold", "isupper", "islower", "this",
+)
 
 # --- fixed values: notes ---
 NOTE_SCOPES = ("project", "user")
