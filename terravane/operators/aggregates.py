@@ -16,6 +16,13 @@ def facets(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def root_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """root_id, what, name, n: entities by kind and edges by type; an edge belongs to its source's root."""
+    e = entities.groupBy("root_id", F.lit("entity").alias("what"), F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    own = edges.join(entities.select(F.col("id").alias("source_id"), "root_id"), "source_id")
+    return e.unionByName(own.groupBy("root_id", F.lit("edge").alias("what"), F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def fingerprint(rows: DataFrame, column: str) -> DataFrame:
     """One row: number of rows and greatest value, joined by a colon."""
     return rows.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.round(F.max(column)).cast("long").cast("string")).alias("fingerprint"))

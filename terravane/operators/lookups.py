@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lexical import exact_matches
+
 
 def by_ids(entities: DataFrame, ids: DataFrame) -> DataFrame:
     return entities.join(ids.select("id").distinct(), "id", "left_semi")
@@ -38,6 +40,14 @@ def children(entities: DataFrame, parents: DataFrame) -> DataFrame:
     return entities.join(parents.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
 
 
+def resolved(entities: DataFrame, references: DataFrame) -> DataFrame:
+    """ref, id of what each reference names: an id, else the first of its exact matches. References that name nothing have no row."""
+    r = references.select("ref").distinct()
+    own = r.join(entities.select(F.col("id").alias("ref")), "ref", "left_semi").select("ref", F.col("ref").alias("id"), F.lit(0).alias("rank"))
+    found = own.unionByName(exact_matches(entities, r, 1).select("ref", "id", "rank"))
+    return found.groupBy("ref").agg(F.min(F.struct("rank", "id")).alias("m")).select("ref", "m.id")
+
+
 def reference() -> Column:
     """A compact reference to an entity: its label is the qualified name, else the name."""
     return F.struct("id", F.coalesce(F.when(F.col("qualified_name") != "", F.col("qualified_name")), F.col("name")).alias("label"), "kind", "path", "qualified_name", "language")

@@ -121,6 +121,13 @@ def hashing_embedding(text, dimensions: int = 64):
     return l2_normalize(raw)
 
 
+def related(vectors: DataFrame, of, vector: list[float], edges: DataFrame, k: int) -> DataFrame:
+    """id, similarity, linked: the k vectors nearest to that of an entity, itself left out, and whether an edge leads to them from it."""
+    near = knn(vectors.where(F.col("id") != of), vector, k)
+    out = edges.where(F.col("source_id") == of).select(F.col("target_id").alias("id"), F.lit(True).alias("linked")).distinct()
+    return near.join(out, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
 def space_fingerprint(settings: dict) -> str:
     """Hash of the canonical JSON of all that an embedding space depends on."""
     import hashlib

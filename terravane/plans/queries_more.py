@@ -422,3 +422,64 @@ def _(spark, d):
 def _(spark, d):
     v = vectors(spark, d)
     return vector.approximate_knn(v.withColumnRenamed("id", "query_id"), v, 5)
+
+
+# --- scans, counts, linkage, cursors ---
+
+
+@query("src_ignored", """SELECT path, regexp_matches(path, '^(?:.*/)?[^/]*\\.tmp(?:/.*)?$') OR regexp_matches(path, '^build/.*$') OR (regexp_matches(path, '^src/(?:.*/)?gen(?:/.*)?$') AND NOT regexp_matches(path, '^src/(?:.*/)?gen/keep[^/]*(?:/.*)?$')) OR list_has_any(string_split(path, '/')[:-2], ['node_modules', 'dist']) AS ignored FROM (SELECT ['src/', 'build/', 'src/gen/', 'lib/node_modules/', 'src/gen/keep', ''][page_id % 6 + 1] || 'f' || page_id || ['.py', '.tmp', '.js'][page_id % 3 + 1] AS path FROM pages)""")
+def _(spark, d):
+    from ..sources import files
+
+    k = F.col("page_id")
+    pick = lambda n, *x: F.get(F.array(*map(F.lit, x)), (k % n).cast("int"))
+    p = P.table(spark, d, "pages").select(F.concat(pick(6, "src/", "build/", "src/gen/", "lib/node_modules/", "src/gen/keep", ""), F.lit("f"), k.cast("string"), pick(3, ".py", ".tmp", ".js")).alias("path"))
+    rules = [("", "*.tmp"), ("", "/build/"), ("src", "gen"), ("src", "!**/gen/keep*")]
+    return p.select("path", (files.ignored(F.col("path"), rules) | files.in_excluded_dir(F.col("path"))).alias("ignored"))
+
+
+@query("agg_root_counts", with_(P.ENTITIES, P.EDGES) + """SELECT root_id, 'entity' AS what, kind AS name, count(*) AS n FROM ent GROUP BY ALL UNION ALL SELECT root_id, 'edge', type, count(*) FROM edge JOIN ent ON source_id = id GROUP BY ALL""")
+def _(spark, d):
+    e = P.entities(spark, d)
+    return aggregates.root_counts(e, P.edges(spark, d))
+
+
+@query("lex_hydrated", with_(QUESTION_TERMS, POSTINGS) + f"SELECT id, lang, source, score FROM ({BM25}) JOIN documents ON doc_id = id WHERE source IN ('src3', 'src4')")
+def _(spark, d):
+    docs = P.table(spark, d, "documents")
+    q = question(spark).select("query_id", F.explode(lexical.phrases_of(F.col("text"))).alias("terms"))
+    hits = lexical.bm25(docs, q, "doc_id", FTS, 2**31 - 1)
+    return hits.join(docs.where("source in ('src3', 'src4')").select(F.col("doc_id").alias("id"), "lang", "source"), "id").select("id", "lang", "source", "score")
+
+
+@query("vec_related", """SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 3)::DOUBLE[]), 6) AS similarity, vec_id % 5 = 0 AS linked FROM embeddings WHERE vec_id <> 3 ORDER BY similarity DESC, id LIMIT 12""")
+def _(spark, d):
+    v = vectors(spark, d)
+    own = v.where("id = 3").first()["vector"]
+    edges = v.where("id % 5 = 0").select(F.lit(3).cast("long").alias("source_id"), F.col("id").alias("target_id"))
+    return vector.related(v, 3, own, edges, 12)
+
+
+@query("rank_because", """SELECT event_id, array_to_string(list_transform(list_sort([{'o': -abs(a), 'k': 'lexical', 'v': a}, {'o': -abs(b), 'k': 'semantic', 'v': b}, {'o': -abs(c), 'k': 'centrality', 'v': c}]), lambda x: x.k), ' ') AS because FROM (SELECT event_id, (user_id % 7)::DOUBLE AS a, -(event_id % 5)::DOUBLE AS b, (event_id % 3)::DOUBLE AS c FROM events)""")
+def _(spark, d):
+    from ..operators import ranking
+
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = P.table(spark, d, "events").select("event_id", F.create_map(F.lit("lexical"), (u % 7).cast("double"), F.lit("semantic"), -(e % 5).cast("double"), F.lit("centrality"), (e % 3).cast("double")).alias("contributions"))
+    return ranking.explained(rows).select("event_id", F.array_join(F.transform("because", lambda x: x["key"]), " ").alias("because"))
+
+
+@query("ctx_cursor_codec", """SELECT conv_id, rtrim(translate(to_base64(encode('["' || array_to_string(list(sha256(role || turn) ORDER BY turn), '","') || '"]')), '+/', '-_'), '=') AS cursor, count(*) AS keys FROM conversations GROUP BY conv_id""")
+def _(spark, d):
+    c = P.table(spark, d, "conversations").withColumn("k", F.sha2(F.concat("role", F.col("turn").cast("string")).cast("binary"), 256))
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("turn", "k"))), lambda x: x["k"])
+    c = c.groupBy("conv_id").agg(context.encode_cursor(keys).alias("cursor"))
+    return c.select("conv_id", "cursor", F.size(context.decode_cursor(F.col("cursor"))).cast("long").alias("keys"))
+
+
+@query("lookup_references", with_(P.ENTITIES, "r AS (SELECT 'customer:' || c_custkey AS ref FROM customer UNION ALL SELECT c_name FROM customer)") + "SELECT ref, min(e.id) AS id FROM r JOIN ent e ON ref = e.id OR ref = e.name GROUP BY ref")
+def _(spark, d):
+    e = P.entities(spark, d)
+    c = P.table(spark, d, "customer")
+    refs = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("ref")).union(c.select("c_name"))
+    return lookups.resolved(e, refs)

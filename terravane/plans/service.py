@@ -254,10 +254,8 @@ class Repository:
         """Nearest entities by vector, and whether an edge already links them."""
         at = self.resolve(reference)
         own = self.table("vectors").where(F.col("id") == at).first()
-        vectors = self.table("vectors").where(F.col("id") != F.coalesce(F.lit(at), F.lit("")))
-        near = vector.knn(vectors, own["vector"], limit) if own else vectors.select("id", F.lit(0.0).alias("similarity")).limit(0)
-        ends = graph.both_ways(self.table("edges")).where(F.col("node") == at).select(F.col("other").alias("id"), F.lit(True).alias("linked")).distinct()
-        return near.join(ends, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).orderBy(F.desc("similarity"), "id")
+        none = self.table("vectors").select("id", F.lit(0.0).alias("similarity"), F.lit(False).alias("linked")).limit(0)
+        return vector.related(self.table("vectors"), at, own["vector"], self.table("edges"), limit).orderBy(F.desc("similarity"), "id") if own else none
 
     def context(self, task: str, budget: int = 6000, delivered: str | None = None, changed: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
         """Evidence for a task under its plan's token budget (field, key, text, cost, in the order it was taken), and the cursor of what was delivered.
