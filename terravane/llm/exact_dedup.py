@@ -144,7 +144,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for more in kept[1:]:
         keep = keep.unionByName(more)
     index.drop()
-    keep = keep.select(F.col("keep_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    rows = one_row(docs, docs["doc_id"], sha(docs["text"]))
-    out = rows.join(keep.hint("merge"), rows["_key0"].eqNullSafe(keep["_keep_id"]) & (rows["_key1"] == keep["_keep_sha"]), "left_semi")
-    return out.select("_row.*")
+    named = lambda i, digest: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("none")))
+    keep = keep.select(named(F.col("keep_id"), F.col("text_sha256")).alias("_key0"))
+    rows = one_row(docs, named(docs["doc_id"], sha(docs["text"])))
+    return rows.join(keep.hint("merge"), "_key0", "left_semi").select("_row.*")  # on the key that the rows are dealt by already

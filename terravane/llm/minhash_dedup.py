@@ -102,7 +102,7 @@ def confirm(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, perc
     heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
     asked = written(members.unionByName(heads), "asked")
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text"))
-    rows = texts.join(asked, "b").select("a", "salt", (F.col("a") != F.col("b")).alias("member"), "b", "text")
+    rows = texts.join(asked.hint("merge"), "b").select("a", "salt", (F.col("a") != F.col("b")).alias("member"), "b", "text")
     rows = rows.repartition(parts(spark), "a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches):
@@ -156,7 +156,7 @@ def shingled(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 sets = K.shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).join(reps, "rep", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).join(reps.hint("merge"), "rep", "left_semi")
     return rows.mapInArrow(run, "rep long, shingles binary")
 
 
@@ -281,4 +281,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs = written(one.unionByName(docs.where("doc_id is null")), "one-row")
     found = written(near_duplicates(spark, docs, k=5, percent=80), "near")
     gone = found.where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
