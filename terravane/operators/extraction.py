@@ -152,15 +152,7 @@ def _rules(language: str):
 
 def symbols(files: DataFrame) -> DataFrame:
     """Symbols of files (path, language, text); text that does not parse has none."""
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for path, lang, text in zip(f["path"], f["language"], f["text"]):
-                rows += _python(path, text or "")[0] if lang == "python" else _by_table(path, text or "", _rules(lang or ""))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
-
-    return files.select("path", "language", "text").mapInPandas(run, SYMBOL)
+    return parse(files)[0]
 
 
 #: Words before a parenthesis that are no calls.
@@ -214,7 +206,8 @@ PARSED = "what int, " + SYMBOL + ", owner string, type string, qualifier string"
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Symbols and references of files (path, language, text), each text parsed once; the result is written, so both read it."""
     spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a file has five megabytes at most
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
 
     def run(frames):
         for f in frames:
@@ -226,7 +219,11 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows += [(1, r[0], None, r[3], None, None, r[5], None, None, None, r[1], r[2], r[4]) for r in found[1]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
-    got = cut(files.select("path", "language", "text").mapInPandas(run, PARSED), "parsed")
+    try:
+        spark.conf.set(rows, "64")  # a file has five megabytes at most
+        got = cut(files.select("path", "language", "text").mapInPandas(run, PARSED), "parsed")
+    finally:
+        spark.conf.set(rows, before)
     symbols = got.where("what = 0").select(*[c.split()[0] for c in SYMBOL.split(", ")])
     return symbols, got.where("what = 1").select("path", "owner", "type", "name", "qualifier", F.col("start_line").alias("line"))
 
