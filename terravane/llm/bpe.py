@@ -7,7 +7,8 @@ pairs it makes with its neighbours are added to the lists of their ranks; positi
 skipped when their rank comes up. A symbol made by a merge is in no pair of a lower rank, so one ascending
 sweep gives what merging each pre-token on its own would.
 
-Defined results: null text encodes to no tokens; added tokens' strings in a text become their ids.
+Defined results: null and empty text encodes to no tokens; added tokens' strings in a text become their ids; rows
+that repeat an id, or have none, are encoded each by its own text; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""A small documents table with nulls, empty and long texts, copies, near copies, repeated rows and clashing extra columns."""
+"""A small documents table with nulls, empty and long texts, copies, near copies and clashing extra columns."""
 
 import random
 
