@@ -25,7 +25,7 @@ from . import kernels as K
 from .common import documents, prepare
 
 #: Distinct pre-tokens a worker keeps with their ids; then it starts afresh, so its memory is bounded.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pattern of byte-level pre-tokenisation, white space by its Unicode property.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, vocab: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1)
             _, off = K.column_bytes(texts)
-            for i, j in K.chunks(off, 2 << 20):
+            for i, j in K.chunks(off, 1 << 20):
                 ids = c.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
         c.reset()  # an idle worker holds no words

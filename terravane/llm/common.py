@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows of Arrow data handed to a Python worker at once; they bound a worker's memory whatever the rows' width.
-ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 8 << 20, 2000
+ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 3 << 20, 1000
 
 
 def prepare(spark: SparkSession) -> None:
