@@ -13,6 +13,10 @@ UNKNOWN at least. A pattern's confidence is the weighted mean, smoothed by one m
 believed only through patterns that seeds induced: without seeds nothing passes. Patterns of CONFIDENCE at least
 name the strings they extract; these are added with the kind `context`, base spans stay as they are.
 
+Frequent word pairs become patterns as the corpus grows, and all words that follow them stand in their slots. Of ordinary
+words only the number of distinct ones in a slot is asked for; they leave a task as lists of distinct words, not as rows,
+and neither the graph nor the spans that are reported hold them.
+
 Defined results: null or empty text has no spans; offsets are code points, ends exclusive; rows that repeat an id, or
 have none, each keep their own row; an empty table gives no rows.
 """
@@ -50,7 +54,8 @@ ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN = 4, 5, 0.6, 0.1
 FILTER_BITS = 24  #: The second pass asks a bitmap of 2**24 bits first; a join then decides exactly.
 CONTEXT = 80  #: Characters on either side of a string in which its words are looked for.
 LAST_WORDS = 100_000  #: Words that are sent to tasks at most.
-SALTS = 32  #: Parts of a pattern's instances in joins; one pattern may hold a third of them.
+SALTS = 32  #: Parts of a pattern's instances in joins, and of its ordinary words; one pattern may hold a third of them.
+WORDS_HELD = 200_000  #: Distinct ordinary words (by pattern) that a task holds before it hands them on; the rest follow in further lists.
 CREDENTIAL, SEED, OTHER, ORDINARY = 3, 2, 1, 0  #: From SEED on, a string is a seed; a base span has SEED.
 
 
@@ -211,29 +216,77 @@ def instances(text: str, base: list[tuple[int, int, int]], bitmap: bytes | None
     return out
 
 
-SCAN = "doc_id long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,pattern:string,value:string,mark:int>>"
+SCAN = (
+    "doc_id long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,pattern:string,value:string,mark:int>>, "
+    "words array<struct<pattern:string,part:int,list:array<string>>>"
+)
+
+
+def dealt(held: dict[str, set[str]]) -> list[dict]:
+    """The words of each pattern in SALTS parts, by their checksum: equal words of a pattern are in equal parts."""
+    out = []
+    for pattern, words in held.items():
+        lists: dict[int, list[str]] = {}
+        for w in words:
+            lists.setdefault(zlib.crc32(w.encode("utf-8", "replace")) % SALTS, []).append(w)
+        out += [{"pattern": pattern, "part": k, "list": x} for k, x in lists.items()]
+    return out
 
 
 def scan(docs: DataFrame, bitmap: bytes | None = None, every: bool | frozenset = False, hide: int = 0) -> DataFrame:
-    """Base spans and instances of every whole text."""
+    """Base spans and instances of every whole text. Ordinary words come in `words`, on any row of their task; those that might be a seed elsewhere, a credential of letters alone, in `found`."""
     sent = docs.sparkSession.sparkContext.broadcast((bitmap, every))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("mark", pa.int32())]))
+    words = pa.list_(pa.struct([("pattern", pa.string()), ("part", pa.int32()), ("list", pa.list_(pa.string()))]))
     names = [[f.name for f in t.value_type] for t in (spans, found)]
+    most = WORDS_HELD
 
     def run(batches):
+        held, n, ready = {}, 0, None  # the last batch waits, for the words of all
+
+        def out():
+            lists = [dealt(held), *[[]] * (len(ready[0]) - 1)]
+            return pa.RecordBatch.from_arrays([*ready, pa.array(lists, words)], ["doc_id", "spans", "found", "words"])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if ready:
+                if n < most:
+                    yield pa.RecordBatch.from_arrays([*ready, pa.array([[]] * len(ready[0]), words)], ["doc_id", "spans", "found", "words"])
+                else:
+                    yield out()
+                    held, n = {}, 0
             base, more = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 b = base_spans(text)
                 base.append([dict(zip(names[0], x)) for x in b])
-                more.append([dict(zip(names[1], x)) for x in instances(text, b, *sent.value, hide)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans), pa.array(more, found)], ["doc_id", "spans", "found"])
+                kept = []
+                for x in instances(text, b, *sent.value, hide):
+                    if x[4] == ORDINARY and not SECRET.fullmatch(x[3]):
+                        own = held.setdefault(x[2], set())
+                        n -= len(own)
+                        own.add(x[3])
+                        n += len(own)
+                    else:
+                        kept.append(dict(zip(names[1], x)))
+                more.append(kept)
+            ready = [batch.column(0), pa.array(base, spans), pa.array(more, found)]
+        if ready:
+            yield out()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCAN)
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """pattern, ordinary: how many distinct ordinary words the lists of scan() hold; a part of a pattern's meets in one task."""
+    lists = rows.where(F.size("words") > 0).select(F.explode("words").alias("w")).select("w.pattern", "w.part", "w.list")
+    part = lists.groupBy("pattern", "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list("list")))).alias("n"))
+    return part.groupBy("pattern").agg(F.sum("n").alias("ordinary"))
+
+
 def induced(found: DataFrame) -> DataFrame:
     """Patterns that enough distinct seeds induce."""
     pair = found.where(F.col("mark") >= SEED).groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.lit(1).alias("one"))
@@ -271,14 +324,18 @@ def confidences(score: DataFrame, ordinary: DataFrame) -> DataFrame:
     return sums.join(ordinary, "pattern", "left").select("pattern", (F.col("won") / (F.col("all") + F.coalesce("ordinary", F.lit(0)) + 1)).alias("confidence"), "seeds")
 
 
-def scored_patterns(found: DataFrame, able: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def scored_patterns(found: DataFrame, able: DataFrame | None = None, rounds: int = ROUNDS, words: DataFrame | None = None) -> DataFrame:
     """pattern, confidence and seeds after the rounds, from (pattern, value, mark) rows; pairs count once whatever their number.
 
-    Ordinary words never change their score, so of them only the number in each pattern's slot takes part.
+    Ordinary words never change their score, so of them only the number in each pattern's slot takes part; words: those
+    that are not among the rows, counted (word_counts).
     """
     every = found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("mark").alias("mark")).withColumn("salt", salt())
     every = written(every if able is None else every.join(salted(able), ["pattern", "salt"], "left_semi"), "graph")
-    ordinary = written(every.where(F.col("mark") == ORDINARY).groupBy("pattern").agg(F.count(F.lit(1)).alias("ordinary")), "ordinary")
+    ordinary = every.where(F.col("mark") == ORDINARY).groupBy("pattern").agg(F.count(F.lit(1)).alias("ordinary"))
+    if words is not None:
+        ordinary = ordinary.union(words).groupBy("pattern").agg(F.sum("ordinary").alias("ordinary"))
+    ordinary = written(ordinary, "ordinary")
     pair = every.where(F.col("mark") != ORDINARY)
     start = F.when(F.col("mark") >= SEED, 1.0).otherwise(0.0)
     score = pair.withColumn("score", start)
@@ -299,7 +356,7 @@ def personal_data(docs: DataFrame, hide: int = 0) -> DataFrame:
     every = last_words(able)
     rows = written(scan(docs, bits(able), every, hide).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("instance", F.xxhash64("value")).withColumn("salt", salt())
-    good = scored_patterns(found, able).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
+    good = scored_patterns(found, able, words=word_counts(rows)).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern")
     more = found.where(F.col("mark").isin(OTHER, CREDENTIAL)).join(salted(good), ["pattern", "salt"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     out = rows.select("row", "doc_id", "spans").join(more, "row", "left")
     empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
