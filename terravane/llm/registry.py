@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, pii, quality, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,16 @@ QUERIES = {
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_minhash_dedup": minhash_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE}
+ORACLES = {
+    "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_minhash_dedup": minhash_dedup.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_periodic_runs": periodic_runs.ORACLE,
+    "op13_substring_dedup": substring_dedup.ORACLE,
+}

@@ -22,3 +22,16 @@ def text_words(texts):
         for part, at, of in K.pieces(raw, off[i : j + 1], FOLD == 32):
             h, row = word_hashes(part, at)
             yield i, j, h, of[row] if len(row) else row
+
+
+def split(raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word as it is written, and each row's first word; hashed about limit bytes at a time."""
+    starts, ends, first = K.words(raw, offsets)
+    hashes = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + limit, side="right")))
+        lo = int(starts[a])
+        hashes[a:b] = K.span_hashes(raw[lo : int(ends[b - 1])], starts[a:b] - lo, ends[a:b] - lo)
+        a = b
+    return starts, ends, first, hashes

@@ -29,6 +29,6 @@ def test_given_tables(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_small_tables(spark, name, tmp_path):
     fixtures.frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [float("nan"), 1.0, 0.0]), (63, [None, 1.0, 0.0])]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [(i, [1.0, 0.01 * i, *[0.0] * 6], i % 4 or None) for i in range(60)] + [(60, None, 1), (61, [0.0] * 8, 2), (62, [float("nan"), *[1.0] * 7], 3), (63, [None, *[1.0] * 7], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert len(compare(spark, name, str(tmp_path))) > 40
