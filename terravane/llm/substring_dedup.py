@@ -7,14 +7,14 @@ match that ends there, and a match of WINDOW words or more is a span to remove.
 The reference is the corpus itself, so automata of all of it can be neither broadcast within a bound nor met by every
 document. It is dealt in shards, and a document meets only shards that can hold its windows. Every window has an
 anchor, the run of ANCHOR words of least hash in it, which depends on the window's words alone; the piece of an
-anchor is all words that windows around it reach. A shard is the pieces of one anchor, in one task; its pieces are
+anchor is the words of all windows whose anchor it is. A shard is the pieces of one anchor, in one task; its pieces are
 streamed in order of their documents through the automaton of those before. Anchors that only one document has
 are found first, from hashes alone; only pieces of the others are fetched from the texts.
 
 An anchor that holds more than one in SHARE * partitions of all anchors would make a shard that grows with the corpus.
 These anchors, SHARE * partitions at most, are counted in a pass of their own and broadcast. Their windows are dealt one by one, by the
-hash of all their words, so windows around a common passage that differ part, and equal ones are one row for each
-batch of texts: of equal pieces in a batch the first document's is sent, and the others go whole at once.
+hash of all their words, so windows around a common passage that differ part, and equal ones are few for each task: of
+equal pieces among HELD_PIECES the first document's is sent, and the others go whole at once.
 
 Defined results: null text has no words; texts under WINDOW words keep all; a row with a null doc_id is compared
 with nothing and keeps all; rows that repeat an id are the same document and take nothing from each other, and where
@@ -39,7 +39,8 @@ SHARE = 16  #: Anchors over one in SHARE * partitions of all are dealt by window
 LEAST_HOT = 64  #: An anchor of fewer occurrences never is.
 HELD = 1 << 20  #: Numbers that are gathered before they are sent on.
 WORDS = 1 << 16  #: Words that are Python objects at once.
-ANCHOR_KINDS, ASKED_KINDS, PIECE_KINDS = (np.uint64, np.int64, np.uint32), (np.int64, np.uint32, np.uint64), (np.uint64, np.int64, np.uint32, np.uint32)
+HELD_PIECES = 1 << 17  #: Pieces among which a task finds equal ones before they are sent.
+ANCHOR_KINDS, ASKED_KINDS, PIECE_KINDS = (np.uint32, np.int64, np.uint32), (np.int64, np.uint32), (np.uint32, np.int64, np.uint32, np.uint32)
 
 
 class Automaton:
@@ -245,7 +246,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
                 row = np.searchsorted(first, at, side="right") - 1
                 got.append((g[at], ids[row + i], (at - first[row]).astype(np.uint32)))
             if got and len((cols := list(map(np.concatenate, zip(*got))))[0]):
-                yield dealt((cols[0] % np.uint64(buckets)).astype(np.int64), ANCHORS, cols)
+                yield dealt((cols[0] % np.uint64(buckets)).astype(np.int64), ANCHORS, [(cols[0] >> np.uint64(32)).astype(np.uint32), *cols[1:]])
 
     def shared(batches):
         """Of anchors that two documents have, all places, by home."""
@@ -257,7 +258,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             stop = np.append(start[1:], len(key))
             both = np.repeat(doc[start] != doc[stop - 1], stop - start)
-            yield from asked.add(doc[both], pos[both], key[both])
+            yield from asked.add(doc[both], pos[both])
         yield from asked.flush()
 
     found = texts.mapInArrow(scan, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, BLOBS)
@@ -268,8 +269,9 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     rows = asked.unionByName(rows).repartition(n, "bucket").sortWithinPartitions("kind")
 
     def fetch(batches):
-        """Pieces of the anchors asked for and windows of common anchors, by bucket; of equal ones in a batch the first document's."""
+        """Pieces of the anchors asked for and windows of common anchors, by bucket; of equal ones the first document's."""
         held, wanted, gone = [], None, Gathered(RANGES, homes)
+        pieces: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
         for batch in batches:
             kind = batch.column(1).to_numpy()
             held += [unpack(x, *ASKED_KINDS) for x in batch.column(3).filter(pa.array(kind == 0)).to_pylist()]
@@ -277,56 +279,69 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
             if not batch.num_rows:
                 continue
             if wanted is None:
-                doc, pos, key = map(np.concatenate, zip(*held)) if held else [np.zeros(0, np.int64)] * 3
-                order = np.argsort(doc, kind="stable")
-                wanted, held = (doc[order], pos[order].astype(np.int64), key[order].view(np.uint64)), []
-            ids = batch.column(2).to_numpy()
-            pieces: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
-            late = [[], [], []]
-            for i, raw, off, starts, ends, first, h in of_texts(batch.column(4)):
+                doc, pos = map(np.concatenate, zip(*held)) if held else [np.zeros(0, np.int64)] * 2
+                order = np.lexsort((pos, doc))
+                wanted, held = (doc[order], pos[order].astype(np.int64)), []
+            ids, late = batch.column(2).to_numpy(), []
+            for i, raw, _, starts, ends, first, h in of_texts(batch.column(4)):
                 data, mine = raw.tobytes(), ids[i : i + len(first) - 1]
-                lo, hi = np.searchsorted(wanted[0], mine), np.searchsorted(wanted[0], mine, side="right")
-                common = np.zeros(0, np.int64)
-                if len(hot.value) and len(h) >= window:
-                    common = np.flatnonzero(np.isin(minima(h, first, window, k)[1], hot.value))
-                    whole = grams(h, window)[common]
-                cut = np.searchsorted(common, first)
-                for r in np.flatnonzero((hi > lo) | (cut[1:] > cut[:-1])).tolist():
-                    a, b, doc = int(first[r]), int(first[r + 1]), int(mine[r])
-                    pos = wanted[1][lo[r] : hi[r]] + a
-                    inside = pos + k <= b  # else of another text of this id
-                    pos, keys = pos[inside], wanted[2][lo[r] : hi[r]][inside]
-                    froms, tos = np.maximum(pos - reach, a), np.minimum(pos + window, b)
-                    if cut[r + 1] > cut[r]:
-                        own = common[cut[r] : cut[r + 1]]
-                        froms, tos, keys = np.concatenate((froms, own)), np.concatenate((tos, own + window)), np.concatenate((keys, whole[cut[r] : cut[r + 1]]))
-                    for f, t, key, x, y in zip((froms - a).tolist(), (tos - a).tolist(), keys.tolist(), starts[froms].tolist(), ends[tos - 1].tolist()):
-                        piece = key, b" ".join(data[x:y].split())
-                        seen = pieces.get(piece)
-                        if seen is None:
-                            pieces[piece] = doc, [f]
-                        elif doc == seen[0]:
-                            seen[1].append(f)
-                        elif doc > seen[0]:
-                            for z, v in zip(late, (doc, f, t)):
-                                z.append(v)
-                        else:
-                            for s in seen[1]:
-                                for z, v in zip(late, (seen[0], s, s + t - f)):
-                                    z.append(v)
-                            pieces[piece] = doc, [f]
-            yield from gone.add(np.array(late[0], np.int64), np.array(late[1], np.uint32), np.array(late[2], np.uint32))
-            to: dict[int, list] = {}
-            for (key, text), (doc, at) in pieces.items():
-                to.setdefault(key % buckets, []).extend((key, doc, s, text) for s in dict.fromkeys(at))
-            if to:
-                yield pa.RecordBatch.from_arrays([pa.array(list(to), pa.int32()), pa.array([PIECES] * len(to), pa.int32()), pa.array([packed(v) for v in to.values()], pa.binary())], ["bucket", "kind", "blob"])
+                for row, f, t, key in zip(*(x.tolist() for x in spans_of(mine, first, h, *wanted))):
+                    doc, a = int(mine[row]), int(first[row])
+                    piece = key, b" ".join(data[starts[f] : ends[t - 1]].split())
+                    seen = pieces.get(piece)
+                    if seen is None:
+                        pieces[piece] = doc, [f - a]
+                    elif doc == seen[0]:
+                        seen[1].append(f - a)
+                    elif doc > seen[0]:
+                        late.append((doc, f - a, t - a))
+                    else:
+                        late += ((seen[0], s, s + t - f) for s in seen[1])
+                        pieces[piece] = doc, [f - a]
+                if len(pieces) >= HELD_PIECES:
+                    yield sent(pieces)
+            if late:
+                yield from gone.add(*(np.array(x, kind) for x, kind in zip(zip(*late), RANGE_KINDS)))
+        if pieces:
+            yield sent(pieces)
         yield from gone.flush()
 
+    def spans_of(ids, first, h, docs_, places):
+        """(row, first word, end, key) of the pieces that the rows of a block are asked for, and of its windows of common anchors."""
+        g, low = minima(h, first, window, k)
+        if not len(low):
+            return [np.zeros(0, np.int64)] * 4
+        lo, many = np.searchsorted(docs_, ids), np.searchsorted(docs_, ids, side="right")
+        many -= lo
+        row = np.repeat(np.arange(len(ids)), many)
+        at = places[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(row))] + first[row]
+        inside = at + k <= first[row + 1]  # else of another text of this id
+        row, at = row[inside], at[inside]
+        around = at[:, None] + np.arange(-reach, 1)
+        own = (around >= 0) & (around < len(low))
+        own &= low[np.where(own, around, 0)] == g[at][:, None]  # windows whose anchor this is
+        some = own.any(1)
+        row, at, own = row[some], at[some], own[some]
+        found = row, at - reach + own.argmax(1), at - own[:, ::-1].argmax(1) + window, g[at]
+        if not len(hot.value):
+            return found
+        common = np.flatnonzero(np.isin(low, hot.value))
+        more = np.searchsorted(first, common, side="right") - 1, common, common + window, grams(h, window)[common]
+        return list(map(np.concatenate, zip(found, more)))
+
+    def sent(pieces):
+        """A row for each bucket: keys, documents, starts and lengths of pieces, and their words. Empties pieces."""
+        to: dict[int, list] = {}
+        for (key, text), (doc, at) in pieces.items():
+            to.setdefault(key % buckets, []).extend((key >> 32, doc, s, text) for s in dict.fromkeys(at))
+        pieces.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(to), pa.int32()), pa.array([PIECES] * len(to), pa.int32()), pa.array([packed(v) for v in to.values()], pa.binary())], ["bucket", "kind", "blob"])
+
     def packed(rows):
         key, doc, start, text = zip(*rows)
-        cols = np.array(key, np.uint64), np.array(doc, np.int64), np.array(start, np.uint32), np.array(list(map(len, text)), np.uint32)
-        return len(rows).to_bytes(8, "little") + pack(*cols) + b"".join(text)
+        cols = [np.array(x, kind) for x, kind in zip((key, doc, start, list(map(len, text))), PIECE_KINDS)]
+        plain = len(rows).to_bytes(8, "little") + pack(*cols) + b"".join(text)
+        return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
     def match(batches):
         """Streams the pieces of each anchor, by document, through the automaton of those before."""
@@ -337,6 +352,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
                 continue
             pieces, size = [], sum(np.dtype(x).itemsize for x in PIECE_KINDS)
             for blob in blobs:
+                blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
                 m = int.from_bytes(blob[:8], "little")
                 key, doc, start, length = unpack(blob[8 : 8 + size * m], *PIECE_KINDS)
                 ends = 8 + size * m + np.cumsum(length.astype(np.int64))
