@@ -12,6 +12,7 @@ from .. import values as V
 from ..functions.identity import normalize_path
 from ..functions.text import TERM, terms
 from .checkpoints import cut
+from .term_index import TermIndex, token_columns
 
 
 def folding() -> tuple[str, str]:
@@ -41,11 +42,10 @@ def phrases_of(question: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(TERM), F.lit(0))), lambda p: F.size(p) > 0))
 
 
-def tokenised(docs: DataFrame, id_col: str, weights: dict[str, float], keep: Column | None = None) -> DataFrame:
-    """id, keep, length and the tokens of each weighted column; every text is cut once, and the result written."""
-    each = {f"t{i}": tokens(F.col(c)) for i, c in enumerate(weights)}
-    rows = docs.select(F.col(id_col).alias("id"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"), *[t.alias(n) for n, t in each.items()])
-    return cut(rows.withColumn("length", sum((F.size(n) for n in each), F.lit(0))), "tokens")
+def tokenised(docs: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:
+    """id, length and the tokens of each weighted column; every text is cut once, and the result written."""
+    t = token_columns(docs, id_col, list(weights))
+    return cut(t.withColumn("length", sum((F.size(f"t{i}") for i in range(len(weights))), F.lit(0))), "tokens")
 
 
 def postings(docs: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:
@@ -55,44 +55,20 @@ def postings(docs: DataFrame, id_col: str, weights: dict[str, float]) -> DataFra
 
 
 def occurrences(t: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """id, keep, length, w, column, place, term of every token."""
-    each = F.array(*[F.struct(F.lit(i).alias("column"), F.lit(float(w)).alias("w"), F.col(f"t{i}").alias("ts")) for i, w in enumerate(weights.values())])
-    rows = t.select("id", "keep", "length", F.explode(each).alias("c"))
-    return rows.select("id", "keep", "length", "c.w", "c.column", F.posexplode("c.ts").alias("place", "term"))
+    """id, length, w, term of every token."""
+    each = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.col(f"t{i}").alias("ts")) for i, w in enumerate(weights.values())])
+    return t.select("id", "length", F.explode(each).alias("c")).select("id", "length", "c.w", F.explode("c.ts").alias("term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, weights: dict[str, float], k: int, keep: Column | None = None, match: str = "or") -> DataFrame:
     """query_id, id, score, matched, rank of the k best documents of each query (query_id, and term or terms, a phrase).
 
     keep tells which documents may be found; it is applied before the k best are taken and leaves the statistics alone.
-    match: `or`, or `and_or` for all phrases where some document that may be found has them, else any.
+    match: `or`, or `and_or` for all phrases where some document that may be found has them, else any. The documents are
+    indexed first; keep a TermIndex where more questions follow.
     """
-    return bm25_over(tokenised(docs, id_col, weights, keep), queries, weights, k, match)
-
-
-def bm25_over(t: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, match: str = "or") -> DataFrame:
-    """bm25() over what tokenised() gave, for one that is kept."""
-    terms = F.col("terms") if "terms" in queries.columns else F.array("term")
-    q = queries.select("query_id", F.transform(terms, fold).alias("terms")).withColumn("key", F.array_join("terms", " ")).distinct()
-    row = t.agg(F.count(F.lit(1)), F.avg("length")).first()
-    total, mean = row[0], row[1] or 1.0
-    asked = q.select("key", "terms").distinct().select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("j", "term"))
-    found = occurrences(t, weights).join(asked, "term")
-    if "terms" in queries.columns:  # a phrase stands where its tokens stand in a row, each at its own place
-        found = found.groupBy("id", "keep", "length", "w", "column", "key", "m", (F.col("place") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = m")
-    d = found.groupBy("id", "keep", "length", "key").agg(F.sum("w").alias("tf"))
-    d = cut(d, "hits")
-    df = d.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(V.LEAST_IDF))
-    gain = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / mean))
-    hits = d.where("keep").join(df, "key").select("key", "id", gain.alias("gain")).join(q.select("query_id", "key"), "key")
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
-    if match == "and_or":
-        need = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-        most = scored.groupBy("query_id").agg(F.max("matched").alias("most")).join(need, "query_id").select("query_id", F.when(F.col("most") == F.col("need"), F.col("need")).otherwise(1).alias("least"))
-        scored = scored.join(most, "query_id").where("matched >= least").drop("least")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    kept = None if keep is None else docs.where(F.coalesce(keep, F.lit(False))).select(F.col(id_col).alias("id"))
+    return TermIndex.of(docs, id_col, weights).search(queries, k, kept, match)
 
 
 def and_or(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -17,11 +17,13 @@ from ..functions.representation import search_text
 from ..operators import aggregates, context, extraction, graph, incremental, lexical, lookups, quality, ranking, resolve, vector
 from ..operators.checkpoints import cut
 from ..operators.filters import search_filter, visible_edges
+from ..operators.term_index import TermIndex
 from ..sources.files import scan
 from ..sources.snapshots import SnapshotStore
 from .memory_store import MemoryStore
 
 FTS_COLUMNS = V.FTS_WEIGHTS
+SEGMENTS = 16  #: Segments of the lexical index from which an update writes it anew.
 CACHED = 64  #: Results of searches that are kept.
 CONTEXT_EDGES = ("calls", "constructs", "imports", "inherits", "implements", "references")
 
@@ -132,6 +134,7 @@ class Repository:
             old = self.table("vectors")
             need = incremental.to_embed(hashed, old, ["id", "input_hash"])
             vectors = old.join(hashed.select("id", "input_hash"), ["id", "input_hash"], "left_semi").unionByName(need.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector")))
+        texts = cut(texts, "texts")
         members = graph.detected(graph.label_communities(graph.undirected(edges)), "structural")
         labels = aggregates.community_terms(members.join(fresh.select("id", "path", "name"), "id").select(F.col("community_id").alias("community"), "path", "name")).withColumnRenamed("community", "community_id")
         events = due.select(F.lit(generation + 1).cast("long").alias("generation"), "path", "change")
@@ -142,11 +145,24 @@ class Repository:
                 raise ValueError(f"{lost} edges have an end that is no entity")
 
         return self.store.commit({
-            "files": listed, "entities": fresh, "references": refs, "edges": edges, "unresolved": unresolved, "vectors": vectors, "tokens": lexical.tokenised(texts, "id", FTS_COLUMNS),
+            "files": listed, "entities": fresh, "references": refs, "edges": edges, "unresolved": unresolved, "vectors": vectors, **self._terms(names, due, texts),
             "members": members.select("community_id", "id", F.lit("structural").alias("mode"), F.lit("labels").alias("algorithm")), "communities": members.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left").withColumn("mode", F.lit("structural")).withColumn("algorithm", F.lit("labels")),
             "importance": graph.importance(edges, fresh), "events": self.table("events").unionByName(events) if "events" in names else events,
         }, [sound])
 
+    def index(self) -> TermIndex:
+        """The lexical index as of the current snapshot."""
+        return TermIndex(self.spark, f"{self.store.root}/terms", FTS_COLUMNS, [r[0] for r in self.table("segments").collect()], self.table("removed"))
+
+    def _terms(self, names: dict, due: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
+        """The index's segments and removed documents after an update: a segment of what is due, or one of all after SEGMENTS updates."""
+        index, new = TermIndex(self.spark, f"{self.store.root}/terms", FTS_COLUMNS), texts
+        if "segments" in names and (old := self.index()).segments and len(old.segments) < SEGMENTS:
+            index, new = old.remove(self.table("entities").join(due, "path", "left_semi").select("id")), texts.join(due, "path", "left_semi")
+        index = index.add(new, "id")
+        none = self.spark.createDataFrame([], "segment string, range long, id string, length int")
+        return {"segments": self.spark.createDataFrame([(s,) for s in index.segments], "segment string"), "removed": none if index.removed is None else index.removed}
+
     def search(self, question: str, limit: int = 10, expand: bool = True, **wanted) -> DataFrame:
         """Ranked entities: exact, lexical, semantic and structural evidence, fused; with what each channel gave.
 
@@ -164,9 +180,8 @@ class Repository:
         zero = F.lit(0).alias("query_id")
         channels = {}
         if "lexical" in names:
-            t = self.table("tokens").drop("keep").join(allowed.select("id", F.lit(True).alias("keep")), "id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
             asked = q.select("query_id", F.explode(lexical.phrases_of(F.col("text"))).alias("terms"))
-            channels["lexical"] = cut(ranking.normalised(lexical.bm25_over(t, asked, FTS_COLUMNS, 40, "and_or")), "lexical")
+            channels["lexical"] = cut(ranking.normalised(self.index().search(asked, 40, allowed, "and_or")), "lexical")
         if "exact" in names:
             exact = cut(lexical.exact_matches(allowed, q.select(F.explode(F.split("text", r"\s+")).alias("ref")).where("ref <> ''").distinct()), "exact")
             channels |= {c: exact.where(F.col(c) > 0).select(zero, "id", F.col(c).alias("value")) for c in ("exact_name", "exact_path")}
@@ -300,4 +315,4 @@ class Repository:
     def doctor(self, root: str | None = None) -> DataFrame:
         """All checks; with the tree's root, freshness too."""
         vectors = self.table("vectors").select(F.col("id").alias("entity_id"), "vector")
-        return quality.doctor(self.table("entities"), self.table("edges"), vectors, self.table("tokens").select("id"), stale=self.freshness(root) if root else None, written_format=quality.FORMAT)
+        return quality.doctor(self.table("entities"), self.table("edges"), vectors, self.index().documents().select("id"), stale=self.freshness(root) if root else None, written_format=quality.FORMAT)
