@@ -67,7 +67,7 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return [], []
+        return None
     symbols, refs = [], []
 
     def dotted(node) -> str | None:
@@ -80,7 +80,21 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     def refer(owner, kind, node) -> None:
         if name := dotted(node):
             head, _, leaf = name.rpartition(".")
-            refs.append((path, owner, kind, leaf, head or None, getattr(node, "lineno", 0)))
+            refs.append((path, owner, kind, leaf, head or None, getattr(node, "lineno", 0), None))
+
+    def annotated(owner, kind, node) -> None:
+        """Every name in an annotation: in subscripts, in unions, and in quotes."""
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            try:
+                quoted = ast.parse(node.value.strip(), mode="eval").body
+            except (SyntaxError, ValueError, RecursionError):
+                return
+            annotated(owner, kind, ast.copy_location(quoted, node) if isinstance(quoted, ast.Name) else quoted)
+        elif dotted(node):
+            refer(owner, kind, node)
+        elif node is not None:
+            for x in ast.iter_child_nodes(node):
+                annotated(owner, kind, x)
 
     def calls(node, owner) -> None:
         for x in ast.iter_child_nodes(node):
@@ -93,8 +107,11 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     def walk(body, parent: str | None, inside_class: bool, counted: bool = False) -> None:
         for node in body:
             if isinstance(node, (ast.Import, ast.ImportFrom)):
+                module = "." * node.level + (node.module or "") if isinstance(node, ast.ImportFrom) else None
                 for a in node.names:
-                    refs.append((path, parent, "imports", a.name, getattr(node, "module", None), node.lineno))
+                    refs.append((path, parent, "imports", a.name, module, node.lineno, a.asname or a.name))
+                    if module is None and not a.asname and "." in a.name:  # binds the first part, too
+                        refs.append((path, parent, "imports", a.name.split(".")[0], None, node.lineno, a.name.split(".")[0]))
             elif isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                 qn = f"{parent}.{node.name}" if parent else node.name
                 is_class = isinstance(node, ast.ClassDef)
@@ -106,13 +123,13 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                     refer(qn, "decorates", d.func if isinstance(d, ast.Call) else d)
                 if is_class:
                     for b in node.bases:
-                        refer(qn, "inherits", b)
+                        refer(qn, "inherits", b.value if isinstance(b, ast.Subscript) else b)
                 else:
                     if node.returns is not None:
-                        refer(qn, "returns_type", node.returns)
-                    for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
-                        if a.annotation is not None:
-                            refer(qn, "accepts_type", a.annotation)
+                        annotated(qn, "returns_type", node.returns)
+                    for a in [*node.args.posonlyargs, *node.args.args, node.args.vararg, *node.args.kwonlyargs, node.args.kwarg]:
+                        if a is not None and a.annotation is not None:
+                            annotated(qn, "accepts_type", a.annotation)
                 walk(node.body, qn, is_class)
             else:
                 if not counted:  # calls of a whole statement, those of statements inside it too
@@ -177,21 +194,23 @@ def _references_by_lines(path: str, text: str, language: str, rules) -> list[tup
         if script and (m := IMPORT.search(line)):
             module = (m.group("module") or m.group("required") or "").removeprefix("./")
             module = re.sub(r"\.(?:m?[jt]sx?)$", "", module).replace("../", "..").replace("/", ".")
-            names = re.findall(r"[\w$]+(?=\s*(?:,|\}|$|:))", re.sub(r"[\w$]+\s+as\s+", "", m.group("names") or m.group("bound") or "")) or [module.rsplit(".", 1)[-1]]
-            out += [(path, owner, "imports", x, module, n) for x in names]
+            given = [re.split(r"\s+as\s+|\s*:\s*", x.strip()) for x in re.sub(r"[{}]", ",", m.group("names") or m.group("bound") or "").split(",") if x.strip()]
+            for x in given or [[module.rsplit(".", 1)[-1]]]:
+                whole = x[0] == "*" and len(x) > 1  # a name for the module
+                out.append((path, owner, "imports", module if whole else x[0], None if whole else module, n, x[-1]))
             continue
         if not script and (m := PLAIN_IMPORT.match(line)):
             whole = re.sub(r"::|/", ".", m.group(1))
-            out.append((path, owner, "imports", whole.rsplit(".", 1)[-1], whole, n))
+            out.append((path, owner, "imports", whole.rsplit(".", 1)[-1], whole, n, whole.rsplit(".", 1)[-1]))
             continue
         declared = any(re.match(p, line) for _, p in rules)
         for m in BASES.finditer(code):
-            out += [(path, owner, "inherits" if m.group(1) == "extends" else "implements", x.split("<")[0].strip().rsplit(".", 1)[-1], None, n) for x in m.group(2).split(",") if x.strip()]
+            out += [(path, owner, "inherits" if m.group(1) == "extends" else "implements", x.split("<")[0].strip().rsplit(".", 1)[-1], None, n, None) for x in m.group(2).split(",") if x.strip()]
         for i, m in enumerate(CALL.finditer(code)):
             if m.group(3) in NO_CALLS or declared and i == 0 and "=>" not in code:
                 continue  # the declaration itself
             qualifier = re.sub(r"\s|->|::", lambda x: "" if x.group().isspace() else ".", m.group(2)).rstrip(".") or None
-            out.append((path, owner, "constructs" if m.group(1) or (script and m.group(3)[0].isupper() and m.group(1)) else "calls", m.group(3), qualifier, n))
+            out.append((path, owner, "constructs" if m.group(1) or (script and m.group(3)[0].isupper() and m.group(1)) else "calls", m.group(3), qualifier, n, None))
     return out
 
 
@@ -200,11 +219,19 @@ def references(files: DataFrame) -> DataFrame:
     return parse(files)[1]
 
 
-PARSED = "what int, " + SYMBOL + ", owner string, type string, qualifier string"
+PARSED = "what int, " + SYMBOL + ", owner string, type string, qualifier string, alias string"
+#: Declarations of Python that does not parse, by line.
+HALF_PYTHON = (("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)"))
+#: Languages whose texts hold no declarations.
+NO_CODE = frozenset("markdown text pdf json yaml toml xml html css".split())
+
 
+def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols and references of files (path, language, text), and paths of files that do not parse; each text is parsed once.
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols and references of files (path, language, text), each text parsed once; the result is written, so both read it."""
+    The result is written, so all three read it. Of Python that does not parse the declarations' lines are taken; a
+    language that has no table has those of generic_symbols().
+    """
     spark = files.sparkSession
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(rows)
@@ -214,9 +241,12 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = []
             for path, lang, text in zip(f["path"], f["language"], f["text"]):
                 text, rules = text or "", _rules(lang or "")
-                found = _python(path, text) if lang == "python" else (_by_table(path, text, rules), _references_by_lines(path, text, lang or "", rules) if rules else [])
-                rows += [(0, *s, None, None, None) for s in found[0]]
-                rows += [(1, r[0], None, r[3], None, None, r[5], None, None, None, r[1], r[2], r[4]) for r in found[1]]
+                found = _python(path, text) if lang == "python" else ([], []) if not rules else (_by_table(path, text, rules), _references_by_lines(path, text, lang or "", rules))
+                if found is None:
+                    found = _by_table(path, text, HALF_PYTHON), []
+                    rows.append((2, path, *[None] * 12))
+                rows += [(0, *s, None, None, None, None) for s in found[0]]
+                rows += [(1, r[0], None, r[3], None, None, r[5], None, None, None, r[1], r[2], r[4], r[6]) for r in found[1]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     try:
@@ -224,8 +254,13 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         got = cut(files.select("path", "language", "text").mapInPandas(run, PARSED), "parsed")
     finally:
         spark.conf.set(rows, before)
-    symbols = got.where("what = 0").select(*[c.split()[0] for c in SYMBOL.split(", ")])
-    return symbols, got.where("what = 1").select("path", "owner", "type", "name", "qualifier", F.col("start_line").alias("line"))
+    names = [c.split()[0] for c in SYMBOL.split(", ")]
+    known = [n for group in DECLARATIONS for n in group.split()]
+    other = files.where(F.col("language").isNotNull() & ~F.col("language").isin("python", *known, *NO_CODE))
+    none = F.lit(None).cast("string")
+    other = generic_symbols(other).select("path", "kind", "name", F.col("name").alias("qualified_name"), none.alias("parent"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), none.alias("signature"), none.alias("docstring"))
+    symbols = got.where("what = 0").select(*names).unionByName(other.dropDuplicates(["path", "qualified_name"]))
+    return symbols, got.where("what = 1").select("path", "owner", "type", "name", "qualifier", F.col("start_line").alias("line"), "alias"), got.where("what = 2").select("path")
 
 
 def module_doc(text: Column) -> Column:

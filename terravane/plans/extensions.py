@@ -20,7 +20,7 @@ def register(spark: SparkSession, embed=None) -> list[str]:
 
     class Symbols:
         def eval(self, path: str, language: str, text: str):
-            found = extraction._python(path, text or "")[0] if language == "python" else extraction._by_table(path, text or "", extraction._rules(language or ""))
+            found = (extraction._python(path, text or "") or [()])[0] if language == "python" else extraction._by_table(path, text or "", extraction._rules(language or ""))
             yield from found
 
     spark.udtf.register("tv_symbols", F.udtf(Symbols, returnType=extraction.SYMBOL))

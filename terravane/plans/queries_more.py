@@ -9,7 +9,7 @@ from ..functions import identity as I
 from ..functions import representation as R
 from ..functions import text as T
 from ..functions import vectors as X
-from ..operators import aggregates, context, extraction, filters, incremental, lexical, lookups, memory, resolve, vector
+from ..operators import bindings, aggregates, context, extraction, filters, incremental, lexical, lookups, memory, resolve, vector
 from ..operators import graph as G
 from ..streaming import changes
 from . import property_graph as P
@@ -483,3 +483,29 @@ def _(spark, d):
     c = P.table(spark, d, "customer")
     refs = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("ref")).union(c.select("c_name"))
     return lookups.resolved(e, refs)
+
+
+# --- names through re-exports ---
+
+BOUND = """b AS (SELECT 'm' || c_custkey AS path, 'n' || (c_nationkey % 4) AS alias, 'm' || (c_custkey * 7 + 3) % 1500 AS target_path, 'n' || (c_custkey % 4) AS target_name FROM customer
+UNION SELECT 'm' || s_suppkey * 15, '*', 'm' || (s_suppkey * 31) % 1500, NULL FROM supplier UNION SELECT 'm' || o_orderkey % 1500, 'n' || (o_custkey % 4), 'm' || o_custkey % 1500, 'n' || (o_orderkey % 4) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0),
+def AS (SELECT DISTINCT 'm' || c_custkey AS path, 'n' || (c_custkey % 3) AS name FROM customer WHERE c_acctbal > 5000)"""
+
+
+@query("res_export_closure", "WITH RECURSIVE " + BOUND + """, names AS (SELECT DISTINCT alias AS name FROM b WHERE alias <> '*'),
+nodes AS (SELECT path, name FROM (SELECT path FROM b UNION SELECT target_path FROM b), names), own AS (SELECT DISTINCT path, alias AS name FROM b WHERE alias <> '*'),
+s AS (SELECT path, alias AS name, target_path, target_name FROM b WHERE alias <> '*' UNION SELECT n.path, n.name, x.target_path, n.name FROM nodes n JOIN b x ON x.path = n.path AND x.alias = '*' WHERE (n.path, n.name) NOT IN (SELECT path, name FROM own)),
+o AS (SELECT * FROM s WHERE (path, name) NOT IN (SELECT path, name FROM def)),
+r AS (SELECT path, name, path AS at_path, name AS at_name FROM own UNION SELECT r.path, r.name, o.target_path, o.target_name FROM r JOIN o ON o.path = r.at_path AND o.name = r.at_name)
+SELECT r.path, r.name, at_path AS def_path, at_name AS def_name FROM r JOIN def ON def.path = at_path AND def.name = at_name""")
+def _(spark, d):
+    m = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    n = lambda c, k=4: F.concat(F.lit("n"), (c % k).cast("string"))
+    c, s, o = (P.table(spark, d, t) for t in ("customer", "supplier", "orders"))
+    o = o.where("o_orderpriority = '1-URGENT' and o_orderkey % 3 = 0")
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    b = c.select(m(key).alias("path"), n(F.col("c_nationkey")).alias("alias"), m((key * 7 + 3) % 1500).alias("target_path"), n(key).alias("target_name"))
+    b = b.union(s.select(m(F.col("s_suppkey") * 15), F.lit("*"), m(F.col("s_suppkey") * 31 % 1500), F.lit(None).cast("string")))
+    b = b.union(o.select(m(order % 1500), n(F.col("o_custkey")), m(F.col("o_custkey") % 1500), n(order)))
+    defined = c.where("c_acctbal > 5000").select(m(key).alias("path"), n(key, 3).alias("name"))
+    return bindings.closure(b.where("alias <> '*'").select("path", F.col("alias").alias("name")), b, defined)

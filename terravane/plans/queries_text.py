@@ -336,7 +336,7 @@ def _(spark, d):
 @query("ext_references", """WITH p AS (SELECT 'src/p' || p_partkey || '.py' AS path, replace(p_brand, '#', '_') AS c, p_partkey AS k FROM part)
 SELECT path, c || '.make_' || k AS owner, 'constructs' AS type, 'Build' || k AS name, 3::INT AS line FROM p UNION ALL SELECT path, 'test_' || k, 'calls', 'run_' || k, 6 FROM p""")
 def _(spark, d):
-    return extraction.references(code_files(spark, d)).drop("qualifier")
+    return extraction.references(code_files(spark, d)).drop("qualifier", "alias")
 
 
 @query("fn_modules", """SELECT url_path AS path, array_to_string(list_sort(CASE WHEN ends_with(url_path, '/__init__.py') THEN [replace(left(url_path, length(url_path) - 12), '/', '.')] ELSE list_distinct([replace(regexp_replace(url_path, '\\.[^./]+$', ''), '/', '.'), list_extract(string_split(replace(regexp_replace(url_path, '\\.[^./]+$', ''), '/', '.'), '.'), -1)]) END), ' ') AS modules FROM (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg/' || p_type || '/__init__.py' WHEN p_partkey % 4 = 1 THEN 'single' || p_partkey || '.py' ELSE 'pkg/' || lower(p_type) || '/m' || p_partkey || '.py' END AS url_path FROM part)""")

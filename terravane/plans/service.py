@@ -14,7 +14,7 @@ from ..functions import identity as I
 from ..functions import text as T
 from ..functions.identity import content_hash
 from ..functions.representation import search_text
-from ..operators import aggregates, context, extraction, graph, incremental, lexical, lookups, quality, ranking, resolve, vector
+from ..operators import aggregates, bindings, context, extraction, graph, incremental, lexical, lookups, quality, ranking, resolve, vector
 from ..operators.checkpoints import cut
 from ..operators.filters import search_filter, visible_edges
 from ..operators.term_index import TermIndex
@@ -37,13 +37,13 @@ def dotted(path):
     return F.replace(F.regexp_replace(path, r"(/__init__)?\.[^./]+$", ""), F.lit("/"), F.lit("."))
 
 
-def parsed(files: DataFrame, root_id: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and references of scanned files; each text is parsed once."""
+def parsed(files: DataFrame, root_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities and references of scanned files, and paths of files that do not parse; each text is parsed once."""
     text = F.col("content").cast("string")
     front = extraction.frontmatter(text)
     shifted = F.concat(F.repeat(F.lit("\n"), front["line"] - 1), front["code"])  # a component's script, on its own lines
     files = files.withColumn("text", F.when((F.col("language") == "astro") & front.isNotNull(), shifted).otherwise(text))
-    found, refs = extraction.parse(files)
+    found, refs, failed = extraction.parse(files)
     sym = found.join(files.select("path", "language"), "path")
     eid = lambda kind, qn, start: I.stable_id(F.lit(root_id), kind, F.col("language"), F.col("path"), qn, start)
     none = F.lit(None).cast("string")
@@ -58,7 +58,7 @@ def parsed(files: DataFrame, root_id: str) -> tuple[DataFrame, DataFrame]:
     sections = sections.withColumn("kind", F.lit("section")).withColumn("id", eid(F.lit("section"), F.col("title"), F.col("start_line")))
     sections = sections.select("id", F.lit(root_id).alias("root_id"), "kind", "language", F.col("title").alias("name"), F.col("title").alias("qualified_name"), "path", eid(F.lit("file"), F.col("path"), F.lit("")).alias("parent_id"), "start_line", "end_line", none.alias("signature"), F.left("body", F.lit(600)).alias("docstring"))
     entities = cut(file_rows.unionByName(symbols).unionByName(sections), "entities")
-    return entities, refs.join(files.select("path", "language"), "path")
+    return entities, refs.join(files.select("path", "language"), "path"), failed
 
 
 def linked(entities: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,20 +68,30 @@ def linked(entities: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     who = entities.select("path", F.col("qualified_name").alias("owner"), F.col("id").alias("source_id")).dropDuplicates(["path", "owner"])
     refs = refs.withColumn("owner", F.coalesce("owner", "path")).join(who, ["path", "owner"])
     refs = refs.withColumn("ref_id", F.sha2(F.concat_ws("|", "path", "line", "name", "type", "owner").cast("binary"), 256)).dropDuplicates(["ref_id"])
-    bound = refs.where("type = 'imports'").select("path", F.col("name").alias("alias"), F.coalesce("qualifier", "name").alias("spec")).dropDuplicates(["path", "alias"])
-    alias = F.when(F.col("type") == "imports", F.col("name")).otherwise(F.split(F.coalesce("qualifier", "name"), r"\.")[0])
-    refs = cut(refs.withColumn("alias", alias).join(bound, ["path", "alias"], "left"), "references")
+    refs = cut(refs, "references")
     files = entities.where(F.col("kind").isin("file", "document")).select("path")
-    at = resolve.module_files(refs.where("spec is not null").select("ref_id", F.col("path").alias("importer"), F.col("spec").alias("module")), files)
-    named = refs.join(at.select("ref_id", dotted(F.col("path")).alias("module")), "ref_id", "left")
-    full = F.when(F.col("qualifier").isNotNull() & (F.col("type") != "imports") & F.col("spec").isNull(), F.concat_ws(".", "qualifier", "name")).otherwise(F.col("name"))
     symbols = entities.where("kind not in ('file', 'document', 'section')").withColumn("module", dotted(F.col("path")))
+    imported = refs.where("type = 'imports'").select("path", F.coalesce("alias", "name").alias("alias"), F.coalesce("qualifier", "name").alias("module"), F.when(F.col("qualifier").isNotNull(), F.col("name")).alias("name"))
+    links = cut(bindings.targets(imported, files), "bindings")
+    # The names a reference may be bound by: its own, or its qualifier and the first part of that.
+    mine = F.when(F.col("type") == "imports", F.array(F.coalesce("alias", "name"))).otherwise(F.array_distinct(F.array(F.coalesce("qualifier", "name"), F.split(F.coalesce("qualifier", "name"), r"\.")[0])))
+    hits = refs.select("ref_id", "path", "type", "name", "qualifier", F.explode(mine).alias("alias")).join(links, ["path", "alias"])
+    inner = F.when(F.col("type") != "imports", F.col("name"))  # a name of the module that is bound
+    ways = hits.select("ref_id", "place", F.col("target_path").alias("from"), F.coalesce("target_name", inner).alias("want"), (F.col("target_name").isNull() | F.col("qualifier").isNull() | (F.col("type") == "imports")).alias("whole"))
+    starred = refs.where("type <> 'imports' and qualifier is null").join(links.where("alias = '*'").select("path").distinct(), "path", "left_semi").join(hits.select("ref_id"), "ref_id", "left_anti")
+    ways = cut(ways.unionByName(starred.select("ref_id", F.lit(2).alias("place"), F.col("path").alias("from"), F.col("name").alias("want"), F.lit(True).alias("whole"))), "ways")
+    reached = bindings.closure(ways.where("want is not null").select(F.col("from").alias("path"), F.col("want").alias("name")), links, symbols.select("path", F.col("qualified_name").alias("name")))
+    to = ways.join(reached, (F.col("from") == F.col("path")) & (F.col("want") == reached["name"])).groupBy("ref_id").agg(F.min(F.struct("place", "def_path", "def_name", "whole")).alias("d"))
+    at = ways.where("place < 2").groupBy("ref_id").agg(F.max(F.struct("place", "from")).alias("f")).join(to, "ref_id", "full").select("ref_id", F.coalesce("d.def_path", "f.from").alias("path"), F.when(F.col("d.whole"), F.col("d.def_name")).alias("def_name"))
+    at = cut(at, "targets")
+    named = refs.join(at.select("ref_id", dotted(F.col("path")).alias("module"), "def_name"), "ref_id", "left")
+    full = F.coalesce("def_name", F.when(F.col("qualifier").isNotNull() & (F.col("type") != "imports") & F.col("module").isNull(), F.concat_ws(".", "qualifier", "name")).otherwise(F.col("name")))
     asked = named.where("type <> 'imports' or module is not null").select("ref_id", "source_id", full.alias("name"), "path", "language", "module", "type", "line", "qualifier")
     outcome = cut(resolve.resolve(asked, symbols), "outcome")
     sure = outcome.where("outcome = 'resolved'").join(refs.select("ref_id", "source_id", "type"), "ref_id").select("source_id", "target_id", "type", F.lit("resolved").alias("provenance"), F.lit(CONFIDENCE["resolved"]).alias("confidence"))
     # An import whose module is a file but whose name is no symbol of it points to the file.
     file_ids = entities.where(F.col("kind").isin("file", "document")).select(F.col("path").alias("at"), F.col("id").alias("target_id"))
-    whole = at.withColumnRenamed("path", "at").join(refs.where("type = 'imports'").select("ref_id", "source_id", "type"), "ref_id").join(outcome.where("outcome = 'resolved'").select("ref_id"), "ref_id", "left_anti")
+    whole = at.select("ref_id", F.col("path").alias("at")).join(refs.where("type = 'imports'").select("ref_id", "source_id", "type"), "ref_id").join(outcome.where("outcome = 'resolved'").select("ref_id"), "ref_id", "left_anti")
     whole = whole.join(file_ids, "at").select("source_id", "target_id", "type", F.lit("resolved").alias("provenance"), F.lit(CONFIDENCE["resolved"]).alias("confidence"))
     lost = outcome.where("outcome <> 'resolved'").select("ref_id", "candidates").join(refs.select("ref_id", "source_id", "name", "path", "line", "type", "qualifier"), "ref_id")
     lost = resolve.unresolved_rows(lost).join(lost.select("source_id", "name", "path", "line", "type", "candidates"), ["source_id", "name", "path", "line", "type"])
@@ -121,10 +131,11 @@ class Repository:
         due = plan.where("change <> 'unchanged'")
         if names and due.isEmpty():
             return generation
-        fresh, refs = parsed(files.join(due, "path", "left_semi"), self.root_id)
+        fresh, refs, failed = parsed(files.join(due, "path", "left_semi"), self.root_id)
         if "entities" in names:
             fresh = cut(self.table("entities").select(*COLUMNS).join(due, "path", "left_anti").unionByName(fresh), "entities")
             refs = self.table("references").join(due, "path", "left_anti").unionByName(refs)
+            failed = self.table("failed").join(due, "path", "left_anti").unionByName(failed)
         edges, unresolved = linked(fresh, refs)
         edges = cut(edges, "edges")
         texts = searchable(fresh)
@@ -145,7 +156,7 @@ class Repository:
                 raise ValueError(f"{lost} edges have an end that is no entity")
 
         return self.store.commit({
-            "files": listed, "entities": fresh, "references": refs, "edges": edges, "unresolved": unresolved, "vectors": vectors, **self._terms(names, due, texts),
+            "files": listed, "entities": fresh, "references": refs, "failed": failed, "edges": edges, "unresolved": unresolved, "vectors": vectors, **self._terms(names, due, texts),
             "members": members.select("community_id", "id", F.lit("structural").alias("mode"), F.lit("labels").alias("algorithm")), "communities": members.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left").withColumn("mode", F.lit("structural")).withColumn("algorithm", F.lit("labels")),
             "importance": graph.importance(edges, fresh), "events": self.table("events").unionByName(events) if "events" in names else events,
         }, [sound])
@@ -247,7 +258,7 @@ class Repository:
     def status(self) -> DataFrame:
         """name, n: rows of the current tables, and the generation."""
         now = self.spark.createDataFrame([("generation", self.store.current()[0])], "name string, n long")
-        return aggregates.table_counts({n: self.table(n) for n in ("files", "entities", "edges", "unresolved", "vectors", "communities")}).union(now)
+        return aggregates.table_counts({n: self.table(n) for n in ("files", "failed", "entities", "edges", "unresolved", "vectors", "communities")}).union(now)
 
     def freshness(self, root: str, verify: bool = False, **rules) -> DataFrame:
         """path, why of files that differ from the index."""

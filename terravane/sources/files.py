@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import subprocess
+import uuid
 from functools import reduce
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.identity import content_hash
+from ..operators.checkpoints import shared
 
 IGNORE_FILES = (".gitignore", ".ignore", ".terravaneignore")
 
@@ -121,13 +123,47 @@ def _git(root: str, *args: str) -> str:
         return ""
 
 
+def hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, modificationTime, length, content of files that Spark's readers leave out: of names, or below folders, that begin
+    with an underscore (a package's `__init__.py`), and ignore files.
+
+    They are found by patterns, level by level, and copied under other names to the shared folder, one at a time, from where
+    Spark reads them. Folders that begin with a dot are left out, as are files over the size limit.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(conf)
+    top, found, depth = fs.makeQualified(at).toString().rstrip("/"), {}, 1
+    look = lambda pattern: fs.globStatus(jvm.org.apache.hadoop.fs.Path(top + pattern)) or []
+    while len(look("/*" * depth)):
+        for pattern in ["/*" * j + "/_*" + "/*" * (depth - 1 - j) for j in range(depth)] + ["/*" * (depth - 1) + f"/{name}" for name in IGNORE_FILES]:
+            for f in look(pattern):
+                path = f.getPath().toString()
+                folders = path.removeprefix(top).split("/")[:-1]
+                if f.isFile() and f.getLen() <= V.MAX_FILE_BYTES and not any(x.startswith(".") or x in V.EXCLUDED_DIRS for x in folders):
+                    found[path] = f
+        depth += 1
+    staged = f"{shared(spark)}/hidden-{uuid.uuid4().hex}"
+    rows = []
+    for n, (path, f) in enumerate(sorted(found.items())):
+        to = jvm.org.apache.hadoop.fs.Path(f"{staged}/{n}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), to.getFileSystem(conf), to, False, conf)
+        rows.append((str(n), path, f.getModificationTime(), f.getLen()))
+    known = spark.createDataFrame(rows, "name string, path string, at long, length long")
+    if not rows:
+        return known.select("path", F.timestamp_millis("at").alias("modificationTime"), "length", F.lit(None).cast("binary").alias("content"))
+    texts = spark.read.format("binaryFile").load(staged).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    empty = F.lit("").cast("binary")  # of empty files no reader gives a row
+    return known.join(texts, "name", "left").select("path", F.timestamp_millis("at").alias("modificationTime"), "length", F.coalesce("content", empty).alias("content"))
+
+
 def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """path, size, mtime, language, media, is_generated, content_hash, content of the source files below root.
 
-    Listing and reading are Spark's, so root can be in any store. Ignore files are read first; they are few and
+    Listing and reading are Spark's and the store's, so root can be in any store. Ignore files are read first; they are few and
     small, and their lines become one predicate.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).unionByName(hidden_files(spark, root))
     at = re.sub(r"^file:/*", "/", root).rstrip("/")
     rel = F.regexp_replace("path", "^[a-z]+:/*" + re.escape(at.lstrip("/")) + "/", "")
     files = files.where(~in_excluded_dir(rel))  # before content is asked for, so that such files are not read
