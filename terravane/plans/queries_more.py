@@ -9,7 +9,7 @@ from ..functions import identity as I
 from ..functions import representation as R
 from ..functions import text as T
 from ..functions import vectors as X
-from ..operators import bindings, aggregates, context, extraction, filters, incremental, lexical, lookups, memory, resolve, vector
+from ..operators import aggregates, bindings, communities, context, extraction, filters, incremental, lexical, lookups, memory, resolve, vector
 from ..operators import graph as G
 from ..streaming import changes
 from . import property_graph as P
@@ -509,3 +509,12 @@ def _(spark, d):
     b = b.union(o.select(m(order % 1500), n(F.col("o_custkey")), m(F.col("o_custkey") % 1500), n(order)))
     defined = c.where("c_acctbal > 5000").select(m(key).alias("path"), n(key, 3).alias("name"))
     return bindings.closure(b.where("alias <> '*'").select("path", F.col("alias").alias("name")), b, defined)
+
+
+@query("graph_community_weights", with_(P.EDGES, "u AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, max(confidence) AS weight FROM edge WHERE provenance IN ('extracted', 'resolved', 'inferred') GROUP BY ALL)",
+    "w AS (SELECT a, b, weight AS w FROM u UNION ALL SELECT b, a, weight FROM u)", "l AS (SELECT a AS id, split_part(a, ':', 1) || (split_part(a, ':', 2)::BIGINT % 5) AS community FROM (SELECT DISTINCT a FROM w))") + """SELECT x.community, round(sum(w), 6) AS total, round(sum(CASE WHEN x.community = y.community THEN w ELSE 0 END), 6) AS inner_weight FROM w JOIN l x ON x.id = w.a JOIN l y ON y.id = w.b GROUP BY x.community""")
+def _(spark, d):
+    both = communities.both_ways(G.undirected(P.edges(spark, d)))
+    part = F.split("id", ":")
+    labels = communities.alone(both).select("id", F.concat(part[0], (part[1].cast("long") % 5).cast("string")).alias("community"))
+    return communities.community_weights(both, labels).select("community", F.round("total", 6).alias("total"), F.round("inner", 6).alias("inner_weight"))

@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..functions.identity import content_hash
 from ..functions.representation import search_text
 from ..operators import aggregates, bindings, context, extraction, graph, incremental, lexical, lookups, quality, ranking, resolve, vector
+from ..operators import communities as modular
 from ..operators.checkpoints import cut
 from ..operators.filters import search_filter, visible_edges
 from ..operators.term_index import TermIndex
@@ -24,6 +25,7 @@ from .memory_store import MemoryStore
 
 FTS_COLUMNS = V.FTS_WEIGHTS
 SEGMENTS = 16  #: Segments of the lexical index from which an update writes it anew.
+DETECT = {"labels": graph.label_communities, "louvain": modular.louvain, "leiden": modular.leiden}
 CACHED = 64  #: Results of searches that are kept.
 CONTEXT_EDGES = ("calls", "constructs", "imports", "inherits", "implements", "references")
 
@@ -105,12 +107,13 @@ def searchable(entities: DataFrame) -> DataFrame:
 class Repository:
     """One indexed tree: update, search, resolve, explain, neighbourhood, related, path, impact, find_tests, context, communities, events, status, freshness, doctor, and notes as memory.
 
-    embed gives the vector of a text as a column; route, if given, may replace a question's channels (a function of
+    communities: how they are found, by `labels`, `louvain` or `leiden`. embed gives the vector of a text as a column; route, if given, may replace a question's channels (a function of
     the question and the default names).
     """
 
-    def __init__(self, spark: SparkSession, store: str, root_id: str = "root:0", embed=vector.hashing_embedding, route=None):
+    def __init__(self, spark: SparkSession, store: str, root_id: str = "root:0", embed=vector.hashing_embedding, route=None, communities: str = "labels"):
         self.spark, self.store, self.root_id, self.embed, self.route = spark, SnapshotStore(spark, store), root_id, embed, route
+        self.algorithm = communities
         self.memory = MemoryStore(spark, self.store, root_id, embed)
         self.found: OrderedDict = OrderedDict()
 
@@ -146,7 +149,7 @@ class Repository:
             need = incremental.to_embed(hashed, old, ["id", "input_hash"])
             vectors = old.join(hashed.select("id", "input_hash"), ["id", "input_hash"], "left_semi").unionByName(need.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector")))
         texts = cut(texts, "texts")
-        members = graph.detected(graph.label_communities(graph.undirected(edges)), "structural")
+        members = graph.detected(DETECT[self.algorithm](graph.undirected(edges)), "structural")
         labels = aggregates.community_terms(members.join(fresh.select("id", "path", "name"), "id").select(F.col("community_id").alias("community"), "path", "name")).withColumnRenamed("community", "community_id")
         events = due.select(F.lit(generation + 1).cast("long").alias("generation"), "path", "change")
 
@@ -157,7 +160,7 @@ class Repository:
 
         return self.store.commit({
             "files": listed, "entities": fresh, "references": refs, "failed": failed, "edges": edges, "unresolved": unresolved, "vectors": vectors, **self._terms(names, due, texts),
-            "members": members.select("community_id", "id", F.lit("structural").alias("mode"), F.lit("labels").alias("algorithm")), "communities": members.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left").withColumn("mode", F.lit("structural")).withColumn("algorithm", F.lit("labels")),
+            "members": members.select("community_id", "id", F.lit("structural").alias("mode"), F.lit(self.algorithm).alias("algorithm")), "communities": members.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left").withColumn("mode", F.lit("structural")).withColumn("algorithm", F.lit(self.algorithm)),
             "importance": graph.importance(edges, fresh), "events": self.table("events").unionByName(events) if "events" in names else events,
         }, [sound])
 

@@ -34,18 +34,31 @@ class SnapshotStore:
         read = {n: self.spark.read.parquet(p) for n, p in fresh.items()}
         for check in checks:
             check(read)
-        self._claim(generation + 1)
-        row = [(generation + 1, json.dumps(names | fresh, sort_keys=True))]
-        self.spark.createDataFrame(row, "generation long, tables string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        self._name(generation + 1, json.dumps({"generation": generation + 1, "tables": json.dumps(names | fresh, sort_keys=True)}))
         return generation + 1
 
-    def _claim(self, generation: int) -> None:
-        """Of two writers that start from one generation, one alone creates the next one's claim; the other's commit fails."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{generation}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            raise RuntimeError(f"generation {generation} was committed by another writer")
-        fs.create(path, False).close()
+    def _name(self, generation: int, row: str) -> None:
+        """Make a generation current: its manifest file is written whole under a hidden name, then renamed to its own.
+
+        A rename to a name that is there fails, so of two writers that start from one generation one alone commits; one
+        that stops before the rename leaves nothing that a later commit meets.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/{name}")
+        to, new = path(f"{generation:012d}.json"), path(f".{uuid.uuid4().hex}")
+        fs = to.getFileSystem(conf)
+        out = fs.create(new, False)
+        out.write(bytearray(row.encode()))
+        out.close()
+        to, new = fs.makeQualified(to), fs.makeQualified(new)
+        kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(new, to, kinds)
+        except Exception as e:
+            fs.delete(new, False)
+            if fs.exists(to):
+                raise RuntimeError(f"generation {generation} was committed by another writer") from e
+            raise
 
     def read(self, table: str, generation: int | None = None) -> DataFrame:
         """A table as of a generation, the current one by default; readers that hold it are not disturbed by later commits."""
