@@ -123,7 +123,11 @@ def hashing_embedding(text, dimensions: int = 64):
 
 def related(vectors: DataFrame, of, vector: list[float], edges: DataFrame, k: int) -> DataFrame:
     """id, similarity, linked: the k vectors nearest to that of an entity, itself left out, and whether an edge leads to them from it."""
-    near = knn(vectors.where(F.col("id") != of), vector, k)
+    return linked(knn(vectors.where(F.col("id") != of), vector, k), of, edges)
+
+
+def linked(near: DataFrame, of, edges: DataFrame) -> DataFrame:
+    """near (id, similarity) with linked: whether an edge leads to it from an entity."""
     out = edges.where(F.col("source_id") == of).select(F.col("target_id").alias("id"), F.lit(True).alias("linked")).distinct()
     return near.join(out, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as X
 from ..operators import aggregates, context, extraction, incremental, lexical, memory, ranking, vector
 from ..operators.checkpoints import cut
+from ..operators.vector_index import VectorIndex
 from ..streaming import changes
 from . import property_graph as P
 from .queries_graph import ORACLES, QUERIES, query, with_
@@ -100,6 +101,13 @@ def _(spark, d):
     return vector.all_knn(q, vectors(spark, d), 10)
 
 
+@query("vec_index_search", f"SELECT a.vec_id AS query_id, b.vec_id AS id, {COS.format(a='a.embedding', b='b.embedding')} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS.format(a='a.embedding', b='b.embedding')} DESC, b.vec_id)::INT AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10")
+def _(spark, d):
+    v = vectors(spark, d)
+    asked = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return VectorIndex.fitted(v, lists=32).search_all(asked, 10, exact=True, same=True)
+
+
 NEIGHBOURS = f"nb AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS.format(a='a.embedding', b='b.embedding')} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM nb QUALIFY rank <= 5)"
 
 

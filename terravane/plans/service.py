@@ -19,12 +19,14 @@ from ..operators import communities as modular
 from ..operators.checkpoints import cut
 from ..operators.filters import search_filter, visible_edges
 from ..operators.term_index import TermIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.files import scan
 from ..sources.snapshots import SnapshotStore
 from .memory_store import MemoryStore
 
 FTS_COLUMNS = V.FTS_WEIGHTS
-SEGMENTS = 16  #: Segments of the lexical index from which an update writes it anew.
+SEGMENTS = 16  #: Segments of the lexical or the vector index from which an update writes it anew.
+GROWTH = 4  #: Times the rows it was fitted on that the vector index may hold before it is fitted anew.
 DETECT = {"labels": graph.label_communities, "louvain": modular.louvain, "leiden": modular.leiden}
 CACHED = 64  #: Results of searches that are kept.
 CONTEXT_EDGES = ("calls", "constructs", "imports", "inherits", "implements", "references")
@@ -105,7 +107,7 @@ def searchable(entities: DataFrame) -> DataFrame:
 
 
 class Repository:
-    """One indexed tree: update, search, resolve, explain, neighbourhood, related, path, impact, find_tests, context, communities, events, status, freshness, doctor, and notes as memory.
+    """One indexed tree: update, search, resolve, explain, neighbourhood, related, path, impact, find_tests, context, communities, graph_stage, events, status, freshness, doctor, and notes as memory.
 
     communities: how they are found, by `labels`, `louvain` or `leiden`. embed gives the vector of a text as a column; route, if given, may replace a question's channels (a function of
     the question and the default names).
@@ -143,14 +145,20 @@ class Repository:
         edges = cut(edges, "edges")
         texts = searchable(fresh)
         hashed = texts.select("id", content_hash(F.col("semantic_text")).alias("input_hash"), "semantic_text")
-        vectors = hashed.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector"))
-        if "vectors" in names:
-            old = self.table("vectors")
-            need = incremental.to_embed(hashed, old, ["id", "input_hash"])
-            vectors = old.join(hashed.select("id", "input_hash"), ["id", "input_hash"], "left_semi").unionByName(need.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector")))
+        old = self.table("vectors") if "vectors" in names else None
+        need = hashed if old is None else incremental.to_embed(hashed, old, ["id", "input_hash"])
+        vectors = made = cut(need.select("id", "input_hash", self.embed(F.col("semantic_text")).alias("vector")), "vectors")
+        gone = made.select("id").limit(0)
+        if old is not None:
+            keys = hashed.select("id", "input_hash")
+            vectors, gone = old.join(keys, ["id", "input_hash"], "left_semi").unionByName(made), old.join(keys, ["id", "input_hash"], "left_anti").select("id")
+        if "edges" in names:  # semantic edges stand, as long as both their ends do, until graph_stage() makes them anew
+            held = self.table("edges").where(F.col("type") == V.SEMANTIC_EDGE_TYPE)
+            for end in ("source_id", "target_id"):
+                held = held.join(vectors.join(made.select("id"), "id", "left_anti").select(F.col("id").alias(end)), end, "left_semi")
+            edges = cut(edges.unionByName(held.select(*edges.columns)), "edges")
         texts = cut(texts, "texts")
-        members = graph.detected(DETECT[self.algorithm](graph.undirected(edges)), "structural")
-        labels = aggregates.community_terms(members.join(fresh.select("id", "path", "name"), "id").select(F.col("community_id").alias("community"), "path", "name")).withColumnRenamed("community", "community_id")
+        members, communities = self._communities(vector.without_semantic(edges), fresh, "structural")
         events = due.select(F.lit(generation + 1).cast("long").alias("generation"), "path", "change")
 
         def sound(tables: dict[str, DataFrame]) -> None:
@@ -159,11 +167,40 @@ class Repository:
                 raise ValueError(f"{lost} edges have an end that is no entity")
 
         return self.store.commit({
-            "files": listed, "entities": fresh, "references": refs, "failed": failed, "edges": edges, "unresolved": unresolved, "vectors": vectors, **self._terms(names, due, texts),
-            "members": members.select("community_id", "id", F.lit("structural").alias("mode"), F.lit(self.algorithm).alias("algorithm")), "communities": members.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left").withColumn("mode", F.lit("structural")).withColumn("algorithm", F.lit(self.algorithm)),
-            "importance": graph.importance(edges, fresh), "events": self.table("events").unionByName(events) if "events" in names else events,
+            "files": listed, "entities": fresh, "references": refs, "failed": failed, "edges": edges, "unresolved": unresolved, "vectors": vectors, **self._terms(names, due, texts), **self._near(names, made, gone, vectors),
+            "members": members, "communities": communities, "importance": graph.importance(vector.without_semantic(edges), fresh), "events": self.table("events").unionByName(events) if "events" in names else events,
         }, [sound])
 
+    def _communities(self, edges: DataFrame, entities: DataFrame, mode: str, semantic: float | None = None) -> tuple[DataFrame, DataFrame]:
+        """Members and labelled communities of a mode, of structural edges and of semantic ones from a similarity on."""
+        found = graph.detected(DETECT[self.algorithm](graph.undirected(edges, semantic=semantic)), mode)
+        how = lambda df: df.withColumn("mode", F.lit(mode)).withColumn("algorithm", F.lit(self.algorithm))
+        labels = aggregates.community_terms(found.join(entities.select("id", "path", "name"), "id").select(F.col("community_id").alias("community"), "path", "name")).withColumnRenamed("community", "community_id")
+        return how(found.select("community_id", "id")), how(found.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "community_id", "left"))
+
+    def graph_stage(self, semantic_threshold: float = 0.75, neighbours: int = 16, exact: bool = False) -> int:
+        """Semantic edges made anew from the vector index, communities with and without them; the new generation.
+
+        exact looks for the neighbours in every list that may hold one. Semantic edges have their similarity as confidence.
+        """
+        entities = self.table("entities")
+        asked = self.table("vectors").select(F.col("id").alias("query_id"), "vector")
+        near = cut(self.nearest().search_all(asked, neighbours, exact=exact, same=True), "neighbours")
+        made = vector.semantic_edges(near, asked.count(), vector.threshold(near).first()["threshold"])
+        made = made.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit(V.SEMANTIC_EDGE_TYPE).alias("type"), F.lit("semantic").alias("provenance"), F.col("similarity").alias("confidence"))
+        edges = vector.without_semantic(self.table("edges"))
+        edges = cut(edges.unionByName(made.select(*edges.columns)), "edges")
+        members, communities = self.table("members"), self.table("communities")
+        for mode, least in (("structural", None), ("semantic", semantic_threshold)):
+            m, c = self._communities(edges, entities, mode, least)
+            members, communities = graph.replace_communities(members, mode, self.algorithm, m), graph.replace_communities(communities, mode, self.algorithm, c.select(*communities.columns))
+        return self.store.commit({"edges": edges, "members": members, "communities": communities})
+
+    def nearest(self) -> VectorIndex:
+        """The vector index as of the current snapshot."""
+        rows = self.table("near").orderBy("place").collect()  # SEGMENTS rows at most
+        return VectorIndex(self.spark, f"{self.store.root}/near", rows[0]["model"], [r["segment"] for r in rows], self.table("near_removed"))
+
     def index(self) -> TermIndex:
         """The lexical index as of the current snapshot."""
         return TermIndex(self.spark, f"{self.store.root}/terms", FTS_COLUMNS, [r[0] for r in self.table("segments").collect()], self.table("removed"))
@@ -177,6 +214,21 @@ class Repository:
         none = self.spark.createDataFrame([], "segment string, range long, id string, length int")
         return {"segments": self.spark.createDataFrame([(s,) for s in index.segments], "segment string"), "removed": none if index.removed is None else index.removed}
 
+    def _near(self, names: dict, made: DataFrame, gone: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
+        """The vector index's segments and removed rows after an update: a segment of what was embedded, or an index fitted anew."""
+        index, fitted = None, 0
+        if "near" in names and len((index := self.nearest()).segments) < SEGMENTS:
+            fitted = self.table("near").first()["fitted"]
+            index = index.remove(gone).add(made) if index.lists()["rows"].sum() <= GROWTH * fitted else None
+        else:
+            index = None
+        if index is None:
+            index = VectorIndex.fitted(vectors.select("id", "vector"), f"{self.store.root}/near")
+            fitted = int(index.lists()["rows"].sum())
+        none = self.spark.createDataFrame([], "segment string, id string")
+        rows = [(i, index.model, s, fitted) for i, s in enumerate(index.segments)]
+        return {"near": self.spark.createDataFrame(rows, "place int, model string, segment string, fitted long"), "near_removed": none if index.removed is None else index.removed}
+
     def search(self, question: str, limit: int = 10, expand: bool = True, **wanted) -> DataFrame:
         """Ranked entities: exact, lexical, semantic and structural evidence, fused; with what each channel gave.
 
@@ -201,7 +253,7 @@ class Repository:
             channels |= {c: exact.where(F.col(c) > 0).select(zero, "id", F.col(c).alias("value")) for c in ("exact_name", "exact_path")}
         if "semantic" in names:
             v = q.select(self.embed(F.col("text")).alias("v")).first()["v"]
-            near = vector.knn(self.table("vectors").join(allowed.select("id"), "id", "left_semi"), v, 40)
+            near = self.nearest().search(v, 40, within=allowed)
             channels["semantic"] = cut(near.where("similarity > 0").select(zero, "id", F.col("similarity").alias("value")), "semantic")
         if "graph" in names and ("lexical" in channels or "exact_name" in channels):
             seeds = [df.select("id", "value") for c, df in channels.items() if c in ("lexical", "exact_name")]
@@ -213,7 +265,7 @@ class Repository:
                 channels["graph_proximity"] = cut(ranking.proximity(edges, closest["id"]).join(allowed.select("id"), "id", "left_semi").select(zero, "id", "value"), "proximity")
         found = cut(ranking.absorb(channels), "channels")
         near = edges.join(found.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-        members = self.table("members").select("id", F.col("community_id").alias("community"))
+        members = self.table("members").where("mode = 'structural'").select("id", F.col("community_id").alias("community"))
         ranked = ranking.fuse(found, entities, self.table("importance"), members, ranking.provenance_bonus(near), list(channels))
         badge = lookups.badge({c: F.col(c) for c in channels})
         out = ranking.explained(ranked.where(F.col("rank") <= limit)).withColumn("evidence", badge).join(entities.drop("kind"), "id").orderBy("rank")
@@ -284,7 +336,10 @@ class Repository:
         at = self.resolve(reference)
         own = self.table("vectors").where(F.col("id") == at).first()
         none = self.table("vectors").select("id", F.lit(0.0).alias("similarity"), F.lit(False).alias("linked")).limit(0)
-        return vector.related(self.table("vectors"), at, own["vector"], self.table("edges"), limit).orderBy(F.desc("similarity"), "id") if own else none
+        if not own:
+            return none
+        near = self.nearest().search(own["vector"], limit + 1).where(F.col("id") != at).orderBy(F.desc("similarity"), "id").limit(limit)
+        return vector.linked(near, at, self.table("edges")).orderBy(F.desc("similarity"), "id")
 
     def context(self, task: str, budget: int = 6000, delivered: str | None = None, changed: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
         """Evidence for a task under its plan's token budget (field, key, text, cost, in the order it was taken), and the cursor of what was delivered.

@@ -87,3 +87,29 @@ def test_bound_holds():
     rng = np.random.default_rng(1)
     x, c, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((3, 500, 5)))
     assert (np.sum(x * q, 1) <= reach(np.sum(c * q, 1), np.sum(x * c, 1)) + 1e-9).all()
+
+
+def test_the_facade_keeps_it(spark, tmp_path):
+    from terravane.plans.service import Repository
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    for name in ("alpha", "beta"):
+        (root / f"{name}.py").write_text(f"def load_session_{name}(token):\n    'Load the stored session of a token'\n\n\ndef unrelated_{name}():\n    'Draw a chart'\n")
+    repo = Repository(spark, str(tmp_path / "store"))
+    repo.update(str(root))
+    first = repo.nearest()
+    assert first.rows().count() == repo.table("vectors").count() and len(first.segments) == 1
+    assert repo.graph_stage() == 2
+    made = repo.table("edges").where("type = 'semantically_related'")
+    assert made.count() > 0 and {r["provenance"] for r in made.collect()} == {"semantic"}
+    (root / "beta.py").write_text("def other():\n    'Draw a chart'\n")
+    assert repo.update(str(root)) == 3
+    later = repo.nearest()
+    assert len(later.segments) == 2 and later.model == first.model
+    assert sorted(r["id"] for r in later.rows().collect()) == sorted(r["id"] for r in repo.table("vectors").collect())
+    known = {r["id"] for r in repo.table("entities").collect()}
+    kept = repo.table("edges").where("type = 'semantically_related'").collect()
+    assert all({r["source_id"], r["target_id"]} <= known for r in kept)
+    names = {r["name"] for r in repo.related(repo.resolve("load_session_alpha"), 2).join(repo.table("entities"), "id").collect()}
+    assert len(names) == 2 and "load_session_alpha" not in names
