@@ -6,9 +6,6 @@ plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,10 +152,14 @@ def tests_of(edges: DataFrame, entities: DataFrame, targets: DataFrame, most: in
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
     rest = targets.join(ends, "id", "left_anti").select("id", F.lower(stem).alias("stem")).where("stem <> ''")
     tests = entities.where("kind = 'test'").select(F.col("id").alias("test_id"), F.lower("path").alias("test_path"))
-    # A stem inside a path shares its first three characters with some place of it: an equi-join, then the check. Shorter stems meet all places of their length.
+    # A stem inside a path shares each of its pieces of three characters with it: an equi-join on the one that fewest paths have, then the check.
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - (n - 1))), lambda i: F.substring(c, i, F.lit(n))))
-    t = tests.withColumn("gram", F.explode(F.array_union(grams(F.col("test_path"), 3), F.array_union(grams(F.col("test_path"), 2), grams(F.col("test_path"), 1)))))
-    r = rest.withColumn("gram", F.left("stem", F.lit(3)))
+    pieces = F.filter(F.concat(*[grams(F.col("test_path"), n) for n in (3, 2, 1)]), lambda x: x != "")
+    t = cut(tests.distinct().withColumn("gram", F.explode(F.array_distinct(pieces))), "pieces")
+    common = t.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = rest.withColumn("gram", F.explode(grams(F.col("stem"), 3))).join(common, "gram", "left")
+    rarest = asked.groupBy("id", "stem").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    r = rarest.where("m.n > 0").select("id", "stem", "m.gram")  # a piece that no path has rules the stem out
     hit = r.join(t, "gram").where(F.contains("test_path", F.col("stem"))).select("id", "test_id").distinct()
     hit = hit.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("test_id"))).where(F.col("n") <= most).drop("n")
     return ends.withColumn("how", F.lit("edge")).unionByName(hit.withColumn("how", F.lit("path")))
@@ -213,56 +214,55 @@ def importance(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.select("id").join(rank, "id", "left").join(degrees(edges).select("id", "degree"), "id", "left").select("id", F.coalesce("r", F.col("degree").cast("double"), F.lit(0.0)).alias("value"))
 
 
-def betweenness(weighted: DataFrame, most: int = 5000) -> DataFrame:
+SOURCES = 5000  #: Sources that betweenness is estimated from; with no more nodes than these it is exact.
+
+
+def betweenness(weighted: DataFrame, sources: int = SOURCES, rounds: int | None = None) -> DataFrame:
     """id, betweenness of undirected a, b, weight (a distance of 1 / weight), the share of shortest paths that pass a node.
 
-    As long as there are at most `most` nodes, the graph goes to every task and each task takes some of the sources;
-    beyond that nothing is worked out, and the result is empty.
+    Paths are counted from at most `sources` nodes, those of least hash, and the sums scaled to all; the standard error of a node's
+    value is at most half of the square root of 1 / sources. A row is a source and a node it reaches. Distances settle by rounds of joins in
+    which nearer ways are passed on; path counts then go forward and dependencies back along the pairs of nodes that lie on shortest
+    paths, by the number of a path's edges. A source's rows are spread by node. Parallel edges count once with their greatest
+    weight; `rounds` bounds the edges of a path, which otherwise has as many as it takes.
     """
-    nodes = [r["id"] for r in weighted.select(F.col("a").alias("id")).union(weighted.select("b")).distinct().orderBy("id").limit(most + 1).collect()]
-    spark, schema = weighted.sparkSession, "id string, score double"
-    if not nodes or len(nodes) > most:
-        return spark.createDataFrame([], "id string, betweenness double")
-    at = {x: i for i, x in enumerate(nodes)}
-    near: list[list[tuple[int, float]]] = [[] for _ in nodes]
-    for r in weighted.toLocalIterator():
-        near[at[r["a"]]].append((at[r["b"]], 1.0 / max(r["weight"], 1e-9)))
-        near[at[r["b"]]].append((at[r["a"]], 1.0 / max(r["weight"], 1e-9)))
-    sent = spark.sparkContext.broadcast((nodes, near))
-
-    def run(frames):
-        names, near = sent.value
-        score = [0.0] * len(names)
-        for frame in frames:
-            for s in frame["s"].tolist():
-                order, before, paths, far = [], [[] for _ in names], [0.0] * len(names), {}
-                paths[s], seen, queue = 1.0, {s: 0.0}, [(0.0, s, s)]
-                while queue:
-                    d, parent, v = heapq.heappop(queue)
-                    if v in far:
-                        continue
-                    far[v] = d
-                    order.append(v)
-                    for u, w in near[v]:
-                        e = round(d + w, 9)
-                        if u not in far and (u not in seen or e < seen[u]):
-                            seen[u], paths[u], before[u] = e, paths[v], [v]
-                            heapq.heappush(queue, (e, v, u))
-                        elif u not in far and e == seen[u]:
-                            paths[u] += paths[v]
-                            before[u].append(v)
-                part = [0.0] * len(names)
-                for v in reversed(order):
-                    for u in before[v]:
-                        part[u] += paths[u] / paths[v] * (1 + part[v])
-                    if v != s:
-                        score[v] += part[v]
-        yield pd.DataFrame({"id": names, "score": score})
-
-    n = len(nodes)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    parts = spark.range(n).select(F.col("id").cast("int").alias("s")).repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
-    return parts.groupBy("id").agg(F.round(F.sum("score") * scale, 6).alias("betweenness"))
+    near = weighted.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").alias("weight"))
+    step = F.round(1.0 / F.greatest("weight", F.lit(1e-9)), 9).alias("step")
+    near = near.select(F.col("a").alias("node"), F.col("b").alias("other"), step).unionByName(near.select(F.col("b").alias("node"), F.col("a").alias("other"), step))
+    near = cut(near, "near")
+    nodes = near.select(F.col("node").alias("id")).distinct()
+    n = nodes.count()
+    chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(sources)
+    far = cut(chosen.select(F.col("id").alias("s"), F.col("id").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("new")), "far")
+    done = 0
+    while (rounds is None or done < rounds) and not far.where("new").isEmpty():
+        ways = far.where("new").join(near, "node").select("s", F.col("other").alias("node"), F.round(F.col("d") + F.col("step"), 9).alias("d"), F.lit(True).alias("new"))
+        both = far.withColumn("new", F.lit(False)).unionByName(ways)
+        best = both.groupBy("s", "node").agg(F.min(F.struct("d", "new")).alias("m"))  # what is known comes before its equals
+        far, done = cut(best.select("s", "node", "m.d", "m.new"), "far"), done + 1
+    # Pairs (v before w) that lie on shortest paths from s.
+    ahead = far.select("s", F.col("node").alias("v"), F.col("d").alias("dv")).join(near.select(F.col("node").alias("v"), F.col("other").alias("w"), "step"), "v")
+    ahead = ahead.join(far.select("s", F.col("node").alias("w"), F.col("d").alias("dw")), ["s", "w"]).where(F.abs(F.col("dv") + F.col("step") - F.col("dw")) < 1e-8)
+    links = cut(ahead.select("s", "v", "w"), "links")
+    # Path counts by number of edges: a pass brings what ends in each node on to the next ones.
+    front = cut(chosen.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "front")
+    counts = front
+    while not front.isEmpty():
+        front = cut(front.join(links, ["s", "v"]).groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths")), "front")
+        counts = counts.unionByName(front)
+    counts = cut(counts.groupBy("s", "v").agg(F.sum("paths").alias("paths")), "counts")
+    share = links.join(counts.withColumnRenamed("paths", "pv"), ["s", "v"]).join(counts.select("s", F.col("v").alias("w"), F.col("paths").alias("pw")), ["s", "w"])
+    share = cut(share.select("s", "v", "w", (F.col("pv") / F.col("pw")).alias("share")), "share")
+    # A node's dependency is the sum over its successors of share * (1 + theirs): terms go back edge by edge.
+    front = cut(counts.select("s", F.col("v").alias("w"), F.lit(1.0).alias("part")), "front")
+    total = None
+    while not front.isEmpty():
+        front = cut(front.join(share, ["s", "w"]).groupBy("s", F.col("v").alias("w")).agg(F.sum(F.col("share") * F.col("part")).alias("part")), "front")
+        own = front.where("s <> w").groupBy(F.col("w").alias("id")).agg(F.sum("part").alias("score"))
+        total = own if total is None else total.unionByName(own)
+    scale = n / max(1, min(n, sources)) / ((n - 1) * (n - 2) if n > 2 else 1)
+    score = total.groupBy("id").agg(F.sum("score").alias("score")) if total is not None else nodes.select("id", F.lit(0.0).alias("score")).limit(0)
+    return nodes.join(score, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)) * scale, 6).alias("betweenness"))
 
 
 def edges_at(edges: DataFrame, nodes: DataFrame, direction: str = "both", types=None, provenances=None, limit: int = 500) -> DataFrame:

@@ -244,7 +244,16 @@ def test_betweenness_equals_all_shortest_paths(spark):
             want[v] += sum(v in p for p in best) / len(best) / 12
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(edges, "a string, b string, weight double")).collect()}
     assert all(abs(got[v] - want[v]) < 1e-6 for v in want)
-    assert graph.betweenness(spark.createDataFrame(edges, "a string, b string, weight double"), most=3).count() == 0
+    assert set(got) == set(want)
+
+
+def test_sampled_betweenness_stays_within_its_error(spark):
+    rng = __import__("random").Random(4)
+    edges = [(f"n{i}", f"n{rng.randrange(i)}", rng.choice([1.0, 0.5])) for i in range(1, 60)] + [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", 1.0) for _ in range(20)]
+    df = spark.createDataFrame(edges, "a string, b string, weight double")
+    exact, some = ({r["id"]: r["betweenness"] for r in graph.betweenness(df, k).collect()} for k in (60, 30))
+    assert len(exact) == 60 and max(abs(exact[v] - some[v]) for v in exact) < 3 * 0.5 * (1 / 30) ** 0.5
+    assert graph.betweenness(df.limit(0)).count() == 0
 
 
 def test_approximate_neighbours_have_the_recall(spark):
