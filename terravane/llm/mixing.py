@@ -242,13 +242,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, in the columns of docs: a row for each copy of a document; where words are cut, the text's first ones.
 
     A partition holds whole shards, each in the order of its places. Rows alike in id, source and text give the same
-    copies; documents of which no word is taken are not in the mix.
+    copies; documents of which no word is taken, among them those without words or text, are not in the mix. Extra columns
+    keep their names and values, an empty table gives none, and a very long text is one row of one task.
     """
     taken = mixed(docs).where(F.size("copies") > 0).select(F.col("doc_id").alias("_doc_id"), F.col("chance").alias("_chance"), "size", "copies")
     taken = taken.groupBy("_doc_id", "_chance").agg(F.max("size").alias("_size"), F.max("copies").alias("_copies"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_here") == F.col("_chance"))
-    rows = docs.withColumn("_here", chance()).join(taken, same).withColumn("_part", F.explode("_copies"))
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("_part.words").cast("int")), "")
-    text = F.when(F.col("_part.words") >= F.col("_size"), F.col("text")).otherwise(lead)
-    out = rows.withColumn("text", text).repartition(parts(spark), F.col("_part.shard")).sortWithinPartitions("_part.shard", "_part.place")
-    return out.select(*docs.columns)
+    # Each row goes as one column, so that columns of whatever name stay what they are.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_id"), chance().alias("_here"))
+    rows = rows.join(taken, F.col("_id").eqNullSafe(F.col("_doc_id")) & (F.col("_here") == F.col("_chance"))).withColumn("_part", F.explode("_copies"))
+    lead = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("_part.words").cast("int")), "")
+    text = F.when(F.col("_part.words") >= F.col("_size"), F.col("_row.text")).otherwise(lead)
+    out = rows.withColumn("_row", F.col("_row").withField("text", text)).repartition(parts(spark), F.col("_part.shard")).sortWithinPartitions("_part.shard", "_part.place")
+    return out.select("_row.*")

@@ -604,3 +604,21 @@ def test_kernels_words_and_spans():
     assert [raw[a:b].tobytes() for a, b in zip(s, e)] == [b"Ab", b"c", b"d"] and first.tolist() == [0, 1, 3]
     h = kernels.span_hashes(np.frombuffer(b"abcxabc", np.uint8), np.array([0, 4]), np.array([3, 7]))
     assert h[0] == h[1]
+
+
+def test_mixing_stage_keeps_columns_of_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    data = [(i, t, "s1" if i % 3 else "s2", i * 10, f"p{i}", i, float(i), "r", i, 7, "d") for i, t in enumerate(["a b c d", "e f", "", None, "g", "a b c d", long])]
+    rows = spark.createDataFrame(data, "doc_id long, text string, source string, _part int, _size string, _here int, _copies double, _row string, _doc_id int, shard int, `a.b` string")
+    out = mixing.stage(spark, rows, "")
+    assert out.columns == rows.columns
+    own = {r["doc_id"]: r for r in rows.collect()}
+    got = out.collect()
+    assert got and all(tuple(r)[2:] == tuple(own[r["doc_id"]])[2:] for r in got)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(rows).collect()}
+    words = Counter()
+    for r in got:
+        assert own[r["doc_id"]]["text"].startswith(r["text"])
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert {i: n for i, n in taken.items() if n} == dict(words)
+    assert mixing.stage(spark, rows.limit(0), "").count() == 0
