@@ -70,14 +70,15 @@ def without_contained(spans: DataFrame) -> DataFrame:
 def attach_notes(notes: DataFrame, budget: int, reserve: int = 80, overhead: int = 28) -> DataFrame:
     """group, rank, id, text, cost of the notes (group, rank, id, text) that fit the budget, in order of rank.
 
-    A note costs its tokens and an overhead. The first that does not fit whole is cut after a word; later ones go.
+    A note costs its tokens and an overhead. The first that does not fit whole is cut after a word, or after a line
+    break that ends the cut (`\\z`, as `$` also stands before a last line break); later ones go.
     """
     most = F.lit(max(0, budget - reserve))
     cost = (estimate_tokens(F.col("text")) + overhead).cast("long")
     w = W.partitionBy("group").orderBy("rank", "id")
     n = notes.select("group", "rank", "id", "text", cost.alias("cost")).withColumn("before", F.coalesce(F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     room = most - F.col("before")
-    short = F.rtrim(F.regexp_replace(F.left("text", F.greatest(F.lit(0), (room - overhead) * 4).cast("int")), r"\S*$", ""))
+    short = F.rtrim(F.regexp_replace(F.left("text", F.greatest(F.lit(0), (room - overhead) * 4).cast("int")), r"[^\t\n\f\r ]*\z", ""))
     n = n.where(room > overhead).withColumn("text", F.when(F.col("cost") <= room, F.col("text")).otherwise(short)).where("text <> ''")
     return n.select("group", "rank", "id", "text", (estimate_tokens(F.col("text")) + overhead).cast("long").alias("cost"))
 
