@@ -37,5 +37,5 @@ def content_hash(content: Column) -> Column:
 
 def normalize_representation(value: Column) -> Column:
     """Trailing blanks of lines go, runs of blank lines become one, the ends are trimmed."""
-    v = F.regexp_replace(value, r"[ \t\r]+(?=\n|$)", "")
-    return F.regexp_replace(F.regexp_replace(v, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    v = F.regexp_replace(value, r"[ \t\r]+(?=\n|\z)", "")  # `$` would also stand before a last line break
+    return F.regexp_replace(F.regexp_replace(v, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
