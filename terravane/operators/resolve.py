@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -52,30 +51,29 @@ def resolve(references: DataFrame, symbols: DataFrame, most: int = 8) -> DataFra
     references: ref_id, source_id, name, path, language, module (null unless imported); symbols: id, name,
     qualified_name, path, language, module. Tiers: 1 qualified name in the file, 2 name in the file, 3 name in the
     imported module, 4 name in the same language, 5 name in a companion dialect. The source is no candidate.
-    Symbols are gathered by name first, with their number and the least most + 1 of each name and language, so a
-    common name costs its references one row each; at most `most` candidates are listed.
+    Every tier's symbols are gathered by its key first, the least most + 1 of each (one may be the source), so a common
+    name costs its references one row a tier and language; at most `most` candidates are listed.
     """
     r = references.where(~F.col("name").isin(*V.BUILTIN_NAMES))
     s = symbols.select(F.col("id").alias("target"), F.col("name").alias("s_name"), "qualified_name", F.col("path").alias("s_path"), F.col("language").alias("s_lang"), F.col("module").alias("s_module"))
-    pick = lambda df, tier: df.where(F.col("target") != F.col("source_id")).select("ref_id", "target", F.lit(tier).alias("tier"))
-    leaf = F.element_at(F.split("name", r"\."), -1)
-    named = r.withColumn("leaf", leaf)
-    few = least_of(s, "s_name", "s_lang", most=most + 1)
-    by_name = lambda cond: named.join(few, (F.col("leaf") == F.col("s_name")) & cond).select("ref_id", "source_id", F.explode("ids").alias("target"))
+    named = r.withColumn("leaf", F.element_at(F.split("name", r"\."), -1))
+    few = lambda *keys: least_of(s, *keys, most=most + 1)
+    pick = lambda df, tier: df.select("ref_id", F.lit(tier).alias("tier"), F.array_remove("ids", F.col("source_id")).alias("ids"))
+    leaf, place, module = F.col("leaf") == F.col("s_name"), F.col("path") == F.col("s_path"), F.col("module") == F.col("s_module")
+    language = same_language(F.col("language"), F.col("s_lang"))
     tiers = [
-        pick(r.join(s, (F.col("name") == F.col("qualified_name")) & (F.col("path") == F.col("s_path"))), 1),
-        pick(named.join(s, (F.col("leaf") == F.col("s_name")) & (F.col("path") == F.col("s_path"))), 2),
-        pick(named.join(s, (F.col("leaf") == F.col("s_name")) & (F.col("module") == F.col("s_module"))).where(same_language(F.col("language"), F.col("s_lang"))), 3),
-        pick(by_name(F.col("language").eqNullSafe(F.col("s_lang"))), 4),
-        pick(by_name(same_language(F.col("language"), F.col("s_lang"))), 5),
+        pick(r.join(few("qualified_name", "s_path"), (F.col("name") == F.col("qualified_name")) & place), 1),
+        pick(named.join(few("s_name", "s_path"), leaf & place), 2),
+        pick(named.join(few("s_name", "s_module", "s_lang"), leaf & module).where(language), 3),
+        pick(named.join(few("s_name", "s_lang"), leaf & F.col("language").eqNullSafe(F.col("s_lang"))), 4),
+        pick(named.join(few("s_name", "s_lang"), leaf & language), 5),
     ]
     found = tiers[0]
     for t in tiers[1:]:
         found = found.unionByName(t)
-    found = found.groupBy("ref_id", "target").agg(F.min("tier").alias("tier"))
-    best = found.withColumn("best", F.min("tier").over(W.partitionBy("ref_id"))).where("tier = best")
-    rank = F.row_number().over(W.partitionBy("ref_id").orderBy("target"))
-    g = best.withColumn("r", rank).groupBy("ref_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("target")))).alias("candidates"))
+    g = found.where(F.size("ids") > 0).groupBy("ref_id").agg(F.collect_list(F.struct("tier", "ids")).alias("xs")).withColumn("tier", F.array_min(F.col("xs.tier")))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("xs", lambda x: x["tier"] == F.col("tier")), lambda x: x["ids"]))))
+    g = g.select("ref_id", "tier", F.size(ids).alias("n"), F.slice(ids, 1, most).alias("candidates"))
     out = r.select("ref_id").join(g, "ref_id", "left")
     return out.select(
         "ref_id", F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("outcome"),
