@@ -19,6 +19,9 @@ TERMS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 FOLDED = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
 
 
+FEW = 10_000  #: Questions up to which they are broadcast.
+
+
 def terms_sql(c: str) -> str:
     return TERMS.format(c=c)
 
@@ -308,13 +311,24 @@ def _(spark, d):
 
 
 def relevant(docs, b):
-    """Documents that hold all of a benchmark item's terms in a row: an equi-join on its first eight, then the check of all."""
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 7)), lambda i: F.array_join(F.slice(c, i, 8), " "))
+    """Documents that hold all of a benchmark item's terms in a row: an equi-join on the hash of its first terms, eight at most, then the check of all.
+
+    What is exploded is an id and a hash a term; the texts of the few documents that meet are joined to them afterwards.
+    """
     line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    d = docs.select(F.col("doc_id").alias("id"), T.terms(F.col("text")).alias("terms"))  # a column, so that it is not worked out for each run
-    d = d.select("id", line("terms").alias("line"), F.explode(F.array_distinct(runs(F.col("terms")))).alias("run"))
-    q = b.select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("terms")).select("query_id", line("terms").alias("item"), F.array_join(F.slice("terms", 1, 8), " ").alias("run"))
-    return d.join(q, "run").where(F.contains("line", F.col("item"))).select("query_id", "id").distinct()
+    q = b.where("text is not null").select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("terms"))
+    q = q.select("query_id", line("terms").alias("item"), F.slice("terms", 1, 8).alias("first"))
+    q = q.select("query_id", "item", F.xxhash64("first").alias("run"), F.size("first").alias("n"))
+    d = docs.where("text is not null").select(F.col("doc_id").alias("id"), T.terms(F.col("text")).alias("terms"))
+    runs = lambda n: F.when(F.size("terms") < n, F.array()).otherwise(F.transform(F.sequence(F.lit(1), F.size("terms") - (n - 1)), lambda i: F.xxhash64(F.slice("terms", i, n))))
+    none = F.when(F.size("terms") == 0, F.array(F.xxhash64("terms"))).otherwise(F.array())
+    at = None
+    for (n,) in q.select("n").distinct().collect():  # 0 to 8
+        some = d.select("id", F.explode(F.array_distinct(runs(n) if n else none)).alias("run")).join(F.broadcast(q.where(F.col("n") == n)) if q.count() <= FEW else q.where(F.col("n") == n), "run").select("query_id", "id", "item")
+        at = some if at is None else at.union(some)
+    if at is None:
+        return b.select(F.col("item_id").alias("query_id")).crossJoin(docs.select(F.col("doc_id").alias("id")).limit(0))
+    return at.distinct().join(d, "id").where(F.contains(line("terms"), F.col("item"))).select("query_id", "id").distinct()
 
 
 ORACLES["eval_recall_mrr"] = ORACLES["eval_recall_mrr"].replace("WITH q AS", f"WITH dl AS (SELECT doc_id, ' ' || array_to_string({terms_sql('text')}, ' ') || ' ' AS line FROM documents), it AS (SELECT item_id, ' ' || array_to_string({terms_sql('text')}, ' ') || ' ' AS run FROM benchmark), rel AS (SELECT item_id, doc_id FROM it JOIN dl ON contains(line, run)),\nq AS", 1)
