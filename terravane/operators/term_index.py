@@ -34,6 +34,7 @@ from .checkpoints import cut, shared
 
 RANGE = 128  #: Documents of a range.
 BUCKETS = 16  #: Folders of a segment.
+PIECE = 500_000  #: Tokens that a task holds as arrays at a time; more only for one document that has more.
 LISTED = 1000  #: Terms up to which a search names them in its scan; more are joined.
 ALL = 2**31 - 1  #: A k from which nothing is left out.
 FIRST = 4  #: Times k the documents of a question's rarest words that are scored first.
@@ -64,13 +65,24 @@ def blocks_of(tokens: DataFrame, weights: Sequence[float], size: int = RANGE) ->
     def build(batches):
         done = TaskContext.get().partitionId() << 32
         for batch in batches:
-            if batch.num_rows:
-                yield block_rows(batch, np.asarray(weights, np.float64), done, size)
-                done += -(-batch.num_rows // size)
+            for piece in pieces(batch, size):
+                yield block_rows(piece, np.asarray(weights, np.float64), done, size)
+                done += -(-piece.num_rows // size)
 
     return tokens.mapInArrow(build, BLOCKS.format(kind=tokens.schema["id"].dataType.simpleString()))
 
 
+def pieces(batch: pa.RecordBatch, size: int):
+    """A batch in runs of whole ranges of about PIECE tokens; a range of longer documents is cut, as at the end of a batch."""
+    tokens = sum(np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in range(1, batch.num_columns))
+    start = 0
+    while start < batch.num_rows:
+        fit = max(1, int(np.searchsorted(np.cumsum(tokens[start:]), PIECE, "right")))
+        fit = fit // size * size or fit
+        yield batch.slice(start, fit)
+        start += fit
+
+
 def block_rows(batch: pa.RecordBatch, weights: np.ndarray, done: int, size: int) -> pa.RecordBatch:
     n = batch.num_rows
     values, rows, places, length = [], [], [], np.zeros(n, np.int64)
