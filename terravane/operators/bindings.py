@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import cut
+from .graph import numbered
 from .resolve import module_files
 
 ROUNDS = 64  #: Re-exports in a row that are followed.
+BITS = 64  #: Definitions of a word.
+MAX_BROADCAST = 100_000  #: Definitions up to which they are broadcast.
 
 
 def targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -33,21 +36,46 @@ def closure(starts: DataFrame, bindings: DataFrame, definitions: DataFrame, roun
     """path, name, def_path, def_name: the definitions that a name (path, name) of a file leads to.
 
     definitions (path, name) end a way. A name that its file does not define is followed through the file's bindings
-    (path, alias, target_path, target_name) of it, and where there are none through its `*` bindings. Each round joins the
-    names reached in the last one alone, and a name that a start has been at is not followed again, so cycles end.
+    (path, alias, target_path, target_name) of it, and where there are none through its `*` bindings.
+
+    First each name that some start reaches is followed once, which gives the steps between names. Then the
+    definitions reached are numbered, and sets of them, 64 a word, go back over the steps; each round sends what the last one
+    added alone, so cycles end. Names that no step leads to take part in the last round only. Pairs are made at the end.
     """
-    key = ["path", "name", "at_path", "at_name"]
+    at, key = ["at_path", "at_name"], ["at_path", "at_name", "target_path", "target_name"]
     named = bindings.where("alias <> '*' and target_name is not null").select(F.col("path").alias("at_path"), F.col("alias").alias("at_name"), "target_path", "target_name").distinct()
     stars = bindings.where("alias = '*'").select(F.col("path").alias("at_path"), "target_path").distinct()
     ends = definitions.select(F.col("path").alias("at_path"), F.col("name").alias("at_name")).distinct()
-    new = cut(starts.select("path", "name").distinct().select("path", "name", F.col("path").alias("at_path"), F.col("name").alias("at_name")), "names")
-    seen = new
+    starts = cut(starts.select(F.col("path").alias("at_path"), F.col("name").alias("at_name")).distinct(), "names")
+    new, seen, steps = starts, starts, None
     for _ in range(rounds):
-        open_ = new.join(ends, ["at_path", "at_name"], "left_anti")
-        by_name = open_.join(named, ["at_path", "at_name"]).select("path", "name", "target_path", "target_name")
-        by_star = open_.join(named.select("at_path", "at_name"), ["at_path", "at_name"], "left_anti").join(stars, "at_path").select("path", "name", "target_path", F.col("at_name").alias("target_name"))
-        new = cut(by_name.union(by_star).toDF(*key).distinct().join(seen, key, "left_anti"), "names")
+        open_ = new.join(ends, at, "left_anti")
+        by_name = open_.join(named, at).select(*key)
+        by_star = open_.join(named.select(*at), at, "left_anti").join(stars, "at_path").select("at_path", "at_name", "target_path", F.col("at_name").alias("target_name"))
+        found = cut(by_name.union(by_star).distinct(), "steps")
+        steps = found if steps is None else steps.union(found)
+        new = cut(found.select(F.col("target_path").alias("at_path"), F.col("target_name").alias("at_name")).distinct().join(seen, at, "left_anti"), "names")
+        if new.isEmpty():
+            break
+        seen = seen.union(new)
+    ends = numbered(ends.join(seen, at, "left_semi"), *map(F.asc, at)).select(*at, F.floor(F.col("number") / BITS).alias("word"), (F.col("number") % BITS).cast("int").alias("bit"))
+    ends = cut(ends, "ends")
+    own = ends.groupBy(*at, "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    if steps is None:
+        steps = starts.select(*at, F.col("at_path").alias("target_path"), F.col("at_name").alias("target_name")).limit(0)
+    to = steps.select(F.col("target_path").alias("at_path"), F.col("target_name").alias("at_name")).distinct()
+    inner = cut(steps.join(to, at, "left_semi"), "inner")
+    back = lambda ways, sets: ways.join(sets.toDF("target_path", "target_name", "word", "bits"), ["target_path", "target_name"]).groupBy(*at, "word").agg(F.bit_or("bits").alias("bits"))
+    known = new = own
+    for _ in range(rounds - 1):
+        got = back(inner, new).join(known.withColumnRenamed("bits", "had"), [*at, "word"], "left")
+        new = cut(got.select(*at, "word", F.expr("bits & ~coalesce(had, 0L)").alias("bits")).where("bits <> 0"), "sets")
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new), "seen")
-    return seen.join(ends, ["at_path", "at_name"], "left_semi").select("path", "name", F.col("at_path").alias("def_path"), F.col("at_name").alias("def_name"))
+        known = cut(known.union(new).groupBy(*at, "word").agg(F.bit_or("bits").alias("bits")), "known")
+    reached = known if rounds < 1 else back(steps.join(starts, at, "left_semi"), known)
+    reached = reached.union(own.join(starts, at, "left_semi"))  # an end has no steps
+    table = ends.groupBy("word").agg(F.collect_list(F.struct("bit", F.col("at_path").alias("def_path"), F.col("at_name").alias("def_name"))).alias("ends"))
+    table = F.broadcast(table) if ends.count() <= MAX_BROADCAST else table
+    rows = reached.join(table, "word").select(*at, F.explode(F.filter("ends", lambda x: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])) != 0)).alias("x"))
+    return rows.select(F.col("at_path").alias("path"), F.col("at_name").alias("name"), "x.def_path", "x.def_name")
