@@ -2,7 +2,8 @@
 
 All-pairs search runs over blocks: vectors are dealt into blocks, each pair of blocks meets in one task as two
 matrices, and a task returns the k best of each row only; a window merges the k best of all blocks. Neither
-pairs nor a whole side are ever in one place.
+pairs nor a whole side are ever in one place. A side has 16 blocks up to a million rows, so what is shuffled grows with
+the rows; the arithmetic is that of all pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .checkpoints import cut as cut_lineage
 from .graph import numbered
 
 BLOCK_ROWS = 2048
+SIDE_BLOCKS, MOST_ROWS, MOST_PARTS = 16, 65536, 2000
+BUCKET_ROWS = 16384  #: Rows of a bucket, or of several small ones, that meet in a task of approximate_knn.
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id") -> DataFrame:
@@ -28,7 +31,75 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id") -> D
 
 
 def blocks(rows: int) -> int:
-    return max(1, -(-rows // BLOCK_ROWS))
+    """A side of all-pairs search has SIDE_BLOCKS blocks, but for few rows (blocks of BLOCK_ROWS) and very many (of MOST_ROWS)."""
+    size = min(MOST_ROWS, max(BLOCK_ROWS, -(-rows // SIDE_BLOCKS)))
+    return max(1, -(-rows // size))
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.tolist()).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray, other: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of y and their cosines to six places: the k greatest of each row of x, of equal ones the first rows of y.
+
+    x and y are of unit length; rows with ids that are equal (own, other) are left out if same. Cosines in single precision, with
+    more room than their error, leave out what cannot be among the best so far; what stays is worked out in double precision.
+    """
+    room = np.float32(2e-6 + 2.5e-7 * x.shape[1])
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    out = []
+    for r in range(0, len(x), 1024):
+        xa, xa32, ids = x[r : r + 1024], x32[r : r + 1024], own[r : r + 1024]
+        i, j, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        least = np.full(len(xa), -np.inf, np.float32)
+        for c in range(0, len(y), 4096):
+            rough = xa32 @ y32[c : c + 4096].T
+            if c == 0 and k < rough.shape[1]:  # k and itself
+                least = np.partition(rough, rough.shape[1] - k - 1, axis=1)[:, -k - 1] - room
+            a, b = np.divmod(np.flatnonzero(rough >= least[:, None]), rough.shape[1])
+            if not len(a):
+                continue
+            if 8 * len(a) > rough.size:  # many that are as good: all are worked out
+                exact = np.round(xa @ y[c : c + 4096].T, 6)
+                if same:
+                    exact[ids[:, None] == other[None, c : c + 4096]] = -np.inf
+                b = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+                a, v = np.repeat(np.arange(len(xa)), b.shape[1]), np.take_along_axis(exact, b, 1).reshape(-1)
+                b = b.reshape(-1)
+            else:
+                v = np.concatenate([np.einsum("ij,ij->i", xa[a[n : n + 65536]], y[c + b[n : n + 65536]]) for n in range(0, len(a), 65536)])
+                v = np.round(v, 6)
+            keep = np.isfinite(v) & ((ids[a] != other[c + b]) if same else True)
+            i, j, sim = np.concatenate([i, a[keep]]), np.concatenate([j, c + b[keep]]), np.concatenate([sim, v[keep]])
+            order = np.lexsort((j, -sim, i))
+            i, j, sim = i[order], j[order], sim[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, sim, place = i[place < k], j[place < k], sim[place < k], place[place < k]
+            full = i[place == k - 1]
+            worst = sim[place == k - 1]
+            least[full] = np.where(worst >= 1, np.inf, worst - room)  # rows of y come in order: nothing later is before a cosine of one
+        out.append((i + r, j, sim))
+    return tuple(np.concatenate(part) for part in zip(*out))
+
+
+def best_of(a: pd.DataFrame, b: pd.DataFrame, k: int, same: bool) -> pd.DataFrame | None:
+    """query_id, id, similarity: of rows (id, vector) of a, the k nearest of b."""
+    if not len(a) or not len(b):
+        return None
+    b = b.sort_values("id")
+    (x, own), (y, other) = ((unit(f["vector"]), f["id"].to_numpy()) for f in (a, b))
+    (x, own), (y, other) = ((m[fine], ids[fine]) for m, ids in ((x, own), (y, other)) for fine in [np.isfinite(m).all(axis=1)])
+    if not len(x) or not len(y):
+        return None
+    i, j, sim = nearest(x, y, k, own, other, same)
+    return pd.DataFrame({"query_id": own[i], "id": other[j], "similarity": sim})
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def all_knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False) -> DataFrame:
@@ -36,28 +107,17 @@ def all_knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False)
     nq, nv = blocks(queries.count()), blocks(vectors.count())
     other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    queries, vectors = queries.repartition("query_id"), vectors.repartition("id")  # copies are made in many tasks, whatever the files
     q = queries.select(number("query_id", nq).alias("qb"), other(nv).alias("vb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("vector").cast("array<double>"))
     v = vectors.select(other(nq).alias("qb"), number("id", nv).alias("vb"), F.lit(1).alias("side"), "id", F.col("vector").cast("array<double>"))
+    kind = dict(queries.dtypes)["query_id"]
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["side"] == 0], frame[frame["side"] == 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        x, y = np.stack(a["vector"].tolist()), np.stack(b["vector"].tolist())
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        s = np.round(x @ y.T, 6)
-        if same:
-            s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
-        n = min(k, s.shape[1])
-        top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-        got = np.take_along_axis(s, top, 1)
-        out = pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy(), n), "id": b["id"].to_numpy()[top.reshape(-1)], "similarity": got.reshape(-1)})
-        return out[np.isfinite(out["similarity"])]
+        found = best_of(frame[frame["side"] == 0], frame[frame["side"] == 1], k, same)
+        return pd.DataFrame({"query_id": [], "id": [], "similarity": []}) if found is None else found
 
-    kind = dict(queries.dtypes)["query_id"]
-    found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(best, f"query_id {kind}, id {kind}, similarity double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    dealt = q.unionByName(v).repartition(min(MOST_PARTS, 3 * nq * nv), "qb", "vb")
+    return ranked(dealt.groupBy("qb", "vb").applyInPandas(best, f"query_id {kind}, id {kind}, similarity double"), k)
 
 
 def mutual(neighbours: DataFrame) -> DataFrame:
@@ -149,7 +209,7 @@ def approximate_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int
     """As all_knn, of the vectors that share a bucket with the query in one of `tables` random-hyperplane tables.
 
     Work grows with the buckets, not with the square of the vectors; bits grow with the number of vectors. Recall is
-    for the caller to measure against all_knn; a bucket is met by equi-join, its best k of each query leave a task.
+    for the caller to measure against all_knn; the rows of a bucket meet in a task, and the best k of each query leave it.
     """
     n = vectors.count()
     first = vectors.select(F.size("vector").alias("d")).first()
@@ -168,10 +228,34 @@ def approximate_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int
     kind = dict(vectors.dtypes)["id"]
     schema = f"id {kind}, vector array<double>, keys array<long>"
     of = lambda df: df.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(keys, schema)
-    q = cut_lineage(of(queries.withColumnRenamed("query_id", "id")), "queries")
-    v = cut_lineage(of(vectors), "vectors")
-    pairs = q.select(F.col("id").alias("query_id"), F.explode("keys").alias("key")).join(v.select("id", F.explode("keys").alias("key")), "key").select("query_id", "id").distinct()
-    near = pairs.join(q.select(F.col("id").alias("query_id"), F.col("vector").alias("a")), "query_id").join(v.select("id", F.col("vector").alias("b")), "id")
-    near = near.where(F.col("query_id") != F.col("id")).select("query_id", "id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    rows = of(queries.withColumnRenamed("query_id", "id").repartition("id")).withColumn("side", F.lit(0)).unionByName(of(vectors.repartition("id")).withColumn("side", F.lit(1)))
+    rows = cut_lineage(rows, "keys").withColumn("key", F.explode("keys")).drop("keys")
+    # A bucket of few rows goes with others; one of many is met block by block, as in all_knn.
+    large = rows.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("nq"), F.count_if(F.col("side") == 1).alias("nv")).where(F.col("nq") + F.col("nv") > BUCKET_ROWS)
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BUCKET_ROWS)).cast("int")
+    large = F.broadcast(cut_lineage(large.select("key", parts("nq").alias("nq"), parts("nv").alias("nv")), "large"))  # a row for BUCKET_ROWS of the table's keys
+    bins = max(1, -(-2 * n * tables // BUCKET_ROWS))
+    rows = rows.join(large, "key", "left")
+    own = lambda c: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+    all_ = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    few = rows.where("nq is null").select((-1 - F.pmod(F.xxhash64("key"), F.lit(bins))).alias("bin"), F.lit(0).alias("qb"), F.lit(0).alias("vb"), "key", "side", "id", "vector")
+    asks = rows.where("nq is not null and side = 0").select(F.col("key").alias("bin"), own("nq").alias("qb"), F.explode(all_("nv")).alias("vb"), "key", "side", "id", "vector")
+    told = rows.where("nq is not null and side = 1").select(F.col("key").alias("bin"), F.explode(all_("nq")).alias("qb"), own("nv").alias("vb"), "key", "side", "id", "vector")
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "id"])
+        x = unit(frame["vector"])
+        fine = np.isfinite(x).all(axis=1)
+        x, ids, key, side = x[fine], *(frame[c].to_numpy()[fine] for c in ("id", "key", "side"))
+        out = []
+        for rows in np.split(np.arange(len(x)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+            a, b = rows[side[rows] == 0], rows[side[rows] == 1]
+            if len(a) and len(b):
+                i, j, sim = nearest(x[a], x[b], k, ids[a], ids[b], True)
+                out.append((ids[a][i], ids[b][j], sim))
+        return pd.DataFrame(dict(zip(("query_id", "id", "similarity"), map(np.concatenate, zip(*out)) if out else ([], [], []))))
+
+    dealt = few.unionByName(asks).unionByName(told).repartition(min(MOST_PARTS, max(bins, 12)), "bin", "qb", "vb")
+    found = dealt.groupBy("bin", "qb", "vb").applyInPandas(best, f"query_id {kind}, id {kind}, similarity double")
+    # A vector may be found in several tables; with all of a query's rows together once, nothing moves again.
+    return ranked(found.repartition("query_id").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), k)

@@ -114,9 +114,9 @@ def _(spark, d):
 NEIGHBOURS = f"nb AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS.format(a='a.embedding', b='b.embedding')} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM nb QUALIFY rank <= 5)"
 
 
-def neighbours(spark, d):
+def neighbours(spark, d, k=5):
     v = vectors(spark, d)
-    return vector.all_knn(v.withColumnRenamed("id", "query_id"), v, 5, same=True)
+    return vector.all_knn(v.withColumnRenamed("id", "query_id"), v, k, same=True)
 
 
 @query("vec_neighbors_topk", with_(NEIGHBOURS) + "SELECT * FROM top")
@@ -131,7 +131,7 @@ def _(spark, d):
 
 @query("vec_threshold_median", with_(NEIGHBOURS) + "SELECT round(median(similarity), 6) AS median_best, round(greatest(0.55, 0.85 * round(median(similarity), 6)), 6) AS threshold FROM top WHERE rank = 1")
 def _(spark, d):
-    return vector.threshold(neighbours(spark, d))
+    return vector.threshold(neighbours(spark, d, 1))  # of which only the best is asked for
 
 
 @query("vec_semantic_edges")
