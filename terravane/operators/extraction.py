@@ -251,7 +251,9 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     try:
         spark.conf.set(rows, "64")  # a file has five megabytes at most
-        got = cut(files.select("path", "language", "text").mapInPandas(run, PARSED), "parsed")
+        # Few files of a store, or small ones, would make few tasks.
+        spread = files.select("path", "language", "text").repartition(4 * spark.sparkContext.defaultParallelism, "path")
+        got = cut(spread.mapInPandas(run, PARSED), "parsed")
     finally:
         spark.conf.set(rows, before)
     names = [c.split()[0] for c in SYMBOL.split(", ")]
