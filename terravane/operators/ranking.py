@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
-from .graph import both_ways, lookup, reach
+from .graph import lookup, reach_both_ways
 
 
 def absorb(channels: dict[str, DataFrame]) -> DataFrame:
@@ -82,6 +82,5 @@ def evaluate(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
 
 def proximity(edges: DataFrame, seed: str, hops: int = 2) -> DataFrame:
     """id, value: 1 - distance / (hops + 1) of every node within hops of the seed, whichever way edges point."""
-    both = both_ways(edges).select(F.col("node").alias("source_id"), F.col("other").alias("target_id"))
-    at = both.sparkSession.createDataFrame([(seed,)], "id string")
-    return reach(both, at, hops).select(F.col("node").alias("id"), F.round(1 - F.col("distance") / (hops + 1), 6).alias("value"))
+    at = edges.sparkSession.createDataFrame([(seed,)], "id string")
+    return reach_both_ways(edges, at, hops).select(F.col("node").alias("id"), F.round(1 - F.col("distance") / (hops + 1), 6).alias("value"))
