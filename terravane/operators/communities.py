@@ -25,7 +25,8 @@ LEAST = 1e-9  #: What a gain must exceed, beyond the noise of sums.
 def both_ways(edges: DataFrame) -> DataFrame:
     """a, b, w of undirected edges (a, b, weight) in both directions; a loop has twice its weight."""
     e = edges.select("a", "b", F.col("weight").cast("double").alias("w")).where("a is not null and b is not null and w > 0")
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return e.repartition("a").groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def community_weights(both: DataFrame, labels: DataFrame) -> DataFrame:
