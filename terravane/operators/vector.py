@@ -3,7 +3,8 @@
 All-pairs search runs over blocks: vectors are dealt into blocks, each pair of blocks meets in one task as two
 matrices, and a task returns the k best of each row only; a window merges the k best of all blocks. Neither
 pairs nor a whole side are ever in one place. A side has 16 blocks up to a million rows, so what is shuffled grows with
-the rows; the arithmetic is that of all pairs.
+the rows; the arithmetic is that of all pairs. Where all rows are compared among themselves (own_knn), two blocks meet
+once and a pair's cosine serves both its rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .graph import numbered
 
 BLOCK_ROWS = 2048
 SIDE_BLOCKS, MOST_ROWS, MOST_PARTS = 16, 65536, 2000
+ONE, NONE = 1_000_001, (1 << 21) - 1  #: In keys of partners: what a cosine's millionths are taken from, and no partner.
+TILE = 2048  #: Rows of a side whose cosines are held at a time.
 BUCKET_ROWS = 16384  #: Rows of a bucket, or of several small ones, that meet in a task of approximate_knn.
 
 
@@ -97,6 +100,128 @@ def best_of(a: pd.DataFrame, b: pd.DataFrame, k: int, same: bool) -> pd.DataFram
     return pd.DataFrame({"query_id": own[i], "id": other[j], "similarity": sim})
 
 
+def marked(mask: np.ndarray) -> np.ndarray:
+    """Flat places of what holds in a matrix of which little does, looked through eight at a time."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+    return at[flat[at]]
+
+
+class Best:
+    """The k best partners of each of n rows so far, of m: whole numbers of the cosine to six places, greatest first, and the partner's row."""
+
+    def __init__(self, n: int, m: int, k: int, room: float):
+        self.bits = m.bit_length()
+        self.keys, self.k, self.room = np.full((n, k), NONE << self.bits), k, room
+        self.least = np.full(n, -np.inf, np.float32)  #: what a rough cosine must reach
+
+    def add(self, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
+        """Row j as a partner of row i at cosine v; all partners of i before j have been offered, or come with it."""
+        if not len(i):
+            return
+        whole = self.bits + NONE.bit_length()
+        both = np.sort(i << whole | (ONE - np.rint(v * 1e6).astype(np.int64)) << self.bits | j)
+        i = both >> whole
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        rows, group = i[start], np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(i)]))
+        place = np.arange(len(i)) - start[group]
+        few = place < self.k
+        keys = np.full((len(rows), 2 * self.k), NONE << self.bits)
+        keys[:, : self.k] = self.keys[rows]
+        keys[group[few], self.k + place[few]] = both[few] & (1 << whole) - 1
+        keys.sort(axis=1)
+        self.keys[rows] = keys[:, : self.k]
+        worst = keys[:, self.k - 1] >> self.bits
+        bound = np.where(worst == NONE, -np.inf, np.where(worst <= 1, np.inf, (ONE - worst) / 1e6 - self.room))  # nothing later is before a cosine of one
+        self.least[rows] = np.maximum(self.least[rows], bound)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, n = np.nonzero(self.keys >> self.bits != NONE)
+        key = self.keys[i, n]
+        return i, key & (1 << self.bits) - 1, (ONE - (key >> self.bits)) / 1e6
+
+
+def bounded(rough: np.ndarray, own: np.ndarray, other: np.ndarray, best: Best, rows: slice) -> None:
+    """A first bound of rows that have none: their k-th cosine to some of the others."""
+    few = max(512, 8 * best.k)
+    if best.k <= min(few, rough.shape[1]) and np.isneginf(best.least[rows]).any():
+        some = np.where(own[:, None] == other[None, :few], -np.inf, rough[:, :few])
+        best.least[rows] = np.maximum(best.least[rows], np.partition(some, some.shape[1] - best.k, axis=1)[:, -best.k] - np.float32(best.room))
+
+
+def firsts(exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the k greatest finite values to six places, the first of equal ones: rows, columns, values."""
+    n = exact.shape[1]
+    key = np.where(np.isneginf(exact), 2.0**40, np.rint(exact * -1e6)).astype(np.int64) * n + np.arange(n)
+    key = key if k >= n else np.partition(key, k - 1, axis=1)[:, :k]
+    i, c = np.nonzero(key < 2**39 * n)
+    value, j = np.divmod(key[i, c], n)
+    return i, j, -value / 1e6
+
+
+def nearest_both(x: np.ndarray, y: np.ndarray | None, k: int, own: np.ndarray, other: np.ndarray | None) -> list[Best]:
+    """As nearest() of x among y and of y among x, without rows of one id; each pair's rough cosine is worked out once. Without y, of x among itself."""
+    room = 2e-6 + 2.5e-7 * x.shape[1]
+    alone, x32 = y is None, x.astype(np.float32)
+    y, y32, other = (x, x32, own) if alone else (y, y.astype(np.float32), other)
+    bx = Best(len(x), len(y), k, room)
+    by = bx if alone else Best(len(y), len(x), k, room)
+    held, hits = np.empty(TILE * TILE, np.float32), np.empty(TILE * TILE, bool)
+    for r in range(0, len(x), TILE):
+        xa, ids, rows = x[r : r + TILE], own[r : r + TILE], slice(r, r + TILE)
+        for c in range(r if alone else 0, len(y), TILE):
+            yb, others, cols = y[c : c + TILE], other[c : c + TILE], slice(c, c + TILE)
+            twice = not (alone and c == r)  # else the square holds each pair both ways
+            rough = np.matmul(x32[rows], y32[cols].T, out=held[: len(xa) * len(yb)].reshape(len(xa), len(yb)))
+            mask = hits[: rough.size].reshape(rough.shape)
+            bounded(rough, ids, others, bx, rows)
+            if twice:
+                bounded(rough.T, others, ids, by, cols)
+            lx, ly = bx.least[rows], by.least[cols] if twice else np.full(len(yb), np.inf, np.float32)
+            at = marked(np.greater_equal(rough, min(lx.min(), ly.min()), out=mask))
+            if len(at) > rough.size // 64:  # one bound for all leaves too much
+                at = marked(np.logical_or(rough >= lx[:, None], rough >= ly[None, :], out=mask))
+            if 8 * len(at) > rough.size:  # many that are as good: all are worked out
+                exact = xa @ yb.T
+                exact[ids[:, None] == others[None, :]] = -np.inf
+                i, j, v = firsts(exact, k)
+                bx.add(r + i, c + j, v)
+                if twice:
+                    j, i, v = firsts(np.ascontiguousarray(exact.T), k)
+                    by.add(c + j, r + i, v)
+                continue
+            i, j = np.divmod(at, rough.shape[1])
+            near = rough.reshape(-1)[at]
+            fits = (near >= lx[i], near >= ly[j])
+            wanted = (fits[0] | fits[1]) & (ids[i] != others[j])
+            i, j, fits = i[wanted], j[wanted], [f[wanted] for f in fits]
+            v = [np.einsum("ij,ij->i", xa[i[n : n + 65536]], yb[j[n : n + 65536]]) for n in range(0, len(i), 65536)]
+            v = np.concatenate(v) if v else np.empty(0)
+            bx.add(r + i[fits[0]], c + j[fits[0]], v[fits[0]])
+            if twice:
+                by.add(c + j[fits[1]], r + i[fits[1]], v[fits[1]])
+    return [bx] if alone else [bx, by]
+
+
+def best_of_both(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, id, similarity: of the rows (id, side, vector) of one side among the other's and back; where there is one side, among themselves."""
+    frame = frame.sort_values("id", kind="stable")
+    x = unit(frame["vector"])
+    fine = np.isfinite(x).all(axis=1)
+    x, ids, side = x[fine], frame["id"].to_numpy()[fine], frame["side"].to_numpy()[fine]
+    at = [np.flatnonzero(side == s) for s in (0, 1) if (side == s).any()]
+    if not at or frame["block"].iat[0] != frame["other"].iat[0] and len(at) < 2:
+        return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+    found = nearest_both(x[at[0]], x[at[1]] if at[1:] else None, k, ids[at[0]], ids[at[1]] if at[1:] else None)
+    out = []
+    for best, mine, theirs in zip(found, (at[0], at[-1]), (at[-1], at[0])):
+        i, j, v = best.found()
+        out.append((ids[mine[i]], ids[theirs[j]], v))
+    return pd.DataFrame(dict(zip(("query_id", "id", "similarity"), map(np.concatenate, zip(*out)))))
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -120,6 +245,19 @@ def all_knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False)
     return ranked(dealt.groupBy("qb", "vb").applyInPandas(best, f"query_id {kind}, id {kind}, similarity double"), k)
 
 
+def own_knn(vectors: DataFrame, k: int) -> DataFrame:
+    """As all_knn of all vectors (id, vector) among themselves, each left out of its own: two blocks meet once, for both."""
+    n = blocks(vectors.count())
+    vectors = vectors.repartition("id").select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    meets = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    first, last = F.least("own", "with"), F.greatest("own", "with")
+    dealt = vectors.withColumn("with", meets).select(first.alias("block"), last.alias("other"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "vector")
+    dealt = dealt.repartition(min(MOST_PARTS, 2 * n * n), "block", "other")
+    kind = dict(vectors.dtypes)["id"]
+    found = dealt.groupBy("block", "other").applyInPandas(lambda frame: best_of_both(frame, k), f"query_id {kind}, id {kind}, similarity double")
+    return ranked(found.repartition("query_id"), k)  # with all of a row's partners together, nothing moves again
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """a < b that are among each other's neighbours, with their similarity."""
     n = neighbours.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "similarity")

@@ -115,8 +115,7 @@ NEIGHBOURS = f"nb AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS.format(a
 
 
 def neighbours(spark, d, k=5):
-    v = vectors(spark, d)
-    return vector.all_knn(v.withColumnRenamed("id", "query_id"), v, k, same=True)
+    return vector.own_knn(vectors(spark, d), k)
 
 
 @query("vec_neighbors_topk", with_(NEIGHBOURS) + "SELECT * FROM top")
@@ -137,7 +136,7 @@ def _(spark, d):
 @query("vec_semantic_edges")
 def _(spark, d):
     v = vectors(spark, d)
-    near = cut(vector.all_knn(v.withColumnRenamed("id", "query_id"), v, 16, same=True), "neighbours")  # twelve partners and four more, as the stage asks for
+    near = cut(vector.own_knn(v, 16), "neighbours")  # twelve partners and four more, as the stage asks for
     return vector.semantic_edges(near, v.count(), vector.threshold(near).first()["threshold"])
 
 
