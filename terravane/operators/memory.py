@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.text import has_secret, matches_term, preferences, preferences_conflict, query_terms, terms
+from ..functions.text import has_secret, holds_forms, matches_forms, preferences, preferences_conflict, query_terms, term_forms, word_line
 
 
 def history(versions: DataFrame, key: str, start: str, version: str) -> DataFrame:
@@ -42,12 +44,19 @@ def visible(notes: DataFrame, scope: str, project: str | None) -> DataFrame:
 def lexical_score(notes: DataFrame, query: str) -> DataFrame:
     """id, lexical: matched share of the query's words, more for a word of a tag or the kind, and for the words in a row."""
     q = query_terms(F.lit(query))
-    body, label = terms(F.col("content")), F.array_union(F.coalesce(F.transform("tags", lambda t: F.lower(t)), F.array().cast("array<string>")), F.array(F.lower("kind")))
-    points = F.transform("q", lambda t: F.when(matches_term(t, F.col("label")), 1.25).when(matches_term(t, F.col("body")), 1.0).otherwise(0.0))
-    n = notes.select("id", q.alias("q"), F.array_distinct(body).alias("body"), label.alias("label"), F.array_join(body, " ").alias("line"))
-    n = n.select("id", F.size("q").alias("n"), F.aggregate(points, F.lit(0.0), lambda s, x: s + x).alias("sum"), F.contains(F.concat(F.lit(" "), "line", F.lit(" ")), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" "))).alias("phrase"))
-    score = F.when(F.col("n") > 0, F.col("sum") / F.col("n") + F.when(F.col("phrase") & (F.col("n") > 1), 0.2).otherwise(0.0)).otherwise(0.0)
-    return n.select("id", F.round(score, 6).alias("lexical")).where("lexical > 0")
+    asked = notes.sparkSession.sql("SELECT 1").select(q.alias("q"), F.transform(q, term_forms).alias("forms")).first()
+    if not asked["q"]:
+        return notes.select("id", F.lit(0.0).alias("lexical")).limit(0)
+    label = F.array_union(F.coalesce(F.transform("tags", lambda t: F.lower(t)), F.array().cast("array<string>")), F.array(F.lower("kind")))
+    n = notes.select("id", F.lower(F.coalesce("content", F.lit(""))).alias("plain"), label.alias("label"))
+    # Only texts that hold the first letters of some form are cut into words.
+    heads = dict.fromkeys(v[:5] for forms in asked["forms"] for v in forms)
+    n = n.select("id", "label", F.when(reduce(lambda a, b: a | b, [F.contains("plain", F.lit(h)) for h in heads]), word_line(F.col("plain"))).otherwise("").alias("line"))
+    points = [F.when(matches_forms(F.array(*map(F.lit, forms)), F.col("label")), 1.25).when(holds_forms(forms, F.col("line")), 1.0).otherwise(0.0) for forms in asked["forms"]]
+    phrase = F.contains("line", F.lit(f" {' '.join(asked['q'])} ")) & F.lit(len(points) > 1)
+    score = reduce(lambda a, b: a + b, points) / len(points) + F.when(phrase, 0.2).otherwise(0.0)
+    # Not a filter: that would be moved below the steps before it, and work out the words anew for each place it looks at them.
+    return n.select("id", F.explode(F.filter(F.array(F.round(score, 6)), lambda x: x > 0)).alias("lexical"))
 
 
 def hybrid_score(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
