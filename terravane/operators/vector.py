@@ -3,17 +3,22 @@
 All-pairs search runs over blocks: vectors are dealt into blocks, each pair of blocks meets in one task as two
 matrices, and a task returns the k best of each row only; a window merges the k best of all blocks. Neither
 pairs nor a whole side are ever in one place. A side has 16 blocks up to a million rows, so what is shuffled grows with
-the rows; the arithmetic is that of all pairs. Where all rows are compared among themselves (own_knn), two blocks meet
-once and a pair's cosine serves both its rows.
+the rows; the arithmetic is that of all pairs. Where all rows are compared among themselves (own_knn), blocks and tasks
+are the points and lines of a projective plane: 57 blocks, eight of which meet in each of 57 tasks, any two in just one.
+A row goes to eight tasks, and a pair's cosine serves both its rows.
 """
 
 from __future__ import annotations
 
+import copy
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import values as V
 from ..functions.vectors import cosine, l2_normalize, norm
@@ -110,15 +115,26 @@ def marked(mask: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best partners of each of n rows so far, of m: whole numbers of the cosine to six places, greatest first, and the partner's row."""
+    """The k best partners of each of n rows so far, of m: whole numbers of the cosine to six places, greatest first, and the partner's number."""
 
     def __init__(self, n: int, m: int, k: int, room: float):
         self.bits = m.bit_length()
         self.keys, self.k, self.room = np.full((n, k), NONE << self.bits), k, room
         self.least = np.full(n, -np.inf, np.float32)  #: what a rough cosine must reach
+        self.ones = np.full(n, m)  #: the number of the last partner where all have a cosine of one
+
+    def part(self, rows: slice) -> Best:
+        """Of some rows; what is added to it is added to the whole."""
+        some = copy.copy(self)
+        some.keys, some.least, some.ones = self.keys[rows], self.least[rows], self.ones[rows]
+        return some
+
+    def bound(self, rows: slice, first: int) -> np.ndarray:
+        """What rough cosines to partners numbered from first on must reach; after partners at a cosine of one, no later one is taken."""
+        return np.where(self.ones[rows] < first, np.float32(np.inf), self.least[rows])
 
     def add(self, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
-        """Row j as a partner of row i at cosine v; all partners of i before j have been offered, or come with it."""
+        """Number j as a partner of row i at cosine v."""
         if not len(i):
             return
         whole = self.bits + NONE.bit_length()
@@ -134,8 +150,10 @@ class Best:
         keys.sort(axis=1)
         self.keys[rows] = keys[:, : self.k]
         worst = keys[:, self.k - 1] >> self.bits
-        bound = np.where(worst == NONE, -np.inf, np.where(worst <= 1, np.inf, (ONE - worst) / 1e6 - self.room))  # nothing later is before a cosine of one
+        bound = np.where(worst == NONE, -np.inf, (ONE - worst) / 1e6 - self.room)
         self.least[rows] = np.maximum(self.least[rows], bound)
+        ones = np.flatnonzero(worst <= 1)
+        self.ones[rows[ones]] = keys[ones, self.k - 1] & (1 << self.bits) - 1
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, n = np.nonzero(self.keys >> self.bits != NONE)
@@ -161,14 +179,24 @@ def firsts(exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return i, j, -value / 1e6
 
 
-def nearest_both(x: np.ndarray, y: np.ndarray | None, k: int, own: np.ndarray, other: np.ndarray | None) -> list[Best]:
-    """As nearest() of x among y and of y among x, without rows of one id; each pair's rough cosine is worked out once. Without y, of x among itself."""
-    room = 2e-6 + 2.5e-7 * x.shape[1]
+def room_for(dimensions: int) -> float:
+    """More than a rough cosine may be off."""
+    return 2e-6 + 2.5e-7 * dimensions
+
+
+def nearest_both(x: np.ndarray, y: np.ndarray | None, k: int, own: np.ndarray, other: np.ndarray | None, sofar: tuple | None = None) -> list[Best]:
+    """As nearest() of x among y and of y among x, without rows of one id; each pair's rough cosine is worked out once. Without y, of x among itself.
+
+    sofar, to go on after other rows: the best of x and of y, and the rising numbers of their rows.
+    """
     alone, x32 = y is None, x.astype(np.float32)
     y, y32, other = (x, x32, own) if alone else (y, y.astype(np.float32), other)
-    bx = Best(len(x), len(y), k, room)
-    by = bx if alone else Best(len(y), len(x), k, room)
-    held, hits = np.empty(TILE * TILE, np.float32), np.empty(TILE * TILE, bool)
+    if sofar is None:
+        bx = Best(len(x), len(y), k, room_for(x.shape[1]))
+        sofar = bx, bx if alone else Best(len(y), len(x), k, bx.room), np.arange(len(x)), np.arange(len(y))
+    bx, by, xn, yn = sofar
+    cells = min(TILE, len(x)) * min(TILE, len(y))
+    held, hits = np.empty(cells, np.float32), np.empty(cells, bool)
     for r in range(0, len(x), TILE):
         xa, ids, rows = x[r : r + TILE], own[r : r + TILE], slice(r, r + TILE)
         for c in range(r if alone else 0, len(y), TILE):
@@ -179,7 +207,7 @@ def nearest_both(x: np.ndarray, y: np.ndarray | None, k: int, own: np.ndarray, o
             bounded(rough, ids, others, bx, rows)
             if twice:
                 bounded(rough.T, others, ids, by, cols)
-            lx, ly = bx.least[rows], by.least[cols] if twice else np.full(len(yb), np.inf, np.float32)
+            lx, ly = bx.bound(rows, yn[c]), by.bound(cols, xn[r]) if twice else np.full(len(yb), np.inf, np.float32)
             at = marked(np.greater_equal(rough, min(lx.min(), ly.min()), out=mask))
             if len(at) > rough.size // 64:  # one bound for all leaves too much
                 at = marked(np.logical_or(rough >= lx[:, None], rough >= ly[None, :], out=mask))
@@ -187,10 +215,10 @@ def nearest_both(x: np.ndarray, y: np.ndarray | None, k: int, own: np.ndarray, o
                 exact = xa @ yb.T
                 exact[ids[:, None] == others[None, :]] = -np.inf
                 i, j, v = firsts(exact, k)
-                bx.add(r + i, c + j, v)
+                bx.add(r + i, yn[c + j], v)
                 if twice:
                     j, i, v = firsts(np.ascontiguousarray(exact.T), k)
-                    by.add(c + j, r + i, v)
+                    by.add(c + j, xn[r + i], v)
                 continue
             i, j = np.divmod(at, rough.shape[1])
             near = rough.reshape(-1)[at]
@@ -199,27 +227,65 @@ def nearest_both(x: np.ndarray, y: np.ndarray | None, k: int, own: np.ndarray, o
             i, j, fits = i[wanted], j[wanted], [f[wanted] for f in fits]
             v = [np.einsum("ij,ij->i", xa[i[n : n + 65536]], yb[j[n : n + 65536]]) for n in range(0, len(i), 65536)]
             v = np.concatenate(v) if v else np.empty(0)
-            bx.add(r + i[fits[0]], c + j[fits[0]], v[fits[0]])
+            bx.add(r + i[fits[0]], yn[c + j[fits[0]]], v[fits[0]])
             if twice:
-                by.add(c + j[fits[1]], r + i[fits[1]], v[fits[1]])
+                by.add(c + j[fits[1]], xn[r + i[fits[1]]], v[fits[1]])
     return [bx] if alone else [bx, by]
 
 
-def best_of_both(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """query_id, id, similarity: of the rows (id, side, vector) of one side among the other's and back; where there is one side, among themselves."""
-    frame = frame.sort_values("id", kind="stable")
+def best_of_line(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, off, id: of the rows (id, place, vector) of a line the k best among all its blocks but their own; the first block's also among itself.
+
+    off and id are lists, best first; off is in millionths, from a cosine of ONE.
+    """
+    frame = frame.sort_values(["place", "id"], kind="stable")
     x = unit(frame["vector"])
     fine = np.isfinite(x).all(axis=1)
-    x, ids, side = x[fine], frame["id"].to_numpy()[fine], frame["side"].to_numpy()[fine]
-    at = [np.flatnonzero(side == s) for s in (0, 1) if (side == s).any()]
-    if not at or frame["block"].iat[0] != frame["other"].iat[0] and len(at) < 2:
-        return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-    found = nearest_both(x[at[0]], x[at[1]] if at[1:] else None, k, ids[at[0]], ids[at[1]] if at[1:] else None)
-    out = []
-    for best, mine, theirs in zip(found, (at[0], at[-1]), (at[-1], at[0])):
-        i, j, v = best.found()
-        out.append((ids[mine[i]], ids[theirs[j]], v))
-    return pd.DataFrame(dict(zip(("query_id", "id", "similarity"), map(np.concatenate, zip(*out)))))
+    x, ids, place = x[fine], frame["id"].to_numpy()[fine], frame["place"].to_numpy()[fine]
+    order = np.argsort(ids, kind="stable")
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.arange(len(ids))
+    best = Best(len(x), len(x), k, room_for(x.shape[1]))
+    blocks_at = [(p, slice(*np.searchsorted(place, [p, p + 1]))) for p in np.unique(place)]
+    for n, (p, a) in enumerate(blocks_at):
+        for q, b in blocks_at[n:]:
+            mine = best.part(a)
+            if q > p:
+                nearest_both(x[a], x[b], k, ids[a], ids[b], (mine, best.part(b), number[a], number[b]))
+            elif p == 0:
+                nearest_both(x[a], None, k, ids[a], None, (mine, mine, number[a], number[a]))
+    off, partner = best.keys >> best.bits, ids[order[np.minimum(best.keys & (1 << best.bits) - 1, len(ids) - 1)]] if len(ids) else best.keys
+    count = (off != NONE).sum(axis=1)
+    some = np.flatnonzero(count)
+    lists = lambda m: [m[i, : count[i]] for i in some]
+    return pd.DataFrame({"query_id": ids[some], "off": pd.Series(lists(off.astype(np.int32)), dtype=object), "id": pd.Series(lists(partner), dtype=object)})
+
+
+def difference_set(q: int) -> list[int]:
+    """q + 1 numbers below n = q * q + q + 1, 0 among them, whose differences mod n are all of 1 to n - 1 once each; q is a prime."""
+    n = q * q + q + 1
+    for a, b, c in product(range(q), repeat=3):  # where a recurrence of full period is zero (Singer)
+        s, zeros = (0, 0, 1), []
+        for i in range(n):
+            if s[0] == 0:
+                zeros.append(i)
+            s = s[1], s[2], (a * s[2] + b * s[1] + c * s[0]) % q
+        if len(zeros) == q + 1 and len({(x - y) % n for x in zeros for y in zeros}) == n:
+            return zeros
+    raise ValueError(f"{q} is not a prime")
+
+
+def lines(rows: int) -> tuple[int, list[int]]:
+    """n blocks and d: line i holds the blocks i + d mod n. Any two blocks are on one line, and block i is the first of line i alone.
+
+    A line has eight of 57 blocks, but for few rows (one block; three of seven) and very many (where eight would be over 2 * MOST_ROWS).
+    """
+    if rows <= BLOCK_ROWS:
+        return 1, [0]
+    q = 2 if rows <= 4 * BLOCK_ROWS else 7
+    while rows * (q + 1) > 2 * MOST_ROWS * (q * q + q + 1):
+        q = next(m for m in range(q + 1, 2 * q + 1) if all(m % i for i in range(2, m)))
+    return q * q + q + 1, difference_set(q)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -246,16 +312,25 @@ def all_knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False)
 
 
 def own_knn(vectors: DataFrame, k: int) -> DataFrame:
-    """As all_knn of all vectors (id, vector) among themselves, each left out of its own: two blocks meet once, for both."""
-    n = blocks(vectors.count())
-    vectors = vectors.repartition("id").select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    meets = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    first, last = F.least("own", "with"), F.greatest("own", "with")
-    dealt = vectors.withColumn("with", meets).select(first.alias("block"), last.alias("other"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "vector")
-    dealt = dealt.repartition(min(MOST_PARTS, 2 * n * n), "block", "other")
+    """As all_knn of all vectors (id, vector) among themselves, each left out of its own: two rows meet once, for both."""
+    n, places = lines(vectors.count())
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    single = isinstance(vectors.schema["vector"].dataType.elementType, T.FloatType)  # moved as they are, and made double in the tasks
+    vector = F.col("vector") if single else F.col("vector").cast("array<double>")
+    dealt = vectors.repartition("id").select("id", vector.alias("vector"), F.posexplode(F.array(*map(F.lit, places))).alias("place", "step"))
+    dealt = dealt.select(F.pmod(own - F.col("step"), F.lit(n)).alias("line"), "place", "id", "vector")
+    dealt = dealt.repartitionById(n, F.col("line")).drop("line")  # a line a task: hashes would put two in one
     kind = dict(vectors.dtypes)["id"]
-    found = dealt.groupBy("block", "other").applyInPandas(lambda frame: best_of_both(frame, k), f"query_id {kind}, id {kind}, similarity double")
-    return ranked(found.repartition("query_id"), k)  # with all of a row's partners together, nothing moves again
+
+    def best(frames):
+        if frames := [f for f in frames if len(f)]:
+            yield best_of_line(pd.concat(frames, ignore_index=True), k)
+
+    found = dealt.mapInPandas(best, f"query_id {kind}, off array<int>, id array<{kind}>")
+    # A row's lists of partners come together once, as lists.
+    merged = found.repartition("query_id").groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("off", "id"))).alias("found"))
+    best = merged.select("query_id", F.posexplode(F.slice(F.array_sort("found"), 1, k)).alias("n", "at"))
+    return best.select("query_id", F.col("at.id").alias("id"), ((F.lit(ONE) - F.col("at.off")) / F.lit(1e6)).alias("similarity"), (F.col("n") + 1).alias("rank"))
 
 
 def mutual(neighbours: DataFrame) -> DataFrame:

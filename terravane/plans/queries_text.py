@@ -114,8 +114,12 @@ def _(spark, d):
 NEIGHBOURS = f"nb AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS.format(a='a.embedding', b='b.embedding')} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM nb QUALIFY rank <= 5)"
 
 
+def stored(spark, d):
+    return P.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 def neighbours(spark, d, k=5):
-    return vector.own_knn(vectors(spark, d), k)
+    return vector.own_knn(stored(spark, d), k)
 
 
 @query("vec_neighbors_topk", with_(NEIGHBOURS) + "SELECT * FROM top")
@@ -135,7 +139,7 @@ def _(spark, d):
 
 @query("vec_semantic_edges")
 def _(spark, d):
-    v = vectors(spark, d)
+    v = stored(spark, d)
     near = cut(vector.own_knn(v, 16), "neighbours")  # twelve partners and four more, as the stage asks for
     return vector.semantic_edges(near, v.count(), vector.threshold(near).first()["threshold"])
 
