@@ -352,32 +352,62 @@ def threshold(neighbours: DataFrame, floor: float = 0.55, share: float = 0.85) -
 def semantic_edges(neighbours: DataFrame, nodes: int, cut: float, degree: int = 8, budget: float = 0.6, bonus: float = 0.01) -> DataFrame:
     """source, target, similarity: candidates over cut, mutual ones favoured, taken greedily under a degree cap at both ends and a budget.
 
-    The greedy choice is made in rounds over all nodes at once: an undecided pair is taken if it is among the
-    best its two ends still have room for, since no better pair can fill that room; a node that is full drops
-    the rest of its pairs. The best undecided pair is always taken, so the rounds end, with exactly what a pass
-    over all pairs from best to worst takes. Pairs are spread by node; no task holds more than a node's pairs,
-    which are at most its neighbours'. The budget then keeps the best of the pairs taken.
+    A pass over all pairs from best to worst would end with the budget. So the best pairs are decided first, whole
+    thousandths of the score at a time and twice as many as the budget has room for, then the next ones, until it is used up.
     """
+    want = max(1, int(budget * nodes))
     pairs = neighbours.where(F.col("similarity") >= cut).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "similarity")
     pairs = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("n"))
     pairs = pairs.select("a", "b", "similarity", (F.col("similarity") + F.when(F.col("n") == 2, bonus).otherwise(0.0)).alias("score"))
+    pairs = cut_lineage(pairs.withColumn("step", F.floor(F.col("score") * 1000)), "pairs")
+    steps = sorted(pairs.groupBy("step").count().collect(), reverse=True)  # two thousand at most, as cosines are
     order = (F.desc("score"), F.asc("a"), F.asc("b"))
+    taken, got = pairs.drop("step").limit(0), 0
+    while steps and got < want:
+        some, rows = [], 0
+        while steps and rows < 2 * (want - got):
+            step, n = steps.pop(0)
+            some, rows = [*some, step], rows + n
+        left = pairs.where(F.col("step").between(some[-1], some[0])).drop("step")
+        won = greedy(held_by(left, taken) if got else left, degree, order)
+        taken = won.union(taken) if got else won
+        got += won.count()
+    return taken.orderBy(*order).limit(want).select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity")
+
+
+def held_by(pairs: DataFrame, won: DataFrame) -> DataFrame:
+    """pairs with held_a and held_b, raised by the pairs that their ends have in won."""
+    gain = won.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("gain"))
     none = F.lit(0).cast("long")
-    left, taken = cut_lineage(pairs.select("*", none.alias("held_a"), none.alias("held_b")), "undecided"), None
+    for end in ("a", "b"):
+        held = f"held_{end}"
+        had = F.col(held) if held in pairs.columns else none
+        pairs = pairs.withColumn(held, had).join(gain.withColumnRenamed("node", end), end, "left").withColumn(held, F.col(held) + F.coalesce("gain", none)).drop("gain")
+    return pairs
+
+
+def greedy(pairs: DataFrame, degree: int, order: tuple) -> DataFrame:
+    """Of pairs (a, b, similarity, score, and held_a, held_b if their ends have some) those that a pass in order takes under a degree cap.
+
+    The choice is made in rounds over all nodes at once: an undecided pair is taken if it is among the best its
+    two ends still have room for, since no better pair can fill that room; a node that is full drops the rest of
+    its pairs. The best undecided pair is always taken, so the rounds end, with exactly what a pass over all pairs
+    from best to worst takes. Pairs are spread by node; no task holds more than a node's pairs, which are at most
+    its neighbours'.
+    """
+    free = (F.col("held_a") < degree) & (F.col("held_b") < degree)
+    plain = ["a", "b", "similarity", "score"]
+    left = pairs if "held_a" in pairs.columns else pairs.withColumns({"held_a": F.lit(0).cast("long"), "held_b": F.lit(0).cast("long")})
+    left, taken = cut_lineage(left.where(free).select(*plain, "held_a", "held_b"), "undecided"), pairs.select(*plain).limit(0)
     while not left.isEmpty():
         ends = F.array(*[F.struct(F.col(end).alias("node"), F.col(f"held_{end}").alias("held")) for end in ("a", "b")])
         room = F.row_number().over(W.partitionBy("at.node").orderBy(*order)) + F.col("at.held") <= degree
         told = left.withColumn("at", F.explode(ends)).withColumn("room", room).groupBy(*left.columns).agg(F.every("room").alias("take"))
         told = cut_lineage(told, "told")
-        won = told.where("take").select("a", "b", "similarity", "score")
-        taken = won if taken is None else taken.union(won)
-        gain = won.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("gain"))
-        rest = told.where("not take").drop("take")
-        for end in ("a", "b"):
-            rest = rest.join(gain.withColumnRenamed("node", end), end, "left").withColumn(f"held_{end}", F.col(f"held_{end}") + F.coalesce("gain", none)).drop("gain")
-        left = cut_lineage(rest.where((F.col("held_a") < degree) & (F.col("held_b") < degree)).select(*left.columns), "undecided")
-    taken = pairs.limit(0) if taken is None else taken
-    return taken.orderBy(*order).limit(max(1, int(budget * nodes))).select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity")
+        won = told.where("take").select(*plain)
+        taken = taken.union(won)
+        left = cut_lineage(held_by(told.where("not take").drop("take"), won).where(free).select(*left.columns), "undecided")
+    return taken
 
 
 def norm_check(vectors: DataFrame, tolerance: float = 0.02) -> DataFrame:
